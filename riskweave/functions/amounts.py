@@ -19,31 +19,29 @@ def amount_text(cents: Column) -> Column:
     return (cents.cast("decimal(20,0)") / F.lit(100)).cast("decimal(20,2)").cast("string")
 
 
-def half(n: Column, offset: int) -> Column:
-    return F.floor((n + offset) / 2).cast("int")
+def median2(ordered: str) -> str:
+    """Twice the median of a sorted array column; NULL when it is empty."""
+    n = f"size({ordered})"
+    return f"(get({ordered}, int(({n} + 1) div 2) - 1) + get({ordered}, int({n} div 2)))"
 
 
-def median2(ordered: Column) -> Column:
-    """Twice the median of a sorted array; NULL when it is empty."""
-    n = F.size(ordered)
-    return F.when(
-        n > 0, F.get(ordered, half(n, 1) - 1) + F.get(ordered, half(n, 2) - 1)
-    )
-
-
-def mad4(ordered: Column, doubled_median: Column) -> Column:
+def mad4(ordered: str, doubled_median: str) -> str:
     """Four times the median absolute deviation."""
-    return median2(F.sort_array(F.transform(ordered, lambda v: F.abs(v * 2 - doubled_median))))
+    gaps = f"sort_array(transform({ordered}, v -> abs(v * 2 - {doubled_median})))"
+    n = f"size({ordered})"
+    return (
+        f"element_at(transform(array({gaps}), "
+        f"g -> get(g, int(({n} + 1) div 2) - 1) + get(g, int({n} div 2))), 1)"
+    )
 
 
-def nearest_rank(n: Column, percent: int = 95) -> Column:
-    return F.floor((n * percent + 99) / 100).cast("int")
+def nearest_rank(n: str, percent: int = 95) -> str:
+    return f"(({n} * {percent} + 99) div 100)"
 
 
-def p95(ordered: Column) -> Column:
-    n = F.size(ordered)
-    return F.when(n > 0, F.get(ordered, nearest_rank(n) - 1))
+def p95(ordered: str) -> str:
+    return f"get({ordered}, int({nearest_rank(f'size({ordered})')}) - 1)"
 
 
-def ratio(numerator: Column, denominator: Column) -> Column:
-    return numerator.cast("double") / denominator.cast("double")
+def ratio(numerator: str, denominator: str) -> str:
+    return f"CAST({numerator} AS DOUBLE) / CAST({denominator} AS DOUBLE)"

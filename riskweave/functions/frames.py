@@ -1,12 +1,12 @@
 """Time frames over microsecond columns, and counts that stay linear in the rows.
 
 All frames are open at both ends: a row at the candidate's own instant, or exactly one span
-earlier, is outside.
+earlier, is outside. Frames are SQL text: one expression, one call into the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SECOND = 1_000_000
@@ -17,49 +17,57 @@ DAY = 24 * HOUR
 KEYS = ("customer_id", "currency")
 
 
-def prior(span: int, *keys: str) -> WindowSpec:
+def _over(keys: tuple[str, ...], low: str, high: str) -> str:
+    return f"OVER (PARTITION BY {', '.join(keys)} ORDER BY us RANGE BETWEEN {low} AND {high})"
+
+
+def prior(span: int, *keys: str) -> str:
     """Rows with ``us - span < row.us < us``."""
-    return Window.partitionBy(*keys).orderBy("us").rangeBetween(-span + 1, -1)
+    return _over(keys, f"{span - 1} PRECEDING", "1 PRECEDING")
 
 
-def before(*keys: str) -> WindowSpec:
+def before(*keys: str) -> str:
     """Every row of an earlier instant."""
-    return Window.partitionBy(*keys).orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    return _over(keys, "UNBOUNDED PRECEDING", "1 PRECEDING")
 
 
-def expired(span: int, *keys: str) -> WindowSpec:
+def expired(span: int, *keys: str) -> str:
     """Rows at or before ``us - span``: those that already left the span."""
-    return Window.partitionBy(*keys).orderBy("us").rangeBetween(Window.unboundedPreceding, -span)
+    return _over(keys, "UNBOUNDED PRECEDING", f"{span} PRECEDING")
 
 
-def prior_count(condition: Column, span: int, *keys: str) -> Column:
+def prior_count(condition: str, span: int, *keys: str) -> str:
     """Count inside the open span.
 
     The difference of two frames that only grow: Spark updates both incrementally, so the work is
     linear in the rows, where a sliding frame is rescanned for every row.
     """
-    return F.count_if(condition).over(before(*keys)) - F.count_if(condition).over(
-        expired(span, *keys)
-    )
+    counted = f"count_if({condition})"
+    return f"({counted} {before(*keys)} - {counted} {expired(span, *keys)})"
 
 
-def prior_sum(value: Column, span: int, *keys: str) -> Column:
+def prior_sum(value: str, span: int, *keys: str) -> str:
     """Exact sum of integer values inside the open span; wide enough for 10^18 cents per row."""
-    wide = value.cast("decimal(18,0)")
-    zero = F.lit(0).cast("decimal(28,0)")
-    return F.coalesce(F.sum(wide).over(before(*keys)), zero) - F.coalesce(
-        F.sum(wide).over(expired(span, *keys)), zero
+    total = f"sum(CAST({value} AS DECIMAL(18, 0)))"
+    return (
+        f"(coalesce({total} {before(*keys)}, CAST(0 AS DECIMAL(28, 0)))"
+        f" - coalesce({total} {expired(span, *keys)}, CAST(0 AS DECIMAL(28, 0))))"
     )
 
 
+def add(frame: DataFrame, **columns: str) -> DataFrame:
+    """Adds SQL expressions as columns."""
+    return frame.selectExpr("*", *(f"{text} AS {name}" for name, text in columns.items()))
+
+
 def micros(timestamp: Column) -> Column:
     """UTC microseconds of a TIMESTAMP, or of a TIMESTAMP_NTZ that holds UTC wall time."""
     return F.unix_micros(timestamp.cast("timestamp"))
 
 
-def local_hour(us: Column, timezone: Column) -> Column:
-    return F.hour(F.from_utc_timestamp(F.timestamp_micros(us), timezone))
+def local_hour(us: str, timezone: str) -> str:
+    return f"hour(from_utc_timestamp(timestamp_micros({us}), {timezone}))"
 
 
-def fractional_days(us: Column) -> Column:
-    return us.cast("double") / F.lit(float(DAY))
+def fractional_days(us: str) -> str:
+    return f"(CAST({us} AS DOUBLE) / {float(DAY)}D)"

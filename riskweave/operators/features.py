@@ -8,7 +8,7 @@ only; activity features see every row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions import amounts
@@ -16,6 +16,7 @@ from riskweave.functions.frames import (
     DAY,
     HOUR,
     MINUTE,
+    add,
     before,
     fractional_days,
     local_hour,
@@ -37,63 +38,48 @@ def activity_frame(tx: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
 
 def with_velocity(frame: DataFrame) -> DataFrame:
     """Prior rows in 5, 10, 60 minutes and 180 days, and the last earlier instant."""
-    seen = F.col("is_history")
-    last = F.max(F.when(seen, F.col("us"))).over(before(*GROUP))
-    return frame.withColumns(
-        {
-            "n_5m": prior_count(seen, 5 * MINUTE, *GROUP),
-            "n_10m": prior_count(seen, 10 * MINUTE, *GROUP),
-            "n_60m": prior_count(seen, HOUR, *GROUP),
-            "n_activity": prior_count(seen, ACTIVITY_SPAN, *GROUP),
-            "last_us": F.when(last > F.col("us") - ACTIVITY_SPAN, last),
-        }
+    frame = add(
+        frame,
+        n_5m=prior_count("is_history", 5 * MINUTE, *GROUP),
+        n_10m=prior_count("is_history", 10 * MINUTE, *GROUP),
+        n_60m=prior_count("is_history", HOUR, *GROUP),
+        n_activity=prior_count("is_history", ACTIVITY_SPAN, *GROUP),
+        _last=f"max(CASE WHEN is_history THEN us END) {before(*GROUP)}",
     )
+    return add(
+        frame, last_us=f"CASE WHEN _last > us - {ACTIVITY_SPAN} THEN _last END"
+    ).drop("_last")
 
 
 def with_recipient_history(frame: DataFrame) -> DataFrame:
     """Prior rows to the same recipient: count in one hour, earliest instant in 180 days."""
     group = (*GROUP, "recipient_id")
-    seen = F.col("is_history")
-    return frame.withColumns(
-        {
-            "n_recipient_60m": prior_count(seen, HOUR, *group),
-            "first_recipient_us": F.min(F.when(seen, F.col("us"))).over(
-                prior(ACTIVITY_SPAN, *group)
-            ),
-        }
+    return add(
+        frame,
+        n_recipient_60m=prior_count("is_history", HOUR, *group),
+        first_recipient_us=(
+            f"min(CASE WHEN is_history THEN us END) {prior(ACTIVITY_SPAN, *group)}"
+        ),
     )
 
 
 def with_device_history(frame: DataFrame) -> DataFrame:
     """Device at the last earlier instant when it is the only one there, and same-device recency."""
-    seen = F.col("is_history")
-    instant = Window.partitionBy(*GROUP, "us")
-    device = F.when(seen, F.col("device_id"))
-    frame = frame.withColumns(
-        {"_low": F.min(device).over(instant), "_high": F.max(device).over(instant)}
-    )
-    at_last = F.last(
-        F.when(
-            seen,
-            F.struct(
-                F.col("us"),
-                F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias("device"),
-            ),
-        ),
-        ignorenulls=True,
-    ).over(before(*GROUP))
-    same_device = F.max(F.when(seen, F.col("us"))).over(before(*GROUP, "device_id"))
-    cutoff = F.col("us") - ACTIVITY_SPAN
-    return (
-        frame.withColumns({"_last": at_last, "_same": same_device})
-        .withColumns(
-            {
-                "last_device": F.when(F.col("_last.us") > cutoff, F.col("_last.device")),
-                "device_seen": F.coalesce(F.col("_same") > cutoff, F.lit(False)),
-            }
-        )
-        .drop("_low", "_high", "_last", "_same")
+    instant = f"OVER (PARTITION BY {', '.join(GROUP)}, us)"
+    device = "CASE WHEN is_history THEN device_id END"
+    frame = add(frame, _low=f"min({device}) {instant}", _high=f"max({device}) {instant}")
+    at_last = "named_struct('us', us, 'device', CASE WHEN _low = _high THEN _low END)"
+    frame = add(
+        frame,
+        _at=f"last(CASE WHEN is_history THEN {at_last} END, true) {before(*GROUP)}",
+        _same=f"max(CASE WHEN is_history THEN us END) {before(*GROUP, 'device_id')}",
     )
+    cutoff = f"us - {ACTIVITY_SPAN}"
+    return add(
+        frame,
+        last_device=f"CASE WHEN _at.us > {cutoff} THEN _at.device END",
+        device_seen=f"coalesce(_same > {cutoff}, false)",
+    ).drop("_low", "_high", "_at", "_same")
 
 
 def baseline_frame(tx: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
@@ -104,167 +90,152 @@ def with_baseline(frame: DataFrame, long_days: int = 180, short_days: int = 30)
     """Exact statistics of the rows admitted before each candidate."""
     if not 0 < short_days <= long_days <= 180:
         raise ValueError("windows must satisfy 0 < short <= long <= 180 days")
-    own = F.col("admitted_us")
-    exists = (F.col("profile_since") < F.col("us")) | (
-        (F.col("profile_since") == F.col("us")) & ~F.coalesce(own == F.col("us"), F.lit(False))
+    exists = "(profile_since < us OR (profile_since = us AND NOT coalesce(admitted_us = us, false)))"
+    frame = add(
+        frame,
+        profile_missing=f"NOT coalesce({exists}, false)",
+        local_hour=local_hour("us", "timezone"),
+        _cents="CASE WHEN is_history AND admitted_us IS NOT NULL THEN cents END",
     )
-    admitted = F.col("is_history") & own.isNotNull()
-    cents = F.when(admitted, F.col("cents"))
-    hour = local_hour(F.col("us"), F.col("timezone"))
-    frame = frame.withColumns(
-        {"profile_missing": ~F.coalesce(exists, F.lit(False)), "local_hour": hour}
+    span = long_days * DAY
+    by_hour = (
+        prior_count(f"_cents IS NOT NULL AND local_hour = {h}", span, *GROUP) for h in range(24)
     )
-    counts = F.array(
-        *(
-            prior_count(admitted & (F.col("local_hour") == h), long_days * DAY, *GROUP)
-            for h in range(24)
-        )
+    frame = add(
+        frame,
+        _long=f"collect_list(_cents) {prior(span, *GROUP)}",
+        _short=f"collect_list(_cents) {prior(short_days * DAY, *GROUP)}",
+        sum_long=prior_sum("_cents", span, *GROUP),
+        hour_counts=f"array({', '.join(by_hour)})",
+        n_known_recipient=prior_count("_cents IS NOT NULL", span, *GROUP, "recipient_id"),
     )
-    frame = frame.withColumns(
-        {
-            "_long": F.collect_list(cents).over(prior(long_days * DAY, *GROUP)),
-            "_short": F.collect_list(cents).over(prior(short_days * DAY, *GROUP)),
-            "sum_long": prior_sum(F.when(admitted, F.col("cents")), long_days * DAY, *GROUP),
-            "hour_counts": counts,
-            "n_known_recipient": prior_count(
-                admitted, long_days * DAY, *GROUP, "recipient_id"
-            ),
-        }
-    )
-    return _order_statistics(frame)
+    return _order_statistics(frame.drop("_cents"))
 
 
 def _order_statistics(frame: DataFrame) -> DataFrame:
-    missing = F.col("profile_missing")
-    empty = F.array().cast("array<bigint>")
-    frame = frame.withColumns(
-        {
-            "_long": F.when(missing, empty).otherwise(F.sort_array("_long")),
-            "_short": F.when(missing, empty).otherwise(F.sort_array("_short")),
-        }
-    )
-    frame = frame.withColumns(
-        {
-            "n_long": F.size("_long"),
-            "n_short": F.size("_short"),
-            "median2_long": amounts.median2(F.col("_long")),
-            "median2_short": amounts.median2(F.col("_short")),
-            "p95_long": amounts.p95(F.col("_long")),
-        }
+    columns = [c for c in frame.columns if c not in ("_long", "_short")]
+    none = "CASE WHEN NOT profile_missing THEN"
+    frame = frame.selectExpr(
+        *columns,
+        f"coalesce({none} sort_array(_long) END, array()) AS _long",
+        f"coalesce({none} sort_array(_short) END, array()) AS _short",
     )
-    return frame.withColumn(
-        "mad4_long", amounts.mad4(F.col("_long"), F.col("median2_long"))
-    ).drop("_long", "_short")
-
-
-def typical_hours(counts: Column, n: Column, minimum: int = 2) -> Column:
+    frame = add(
+        frame,
+        n_long="size(_long)",
+        n_short="size(_short)",
+        median2_long=amounts.median2("_long"),
+        median2_short=amounts.median2("_short"),
+        p95_long=amounts.p95("_long"),
+    ).drop("_short")
+    return add(frame, mad4_long=amounts.mad4("_long", "median2_long")).drop("_long")
+
+
+def typical_hours(counts: str, n: str, minimum: int = 2) -> str:
     """Hours seen at least ``minimum`` times and in at least a tenth of ``n`` rows."""
-    return F.filter(
-        F.sequence(F.lit(0), F.lit(23)),
-        lambda h: (F.get(counts, h) >= minimum) & (F.get(counts, h) * 10 >= n),
+    return (
+        f"filter(sequence(0, 23), h -> get({counts}, h) >= {minimum}"
+        f" AND get({counts}, h) * 10 >= {n})"
     )
 
 
-def hour_distance(hour: Column, hours: Column) -> Column:
+def hour_distance(hour: str, hours: str) -> str:
     """Circular distance to the nearest listed hour; NULL when the list is empty."""
-    return F.array_min(
-        F.transform(hours, lambda t: F.least(F.abs(hour - t), 24 - F.abs(hour - t)))
+    return f"array_min(transform({hours}, t -> least(abs({hour} - t), 24 - abs({hour} - t))))"
+
+
+ENOUGH = f"n_long >= {MINIMUM_HISTORY}"
+SHORT_ENOUGH = f"({ENOUGH} AND n_short >= {MINIMUM_HISTORY})"
+
+
+def _flag(condition: str) -> str:
+    return f"CASE WHEN {condition} THEN 1D ELSE 0D END"
+
+
+def _when_enough(value: str) -> str:
+    return f"CASE WHEN {ENOUGH} THEN {value} ELSE 0D END"
+
+
+BASELINE_FEATURES = {
+    "amount": "CAST(cents AS DOUBLE) / 100D",
+    "profile_missing": _flag("profile_missing"),
+    "baseline_insufficient": _flag(f"NOT {ENOUGH}"),
+    "long_history_count": "CAST(n_long AS DOUBLE)",
+    "short_history_count": "CAST(n_short AS DOUBLE)",
+    "amount_vs_customer_median": _when_enough(amounts.ratio("cents * 2", "median2_long")),
+    "amount_vs_customer_mean": _when_enough(
+        "CAST(cents AS DOUBLE) * n_long / CAST(sum_long AS DOUBLE)"
+    ),
+    "robust_amount_deviation": _when_enough(
+        amounts.ratio("abs(cents * 2 - median2_long) * 2", "greatest(mad4_long, 4)")
+    ),
+    "mad_zero": _flag(f"{ENOUGH} AND mad4_long = 0"),
+    "mad_floor_applied": _flag(f"{ENOUGH} AND mad4_long < 4"),
+    "amount_vs_p95": _when_enough(amounts.ratio("cents", "p95_long")),
+    "short_term_vs_long_term_amount_ratio": (
+        f"CASE WHEN {SHORT_ENOUGH} THEN {amounts.ratio('median2_short', 'median2_long')} "
+        "ELSE 0D END"
+    ),
+    "short_baseline_insufficient": _flag(f"NOT {SHORT_ENOUGH}"),
+    "new_recipient": _flag(f"{ENOUGH} AND n_known_recipient = 0"),
+}
+
+HOUR_FEATURES = {
+    "unusual_hour": _flag("hour_gap > 0"),
+    "hour_deviation": "CAST(coalesce(hour_gap, 0) AS DOUBLE)",
+    "typical_hours_missing": _flag("hour_gap IS NULL"),
+}
+
+ACTIVITY_FEATURES = {
+    "transactions_last_5_min": "CAST(n_5m AS DOUBLE)",
+    "transactions_last_10_min": "CAST(n_10m AS DOUBLE)",
+    "transactions_last_hour": "CAST(n_60m AS DOUBLE)",
+    "recipient_transactions_last_hour": "CAST(n_recipient_60m AS DOUBLE)",
+    "activity_history_count": "CAST(n_activity AS DOUBLE)",
+    "activity_history_missing": _flag("n_activity = 0"),
+    "recipient_observed_age_days": (
+        f"coalesce({fractional_days('us - first_recipient_us')}, 0D)"
+    ),
+    "recipient_activity_missing": _flag("first_recipient_us IS NULL"),
+    "device_changed": _flag("last_device IS NOT NULL AND device_id <> last_device"),
+    "device_change_missing": _flag("last_device IS NULL"),
+    "device_not_seen_before": _flag("n_activity > 0 AND NOT device_seen"),
+    "days_since_last_transfer": f"coalesce({fractional_days('us - last_us')}, 0D)",
+}
+
+FEATURES = {**BASELINE_FEATURES, **HOUR_FEATURES, **ACTIVITY_FEATURES}
+
+
+def with_hour_gap(frame: DataFrame) -> DataFrame:
+    hours = typical_hours("hour_counts", "n_long")
+    return add(
+        frame, hour_gap=f"CASE WHEN {ENOUGH} THEN {hour_distance('local_hour', hours)} END"
     )
 
 
-def baseline_features() -> dict[str, Column]:
-    enough = F.col("n_long") >= MINIMUM_HISTORY
-    short_enough = enough & (F.col("n_short") >= MINIMUM_HISTORY)
-    cents, med2, mad4 = F.col("cents"), F.col("median2_long"), F.col("mad4_long")
-    ratio = amounts.ratio
-
-    def when_enough(value: Column) -> Column:
-        return F.when(enough, value.cast("double")).otherwise(F.lit(0.0))
-
-    return {
-        "amount": cents.cast("double") / 100,
-        "profile_missing": F.col("profile_missing").cast("double"),
-        "baseline_insufficient": (~enough).cast("double"),
-        "long_history_count": F.col("n_long").cast("double"),
-        "short_history_count": F.col("n_short").cast("double"),
-        "amount_vs_customer_median": when_enough(ratio(cents * 2, med2)),
-        "amount_vs_customer_mean": when_enough(
-            cents.cast("double") * F.col("n_long") / F.col("sum_long").cast("double")
-        ),
-        "robust_amount_deviation": when_enough(
-            ratio(F.abs(cents * 2 - med2) * 2, F.greatest(mad4, F.lit(4)))
-        ),
-        "mad_zero": when_enough(mad4 == 0),
-        "mad_floor_applied": when_enough(mad4 < 4),
-        "amount_vs_p95": when_enough(ratio(cents, F.col("p95_long"))),
-        "short_term_vs_long_term_amount_ratio": F.when(
-            short_enough, ratio(F.col("median2_short"), med2)
-        ).otherwise(F.lit(0.0)),
-        "short_baseline_insufficient": (~short_enough).cast("double"),
-        "new_recipient": when_enough(F.col("n_known_recipient") == 0),
-    }
-
-
-def hour_features() -> dict[str, Column]:
-    enough = F.col("n_long") >= MINIMUM_HISTORY
-    hours = F.when(enough, typical_hours(F.col("hour_counts"), F.col("n_long")))
-    distance = hour_distance(F.col("local_hour"), hours)
-    known = F.coalesce(distance, F.lit(0)).cast("double")
-    return {
-        "unusual_hour": (known != 0).cast("double"),
-        "hour_deviation": known,
-        "typical_hours_missing": distance.isNull().cast("double"),
-    }
-
-
-def activity_features() -> dict[str, Column]:
-    us, none = F.col("us"), F.col("n_activity") == 0
-    first, last = F.col("first_recipient_us"), F.col("last_us")
-    zero = F.lit(0.0)
-    return {
-        "transactions_last_5_min": F.col("n_5m").cast("double"),
-        "transactions_last_10_min": F.col("n_10m").cast("double"),
-        "transactions_last_hour": F.col("n_60m").cast("double"),
-        "recipient_transactions_last_hour": F.col("n_recipient_60m").cast("double"),
-        "activity_history_count": F.col("n_activity").cast("double"),
-        "activity_history_missing": none.cast("double"),
-        "recipient_observed_age_days": F.coalesce(fractional_days(us - first), zero),
-        "recipient_activity_missing": first.isNull().cast("double"),
-        "device_changed": F.coalesce(
-            (F.col("device_id") != F.col("last_device")).cast("double"), zero
-        ),
-        "device_change_missing": F.col("last_device").isNull().cast("double"),
-        "device_not_seen_before": (~none & ~F.col("device_seen")).cast("double"),
-        "days_since_last_transfer": F.coalesce(fractional_days(us - last), zero),
-    }
-
-
-def refuse_beyond(limit: int, columns: dict[str, Column]) -> dict[str, Column]:
+def refuse_beyond(limit: int, columns: dict[str, str]) -> list[str]:
     """The contract refuses a candidate whose history passes the limit; its values are NULL."""
-    return {
-        name: F.when(F.col("n_activity") <= limit, value) for name, value in columns.items()
-    }
+    return [
+        f"CASE WHEN n_activity <= {limit} THEN {value} END AS {name}"
+        for name, value in columns.items()
+    ]
 
 
-def history_flag(limit: int) -> Column:
-    return (F.col("n_activity") > limit).alias("history_limit_exceeded")
+def history_flag(limit: int) -> str:
+    return f"n_activity > {limit} AS history_limit_exceeded"
 
 
 def velocity(tx: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     """Open-ended activity counts per row."""
     frame = candidates(with_velocity(activity_frame(tx, limit)))
     values = {
-        "transactions_last_5_min": F.col("n_5m"),
-        "transactions_last_10_min": F.col("n_10m"),
-        "transactions_last_hour": F.col("n_60m"),
-        "activity_history_count": F.col("n_activity"),
+        "transactions_last_5_min": "n_5m",
+        "transactions_last_10_min": "n_10m",
+        "transactions_last_hour": "n_60m",
+        "activity_history_count": "n_activity",
     }
-    values = refuse_beyond(limit, values)
-    return frame.select(
-        "transaction_id",
-        *KEYS_OUT,
-        history_flag(limit),
-        *(v.alias(k) for k, v in values.items()),
+    return frame.selectExpr(
+        "transaction_id", *KEYS_OUT, history_flag(limit), *refuse_beyond(limit, values)
     )
 
 
@@ -288,12 +259,12 @@ def behavior_v1(
 
 
 def vector(rows: DataFrame, limit: int = HISTORY_LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
-    columns = {**baseline_features(), **hour_features(), **activity_features()}
-    columns = refuse_beyond(limit, {name: columns[name] for name in FEATURE_NAMES})
-    kept = ("transaction_id", *KEYS_OUT, *keep)
-    return rows.select(
-        *kept,
-        F.lit(FEATURE_VERSION).alias("feature_version"),
+    columns = refuse_beyond(limit, {name: FEATURES[name] for name in FEATURE_NAMES})
+    return with_hour_gap(rows).selectExpr(
+        "transaction_id",
+        *KEYS_OUT,
+        *keep,
+        f"'{FEATURE_VERSION}' AS feature_version",
         history_flag(limit),
-        *(value.alias(name) for name, value in columns.items()),
+        *columns,
     )

@@ -130,7 +130,8 @@ def history_frame(
         missing = {name: F.lit(None) for name in extras}
         whole = whole.withColumns(missing) if extras else whole
         whole = whole.unionByName(chunks.select(*whole.columns))
-    framed = whole.repartition(*GROUP)
+    # One chunk per key needs no chunk number in the shuffle key.
+    framed = whole.repartition(*(KEYS if long is None else GROUP))
     return framed.withColumns(_whole_key(extras, long is not None)) if extras else framed
 
 
