@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.plans import activity, scoring  # noqa: F401
+from riskweave.plans import activity, profiles, scoring  # noqa: F401
 from riskweave.plans.registry import ORACLES, PLANS, Plan
 
 

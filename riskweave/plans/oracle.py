@@ -170,3 +170,38 @@ f AS (
     known, pm, na, {BASELINE_FEATURES}, {HOUR_FEATURES}, {ACTIVITY_FEATURES}
   FROM b JOIN act USING (transaction_id) LEFT JOIN inst USING (customer_id, currency, last_us))"""
 )
+
+REVISIONS = (
+    ADMITTED
+    + """, nobs AS (
+  SELECT *, row_number() OVER (PARTITION BY customer_id, currency
+    ORDER BY us, CAST(transaction_id AS VARCHAR)) AS admitted_version FROM obs),
+rev AS (
+  SELECT customer_id, currency, admitted_version AS version,
+    us - CASE WHEN recipient_id = 17 THEN 3 * 86400000000 ELSE 0 END AS as_of_us, timezone,
+    device_id <> 'view' AS verified,
+    CASE WHEN device_id <> 'view' AND recipient_id <> 7
+      THEN 'profile-learning-v1-experimental' END AS policy_version,
+    CASE WHEN device_id <> 'view' THEN transaction_id END AS decision_id
+  FROM nobs WHERE recipient_id <> 13),
+dec AS (
+  SELECT transaction_id AS decision_id, customer_id, currency, 'ACCEPT' AS action,
+    'profile-learning-v1-experimental' AS policy_version, admitted_version AS version_after
+  FROM nobs WHERE device_id <> 'view' AND recipient_id <> 11),
+head AS (
+  SELECT * FROM rev QUALIFY row_number() OVER (PARTITION BY customer_id, currency
+    ORDER BY version DESC) = 1)"""
+)
+
+
+def statistics(source: str, name: str = "st") -> str:
+    """Exact statistics per key over the rows of ``source``."""
+    return f"""{name}0 AS (
+  SELECT customer_id, currency, count(*) AS n, sum(cents) AS sum_cents, list_sort(list(cents)) AS a
+  FROM {source} GROUP BY 1, 2),
+{name}1 AS (SELECT *, a[(n + 1) // 2] + a[n // 2 + 1] AS median2, a[(95 * n + 99) // 100] AS p95
+  FROM {name}0),
+{name}2 AS (SELECT *, list_sort(list_transform(a, lambda v: abs(2 * v - median2))) AS dv
+  FROM {name}1),
+{name} AS (SELECT customer_id, currency, n, CAST(sum_cents AS BIGINT) AS sum_cents, median2, p95,
+  dv[(n + 1) // 2] + dv[n // 2 + 1] AS mad4 FROM {name}2)"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.amounts import to_cents
 from riskweave.functions.frames import DAY, MINUTE, micros
+from riskweave.operators.history import positions
 
 SCHEMAS = {
     "events": (
@@ -134,3 +135,50 @@ def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("label_available_us", F.col("available_us") + 2 * DAY)
         .withColumn("label", (F.col("device_id") == "error").cast("int"))
     )
+
+
+def numbered_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with the profile version that admitted each."""
+    return (
+        positions(observations(spark, sf_dir))
+        .withColumn("admitted_version", F.col("place") + 1)
+        .drop("place", "older")
+    )
+
+
+def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One profile revision per admission; a few are broken on purpose."""
+    recipient = F.col("recipient_id")
+    verified = F.col("device_id") != "view"
+    return (
+        numbered_observations(spark, sf_dir)
+        .filter(recipient != 13)
+        .select(
+            "customer_id",
+            "currency",
+            F.col("admitted_version").alias("version"),
+            (F.col("us") - F.when(recipient == 17, 3 * DAY).otherwise(0)).alias("as_of_us"),
+            "timezone",
+            verified.alias("verified"),
+            F.when(verified & (recipient != 7), "profile-learning-v1-experimental").alias(
+                "policy_version"
+            ),
+            F.when(verified, F.col("transaction_id")).alias("decision_id"),
+        )
+    )
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learning decisions behind the verified revisions, with some missing."""
+    return (
+        numbered_observations(spark, sf_dir)
+        .filter((F.col("device_id") != "view") & (F.col("recipient_id") != 11))
+        .select(
+            F.col("transaction_id").alias("decision_id"),
+            "customer_id",
+            "currency",
+            F.lit("ACCEPT").alias("action"),
+            F.lit("profile-learning-v1-experimental").alias("policy_version"),
+            F.col("admitted_version").alias("version_after"),
+        )
+    )
