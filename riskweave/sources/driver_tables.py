@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.functions.amounts import to_cents
+from riskweave.functions.amounts import amount_text, to_cents
 from riskweave.functions.frames import DAY, MINUTE, micros
 from riskweave.operators.history import positions
+from riskweave.operators.intake import iso_utc, request_digest
 
 SCHEMAS = {
     "events": (
@@ -182,3 +183,68 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("admitted_version").alias("version_after"),
         )
     )
+
+
+def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions as submitted text; some recipients get a broken field."""
+    tx = transactions(spark, sf_dir)
+    recipient = F.col("recipient_id")
+    amount = amount_text(F.col("cents"))
+    stamp = iso_utc(F.col("us"))
+    return tx.select(
+        "transaction_id",
+        F.when(recipient == 4, F.concat(amount, F.lit("5")))
+        .when(recipient == 6, F.concat(F.lit("-"), amount))
+        .otherwise(amount)
+        .alias("amount"),
+        F.when(recipient == 1, "kzt")
+        .when(recipient == 2, "KZT\n")
+        .otherwise(F.col("currency"))
+        .alias("currency"),
+        F.when(recipient == 3, "  ")
+        .when(recipient == 7, F.concat("device_id", F.lit("\t")))
+        .when(recipient == 9, F.repeat("device_id", 100))
+        .otherwise(F.col("device_id"))
+        .alias("device_id"),
+        F.when(recipient == 8, "FAX").otherwise(F.col("channel")).alias("channel"),
+        "status",
+        F.when(recipient == 5, F.substring(stamp, 1, 19)).otherwise(stamp).alias("timestamp"),
+    )
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every transaction submitted once, and some again: the same, changed, or under a new key."""
+    kind = F.col("device_id")
+    tx = transactions(spark, sf_dir).withColumn(
+        "customer_id",
+        F.when(F.col("recipient_id") == 3, F.col("customer_id") + 1_000_000_000).otherwise(
+            F.col("customer_id")
+        ),
+    )
+
+    def attempt(number: int, delay: int, key: str, more: int) -> Column:
+        return F.struct(
+            F.lit(number).alias("attempt"),
+            (F.col("us") + delay).alias("arrived"),
+            F.concat(F.lit(key), F.col("transaction_id").cast("string")).alias("key"),
+            (F.col("cents") + more).alias("sent_cents"),
+        )
+
+    attempts = F.array_compact(
+        F.array(
+            attempt(1, 0, "k", 0),
+            F.when(kind == "click", attempt(2, 1_000_000, "k", 0)),
+            F.when(kind == "view", attempt(2, 1_000_000, "k", 1)),
+            F.when(kind == "signup", attempt(2, 1_000_000, "other", 0)),
+        )
+    )
+    rows = tx.withColumn("a", F.explode(attempts)).select("*", "a.*").drop("a")
+    return rows.select(
+        F.concat_ws("-", F.col("transaction_id").cast("string"), "attempt").alias("request_id"),
+        F.col("channel").alias("principal"),
+        "key",
+        request_digest("sent_cents").alias("digest"),
+        "transaction_id",
+        "customer_id",
+        "arrived",
+    )
