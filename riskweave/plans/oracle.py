@@ -205,3 +205,75 @@ def statistics(source: str, name: str = "st") -> str:
   FROM {name}1),
 {name} AS (SELECT customer_id, currency, n, CAST(sum_cents AS BIGINT) AS sum_cents, median2, p95,
   dv[(n + 1) // 2] + dv[n // 2 + 1] AS mad4 FROM {name}2)"""
+
+REVIEWS = (
+    REVIEWED
+    + """, ev0 AS (
+  SELECT * EXCLUDE (status), transaction_id * 2 AS evaluation_id, us + 60000000 AS created_us
+  FROM reviewed
+  UNION ALL
+  SELECT * EXCLUDE (status), transaction_id * 2 + 1, us + 3600000000 FROM reviewed WHERE device_id = 'error'),
+ev1 AS (SELECT *, CASE WHEN device_id <> 'signup' THEN recipient_id / 100.0 END AS score FROM ev0),
+ev AS (
+  SELECT *, CASE WHEN score IS NULL THEN 'INSUFFICIENT_EVIDENCE' ELSE 'SCORED' END AS status,
+    'rules_only' AS strategy,
+    CASE WHEN score >= 0.85 THEN 'CRITICAL' WHEN score >= 0.65 THEN 'HIGH'
+      WHEN score >= 0.35 THEN 'MEDIUM' WHEN score IS NOT NULL THEN 'LOW' END AS level,
+    CASE WHEN score >= 0.85 THEN 'URGENT_REVIEW' WHEN score >= 0.65 THEN 'HOLD_AND_REVIEW'
+      WHEN score >= 0.35 THEN 'STEP_UP_VERIFICATION' WHEN score IS NOT NULL THEN 'ALLOW' END
+      AS suggested_action,
+    CASE WHEN recipient_id >= 10 THEN recipient_id END AS profile_version FROM ev1),
+latest AS (
+  SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY transaction_id
+    ORDER BY created_us DESC, evaluation_id DESC) = 1),
+cs AS (
+  SELECT evaluation_id AS case_id, transaction_id, evaluation_id AS assessment_id,
+    created_us + 60000000 AS created_us, verdict, recipient_id, customer_id, currency,
+    'r' || (recipient_id // 10) AS actor
+  FROM latest WHERE device_id <> 'view'),
+tr AS (
+  SELECT case_id, 1 AS sequence, 'OPEN' AS previous, 'UNDER_REVIEW' AS target,
+    created_us + 600000000 AS at_us, actor FROM cs WHERE verdict IS NOT NULL
+  UNION ALL
+  SELECT case_id, 2, CASE WHEN recipient_id = 43 THEN 'OPEN' ELSE 'UNDER_REVIEW' END, verdict,
+    created_us + CAST(CASE WHEN recipient_id = 42 THEN -40 ELSE 20 END AS BIGINT) * 60000000, actor
+  FROM cs WHERE verdict IN ('LEGITIMATE', 'CONFIRMED_FRAUD')
+  UNION ALL
+  SELECT case_id, CASE WHEN recipient_id = 41 THEN 4 ELSE 3 END, verdict, 'CLOSED',
+    created_us + 1800000000, actor
+  FROM cs WHERE verdict IN ('LEGITIMATE', 'CONFIRMED_FRAUD') AND recipient_id < 80),
+fb AS (
+  SELECT case_id * 10 + sequence AS feedback_id, case_id, sequence, verdict, at_us,
+    CASE WHEN recipient_id = 45 THEN 'someone' ELSE actor END AS actor
+  FROM (
+    SELECT case_id, recipient_id, actor, 1 AS sequence, 'NEEDS_INVESTIGATION' AS verdict,
+      created_us + 900000000 AS at_us
+    FROM cs WHERE verdict = 'NEEDS_INVESTIGATION'
+      OR (verdict IN ('LEGITIMATE', 'CONFIRMED_FRAUD') AND recipient_id >= 50)
+    UNION ALL
+    SELECT case_id, recipient_id, actor, CASE WHEN recipient_id >= 50 THEN 2 ELSE 1 END, verdict,
+      created_us + 1200000000 FROM cs WHERE verdict IN ('LEGITIMATE', 'CONFIRMED_FRAUD')
+    UNION ALL
+    SELECT case_id, recipient_id, actor, CASE WHEN recipient_id >= 50 THEN 2 ELSE 1 END + 1,
+      verdict, created_us + 1500000000
+    FROM cs WHERE verdict IN ('LEGITIMATE', 'CONFIRMED_FRAUD') AND recipient_id = 44)),
+st AS (
+  SELECT cs.*, coalesce(t.target, 'OPEN') AS state FROM cs LEFT JOIN (
+    SELECT case_id, arg_max(target, sequence) AS target FROM tr GROUP BY 1) t USING (case_id)),
+lastv AS (SELECT case_id, arg_max(verdict, sequence) AS last_verdict, count(*) AS entries
+  FROM fb GROUP BY 1)"""
+)
+
+OUTBOX = (
+    TX
+    + """, outbox AS (
+  SELECT transaction_id AS event_id, us AS occurred_us, recipient_id // 15 AS attempts,
+    CASE WHEN device_id = 'purchase' THEN us + 60000000 END AS published_us FROM tx),
+dl AS (
+  SELECT transaction_id AS event_id, us + recipient_id * 60000000 AS available_us,
+    CASE WHEN device_id = 'click' THEN us + 2 * 86400000000 END AS lease_us,
+    CASE WHEN device_id = 'purchase' THEN us + 60000000 END AS completed_us,
+    CASE WHEN device_id = 'error' AND recipient_id > 60 THEN us + 120000000 END AS dead_us,
+    CASE WHEN device_id = 'error' AND recipient_id > 60 THEN 'attempts_exhausted' END AS last_error
+  FROM tx)"""
+)

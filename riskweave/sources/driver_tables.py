@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.amounts import amount_text, to_cents
 from riskweave.functions.frames import DAY, MINUTE, micros
+from riskweave.operators import risk
 from riskweave.operators.history import positions
 from riskweave.operators.intake import iso_utc, request_digest
 
@@ -248,3 +249,194 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "customer_id",
         "arrived",
     )
+
+
+def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored evaluations: one per transaction, two for errors; signups abstain."""
+    recipient, kind = F.col("recipient_id"), F.col("device_id")
+    score = F.when(kind != "signup", recipient.cast("double") / 100)
+    first = F.struct(
+        (F.col("transaction_id") * 2).alias("evaluation_id"),
+        (F.col("us") + MINUTE).alias("created_us"),
+    )
+    second = F.struct(
+        (F.col("transaction_id") * 2 + 1).alias("evaluation_id"),
+        (F.col("us") + 60 * MINUTE).alias("created_us"),
+    )
+    each = F.array_compact(F.array(first, F.when(kind == "error", second)))
+    band = risk.level(F.col("score"))
+    return (
+        reviewed(spark, sf_dir)
+        .withColumn("e", F.explode(each))
+        .select("*", "e.*", score.alias("score"))
+        .drop("e")
+        .withColumn("level", band)
+        .select(
+            "evaluation_id",
+            "transaction_id",
+            "customer_id",
+            "currency",
+            "created_us",
+            F.when(F.col("score").isNull(), "INSUFFICIENT_EVIDENCE")
+            .otherwise("SCORED")
+            .alias("status"),
+            F.lit("rules_only").alias("strategy"),
+            "score",
+            "level",
+            risk.action(F.col("level")).alias("suggested_action"),
+            F.when(recipient >= 10, recipient).alias("profile_version"),
+            "recipient_id",
+            "device_id",
+            "verdict",
+            "us",
+        )
+    )
+
+
+def evaluation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluations with their JSON document; some documents disagree with their row."""
+    recipient = F.col("recipient_id")
+    document = F.to_json(
+        F.struct(
+            F.col("currency"),
+            F.col("customer_id").cast("string").alias("customer_id"),
+            (F.col("evaluation_id") + F.when(recipient == 21, 1).otherwise(0))
+            .cast("string")
+            .alias("evaluation_id"),
+            F.struct(
+                F.when(recipient == 22, "HIGH").otherwise(F.col("level")).alias("level"),
+                F.lit(False).alias("operational_action_executed"),
+                F.struct("strategy").alias("policy"),
+                F.lit(False).alias("production_eligible"),
+                F.col("profile_version"),
+                F.when(recipient == 23, F.lit(1.5)).otherwise(F.col("score")).alias("score"),
+                F.col("status"),
+                F.col("suggested_action"),
+                F.col("transaction_id").cast("string").alias("transaction_id"),
+            ).alias("risk"),
+            F.col("transaction_id").cast("string").alias("transaction_id"),
+        )
+    )
+    return evaluations(spark, sf_dir).withColumn("response_json", document)
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One case per transaction that is not a view, opened on its latest evaluation."""
+    latest_one = (F.col("device_id") != "error") | (F.col("evaluation_id") % 2 == 1)
+    return (
+        evaluations(spark, sf_dir)
+        .filter((F.col("device_id") != "view") & latest_one)
+        .select(
+            F.col("evaluation_id").alias("case_id"),
+            "transaction_id",
+            F.col("evaluation_id").alias("assessment_id"),
+            (F.col("created_us") + MINUTE).alias("created_us"),
+            "verdict",
+            "recipient_id",
+            "customer_id",
+            "currency",
+        )
+    )
+
+
+def _actor() -> Column:
+    return F.concat(F.lit("r"), F.floor(F.col("recipient_id") / 10).cast("string"))
+
+
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review moves; cases with certain recipients are broken on purpose."""
+    recipient, opened = F.col("recipient_id"), F.col("created_us")
+    reviewed_case = F.col("verdict").isNotNull()
+    terminal = F.col("verdict").isin("LEGITIMATE", "CONFIRMED_FRAUD")
+
+    def move(sequence: Column, previous: Column, target: Column, minutes: Column) -> Column:
+        return F.struct(
+            sequence.cast("int").alias("sequence"),
+            previous.alias("previous"),
+            target.alias("target"),
+            (opened + minutes.cast("bigint") * MINUTE).alias("at_us"),
+        )
+
+    moves = F.array_compact(
+        F.array(
+            F.when(
+                reviewed_case, move(F.lit(1), F.lit("OPEN"), F.lit("UNDER_REVIEW"), F.lit(10))
+            ),
+            F.when(
+                terminal,
+                move(
+                    F.lit(2),
+                    F.when(recipient == 43, "OPEN").otherwise("UNDER_REVIEW"),
+                    F.col("verdict"),
+                    F.when(recipient == 42, -40).otherwise(20),
+                ),
+            ),
+            F.when(
+                terminal & (recipient < 80),
+                move(
+                    F.when(recipient == 41, 4).otherwise(3),
+                    F.col("verdict"),
+                    F.lit("CLOSED"),
+                    F.lit(30),
+                ),
+            ),
+        )
+    )
+    rows = cases(spark, sf_dir).withColumn("m", F.explode(moves))
+    return rows.select("case_id", "m.*", _actor().alias("actor"))
+
+
+def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyst feedback of reviewed cases; some is broken on purpose."""
+    recipient, opened = F.col("recipient_id"), F.col("created_us")
+    terminal = F.col("verdict").isin("LEGITIMATE", "CONFIRMED_FRAUD")
+    asks = (F.col("verdict") == "NEEDS_INVESTIGATION") | (terminal & (recipient >= 50))
+    place = F.when(recipient >= 50, 2).otherwise(1)
+
+    def said(sequence: Column, verdict: Column, minutes: int) -> Column:
+        return F.struct(
+            sequence.cast("int").alias("sequence"),
+            verdict.alias("verdict"),
+            (opened + minutes * MINUTE).alias("at_us"),
+        )
+
+    entries = F.array_compact(
+        F.array(
+            F.when(asks, said(F.lit(1), F.lit("NEEDS_INVESTIGATION"), 15)),
+            F.when(terminal, said(place, F.col("verdict"), 20)),
+            F.when(terminal & (recipient == 44), said(place + 1, F.col("verdict"), 25)),
+        )
+    )
+    rows = cases(spark, sf_dir).withColumn("f", F.explode(entries))
+    return rows.select(
+        (F.col("case_id") * 10 + F.col("f.sequence")).alias("feedback_id"),
+        "case_id",
+        "f.*",
+        F.when(recipient == 45, "someone").otherwise(_actor()).alias("actor"),
+    )
+
+
+def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One domain event per transaction, some already published."""
+    recipient = F.col("recipient_id")
+    return transactions(spark, sf_dir).select(
+        F.col("transaction_id").alias("event_id"),
+        F.lit("TRANSACTION_RECEIVED").alias("event_type"),
+        F.col("us").alias("occurred_us"),
+        F.floor(recipient / 15).cast("int").alias("attempts"),
+        F.when(F.col("device_id") == "purchase", F.col("us") + MINUTE).alias("published_us"),
+    )
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recipient, us = F.col("recipient_id"), F.col("us")
+    return transactions(spark, sf_dir).select(
+        F.col("transaction_id").alias("event_id"),
+        (us + recipient * MINUTE).alias("available_us"),
+        F.when(F.col("device_id") == "click", us + 2 * DAY).alias("lease_us"),
+        F.when(F.col("device_id") == "purchase", us + MINUTE).alias("completed_us"),
+        F.when((F.col("device_id") == "error") & (recipient > 60), us + 2 * MINUTE).alias("dead_us"),
+        F.when(
+            (F.col("device_id") == "error") & (recipient > 60), "attempts_exhausted"
+        ).alias("last_error"),
+    )
