@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.plans import activity, intake, profiles, reviews, scoring  # noqa: F401
+from riskweave.plans import activity, intake, learning, profiles, reviews, scoring  # noqa: F401
 from riskweave.plans.registry import ORACLES, PLANS, Plan
 
 
