@@ -9,7 +9,6 @@ only; activity features see every row.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from riskweave.functions import amounts
 from riskweave.functions.frames import (
@@ -82,8 +81,12 @@ def with_device_history(frame: DataFrame) -> DataFrame:
     ).drop("_low", "_high", "_at", "_same")
 
 
+# Whole-key aggregate: when the first baseline of a key came into being.
+PROFILE_SINCE = {"profile_since": "min(admitted_us)"}
+
+
 def baseline_frame(tx: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
-    return history_frame(tx, limit, {"profile_since": F.min("admitted_us")})
+    return history_frame(tx, limit, PROFILE_SINCE)
 
 
 def with_baseline(frame: DataFrame, long_days: int = 180, short_days: int = 30) -> DataFrame:

@@ -28,10 +28,10 @@ GROUP = (*KEYS, "chunk")
 
 
 def long_histories(
-    rows: DataFrame, limit: int = HISTORY_LIMIT, extras: dict[str, Column] | None = None
+    rows: DataFrame, limit: int = HISTORY_LIMIT, extras: dict[str, str] | None = None
 ) -> DataFrame:
     """Keys with more than ``limit`` rows, with their row count and extra aggregates."""
-    aggregates = [value.alias(name) for name, value in (extras or {}).items()]
+    aggregates = [F.expr(value).alias(name) for name, value in (extras or {}).items()]
     return (
         rows.groupBy(*KEYS)
         .agg(F.count(F.lit(1)).alias("key_rows"), *aggregates)
@@ -40,7 +40,7 @@ def long_histories(
 
 
 def split_by_length(
-    rows: DataFrame, limit: int = HISTORY_LIMIT, extras: dict[str, Column] | None = None
+    rows: DataFrame, limit: int = HISTORY_LIMIT, extras: dict[str, str] | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """(rows of short keys, rows of long keys with ``key_rows`` and extras, or None)."""
     longer = long_histories(rows, limit, extras)
@@ -113,7 +113,7 @@ def _chunked(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def history_frame(
-    rows: DataFrame, depth: int = HISTORY_LIMIT, extras: dict[str, Column] | None = None
+    rows: DataFrame, depth: int = HISTORY_LIMIT, extras: dict[str, str] | None = None
 ) -> DataFrame:
     """Rows with ``chunk``, ``is_candidate`` and ``is_history``, shuffled once by :data:`GROUP`.
 
@@ -135,11 +135,13 @@ def history_frame(
     return framed.withColumns(_whole_key(extras, long is not None)) if extras else framed
 
 
-def _whole_key(extras: dict[str, Column], partly: bool) -> dict[str, Column]:
+def _whole_key(extras: dict[str, str], partly: bool) -> dict[str, Column]:
     """Short keys are whole inside their group; long keys brought their aggregates along."""
     key = Window.partitionBy(*GROUP)
     return {
-        name: F.coalesce(F.col(name), value.over(key)) if partly else value.over(key)
+        name: F.coalesce(F.col(name), F.expr(value).over(key))
+        if partly
+        else F.expr(value).over(key)
         for name, value in extras.items()
     }
 

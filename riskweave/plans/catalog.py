@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from riskweave.plans import activity, intake, learning, profiles, reviews, scoring  # noqa: F401
+from riskweave.plans import (  # noqa: F401
+    activity,
+    datasets,
+    intake,
+    learning,
+    profiles,
+    reviews,
+    scoring,
+)
 from riskweave.plans.registry import ORACLES, PLANS, Plan
 
 
