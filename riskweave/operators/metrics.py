@@ -91,7 +91,7 @@ def ranking(scored: DataFrame, single_task: int = SINGLE_TASK_SCORES) -> DataFra
         F.sum("pos").alias("positives"),
         F.sum("neg").alias("negatives"),
         F.sum(wide).alias("_pairs2"),
-        F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_steps"),
+        F.sum(F.col("pos").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_steps"),
     )
     positives, negatives = (F.col(c).cast("double") for c in ("positives", "negatives"))
     return totals.select(

@@ -10,6 +10,7 @@ from riskweave.plans import (  # noqa: F401
     profiles,
     reviews,
     scoring,
+    streams,
 )
 from riskweave.plans.registry import ORACLES, PLANS, Plan
 

@@ -58,7 +58,10 @@ def _choose(column: Column, mapping: dict[str, str]) -> Column:
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fast activity: one row per event."""
-    events = table(spark, sf_dir, "events")
+    return as_transactions(table(spark, sf_dir, "events"))
+
+
+def as_transactions(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id").alias("transaction_id"),
         F.col("user_id").alias("customer_id"),
