@@ -1,7 +1,9 @@
 """Per-customer state over a transaction stream.
 
 State is bounded by the history contract: at most HISTORY_LIMIT + 1 prior rows per customer and
-currency are ever needed, and they expire after 180 days.
+currency are ever needed. A continuous query can also expire idle customers (``expire=True``). That
+needs processing-time triggers, which never end by themselves, so a run over "what is available now"
+leaves it off.
 """
 
 from __future__ import annotations
@@ -39,12 +41,12 @@ def _count(instants: list[int], us: int, span: int) -> int:
 class ActivityProcessor(StatefulProcessor):
     """Activity features at arrival. A late row is marked, and changes no earlier result."""
 
-    def __init__(self, limit: int = HISTORY_LIMIT) -> None:
-        self.limit = limit
+    def __init__(self, limit: int = HISTORY_LIMIT, ttl_ms: int | None = None) -> None:
+        self.limit, self.ttl_ms = limit, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rows = handle.getListState(
-            "rows", "us bigint, recipient bigint, device string", ttlDurationMs=TTL_MS
+            "rows", "us bigint, recipient bigint, device string", ttlDurationMs=self.ttl_ms
         )
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
@@ -91,11 +93,14 @@ class ActivityProcessor(StatefulProcessor):
 class GateProcessor(StatefulProcessor):
     """The profile-update gate over a stream of reviewed transactions, in time order per key."""
 
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.trusted = handle.getListState(
-            "trusted", "us bigint, cents bigint", ttlDurationMs=TTL_MS
+            "trusted", "us bigint, cents bigint", ttlDurationMs=self.ttl_ms
         )
-        self.clock = handle.getValueState("clock", "us bigint", ttlDurationMs=TTL_MS)
+        self.clock = handle.getValueState("clock", "us bigint", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         window = TrustedWindow()
@@ -130,19 +135,24 @@ class GateProcessor(StatefulProcessor):
         pass
 
 
-def _apply(stream: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+def _apply(
+    stream: DataFrame, processor: StatefulProcessor, schema: str, expire: bool
+) -> DataFrame:
     types = dict(stream.dtypes)
     return stream.groupBy(*KEYS).transformWithState(
         statefulProcessor=processor,
         outputStructType=schema.format(id=types["transaction_id"], customer=types["customer_id"]),
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="ProcessingTime" if expire else "None",
     )
 
 
-def live_activity(stream: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
-    return _apply(stream, ActivityProcessor(limit), ACTIVITY_SCHEMA)
+def live_activity(
+    stream: DataFrame, limit: int = HISTORY_LIMIT, expire: bool = False
+) -> DataFrame:
+    processor = ActivityProcessor(limit, TTL_MS if expire else None)
+    return _apply(stream, processor, ACTIVITY_SCHEMA, expire)
 
 
-def live_gate(stream: DataFrame) -> DataFrame:
-    return _apply(stream, GateProcessor(), GATE_SCHEMA)
+def live_gate(stream: DataFrame, expire: bool = False) -> DataFrame:
+    return _apply(stream, GateProcessor(TTL_MS if expire else None), GATE_SCHEMA, expire)
