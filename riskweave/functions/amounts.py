@@ -43,5 +43,10 @@ def p95(ordered: str) -> str:
     return f"get({ordered}, int({nearest_rank(f'size({ordered})')}) - 1)"
 
 
+def nonzero(value: str) -> str:
+    """As a floating-point base; NULL when zero, which sums of valid amounts never are."""
+    return f"nullif(CAST({value} AS DOUBLE), 0D)"
+
+
 def ratio(numerator: str, denominator: str) -> str:
-    return f"CAST({numerator} AS DOUBLE) / CAST({denominator} AS DOUBLE)"
+    return f"CAST({numerator} AS DOUBLE) / {nonzero(denominator)}"

@@ -167,7 +167,7 @@ BASELINE_FEATURES = {
     "short_history_count": "CAST(n_short AS DOUBLE)",
     "amount_vs_customer_median": _when_enough(amounts.ratio("cents * 2", "median2_long")),
     "amount_vs_customer_mean": _when_enough(
-        "CAST(cents AS DOUBLE) * n_long / CAST(sum_long AS DOUBLE)"
+        f"CAST(cents AS DOUBLE) * n_long / {amounts.nonzero('sum_long')}"
     ),
     "robust_amount_deviation": _when_enough(
         amounts.ratio("abs(cents * 2 - median2_long) * 2", "greatest(mad4_long, 4)")

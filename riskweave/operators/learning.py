@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,26 +105,48 @@ class TrustedWindow:
         return reason, n, median2
 
 
-FOLDED = "transaction_id, customer_id, currency, us, reason, n_trusted, median2_trusted"
-
-
-def _fold_key(rows: pd.DataFrame) -> pd.DataFrame:
-    """One key of at most HISTORY_LIMIT rows, in order of time and id."""
-    rows = rows.assign(_id=rows.transaction_id.astype(str)).sort_values(["us", "_id"])
-    window, out = TrustedWindow(), []
-    for us, cents, verdict, seed in zip(rows.us, rows.cents, rows.verdict, rows.is_seed):
-        verdict = verdict if isinstance(verdict, str) else None
-        reason, n, median2 = window.decide(us, cents, verdict)
-        if seed:
-            reason = "TRUSTED_REVIEWED_BOOTSTRAP"
-        if seed or reason == "CONFIRMED_ORDINARY_ACTIVITY":
-            window.admit(us, cents)
-        out.append((reason, n, median2))
-    result = rows[["transaction_id", "customer_id", "currency", "us"]].copy()
-    result["reason"] = [r for r, _, _ in out]
-    result["n_trusted"] = [n for _, n, _ in out]
-    result["median2_trusted"] = pd.array([m for _, _, m in out], dtype="Int64")
-    return result
+FOLDED = "transaction_id, customer_id, currency, us, reason, n_trusted, median2_trusted, version_after"
+ADMITTING = ("TRUSTED_REVIEWED_BOOTSTRAP", "CONFIRMED_ORDINARY_ACTIVITY")
+
+
+def _fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive sorted by key, time and id; only the trusted window of one key is held."""
+    key, window, version = None, TrustedWindow(), 0
+    for batch in batches:
+        rows = batch.to_pydict()
+        reasons, counts, medians, versions = [], [], [], []
+        for customer, currency, us, cents, verdict, seed in zip(
+            rows["customer_id"],
+            rows["currency"],
+            rows["us"],
+            rows["cents"],
+            rows["verdict"],
+            rows["is_seed"],
+            strict=True,
+        ):
+            if key != (customer, currency):
+                key, window, version = (customer, currency), TrustedWindow(), 0
+            reason, n, median2 = window.decide(us, cents, verdict)
+            if seed:
+                reason, version = "TRUSTED_REVIEWED_BOOTSTRAP", 1
+            if reason in ADMITTING:
+                window.admit(us, cents)
+                version += not seed
+            reasons.append(reason)
+            counts.append(n)
+            medians.append(median2)
+            versions.append(version)
+        kept = [batch.column(c) for c in ("transaction_id", "customer_id", "currency", "us")]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *kept,
+                pa.array(reasons, pa.string()),
+                pa.array(counts, pa.int64()),
+                pa.array(medians, pa.int64()),
+                pa.array(versions, pa.int64()),
+            ],
+            names=FOLDED.split(", "),
+        )
 
 
 def _reason_over_window(rows: DataFrame, limit: int) -> DataFrame:
@@ -162,7 +185,7 @@ def _fold_long(rows: DataFrame, limit: int) -> DataFrame:
     while True:
         decided = _reason_over_window(state, limit).checkpoint()
         if decided.filter(f"trusted <> ({trusted})").isEmpty():
-            return decided.selectExpr(*FOLDED.split(", "))
+            return _with_versions(decided).selectExpr(*FOLDED.split(", "))
         state = decided.withColumn("trusted", F.expr(trusted)).select(*state.columns)
 
 
@@ -170,7 +193,7 @@ def gate_fold(rows: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     """Decides rows in order; an accepted row becomes part of the baseline of the next.
 
     Rows carry ``transaction_id, customer_id, currency, us, cents, verdict, is_seed``. Seeds are the
-    bootstrap observations. Keys of bounded length are folded in one grouped pass.
+    bootstrap observations. Keys of bounded length are folded in one sorted pass over each partition.
     """
     names = ("transaction_id", *KEYS, "us", "cents", "verdict", "is_seed")
     rows = rows.select(*names)
@@ -179,7 +202,10 @@ def gate_fold(rows: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
         f"{c} {types.get(c, {'reason': 'string'}.get(c, 'bigint'))}" for c in FOLDED.split(", ")
     )
     short, long = split_by_length(rows, limit)
-    folded = short.groupBy(*KEYS).applyInPandas(_fold_key, schema)
+    ordered = short.repartition(*KEYS).sortWithinPartitions(
+        *KEYS, "us", F.col("transaction_id").cast("string")
+    )
+    folded = ordered.mapInArrow(_fold_sorted, schema)
     if long is not None:
         more = _fold_long(long.select(*names), limit)
         folded = folded.unionByName(more.select(*folded.columns))
@@ -187,7 +213,7 @@ def gate_fold(rows: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     return add(folded, action=f"CASE WHEN {seed} THEN '{ACCEPT}' ELSE {gate_action('reason')} END")
 
 
-def with_versions(folded: DataFrame) -> DataFrame:
+def _with_versions(folded: DataFrame) -> DataFrame:
     """Adds ``version_after``: one for the bootstrap, one more for every later acceptance."""
     accepted = "CASE WHEN reason = 'CONFIRMED_ORDINARY_ACTIVITY' THEN 1 ELSE 0 END"
     seeded = "CASE WHEN reason = 'TRUSTED_REVIEWED_BOOTSTRAP' THEN 1 ELSE 0 END"

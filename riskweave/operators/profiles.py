@@ -91,6 +91,44 @@ def amount_statistics(rows: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     return result.unionByName(_from_histogram(long).select(*result.columns))
 
 
+def window_statistics(
+    observations: DataFrame, as_of_us: int, windows: dict[str, int], limit: int = HISTORY_LIMIT
+) -> DataFrame:
+    """Exact statistics of several windows ending at one cutoff, as ``<name>_<statistic>`` columns.
+
+    Keys of bounded size are gathered once for all windows, in one shuffle.
+    """
+    rows = in_window(observations, as_of_us, max(windows.values()))
+    short, long = split_by_length(rows, limit)
+    aggregates = []
+    for name, days in windows.items():
+        inside = f"CASE WHEN us > {as_of_us - days * DAY} THEN cents END"
+        aggregates += [
+            F.expr(f"count({inside})").alias(f"{name}_n"),
+            F.expr(f"sum(CAST({inside} AS DECIMAL(18, 0)))").alias(f"{name}_sum_cents"),
+            F.expr(f"sort_array(collect_list({inside}))").alias(f"_{name}"),
+        ]
+    result = short.groupBy(*KEYS).agg(*aggregates)
+    for name in windows:
+        column = f"_{name}"
+        result = add(
+            result,
+            **{f"{name}_median2": amounts.median2(column), f"{name}_p95": amounts.p95(column)},
+        )
+        result = add(result, **{f"{name}_mad4": amounts.mad4(column, f"{name}_median2")})
+    result = result.drop(*(f"_{name}" for name in windows))
+    if long is None:
+        return result
+    parts = []
+    for name, days in windows.items():
+        stats = _from_histogram(in_window(long.drop("key_rows"), as_of_us, days))
+        renamed = [F.col(c).alias(f"{name}_{c}") for c in stats.columns if c not in KEYS]
+        parts.append(stats.select(*KEYS, *renamed))
+    joined = reduce(lambda left, right: left.join(right, KEY_LIST, "full"), parts)
+    joined = joined.fillna(0, subset=[f"{name}_n" for name in windows])
+    return result.unionByName(joined.select(*result.columns))
+
+
 # --- descriptive windows ------------------------------------------------------------------------
 
 
@@ -194,15 +232,12 @@ def profile_view(
         .filter("admitted_version <= version")
         .drop("version", "as_of_us")
     )
-    windows = []
-    for name, days in (("long", long_days), ("short", short_days)):
-        stats = amount_statistics(in_window(visible, as_of_us, days))
-        renamed = [F.col(c).alias(f"{name}_{c}") for c in stats.columns if c not in KEYS]
-        windows.append(stats.select(*KEYS, *renamed))
-    view = customers.withColumn("currency", F.lit(currency)).join(
-        head.select(*KEYS, "version", "as_of_us"), KEY_LIST, "left"
+    stats = window_statistics(visible, as_of_us, {"long": long_days, "short": short_days})
+    view = (
+        customers.withColumn("currency", F.lit(currency))
+        .join(head.select(*KEYS, "version", "as_of_us"), KEY_LIST, "left")
+        .join(stats, KEY_LIST, "left")
     )
-    view = reduce(lambda left, right: left.join(right, KEY_LIST, "left"), windows, view)
     view = view.fillna(0, subset=["long_n", "short_n"])
     unavailable = F.coalesce(F.col("as_of_us") > as_of_us, F.lit(False))
     return add(view, status=baseline_status("long_n", "version")).withColumn(

@@ -77,7 +77,7 @@ FOLD_COLUMNS = (
 def _fold(spark, sf, limit):
     checkpoint_root(spark)
     rows = learning.first_legitimate(d.reviewed(spark, sf))
-    return learning.with_versions(learning.gate_fold(rows, limit)).select(*FOLD_COLUMNS)
+    return learning.gate_fold(rows, limit).select(*FOLD_COLUMNS)
 
 
 @query("q_gate_fold", FOLD_SQL)
@@ -108,7 +108,7 @@ def gate_fold_long_keys(spark, sf):
         "verdict", F.when(~F.col("history_limit_exceeded"), F.col("verdict"))
     )
     folded = learning.gate_fold(learning.first_legitimate(rows), limit)
-    return learning.with_versions(folded).select(*FOLD_COLUMNS)
+    return folded.select(*FOLD_COLUMNS)
 
 
 TERMINAL = f"""{o.REVIEWS}, ter AS (
