@@ -77,81 +77,87 @@ def idempotent_intake(
     """Adds ``outcome``: ACCEPT, REPLAY, CONFLICT, UNKNOWN_CUSTOMER or DUPLICATE_TRANSACTION.
 
     Requests carry ``request_id, principal, key, digest, transaction_id, customer_id, arrived``.
-    One is accepted when no earlier accepted request holds its (principal, key) or its transaction.
-    A rejected request holds nothing, so acceptance is settled in rounds: the earliest open request
-    of both its key and its transaction wins, and everything it blocks is settled with it. Each
-    round is two partial aggregations and their joins; a chain of rejections adds rounds.
+    The key is looked at first, then the customer, then the transaction; only an accepted request
+    holds its key and its transaction. Requests are settled in rounds: the earliest live request of
+    both its key and its transaction wins. One that can no longer be accepted is doomed: it holds
+    nothing, and waits only to learn whether an earlier request takes its key. Each round is two
+    partial aggregations and their joins; a chain of rejections adds rounds.
 
     Existing records are (principal, key, digest, transaction_id).
     """
     known = customers.select("customer_id").distinct().withColumn("known", F.lit(True))
-    state = requests.join(known, "customer_id", "left").withColumn(
-        "order", F.struct("arrived", "request_id")
-    )
-    if existing is not None:
-        by_key = existing.select("principal", "key", F.col("digest").alias("key_digest"))
-        by_tx = existing.select("transaction_id").distinct().withColumn("tx_taken", F.lit(True))
+    state = requests.join(known, "customer_id", "left")
+    none = F.lit(None).cast("string")
+    unknown = F.when(F.col("known").isNull(), "UNKNOWN_CUSTOMER")
+    if existing is None:
+        state = state.withColumns({"outcome": none, "doomed": unknown})
+    else:
+        by_key = existing.select("principal", "key", F.col("digest").alias("_held"))
+        by_tx = existing.select("transaction_id").distinct().withColumn("_taken", F.lit(True))
         state = state.join(by_key, ["principal", "key"], "left").join(
             by_tx, "transaction_id", "left"
         )
-    else:
         state = state.withColumns(
-            {"key_digest": F.lit(None).cast("string"), "tx_taken": F.lit(None).cast("boolean")}
+            {
+                "outcome": F.when(F.col("_held").isNotNull(), _key_outcome("_held")),
+                "doomed": F.coalesce(
+                    unknown, F.when(F.col("_taken"), F.lit("DUPLICATE_TRANSACTION"))
+                ),
+            }
         )
-    state = state.withColumn("outcome", _settle())
-    settled = []
-    open_rows = state.filter("outcome IS NULL")
-    settled.append(state.filter("outcome IS NOT NULL"))
+    state = state.select(*requests.columns, "outcome", "doomed")
+    settled = [state.filter("outcome IS NOT NULL")]
+    live = state.filter("outcome IS NULL")
     while True:
-        open_rows, done, blocked = _round(open_rows)
+        done, live = _round(live)
         settled.append(done)
-        if not blocked:
+        if live.isEmpty():
             break
     result = reduce(lambda a, b: a.unionByName(b), settled)
     return result.select(*requests.columns, "outcome")
 
 
-def _settle() -> Column:
-    return (
-        F.when(F.col("key_digest") == F.col("digest"), "REPLAY")
-        .when(F.col("key_digest").isNotNull(), "CONFLICT")
-        .when(F.col("known").isNull(), "UNKNOWN_CUSTOMER")
-        .when(F.col("tx_taken"), "DUPLICATE_TRANSACTION")
-    )
+def _key_outcome(held: str) -> Column:
+    return F.when(F.col(held) == F.col("digest"), "REPLAY").otherwise("CONFLICT")
 
 
-def _round(rows: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """One round over open requests: (still open, settled, whether any stay open)."""
-    first_key = rows.groupBy("principal", "key").agg(
-        F.min(F.struct("arrived", "request_id", "digest")).alias("k")
+def _round(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round over unsettled requests: (settled now, still unsettled)."""
+    columns = rows.columns
+    order = F.struct("arrived", "request_id")
+    live = rows.filter("doomed IS NULL")
+    first_key = live.groupBy("principal", "key").agg(
+        F.min(F.struct("arrived", "request_id", "digest")).alias("_k")
     )
-    first_tx = rows.groupBy("transaction_id").agg(
-        F.min(F.struct("arrived", "request_id")).alias("t")
+    first_tx = live.groupBy("transaction_id").agg(F.min(order).alias("_t"))
+    first = F.struct("_k.arrived", "_k.request_id")
+    marked = (
+        rows.join(first_key, ["principal", "key"], "left")
+        .join(first_tx, "transaction_id", "left")
+        .withColumn(
+            "_wins",
+            F.col("doomed").isNull() & (first == order) & (F.col("_t") == order),
+        )
+        .withColumn("_earlier", F.col("_k").isNotNull() & (first < order))
+        .checkpoint()
     )
-    marked = rows.join(first_key, ["principal", "key"]).join(first_tx, "transaction_id")
-    marked = marked.withColumn(
-        "wins",
-        (F.col("k.request_id") == F.col("request_id"))
-        & (F.col("t.request_id") == F.col("request_id")),
-    ).checkpoint()
-    winners = marked.filter("wins")
-    key_held = winners.select("principal", "key", F.col("digest").alias("held_digest"))
-    tx_held = winners.select("transaction_id", F.lit(True).alias("held_tx"))
+    winners = marked.filter("_wins")
+    key_held = winners.select("principal", "key", F.col("digest").alias("_held"))
+    tx_held = winners.select("transaction_id", F.lit(True).alias("_taken"))
+    doomed = F.coalesce("doomed", F.when(F.col("_taken"), F.lit("DUPLICATE_TRANSACTION")))
     rest = (
-        marked.filter("NOT wins")
+        marked.filter("NOT _wins")
         .join(key_held, ["principal", "key"], "left")
         .join(tx_held, "transaction_id", "left")
+        .withColumn("doomed", doomed)
         .withColumn(
             "outcome",
-            F.when(F.col("held_digest") == F.col("digest"), "REPLAY")
-            .when(F.col("held_digest").isNotNull(), "CONFLICT")
-            .when(F.col("held_tx"), "DUPLICATE_TRANSACTION"),
+            F.when(F.col("_held").isNotNull() & F.col("_earlier"), _key_outcome("_held")).when(
+                ~F.col("_earlier"), F.col("doomed")
+            ),
         )
+        .select(*columns)
         .checkpoint()
     )
-    columns = rows.columns
-    done = winners.withColumn("outcome", F.lit("ACCEPT")).select(*columns).unionByName(
-        rest.filter("outcome IS NOT NULL").select(*columns)
-    )
-    still = rest.filter("outcome IS NULL").select(*columns)
-    return still, done, not still.isEmpty()
+    done = winners.withColumn("outcome", F.lit("ACCEPT")).select(*columns)
+    return done.unionByName(rest.filter("outcome IS NOT NULL")), rest.filter("outcome IS NULL")
