@@ -117,9 +117,9 @@ def class_weights(rows: DataFrame) -> DataFrame:
     return counts.select(
         "n",
         "positives",
-        (n / (positives * 2)).alias("positive_weight"),
-        (n / ((n - positives) * 2)).alias("negative_weight"),
-        ((n - positives) / positives).alias("negatives_per_positive"),
+        F.try_divide(n, positives * 2).alias("positive_weight"),
+        F.try_divide(n, (n - positives) * 2).alias("negative_weight"),
+        F.try_divide(n - positives, positives).alias("negatives_per_positive"),
     )
 
 

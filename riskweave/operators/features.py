@@ -62,23 +62,29 @@ def with_recipient_history(frame: DataFrame) -> DataFrame:
     )
 
 
-def with_device_history(frame: DataFrame) -> DataFrame:
-    """Device at the last earlier instant when it is the only one there, and same-device recency."""
+def with_last_device(frame: DataFrame) -> DataFrame:
+    """Device at the last earlier instant, when it is the only one there."""
     instant = f"OVER (PARTITION BY {', '.join(GROUP)}, us)"
     device = "CASE WHEN is_history THEN device_id END"
     frame = add(frame, _low=f"min({device}) {instant}", _high=f"max({device}) {instant}")
     at_last = "named_struct('us', us, 'device', CASE WHEN _low = _high THEN _low END)"
     frame = add(
-        frame,
-        _at=f"last(CASE WHEN is_history THEN {at_last} END, true) {before(*GROUP)}",
-        _same=f"max(CASE WHEN is_history THEN us END) {before(*GROUP, 'device_id')}",
+        frame, _at=f"last(CASE WHEN is_history THEN {at_last} END, true) {before(*GROUP)}"
     )
-    cutoff = f"us - {ACTIVITY_SPAN}"
     return add(
-        frame,
-        last_device=f"CASE WHEN _at.us > {cutoff} THEN _at.device END",
-        device_seen=f"coalesce(_same > {cutoff}, false)",
-    ).drop("_low", "_high", "_at", "_same")
+        frame, last_device=f"CASE WHEN _at.us > us - {ACTIVITY_SPAN} THEN _at.device END"
+    ).drop("_low", "_high", "_at")
+
+
+def with_device_recency(frame: DataFrame) -> DataFrame:
+    """Whether the candidate's device occurs in its activity."""
+    latest = f"max(CASE WHEN is_history THEN us END) {before(*GROUP, 'device_id')}"
+    frame = add(frame, _same=latest)
+    return add(frame, device_seen=f"coalesce(_same > us - {ACTIVITY_SPAN}, false)").drop("_same")
+
+
+def with_device_history(frame: DataFrame) -> DataFrame:
+    return with_device_recency(with_last_device(frame))
 
 
 # Whole-key aggregate: when the first baseline of a key came into being.
@@ -110,9 +116,10 @@ def with_baseline(frame: DataFrame, long_days: int = 180, short_days: int = 30)
         _short=f"collect_list(_cents) {prior(short_days * DAY, *GROUP)}",
         sum_long=prior_sum("_cents", span, *GROUP),
         hour_counts=f"array({', '.join(by_hour)})",
-        n_known_recipient=prior_count("_cents IS NOT NULL", span, *GROUP, "recipient_id"),
     )
-    return _order_statistics(frame.drop("_cents"))
+    frame = _order_statistics(frame)
+    known = prior_count("_cents IS NOT NULL", span, *GROUP, "recipient_id")
+    return add(frame, n_known_recipient=known).drop("_cents")
 
 
 def _order_statistics(frame: DataFrame) -> DataFrame:
@@ -254,10 +261,9 @@ def behavior_v1(
 
     ``keep`` names more columns to pass through (intermediate statistics included).
     """
-    frame = baseline_frame(tx, limit)
-    frame = with_device_history(with_velocity(frame))
-    frame = with_recipient_history(frame)
+    frame = with_last_device(with_velocity(baseline_frame(tx, limit)))
     frame = with_baseline(frame, long_days, short_days)
+    frame = with_device_recency(with_recipient_history(frame))
     return vector(candidates(frame), limit, keep)
 
 

@@ -11,7 +11,8 @@ Keys with at most ``limit`` rows are one chunk and need no positions at all. How
 there are is counted first; their table is broadcast only when that count is small.
 
 All windows of a frame partition by (customer_id, currency, chunk [, one more column]), so the one
-shuffle done here serves every one of them.
+shuffle serves every one of them. Windows of the same order are applied next to each other: one sort
+for the group, one for its recipients and one for its devices.
 """
 
 from __future__ import annotations
@@ -130,14 +131,16 @@ def history_frame(
         missing = {name: F.lit(None) for name in extras}
         whole = whole.withColumns(missing) if extras else whole
         whole = whole.unionByName(chunks.select(*whole.columns))
-    # One chunk per key needs no chunk number in the shuffle key.
-    framed = whole.repartition(*(KEYS if long is None else GROUP))
+    # With one chunk per key the first window's own shuffle serves all others.
+    framed = whole if long is None else whole.repartition(*GROUP)
     return framed.withColumns(_whole_key(extras, long is not None)) if extras else framed
 
 
 def _whole_key(extras: dict[str, str], partly: bool) -> dict[str, Column]:
     """Short keys are whole inside their group; long keys brought their aggregates along."""
-    key = Window.partitionBy(*GROUP)
+    # Ordered like every other window of the group, so that it shares their sort.
+    both = (Window.unboundedPreceding, Window.unboundedFollowing)
+    key = Window.partitionBy(*GROUP).orderBy("us").rowsBetween(*both)
     return {
         name: F.coalesce(F.col(name), F.expr(value).over(key))
         if partly

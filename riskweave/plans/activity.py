@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from riskweave.operators import features, history
+from riskweave.operators import features
 from riskweave.plans import oracle as o
 from riskweave.plans.registry import query
+from riskweave.schemas import FEATURE_NAMES
 from riskweave.sources import driver_tables as d
 
-IDS = ("transaction_id", "customer_id", "currency", "us")
-
-
 @query(
     "q_tx_scan",
     f"""WITH {o.TX} SELECT transaction_id, customer_id, currency, us, cents, recipient_id,
@@ -59,3 +55,39 @@ def velocity_slow(spark, sf):
 )
 def behavior(spark, sf):
     return features.behavior_v1(d.admitted(spark, sf))
+
+
+LIMITED = 60
+
+
+@query(
+    "q_history_limit",
+    f"""WITH {o.TX}, a AS (SELECT *, {o.ACTIVITY_COLUMNS} FROM tx)
+    SELECT transaction_id, na > {LIMITED} AS history_limit_exceeded,
+      CASE WHEN na <= {LIMITED} THEN n60 END AS transactions_last_hour,
+      CASE WHEN na <= {LIMITED} THEN na END AS activity_history_count FROM a""",
+)
+def history_limit(spark, sf):
+    """A low limit: most keys are long and go through chunks, and refusals occur."""
+    rows = features.velocity(d.transactions(spark, sf), LIMITED)
+    return rows.select(
+        "transaction_id",
+        "history_limit_exceeded",
+        "transactions_last_hour",
+        "activity_history_count",
+    )
+
+
+def _limited(name: str) -> str:
+    return f"CASE WHEN na <= {LIMITED} THEN {name} END AS {name}"
+
+
+@query(
+    "q_features_limited",
+    f"""WITH {o.FEATURES}
+    SELECT transaction_id, na > {LIMITED} AS history_limit_exceeded,
+      {", ".join(_limited(name) for name in FEATURE_NAMES)} FROM f""",
+)
+def features_limited(spark, sf):
+    rows = features.behavior_v1(d.admitted(spark, sf), limit=LIMITED)
+    return rows.select("transaction_id", "history_limit_exceeded", *FEATURE_NAMES)

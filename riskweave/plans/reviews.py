@@ -9,6 +9,7 @@ from riskweave.plans import oracle as o
 from riskweave.plans.registry import query
 from riskweave.schemas import EVALUATION_DOCUMENT
 from riskweave.sources import driver_tables as d
+from riskweave.sources import sinks
 
 # "Now" of the console and the delivery queue: 2024-01-25T12:00Z.
 NOW = 1_706_184_000_000_000
@@ -464,3 +465,55 @@ def receipts_dedup(spark, sf):
     return delivery.new_receipts(
         seen.unionByName(again), events.filter("published_us IS NOT NULL")
     )
+
+
+# --- consistency of stored results --------------------------------------------------------------
+
+
+@query(
+    "q_level_action_check",
+    f"""WITH {o.REVIEWS} SELECT evaluation_id FROM ev
+    WHERE level IS NOT NULL AND recipient_id IN (24, 25) AND level <> 'HIGH'""",
+)
+def level_action_check(spark, sf):
+    rows = d.evaluations(spark, sf).filter("level IS NOT NULL")
+    shown = F.when(F.col("recipient_id").isin(24, 25), "HOLD_AND_REVIEW").otherwise(
+        F.col("suggested_action")
+    )
+    return rows.filter(validate.level_action_broken(F.col("level"), shown)).select("evaluation_id")
+
+
+@query(
+    "q_score_domain",
+    f"""WITH {o.REVIEWS} SELECT evaluation_id FROM ev WHERE score IS NULL OR score > 0.98""",
+)
+def score_domain(spark, sf):
+    shown = F.when(F.col("score") > 0.98, F.col("score") + 1).otherwise(F.col("score"))
+    return d.evaluations(spark, sf).filter(validate.score_broken(shown)).select("evaluation_id")
+
+
+@query(
+    "q_evidence_documents",
+    f"""WITH {o.REVIEWS}, t AS (SELECT evaluation_id, '{{"evaluation_id":' || evaluation_id ||
+        ',"level":' || coalesce('"' || level || '"', 'null') ||
+        ',"status":"' || status || '","transaction_id":' || transaction_id || '}}' AS document
+      FROM ev)
+    SELECT evaluation_id, document, sha256(document) AS sha256 FROM t""",
+)
+def evidence_documents(spark, sf):
+    rows = d.evaluations(spark, sf).select("evaluation_id", "transaction_id", "level", "status")
+    return sinks.evidence_documents(rows, "evaluation_id")
+
+
+@query(
+    "q_domain_events",
+    f"""WITH {o.REVIEWS} SELECT 'RISK_EVALUATED' AS event_type,
+      CAST(transaction_id AS VARCHAR) AS aggregate_id, created_us AS occurred_us,
+      1 AS schema_version, count(*) AS n FROM ev GROUP BY 1, 2, 3, 4""",
+)
+def domain_events(spark, sf):
+    rows = d.evaluations(spark, sf).select("evaluation_id", "transaction_id", "created_us")
+    events = sinks.domain_events(rows, "RISK_EVALUATED", "transaction_id", "created_us")
+    return events.groupBy("event_type", "aggregate_id", "occurred_us", "schema_version").agg(
+        F.count_distinct("event_id").alias("n")
+    )
