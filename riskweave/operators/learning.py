@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -178,15 +179,26 @@ def _fold_long(rows: DataFrame, limit: int) -> DataFrame:
 
     A decision depends only on earlier decisions, so the outcome is the one fixed point of "decide
     all rows, given who was accepted". Starting from every legitimate row, each pass repairs at
-    least the earliest wrong row of every key; passes repeat until nothing changes.
+    least the earliest wrong row of every key. A key is finished when a pass changes none of its
+    rows; passes go on with the others until none are left.
     """
     trusted = "is_seed OR reason = 'CONFIRMED_ORDINARY_ACTIVITY'"
     state = rows.withColumn("trusted", F.expr("is_seed OR verdict <=> 'LEGITIMATE'"))
+    finished = []
     while True:
         decided = _reason_over_window(state, limit).checkpoint()
-        if decided.filter(f"trusted <> ({trusted})").isEmpty():
-            return _with_versions(decided).selectExpr(*FOLDED.split(", "))
-        state = decided.withColumn("trusted", F.expr(trusted)).select(*state.columns)
+        moving = decided.filter(f"trusted <> ({trusted})").select(*KEYS).distinct()
+        if moving.isEmpty():
+            finished.append(decided)
+            break
+        finished.append(decided.join(moving, list(KEYS), "left_anti").select(*decided.columns))
+        state = (
+            decided.join(moving, list(KEYS), "left_semi")
+            .withColumn("trusted", F.expr(trusted))
+            .select(*state.columns)
+        )
+    whole = reduce(lambda a, b: a.unionByName(b), finished)
+    return _with_versions(whole).selectExpr(*FOLDED.split(", "))
 
 
 def gate_fold(rows: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:

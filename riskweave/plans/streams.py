@@ -21,6 +21,8 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     raw = (
         spark.readStream.schema(d.SCHEMAS["events"])
         .option("pathGlobFilter", "events.parquet")
+        # Bounds a batch, and with it what one customer can bring into one task.
+        .option("maxBytesPerTrigger", str(1 << 30))
         .parquet(sf)
     )
     return d.as_transactions(raw)

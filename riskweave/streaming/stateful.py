@@ -8,7 +8,7 @@ leaves it off.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -50,19 +50,21 @@ class ActivityProcessor(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        history = [(r[0], r[1], r[2]) for r in self.rows.get()]
-        history.sort()
+        history = sorted((r[0], r[1], r[2]) for r in self.rows.get())
+        instants = [h[0] for h in history]
+        needed = self.limit + 1
         for row in sorted(rows, key=lambda r: (r.us, str(r.transaction_id))):
-            yield self._evaluate(key, row, history)
-            insort(history, (row.us, row.recipient_id, row.device_id))
-        if history:
-            cutoff = history[-1][0] - SPAN
-            history = [h for h in history if h[0] > cutoff][-(self.limit + 1) :]
-        self.rows.put(history)
-
-    def _evaluate(self, key, row: Row, history: list[tuple]) -> Row:
+            yield self._evaluate(key, row, history, instants)
+            place = bisect_right(instants, row.us)
+            instants.insert(place, row.us)
+            history.insert(place, (row.us, row.recipient_id, row.device_id))
+            if len(history) > 2 * needed:
+                del history[:-needed], instants[:-needed]
+        start = bisect_right(instants, instants[-1] - SPAN) if instants else 0
+        self.rows.put(history[start:][-needed:])
+
+    def _evaluate(self, key, row: Row, history: list[tuple], instants: list[int]) -> Row:
         low, us = row.us - SPAN, row.us
-        instants = [h[0] for h in history]
         first, stop = bisect_right(instants, low), bisect_left(instants, us)
         prior = history[first:stop]
         same = [h[0] for h in prior if h[1] == row.recipient_id]
