@@ -44,7 +44,7 @@ f AS (
 @query(
     "q_bitemporal_activity",
     f"""WITH {o.LABELED}, {KNOWN} SELECT transaction_id, na AS activity_history_count,
-      n60 AS transactions_last_hour, first_r AS first_recipient_us, last_us FROM known""",
+      CAST(n60 AS INTEGER) AS transactions_last_hour, first_r AS first_recipient_us, last_us FROM known""",
 )
 def bitemporal_activity(spark, sf):
     frame = features.history_frame(d.labeled(spark, sf), 2 * features.HISTORY_LIMIT)
@@ -96,7 +96,7 @@ def split(spark, sf):
 
 @query(
     "q_split_classes",
-    f"""WITH {SPLIT} SELECT split, count(*) AS n, sum(label) AS positives,
+    f"""WITH {SPLIT} SELECT split, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives,
       count(DISTINCT label) = 2 AS both_classes FROM sp WHERE split IS NOT NULL GROUP BY 1""",
 )
 def split_classes(spark, sf):
@@ -137,7 +137,7 @@ def time_split(spark, sf):
 
 @query(
     "q_class_weights",
-    f"""WITH {o.LABELED}, c AS (SELECT count(*) AS n, sum(label) AS p FROM labeled)
+    f"""WITH {o.LABELED}, c AS (SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS p FROM labeled)
     SELECT n, p AS positives, n::DOUBLE / (2 * p)::DOUBLE AS positive_weight,
       n::DOUBLE / (2 * (n - p))::DOUBLE AS negative_weight,
       (n - p)::DOUBLE / p::DOUBLE AS negatives_per_positive FROM c""",
@@ -198,7 +198,7 @@ def _scores(spark, sf):
 
 @query(
     "q_confusion",
-    f"""WITH {SCORES}, c AS (SELECT count(*) AS n, sum(label) AS positives,
+    f"""WITH {SCORES}, c AS (SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives,
       count(*) FILTER (WHERE label = 0 AND score < 0.5) AS tn,
       count(*) FILTER (WHERE label = 0 AND score >= 0.5) AS fp,
       count(*) FILTER (WHERE label = 1 AND score < 0.5) AS fn,
@@ -237,7 +237,7 @@ def average_precision(spark, sf):
     )
 
 
-@query("q_cumulative_scores", f"WITH {RANKED} SELECT score, pos, neg, tp, fp FROM cu")
+@query("q_cumulative_scores", f"WITH {RANKED} SELECT score, pos::BIGINT AS pos, neg::BIGINT AS neg, tp::BIGINT AS tp, fp::BIGINT AS fp FROM cu")
 def cumulative_scores(spark, sf):
     """The path for very many distinct scores, applied to all."""
     return metrics.cumulative(_scores(spark, sf), single_task=10)
@@ -320,7 +320,7 @@ def seed_summary(spark, sf):
 
 @query(
     "q_score_parity",
-    f"""WITH {SCORES} SELECT count(*) AS n, 0 AS unmatched,
+    f"""WITH {SCORES} SELECT count(*) AS n, 0::BIGINT AS unmatched,
       max(abs(score - (score + CASE WHEN label = 1 THEN 1e-8 ELSE 0 END))) AS max_abs_difference,
       true AS within FROM sc""",
 )

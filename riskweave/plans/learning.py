@@ -249,8 +249,8 @@ def bootstrap_eligibility(spark, sf):
 @query(
     "q_bootstrap_profile",
     f"""WITH {BOOT} SELECT ts.customer_id, ts.currency, transaction_id, cents, us, as_of_us,
-      1 AS admitted_version, row_number() OVER (PARTITION BY ts.customer_id
-        ORDER BY us, CAST(transaction_id AS VARCHAR)) - 1 AS ordinal
+      1 AS admitted_version, CAST(row_number() OVER (PARTITION BY ts.customer_id
+        ORDER BY us, CAST(transaction_id AS VARCHAR)) - 1 AS INTEGER) AS ordinal
     FROM ts JOIN el ON el.customer_id = ts.customer_id WHERE el.problems = ''""",
 )
 def bootstrap_profile(spark, sf):

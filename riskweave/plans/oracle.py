@@ -121,8 +121,8 @@ LAST_DEVICE = """inst AS (
 
 BASELINE_FEATURES = """
   cents / 100.0 AS amount,
-  CASE WHEN pm THEN 1.0 ELSE 0.0 END AS profile_missing,
-  CASE WHEN nl >= 5 THEN 0.0 ELSE 1.0 END AS baseline_insufficient,
+  CASE WHEN pm THEN 1.0::DOUBLE ELSE 0.0 END AS profile_missing,
+  CASE WHEN nl >= 5 THEN 0.0::DOUBLE ELSE 1.0 END AS baseline_insufficient,
   CAST(nl AS DOUBLE) AS long_history_count,
   CAST(ns AS DOUBLE) AS short_history_count,
   CASE WHEN nl >= 5 THEN CAST(2 * cents AS DOUBLE) / CAST(med2 AS DOUBLE) ELSE 0.0 END
@@ -131,19 +131,19 @@ BASELINE_FEATURES = """
     AS amount_vs_customer_mean,
   CASE WHEN nl >= 5 THEN CAST(2 * abs(2 * cents - med2) AS DOUBLE)
     / CAST(greatest(mad4, 4) AS DOUBLE) ELSE 0.0 END AS robust_amount_deviation,
-  CASE WHEN nl >= 5 AND mad4 = 0 THEN 1.0 ELSE 0.0 END AS mad_zero,
-  CASE WHEN nl >= 5 AND mad4 < 4 THEN 1.0 ELSE 0.0 END AS mad_floor_applied,
+  CASE WHEN nl >= 5 AND mad4 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS mad_zero,
+  CASE WHEN nl >= 5 AND mad4 < 4 THEN 1.0::DOUBLE ELSE 0.0 END AS mad_floor_applied,
   CASE WHEN nl >= 5 THEN CAST(cents AS DOUBLE) / CAST(p95 AS DOUBLE) ELSE 0.0 END
     AS amount_vs_p95,
   CASE WHEN nl >= 5 AND ns >= 5 THEN CAST(smed2 AS DOUBLE) / CAST(med2 AS DOUBLE) ELSE 0.0 END
     AS short_term_vs_long_term_amount_ratio,
-  CASE WHEN nl >= 5 AND ns >= 5 THEN 0.0 ELSE 1.0 END AS short_baseline_insufficient,
-  CASE WHEN nl >= 5 AND known = 0 THEN 1.0 ELSE 0.0 END AS new_recipient"""
+  CASE WHEN nl >= 5 AND ns >= 5 THEN 0.0::DOUBLE ELSE 1.0 END AS short_baseline_insufficient,
+  CASE WHEN nl >= 5 AND known = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS new_recipient"""
 
 HOUR_FEATURES = """
-  CASE WHEN coalesce(dist, 0) <> 0 THEN 1.0 ELSE 0.0 END AS unusual_hour,
+  CASE WHEN coalesce(dist, 0) <> 0 THEN 1.0::DOUBLE ELSE 0.0 END AS unusual_hour,
   CAST(coalesce(dist, 0) AS DOUBLE) AS hour_deviation,
-  CASE WHEN dist IS NULL THEN 1.0 ELSE 0.0 END AS typical_hours_missing"""
+  CASE WHEN dist IS NULL THEN 1.0::DOUBLE ELSE 0.0 END AS typical_hours_missing"""
 
 ACTIVITY_FEATURES = """
   CAST(n5 AS DOUBLE) AS transactions_last_5_min,
@@ -151,13 +151,13 @@ ACTIVITY_FEATURES = """
   CAST(n60 AS DOUBLE) AS transactions_last_hour,
   CAST(nr60 AS DOUBLE) AS recipient_transactions_last_hour,
   CAST(na AS DOUBLE) AS activity_history_count,
-  CASE WHEN na = 0 THEN 1.0 ELSE 0.0 END AS activity_history_missing,
+  CASE WHEN na = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS activity_history_missing,
   coalesce(CAST(us - first_r AS DOUBLE) / 86400000000.0, 0.0) AS recipient_observed_age_days,
-  CASE WHEN first_r IS NULL THEN 1.0 ELSE 0.0 END AS recipient_activity_missing,
-  CASE WHEN last_device IS NOT NULL AND device_id <> last_device THEN 1.0 ELSE 0.0 END
+  CASE WHEN first_r IS NULL THEN 1.0::DOUBLE ELSE 0.0 END AS recipient_activity_missing,
+  CASE WHEN last_device IS NOT NULL AND device_id <> last_device THEN 1.0::DOUBLE ELSE 0.0 END
     AS device_changed,
-  CASE WHEN last_device IS NULL THEN 1.0 ELSE 0.0 END AS device_change_missing,
-  CASE WHEN na > 0 AND ndev = 0 THEN 1.0 ELSE 0.0 END AS device_not_seen_before,
+  CASE WHEN last_device IS NULL THEN 1.0::DOUBLE ELSE 0.0 END AS device_change_missing,
+  CASE WHEN na > 0 AND ndev = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS device_not_seen_before,
   coalesce(CAST(us - last_us AS DOUBLE) / 86400000000.0, 0.0) AS days_since_last_transfer"""
 
 # One row per transaction with every feature, as WITH items ending in `f`.
@@ -267,7 +267,7 @@ lastv AS (SELECT case_id, arg_max(verdict, sequence) AS last_verdict, count(*) A
 OUTBOX = (
     TX
     + """, outbox AS (
-  SELECT transaction_id AS event_id, us AS occurred_us, recipient_id // 15 AS attempts,
+  SELECT transaction_id AS event_id, us AS occurred_us, CAST(recipient_id // 15 AS INTEGER) AS attempts,
     CASE WHEN device_id = 'purchase' THEN us + 60000000 END AS published_us FROM tx),
 dl AS (
   SELECT transaction_id AS event_id, us + recipient_id * 60000000 AS available_us,

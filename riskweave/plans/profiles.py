@@ -91,7 +91,7 @@ def behavior_window(spark, sf):
 
 @query(
     "q_candidate_baseline",
-    f"""WITH {o.BASELINE} SELECT transaction_id, nl AS n_long, ns AS n_short,
+    f"""WITH {o.BASELINE} SELECT transaction_id, nl::INTEGER AS n_long, ns::INTEGER AS n_short,
       CASE WHEN NOT pm THEN med2 END AS median2_long, CASE WHEN NOT pm THEN mad4 END AS mad4_long,
       CASE WHEN NOT pm THEN p95 END AS p95_long FROM b""",
 )
@@ -205,7 +205,7 @@ def baseline_status(spark, sf):
     f"""WITH {o.REVISIONS}, w AS (
       SELECT *, list_sort(list(cents) OVER (PARTITION BY customer_id, currency ORDER BY us
         RANGE BETWEEN {180 * DAY - 1} PRECEDING AND CURRENT ROW)) AS a FROM nobs)
-    SELECT customer_id, currency, admitted_version AS version, us AS as_of_us, len(a) AS n_long,
+    SELECT customer_id, currency, admitted_version AS version, us AS as_of_us, len(a)::INTEGER AS n_long,
       a[(len(a) + 1) // 2] + a[len(a) // 2 + 1] AS median2 FROM w""",
 )
 def revision_summary(spark, sf):

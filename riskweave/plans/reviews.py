@@ -142,8 +142,8 @@ def unconfirmed_terminals(spark, sf):
 @query(
     "q_review_document",
     f"""WITH {o.REVIEWS} SELECT st.case_id, 0 AS page, st.state,
-      coalesce(h.n, 0) + coalesce(v.entries, 0) AS version, coalesce(h.n, 0) AS history_entries,
-      coalesce(v.entries, 0) AS feedback_entries, st.state AS document_state,
+      coalesce(h.n, 0) + coalesce(v.entries, 0) AS version, coalesce(h.n, 0)::INTEGER AS history_entries,
+      coalesce(v.entries, 0)::INTEGER AS feedback_entries, st.state AS document_state,
       coalesce(h.targets, '') AS targets, v.last_verdict
     FROM st LEFT JOIN (SELECT case_id, count(*) AS n,
         string_agg(target, ',' ORDER BY sequence) AS targets FROM tr GROUP BY 1) h USING (case_id)
@@ -205,7 +205,7 @@ def _worklist_sql(where: str) -> str:
     return f"""WITH {o.REVIEWS}, pg AS (
       SELECT *, row_number() OVER (ORDER BY us DESC, transaction_id DESC) AS rank,
         count(*) OVER () AS n FROM tx WHERE {where})
-    SELECT pg.rank, pg.transaction_id, pg.us, pg.cents, latest.evaluation_id,
+    SELECT pg.rank::INTEGER AS rank, pg.transaction_id, pg.us, pg.cents, latest.evaluation_id,
       latest.created_us AS evaluated_us, latest.status AS risk_status, latest.score, latest.level,
       latest.suggested_action, st.case_id, st.state, pg.n > 50 AND pg.rank = 50 AS next_page
     FROM pg LEFT JOIN latest USING (transaction_id)

@@ -40,7 +40,7 @@ def hour_features(spark, sf):
     SELECT transaction_id, CAST(ns AS DOUBLE) AS short_history_count,
       CASE WHEN nl >= 5 AND ns >= 5 THEN CAST(smed2 AS DOUBLE) / CAST(med2 AS DOUBLE) ELSE 0.0 END
         AS short_term_vs_long_term_amount_ratio,
-      CASE WHEN nl >= 5 AND ns >= 5 THEN 0.0 ELSE 1.0 END AS short_baseline_insufficient
+      CASE WHEN nl >= 5 AND ns >= 5 THEN 0.0::DOUBLE ELSE 1.0 END AS short_baseline_insufficient
     FROM b""",
 )
 def short_window(spark, sf):
@@ -63,11 +63,11 @@ def _activity(source: str, columns: str) -> str:
 
 RECIPIENT_SQL = """CAST(nr60 AS DOUBLE) AS recipient_transactions_last_hour,
   coalesce(CAST(us - first_r AS DOUBLE) / 86400000000.0, 0.0) AS recipient_observed_age_days,
-  CASE WHEN first_r IS NULL THEN 1.0 ELSE 0.0 END AS recipient_activity_missing"""
-DEVICE_SQL = """CASE WHEN last_device IS NOT NULL AND device_id <> last_device THEN 1.0 ELSE 0.0 END
+  CASE WHEN first_r IS NULL THEN 1.0::DOUBLE ELSE 0.0 END AS recipient_activity_missing"""
+DEVICE_SQL = """CASE WHEN last_device IS NOT NULL AND device_id <> last_device THEN 1.0::DOUBLE ELSE 0.0 END
     AS device_changed,
-  CASE WHEN last_device IS NULL THEN 1.0 ELSE 0.0 END AS device_change_missing,
-  CASE WHEN na > 0 AND ndev = 0 THEN 1.0 ELSE 0.0 END AS device_not_seen_before,
+  CASE WHEN last_device IS NULL THEN 1.0::DOUBLE ELSE 0.0 END AS device_change_missing,
+  CASE WHEN na > 0 AND ndev = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS device_not_seen_before,
   coalesce(CAST(us - last_us AS DOUBLE) / 86400000000.0, 0.0) AS days_since_last_transfer"""
 
 
@@ -195,7 +195,7 @@ def rules_velocity_one(spark, sf):
 @query(
     "q_rule_reasons",
     f"""WITH {_rule_sql()} SELECT transaction_id, code, message,
-    row_number() OVER (PARTITION BY transaction_id ORDER BY place) - 1 AS place
+    CAST(row_number() OVER (PARTITION BY transaction_id ORDER BY place) - 1 AS INTEGER) AS place
     FROM m WHERE status = 'MATCHED'""",
 )
 def rule_reasons(spark, sf):
@@ -328,13 +328,13 @@ q3 AS (SELECT *, list_sum(l4) AS t4, len(l4) AS k4 FROM q2),
 q AS (
   SELECT transaction_id, missing, 'CUMULATIVE_LOW_VALUE_SEQUENCE' AS code, k4 AS observed_count,
     t4 AS observed_cents, CAST(2 * t4 AS DOUBLE) / CAST(m AS DOUBLE) AS cumulative_ratio,
-    NULL AS growth_ratio, 4 AS threshold_count, 2.0 AS threshold_cumulative_ratio,
+    NULL AS growth_ratio, 4 AS threshold_count, 2.0::DOUBLE AS threshold_cumulative_ratio,
     NULL AS threshold_growth_ratio,
     k4 = 4 AND list_max(l4) * 2 <= m AND 2 * t4 >= 2 * m AS hit FROM q3
   UNION ALL
   SELECT transaction_id, missing, 'GRADUAL_AMOUNT_ESCALATION', k4, t4,
     CAST(2 * t4 AS DOUBLE) / CAST(m AS DOUBLE), CAST(l4[k4] AS DOUBLE) / CAST(l4[1] AS DOUBLE), 4,
-    2.0, 2.0,
+    2.0, 2.0::DOUBLE,
     k4 = 4 AND l4[1] < l4[2] AND l4[2] < l4[3] AND l4[3] < l4[4] AND l4[4] >= 2 * l4[1]
       AND 2 * t4 >= 2 * m FROM q3
   UNION ALL
@@ -383,7 +383,7 @@ def _contribution_sql() -> str:
     f"""WITH {o.FEATURES}, c AS ({_contribution_sql()}), t AS (
       SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY -abs(contribution), place)
         AS rank FROM c)
-    SELECT transaction_id, rank, feature, value, contribution, missing,
+    SELECT transaction_id, CAST(rank AS INTEGER) AS rank, feature, value, contribution, missing,
       label || CASE WHEN missing <> '' THEN ': unavailable; encoded value ' ||
           format('{{:.6g}}', value) || ' is a placeholder.'
         ELSE ': encoded value ' || format('{{:.6g}}', value) || '.' END
