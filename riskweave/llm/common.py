@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +55,15 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) ->
     held = held.withColumnRenamed(key, other)
     on = (dealt[salt] == held[salt]) & dealt[key].eqNullSafe(held[other])
     return dealt.join(held, on, "left").drop(held[salt]).drop(salt, known, other)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written as a Parquet table in the shared folder and read back: compact, lineage cut."""
+    path = f"{checkpoint_root(df.sparkSession)}/{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def once(name: str, value: Column) -> Column:
+    """A value that later expressions read as a column, so that it is not worked out again."""
+    return F.explode(F.array(value)).alias(name)

@@ -27,6 +27,8 @@ from riskweave.llm.common import freeze, partitions
 from riskweave.session import checkpoint_root
 
 PIECE_BYTES = 1 << 20
+#: Bits of a piece's number within its task, and of a document's number within its piece.
+PIECE_BITS, ROW_BITS = 24, 18
 #: Odd multipliers of the two polynomial hashes modulo 2**64.
 ROOTS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 LANES = np.random.default_rng(20240607).integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -116,7 +118,7 @@ def cut(docs: DataFrame, text: str) -> DataFrame:
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = TaskContext.get().partitionId() << 32
+        piece = TaskContext.get().partitionId() << PIECE_BITS
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
             texts = pc.binary_join_element_wise(texts, pa.scalar(b"\n", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
@@ -125,6 +127,7 @@ def cut(docs: DataFrame, text: str) -> DataFrame:
             while at < len(size):
                 base = size[at - 1] if at else 0
                 to = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
+                to = min(to, at + (1 << ROW_BITS))
                 rows = batch.column(0).slice(at, to - at)
                 joined = b"".join(texts.slice(at, to - at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
