@@ -74,7 +74,9 @@ class Levels:
             self.at = fits[known[fits + step]]
 
 
-def remove_repeated_windows(docs: DataFrame, text: str = "text", window: int = 35) -> DataFrame:
+def remove_repeated_windows(
+    docs: DataFrame, text: str = "text", window: int = 35, rewrite: bool = True
+) -> DataFrame:
     """Removes each word that lies in a window of ``window`` words found more than once.
 
     Windows are judged on the input, anywhere in it, the same document included; they never cross
@@ -82,6 +84,8 @@ def remove_repeated_windows(docs: DataFrame, text: str = "text", window: int = 3
     ``n_words``, ``n_removed`` (underscores are put before a name that is taken). Words are longest
     runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return.
 
+    With ``rewrite`` off, a document that loses no word keeps its text as it is.
+
     A null, empty or blank text has no words and is returned as an empty text. A document shorter
     than the window keeps all. Repeated rows are documents of their own, so equal long rows lose
     their words in all copies. An empty table gives an empty table.
@@ -119,8 +123,13 @@ def remove_repeated_windows(docs: DataFrame, text: str = "text", window: int = 3
             for done in range(last + 1):
                 state.narrow(done, buckets)
             gone = covered(state.at, state.at + window, len(state.words))
-            texts = joined(piece, state.words, ~gone)
             removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[state.words.bounds], prepend=0)
+            texts = joined(piece, state.words, ~gone)
+            if not rewrite:
+                raw, begin = piece.body.tobytes(), np.concatenate([[0], piece.ends[:-1]])
+                spans = zip(begin, piece.ends, removed, texts, strict=True)
+                texts = [t if n else raw[a : b - 1] for a, b, n, t in spans]
+            texts = pa.array(texts, pa.binary()).cast(pa.string())
             columns = [
                 *piece.carried(len(others)),
                 texts,
@@ -132,7 +141,7 @@ def remove_repeated_windows(docs: DataFrame, text: str = "text", window: int = 3
     return with_marks(pieces, *marks).mapInArrow(finish, schema)
 
 
-def joined(piece: Piece, words: Words, keep: np.ndarray) -> pa.Array:
+def joined(piece: Piece, words: Words, keep: np.ndarray) -> list[bytes]:
     """The kept words of each document, joined by one space."""
     body = piece.body.copy()
     starts, ends = words.starts[keep], words.ends[keep]
@@ -140,5 +149,4 @@ def joined(piece: Piece, words: Words, keep: np.ndarray) -> pa.Array:
     taken = covered(starts, ends + 1, len(body))
     at = np.concatenate([[0], np.cumsum(taken)])[np.concatenate([[0], piece.ends])]
     raw = body[taken].tobytes()
-    texts = [raw[a : max(a, b - 1)] for a, b in zip(at[:-1], at[1:], strict=True)]
-    return pa.array(texts, pa.binary()).cast(pa.string())
+    return [raw[a : max(a, b - 1)] for a, b in zip(at[:-1], at[1:], strict=True)]

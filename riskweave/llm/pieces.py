@@ -78,12 +78,13 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 class Words:
     """Word bounds of a piece, hashes of the words, and where each document's words end."""
 
-    def __init__(self, body: np.ndarray, ends: np.ndarray, lane: int = 0):
+    def __init__(self, body: np.ndarray, ends: np.ndarray, lane: int = 0, blank: np.ndarray = BLANK):
         inside = np.zeros(len(body) + 2, np.int8)
-        inside[1:-1] = ~BLANK[body]
+        inside[1:-1] = ~blank[body]
         edges = np.flatnonzero(np.diff(inside))
         self.starts, self.ends = edges[0::2], edges[1::2]
-        self.hashes = of_bytes(body, lane).at(self.starts, self.ends)
+        self.roll = of_bytes(body, lane)
+        self.hashes = self.roll.at(self.starts, self.ends)
         self.bounds = np.searchsorted(self.starts, ends)
         self.counts = np.diff(self.bounds, prepend=0)
 
@@ -98,9 +99,24 @@ class Words:
 # --- pieces ------------------------------------------------------------------------------------
 
 
+def runs(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """Consecutive texts of about ``limit`` bytes: from, to, their bytes with a line feed after
+    each, and where each ends. A longer text is a run of its own; nulls count as empty."""
+    whole = texts.cast(pa.large_binary()).fill_null(b"")
+    feed, nothing = pa.scalar(b"\n", pa.large_binary()), pa.scalar(b"", pa.large_binary())
+    whole = pc.binary_join_element_wise(whole, feed, nothing)
+    size = np.cumsum(pc.binary_length(whole).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(size):
+        base = size[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
+        to = min(to, at + (1 << ROW_BITS))
+        yield at, to, b"".join(whole.slice(at, to - at).to_pylist()), size[at:to] - base
+        at = to
+
+
 def cut(docs: DataFrame, text: str) -> DataFrame:
     """Pieces of the texts; a null text counts as empty. Bucketed by piece, in the shared folder."""
-    spark, limit = docs.sparkSession, PIECE_BYTES
     others = [f for f in docs.schema.fields if f.name != text]
     names = [f"c{i}" for i in range(len(others))]
     body = docs[text].cast("string").alias("body")
@@ -120,26 +136,18 @@ def cut(docs: DataFrame, text: str) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = TaskContext.get().partitionId() << PIECE_BITS
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
-            texts = pc.binary_join_element_wise(texts, pa.scalar(b"\n", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
-            size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-            at = 0
-            while at < len(size):
-                base = size[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
-                to = min(to, at + (1 << ROW_BITS))
+            for at, to, joined, ends in runs(batch.column(1)):
                 rows = batch.column(0).slice(at, to - at)
-                joined = b"".join(texts.slice(at, to - at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([piece], pa.int64()),
                         pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.concat_arrays([rows])),
-                        pa.array([(size[at:to] - base).tolist()], pa.list_(pa.int64())),
+                        pa.array([ends.tolist()], pa.list_(pa.int64())),
                         pa.array([joined], pa.binary()),
                     ],
                     names=["piece", "rows", "ends", "body"],
                 )
-                piece, at = piece + 1, to
+                piece += 1
 
     return bucketed(plain.mapInArrow(pack, schema), "piece")
 

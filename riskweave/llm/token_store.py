@@ -11,27 +11,24 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskweave.llm.common import partitions
+from riskweave.llm.pieces import of_bytes, runs
 from riskweave.session import checkpoint_root
 
 LIMIT = 18
 STRIDE = 256
 BLOCK_IDS = 1 << 18
-#: A task forgets the words it has encoded beyond this many.
-CACHED_WORDS = 400_000
-#: A text may be encoded in parts that each begin with a run of white space: no pre-token of a
-#: byte-level vocabulary goes on from a mark into white space.
-PARTS = regex.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|\s+")
+#: A task forgets the parts it has encoded beyond this many.
+CACHED_PARTS = 1_000_000
+BATCH_BYTES = 8 << 20
 
 
 # --- encoding texts ----------------------------------------------------------------------------
@@ -44,47 +41,112 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class PartEncoder(dict):
-    """Ids of texts; each different part of a text is encoded once."""
+def gather(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of ``values``, one after the other."""
+    shift = np.cumsum(sizes) - sizes
+    return values[np.repeat(first - shift, sizes) + np.arange(int(sizes.sum()))]
+
+
+#: Bytes that are white space; letters; marks that end a run of letters.
+WHITE, LETTER, STOP = np.zeros((3, 256), bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+STOP[list(b".,;:!?")] = True
+
+
+def part_starts(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of parts of texts (each followed by a line feed) that encode on their own.
+
+    A byte-level vocabulary's pre-tokens never go on from a mark into white space, nor from a letter
+    into a full stop or comma, so a text may be parted before either. It is not parted where white
+    space beyond ASCII comes before.
+    """
+    before = np.concatenate([[np.uint8(10)] * 3, raw])[:-1]
+    b3, b2, b1 = before[:-2], before[1:-1], before[2:]
+    wide = ((b3 >= 0xE1) & (b3 <= 0xE3) & ((b2 == 0x80) | (b2 == 0x81) | (b2 == 0x9A))) | (
+        (b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
+    )
+    cut = (WHITE[raw] & ~WHITE[b1] & ~wide) | (STOP[raw] & LETTER[b1])
+    cut[ends - 1] = True  # the line feed is not the text's
+    cut[np.concatenate([[0], ends[:-1]])] = True
+    starts = np.flatnonzero(cut)
+    stops = np.append(starts[1:], len(raw))
+    own = np.ones(len(starts), bool)
+    own[np.searchsorted(starts, ends - 1)] = False
+    return starts[own], stops[own]
+
+
+class ByteParts:
+    """Encodes texts part by part; a part that was met before is looked up by 128 bits."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = _tokenizer(path)
-        self.fresh: list[str] = []
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = np.zeros(max(names.values()) + 1, np.int64)
+        self.size[list(names.values())] = [len(x) for x in names]
+        for number, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.size[number] = len(token.content.encode())
         self.forget()
 
     def forget(self) -> None:
-        self.clear()
+        self.known, self.check = np.zeros((2, 0), np.uint64)
+        self.first, self.sizes = np.zeros((2, 0), np.int64)
         self.ids = np.zeros(0, np.uint32)
-        self.sizes = np.zeros(0, np.int64)
 
-    def __missing__(self, part: str) -> int:
-        self[part] = number = len(self)
-        self.fresh.append(part)
-        return number
-
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, body: bytes, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each document closed by ``end``, and the number of each document."""
-        if len(self) > CACHED_WORDS:
+        if len(self.known) > CACHED_PARTS:
             self.forget()
-        parts = [PARTS.findall(t) if t else [] for t in texts]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
-        if self.fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.fresh, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.fresh = []
-        begin = np.cumsum(self.sizes) - self.sizes
-        closing = np.cumsum(counts)  # after the parts of a document comes its end
-        sizes = np.insert(self.sizes[at], closing, 1)
-        first = np.insert(begin[at], closing, len(self.ids))
-        whole = np.append(self.ids, np.uint32(end))
-        shift = np.cumsum(sizes) - sizes
-        ids = whole[np.repeat(first - shift, sizes) + np.arange(int(sizes.sum()))]
-        edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], closing + np.arange(1, len(counts) + 1)])]
-        return ids, np.diff(edges)
+        raw = np.frombuffer(body, np.uint8)
+        starts, stops = part_starts(raw, ends)
+        key = of_bytes(raw, 0).at(starts, stops)
+        found, sample, at = np.unique(key, return_index=True, return_inverse=True)
+        other = of_bytes(raw, 1).at(starts, stops)
+        if (other != other[sample][at]).any():
+            raise ValueError("two parts of one batch share a 64-bit hash: change the multipliers")
+        place = np.searchsorted(self.known, found)
+        old = place < len(self.known)
+        old[old] = (self.known[place[old]] == found[old]) & (self.check[place[old]] == other[sample[old]])
+        fresh = np.flatnonzero(~old)
+        if len(fresh):
+            self._learn(body, starts[sample[fresh]], stops[sample[fresh]], found[fresh], other[sample[fresh]])
+            place = np.searchsorted(self.known, found)
+        first, sizes = self.first[place][at], self.sizes[place][at]
+        closing = np.searchsorted(starts, ends)  # after the parts of a document comes its end
+        sizes, first = np.insert(sizes, closing, 1), np.insert(first, closing, len(self.ids))
+        ids = gather(np.append(self.ids, np.uint32(end)), first, sizes)
+        edges = np.cumsum(sizes)[closing + np.arange(len(closing))]
+        return ids, np.diff(edges, prepend=0)
+
+    def _learn(self, body: bytes, starts: np.ndarray, stops: np.ndarray, key: np.ndarray, other: np.ndarray) -> None:
+        raw = np.frombuffer(body, np.uint8)
+        # Parts from white space to a mark may stand side by side and be encoded in one go.
+        chain_ = WHITE[raw[starts]] & ~WHITE[raw[stops - 1]] & (raw[stops - 1] < 128)
+        order = np.concatenate([np.flatnonzero(chain_), np.flatnonzero(~chain_)])
+        joined = int(chain_.sum())
+        size = (stops - starts)[order]
+        ids, sizes = [], []
+        for lo in range(0, joined, 20_000):
+            hi = min(joined, lo + 20_000)
+            text = b"".join(body[a:b] for a, b in zip(starts[order[lo:hi]], stops[order[lo:hi]], strict=True)).decode()
+            own = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            reach = np.cumsum(self.size[own])
+            upto = np.searchsorted(reach, np.cumsum(size[lo:hi]))
+            ids.append(own)
+            sizes.append(np.diff(upto + 1, prepend=0))
+        alone = [body[a:b].decode() for a, b in zip(starts[order[joined:]], stops[order[joined:]], strict=True)]
+        for found in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False):
+            ids.append(np.array(found.ids, np.uint32))
+            sizes.append(np.array([len(found.ids)]))
+        sizes = np.concatenate(sizes)
+        first = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([self.ids, *ids])
+        known = np.concatenate([self.known, key[order]])
+        by_key = np.argsort(known, kind="stable")
+        self.known = known[by_key]
+        self.check = np.concatenate([self.check, other[order]])[by_key]
+        self.first = np.concatenate([self.first, first])[by_key]
+        self.sizes = np.concatenate([self.sizes, sizes])[by_key]
 
 
 def width(tokenizer: str) -> str:
@@ -97,21 +159,19 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
     kind = width(tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PartEncoder(tokenizer)
+        encoder = ByteParts(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                own = batch.slice(at, 512)
-                ids, counts = encoder.encode(own.column(1).to_pylist(), end)
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0), _binaries(ids.astype(kind), counts)], names=["doc_id", "ids"]
-                )
+            for lo, hi, body, ends in runs(batch.column(1), BATCH_BYTES):
+                ids, counts = encoder.encode(body, ends, end)
+                own = batch.column(0).slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([own, binaries(ids.astype(kind), counts)], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         encode, "doc_id long, ids binary"
     )
 
 
-def _binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+def binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(counts)]) * values.itemsize
     kind = pa.binary() if offsets[-1] < 2**31 else pa.large_binary()
     offsets = offsets.astype(np.int32 if kind == pa.binary() else np.int64)
@@ -281,7 +341,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ids = code.unpack(bits.as_py(), offsets.values.to_numpy(), n.as_py())
                 first = start.as_py() + np.cumsum(sizes) - sizes
                 yield pa.RecordBatch.from_arrays(
-                    [docs.values, pa.array(first), pa.array(sizes), _binaries(ids.astype("<u4"), sizes)],
+                    [docs.values, pa.array(first), pa.array(sizes), binaries(ids.astype("<u4"), sizes)],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
