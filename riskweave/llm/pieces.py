@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +42,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
+_POWERS: dict[tuple[int, bool], np.ndarray] = {}
+
+
 def _powers(lane: int, inverse: bool, size: int) -> np.ndarray:
-    root = ROOTS[lane]
-    base = pow(root, -1, 2**64) if inverse else root
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """Powers of a multiplier, or of its inverse; a task keeps the longest run it has needed."""
+    held = _POWERS.get((lane, inverse))
+    if held is None or len(held) < size:
+        base = pow(ROOTS[lane], -1, 2**64) if inverse else ROOTS[lane]
+        held = np.full(max(size + size // 8, 1 << 16), base, np.uint64)
+        held[0] = 1
+        _POWERS[lane, inverse] = held = np.cumprod(held, dtype=np.uint64)
+    return held
 
 
 class Rolling:
@@ -57,10 +61,9 @@ class Rolling:
 
     def __init__(self, symbols: np.ndarray, lane: int = 0):
         self.lane = lane
-        size = 1 << max(16, int(len(symbols) + 1).bit_length())
-        self.back = _powers(lane, True, size)
+        self.back = _powers(lane, True, len(symbols) + 1)
         self.sums = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(symbols * _powers(lane, False, size)[: len(symbols)], out=self.sums[1:])
+        np.cumsum(symbols * _powers(lane, False, len(symbols) + 1)[: len(symbols)], out=self.sums[1:])
 
     def at(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
@@ -183,6 +186,14 @@ class Piece:
             for m in batch.column("marks")[i].as_py():
                 self.marks[m["level"], m["bucket"]] = m["bits"]
 
+    def only(self, chosen: list[int]) -> Piece:
+        """A piece of some of its documents, in the given order, without their other columns."""
+        begin = np.concatenate([[0], self.ends[:-1]])
+        out = Piece.__new__(Piece)
+        parts = [self.body[begin[k] : self.ends[k]] for k in chosen]
+        out.id, out.body, out.ends = self.id, np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        return out
+
     def carried(self, count: int) -> list[pa.Array]:
         """The other columns of the documents."""
         return [self.rows.field(j) for j in range(count)]

@@ -27,8 +27,8 @@ LIMIT = 18
 STRIDE = 256
 BLOCK_IDS = 1 << 18
 #: A task forgets the parts it has encoded beyond this many.
-CACHED_PARTS = 1_000_000
-BATCH_BYTES = 8 << 20
+CACHED_PARTS = 1_200_000
+BATCH_BYTES = 2 << 20
 
 
 # --- encoding texts ----------------------------------------------------------------------------
