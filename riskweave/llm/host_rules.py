@@ -17,7 +17,7 @@ MOST_REPEATED = 30
 #: A host is turned away if its shrunk rate of failed documents is above this.
 HOST_LIMIT = 0.5
 #: Bounds of the prior's weight, in documents.
-PRIOR_LEAST, PRIOR_MOST = 2.0, 1e6
+PRIOR_LEAST, PRIOR_MOST = 10.0, 1e6
 RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 

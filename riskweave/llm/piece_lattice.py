@@ -240,7 +240,7 @@ def relax_paths(start: np.ndarray, end: np.ndarray, score: np.ndarray, offset: n
     start, end = np.concatenate([start, lone]), np.concatenate([end, lone + 1])
     score = np.concatenate([score, np.full(len(lone), unknown)])
     reach = offset[start] + (end - start)
-    order = np.lexsort((end, reach))
+    order = np.lexsort((start, end, reach))
     start, end, score, reach = start[order], end[order], score[order], reach[order]
     best, back = np.zeros(n + 1), np.arange(-1, n)
     total = np.zeros(n + 1)

@@ -129,7 +129,7 @@ def mix(
     Adds ``source_size``, ``target`` (of its source), ``taken`` (words, repeats counted) and
     ``shards`` (one entry for each time the document is taken, at most ``most`` times). A source is
     taken whole as often as its target holds it; the rest is the documents at the front of its
-    permutation up to the target, and one more if that comes nearer. Null sources are a source, null
+    permutation up to the target, and one more if that comes nearer (none of no words). Null sources are a source, null
     sizes count as 0, null ids hash alike, repeated rows are documents of their own. The same
     input gives the same result. An empty table gives an empty table.
     """
@@ -184,11 +184,11 @@ def mix(
     ahead = Window.partitionBy("pos", "block").orderBy("u", "doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
     ordered = rows.withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     end = F.col("before") + F.col("ahead") + F.col("size")
-    chosen = freeze(ordered.join(dealt, ["pos", "block"]).withColumn("inside", end <= F.col("part")))
-    cut = chosen.where("before < part").join(blocks.groupBy("pos").agg(F.max(F.when(F.col("before") < F.col("part"), F.col("block"))).alias("block")), ["pos", "block"])
-    short = cut.groupBy("pos").agg(
-        F.min(F.col("part") - F.when(F.col("inside"), end).otherwise(F.col("before"))).alias("short")
-    )
+    chosen = freeze(ordered.join(dealt, ["pos", "block"]).withColumn("inside", (end <= F.col("part")) & (F.col("size") > 0)))
+    last = blocks.where("before < part").groupBy("pos").agg(F.max("block").alias("block"))
+    cut = chosen.join(last, ["pos", "block"])
+    reached = F.when(F.col("inside"), end).otherwise(F.col("before"))
+    short = cut.groupBy("pos").agg(F.min(F.col("part") - reached).alias("short"))
     off = F.abs(F.col("size") - F.col("short"))
     more = (
         cut.where("not inside")

@@ -105,8 +105,8 @@ def _prior_weight(index: Index, offsets: np.ndarray, term: np.ndarray, count: np
     for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
         if b > a:
             votes[i] = _votes(index, *index.nearest(term[a:b], count[a:b], NEIGHBOURS, i))
-    loss = []
-    for weight in PRIOR_WEIGHTS:
+    loss = [0.0] if not index.n else []
+    for weight in PRIOR_WEIGHTS if index.n else ():
         p = np.clip((votes[:, 0] + weight * prior) / (votes[:, 1] + weight), 1e-6, 1 - 1e-6)
         loss.append(-np.mean(np.where(index.label == 1, np.log(p), np.log(1 - p))))
     return PRIOR_WEIGHTS[int(np.argmin(loss))]

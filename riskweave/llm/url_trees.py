@@ -34,8 +34,9 @@ FEATURES = (
     "fragment",
     "secure",
     "suffix_log_count",
-    "suffix_blocked",
-    "suffix_labelled",
+    "suffix_length",
+    "suffix_depth",
+    "suffix_digit_ratio",
 )
 
 
@@ -125,17 +126,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", train
     known = placed.join(ruled(addresses, rules), ["host", "path"], "left")
     blocked = (F.col("listed") == "block").cast("double")
     rows = lexical(known.select("url", "host", "path", blocked.alias("label")))
-    suffixes = freeze(
-        rows.groupBy("suffix").agg(
-            F.log2(F.count("*") + 1).alias("suffix_log_count"),
-            ((F.coalesce(F.sum("label"), F.lit(0.0)) + 1) / (F.count("label") + 2)).alias("suffix_blocked"),
-            (F.count("label") / F.count("*")).alias("suffix_labelled"),
-            F.count("label").alias("n"),
-            F.sum("label").alias("blocked"),
-        )
+    statistics = rows.groupBy("suffix").agg(
+        F.log2(F.count("*") + 1).alias("suffix_log_count"),
+        F.avg("length").alias("suffix_length"),
+        F.avg("depth").alias("suffix_depth"),
+        F.avg("digit_ratio").alias("suffix_digit_ratio"),
     )
-    n, k = suffixes.agg(F.sum("n"), F.sum("blocked")).first()
-    statistics = suffixes.drop("n", "blocked")
+    statistics = freeze(statistics)
+    n, k = rows.agg(F.count("label"), F.sum("label")).first()
     if n and 0 < k < n:
         place = F.pmod(F.xxhash64("host", "path"), F.lit(1_000_000))
         labelled = rows.where(F.col("label").isNotNull() & (place < 1_000_000 * min(1.0, train_rows / n)))
