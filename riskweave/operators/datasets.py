@@ -5,26 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.frames import DAY, HOUR, MINUTE, add, prior, prior_count
-from riskweave.operators.features import ACTIVITY_SPAN, PROFILE_SINCE, vector, with_baseline
-from riskweave.operators.history import GROUP, HISTORY_LIMIT, candidates, history_frame
+from riskweave.functions.frames import DAY, HOUR, KEYS, MINUTE, add, prior
+from riskweave.operators.features import vector, with_baseline
+from riskweave.operators.history import (
+    ACTIVITY_SPAN,
+    GROUP,
+    HISTORY_LIMIT,
+    candidates,
+    history_frame,
+)
+
+
+def replay_frame(labeled: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
+    """History groups deep enough to hold ``limit + 1`` rows that had arrived, if there are so many.
+
+    Every row had arrived once the longest delay has passed, so only rows of that last stretch take
+    up places in vain. Cells of that length are counted (partial sums); a stretch meets two.
+    """
+    late = labeled.agg(F.max(F.col("available_us") - F.col("us"))).first()[0] or 0
+    if late <= 0:
+        room = 0
+    else:
+        cells = labeled.groupBy(*KEYS, F.floor(F.col("us") / late).alias("cell")).count()
+        room = 2 * (cells.agg(F.max("count")).first()[0] or 0)
+    return history_frame(labeled, limit + room, {"profile_since": f"min({ARRIVED})"}, refuse=False)
 
 
-def with_known_activity(frame: DataFrame, limit: int) -> DataFrame:
-    """Activity columns from the prior rows that had arrived before the candidate did.
+#: When a baseline row is both admitted and known to have happened.
+ARRIVED = "CASE WHEN admitted_us IS NOT NULL THEN greatest(admitted_us, available_us) END"
 
-    Rows that arrive late take up places in the visible history, so twice the limit is kept
-    visible. A candidate with more in-time rows than that is refused like one over the limit.
-    """
+
+def with_known_activity(frame: DataFrame) -> DataFrame:
+    """Activity columns from the prior rows that had arrived before the candidate did."""
     row = "named_struct('us', us, 'av', available_us, 'r', recipient_id, 'd', device_id)"
     visible = f"collect_list(CASE WHEN is_history THEN {row} END) {prior(ACTIVITY_SPAN, *GROUP)}"
-    frame = add(frame, _rows=visible, _in_time=prior_count("is_history", ACTIVITY_SPAN, *GROUP))
+    frame = add(frame, _rows=visible)
     kept = [c for c in frame.columns if c != "_rows"]
     frame = frame.selectExpr(*kept, "filter(_rows, p -> p.av < available_us) AS _known")
     same = "filter(_known, p -> p.r = recipient_id)"
     frame = add(
         frame,
-        n_activity=f"CASE WHEN _in_time > {2 * limit} THEN _in_time ELSE size(_known) END",
+        n_activity="size(_known)",
         n_5m=f"size(filter(_known, p -> p.us > us - {5 * MINUTE}))",
         n_10m=f"size(filter(_known, p -> p.us > us - {10 * MINUTE}))",
         n_60m=f"size(filter(_known, p -> p.us > us - {HOUR}))",
@@ -39,7 +60,7 @@ def with_known_activity(frame: DataFrame, limit: int) -> DataFrame:
     )
     return add(
         frame, last_device="CASE WHEN size(_devices) = 1 THEN get(_devices, 0) END"
-    ).drop("_known", "_devices", "_in_time")
+    ).drop("_known", "_devices")
 
 
 CLOCKS = ("available_us", "label_available_us", "label")
@@ -47,8 +68,8 @@ CLOCKS = ("available_us", "label_available_us", "label")
 
 def prepare(labeled: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     """The feature vector of every event as it could be known when the event arrived."""
-    frame = history_frame(labeled, 2 * limit, PROFILE_SINCE)
-    frame = with_baseline(with_known_activity(frame, limit))
+    frame = with_known_activity(replay_frame(labeled, limit))
+    frame = with_baseline(frame, seen=ARRIVED)
     return vector(candidates(frame), limit, CLOCKS)
 
 

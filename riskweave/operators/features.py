@@ -23,10 +23,17 @@ from riskweave.functions.frames import (
     prior_count,
     prior_sum,
 )
-from riskweave.operators.history import GROUP, HISTORY_LIMIT, candidates, history_frame
+from riskweave.operators.history import (
+    ACTIVITY_SPAN,
+    GROUP,
+    HISTORY_LIMIT,
+    bounded,
+    candidates,
+    history_frame,
+)
+from riskweave.operators.rolling import rolling_statistics
 from riskweave.schemas import FEATURE_NAMES, FEATURE_VERSION
 
-ACTIVITY_SPAN = 180 * DAY
 MINIMUM_HISTORY = 5
 KEYS_OUT = ("customer_id", "currency", "us")
 
@@ -38,14 +45,17 @@ def activity_frame(tx: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
 def with_velocity(frame: DataFrame) -> DataFrame:
     """Prior rows in 5, 10, 60 minutes and 180 days, and the last earlier instant."""
     frame = add(
+        frame,
+        n_activity=prior_count("is_history", ACTIVITY_SPAN, *GROUP),
+        _last=f"max(CASE WHEN is_history THEN us END) {before(*GROUP)}",
+    )
+    frame = bounded(
         frame,
         n_5m=prior_count("is_history", 5 * MINUTE, *GROUP),
         n_10m=prior_count("is_history", 10 * MINUTE, *GROUP),
         n_60m=prior_count("is_history", HOUR, *GROUP),
-        n_activity=prior_count("is_history", ACTIVITY_SPAN, *GROUP),
-        _last=f"max(CASE WHEN is_history THEN us END) {before(*GROUP)}",
     )
-    return add(
+    return bounded(
         frame, last_us=f"CASE WHEN _last > us - {ACTIVITY_SPAN} THEN _last END"
     ).drop("_last")
 
@@ -53,13 +63,14 @@ def with_velocity(frame: DataFrame) -> DataFrame:
 def with_recipient_history(frame: DataFrame) -> DataFrame:
     """Prior rows to the same recipient: count in one hour, earliest instant in 180 days."""
     group = (*GROUP, "recipient_id")
-    return add(
+    frame = bounded(
         frame,
         n_recipient_60m=prior_count("is_history", HOUR, *group),
         first_recipient_us=(
             f"min(CASE WHEN is_history THEN us END) {prior(ACTIVITY_SPAN, *group)}"
         ),
     )
+    return frame
 
 
 def with_last_device(frame: DataFrame) -> DataFrame:
@@ -71,7 +82,7 @@ def with_last_device(frame: DataFrame) -> DataFrame:
     frame = add(
         frame, _at=f"last(CASE WHEN is_history THEN {at_last} END, true) {before(*GROUP)}"
     )
-    return add(
+    return bounded(
         frame, last_device=f"CASE WHEN _at.us > us - {ACTIVITY_SPAN} THEN _at.device END"
     ).drop("_low", "_high", "_at")
 
@@ -80,7 +91,7 @@ def with_device_recency(frame: DataFrame) -> DataFrame:
     """Whether the candidate's device occurs in its activity."""
     latest = f"max(CASE WHEN is_history THEN us END) {before(*GROUP, 'device_id')}"
     frame = add(frame, _same=latest)
-    return add(frame, device_seen=f"coalesce(_same > us - {ACTIVITY_SPAN}, false)").drop("_same")
+    return bounded(frame, device_seen=f"coalesce(_same > us - {ACTIVITY_SPAN}, false)").drop("_same")
 
 
 def with_device_history(frame: DataFrame) -> DataFrame:
@@ -95,50 +106,37 @@ def baseline_frame(tx: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     return history_frame(tx, limit, PROFILE_SINCE)
 
 
-def with_baseline(frame: DataFrame, long_days: int = 180, short_days: int = 30) -> DataFrame:
-    """Exact statistics of the rows admitted before each candidate."""
+def with_baseline(
+    frame: DataFrame, long_days: int = 180, short_days: int = 30, seen: str = "admitted_us"
+) -> DataFrame:
+    """Exact statistics of the rows that each candidate's baseline held at its own time.
+
+    A row is held from ``seen`` (when it was admitted, or later if it was only known later); a row
+    admitted after the candidate does not count, whenever it happened. Window columns are added
+    before this: its pass keeps the groups where they are, but Spark cannot know that.
+    """
     if not 0 < short_days <= long_days <= 180:
         raise ValueError("windows must satisfy 0 < short <= long <= 180 days")
-    exists = "(profile_since < us OR (profile_since = us AND NOT coalesce(admitted_us = us, false)))"
+    exists = f"(profile_since < us OR (profile_since = us AND NOT coalesce({seen} = us, false)))"
     frame = add(
         frame,
         profile_missing=f"NOT coalesce({exists}, false)",
         local_hour=local_hour("us", "timezone"),
-        _cents="CASE WHEN is_history AND admitted_us IS NOT NULL THEN cents END",
-    )
-    span = long_days * DAY
-    by_hour = (
-        prior_count(f"_cents IS NOT NULL AND local_hour = {h}", span, *GROUP) for h in range(24)
+        seen_us=seen,
     )
-    frame = add(
-        frame,
-        _long=f"collect_list(_cents) {prior(span, *GROUP)}",
-        _short=f"collect_list(_cents) {prior(short_days * DAY, *GROUP)}",
-        sum_long=prior_sum("_cents", span, *GROUP),
-        hour_counts=f"array({', '.join(by_hour)})",
-    )
-    frame = _order_statistics(frame)
-    known = prior_count("_cents IS NOT NULL", span, *GROUP, "recipient_id")
-    return add(frame, n_known_recipient=known).drop("_cents")
-
-
-def _order_statistics(frame: DataFrame) -> DataFrame:
-    columns = [c for c in frame.columns if c not in ("_long", "_short")]
-    none = "CASE WHEN NOT profile_missing THEN"
-    frame = frame.selectExpr(
-        *columns,
-        f"coalesce({none} sort_array(_long) END, array()) AS _long",
-        f"coalesce({none} sort_array(_short) END, array()) AS _short",
+    frame = rolling_statistics(frame, long_days * DAY, short_days * DAY).drop("seen_us")
+    held = "CASE WHEN NOT history_limit_exceeded AND NOT profile_missing THEN"
+    values = {
+        "n_long": "CASE WHEN NOT history_limit_exceeded THEN IF(profile_missing, 0, n_long) END",
+        "n_short": "CASE WHEN NOT history_limit_exceeded THEN IF(profile_missing, 0, n_short) END",
+        "sum_long": "CASE WHEN NOT history_limit_exceeded THEN sum_long END",
+        "hour_counts": "CASE WHEN NOT history_limit_exceeded THEN hour_counts END",
+        "n_known_recipient": "CASE WHEN NOT history_limit_exceeded THEN n_known_recipient END",
+        **{k: f"{held} {k} END" for k in ("median2_long", "median2_short", "p95_long", "mad4_long")},
+    }
+    return frame.selectExpr(
+        *(f"{values[c]} AS {c}" if c in values else f"`{c}`" for c in frame.columns)
     )
-    frame = add(
-        frame,
-        n_long="size(_long)",
-        n_short="size(_short)",
-        median2_long=amounts.median2("_long"),
-        median2_short=amounts.median2("_short"),
-        p95_long=amounts.p95("_long"),
-    ).drop("_short")
-    return add(frame, mad4_long=amounts.mad4("_long", "median2_long")).drop("_long")
 
 
 def typical_hours(counts: str, n: str, minimum: int = 2) -> str:
@@ -262,8 +260,8 @@ def behavior_v1(
     ``keep`` names more columns to pass through (intermediate statistics included).
     """
     frame = with_last_device(with_velocity(baseline_frame(tx, limit)))
-    frame = with_baseline(frame, long_days, short_days)
     frame = with_device_recency(with_recipient_history(frame))
+    frame = with_baseline(frame, long_days, short_days)
     return vector(candidates(frame), limit, keep)
 
 

@@ -20,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.functions.frames import HOUR, KEYS
+from riskweave.functions.frames import DAY, HOUR, KEYS, add, prior_count
 
 HISTORY_LIMIT = 10_000
+ACTIVITY_SPAN = 180 * DAY
 BROADCAST_KEYS = 100_000
 
 GROUP = (*KEYS, "chunk")
@@ -114,12 +115,17 @@ def _chunked(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def history_frame(
-    rows: DataFrame, depth: int = HISTORY_LIMIT, extras: dict[str, str] | None = None
+    rows: DataFrame,
+    depth: int = HISTORY_LIMIT,
+    extras: dict[str, str] | None = None,
+    refuse: bool = True,
 ) -> DataFrame:
     """Rows with ``chunk``, ``is_candidate`` and ``is_history``, shuffled once by :data:`GROUP`.
 
     ``depth`` is the number of prior rows that must stay visible. ``extras`` are whole-key
-    aggregates (for example the first time a profile existed) added as columns.
+    aggregates (for example the first time a profile existed) added as columns. With ``refuse``,
+    ``history_limit_exceeded`` marks candidates with more prior rows than that, and
+    :func:`bounded` columns are NULL for them, so no operator can return a value from a cut history.
     """
     extras = extras or {}
     short, long = split_by_length(rows, depth, extras)
@@ -131,9 +137,18 @@ def history_frame(
         missing = {name: F.lit(None) for name in extras}
         whole = whole.withColumns(missing) if extras else whole
         whole = whole.unionByName(chunks.select(*whole.columns))
-    # With one chunk per key the first window's own shuffle serves all others.
-    framed = whole if long is None else whole.repartition(*GROUP)
-    return framed.withColumns(_whole_key(extras, long is not None)) if extras else framed
+    framed = whole.repartition(*GROUP)
+    framed = framed.withColumns(_whole_key(extras, long is not None)) if extras else framed
+    seen = prior_count("is_history", ACTIVITY_SPAN, *GROUP)
+    return add(framed, history_limit_exceeded=f"{seen} > {depth}" if refuse else "false")
+
+
+def bounded(frame: DataFrame, **columns: str) -> DataFrame:
+    """Adds SQL expressions as columns, NULL where the history is refused."""
+    return add(
+        frame,
+        **{k: f"CASE WHEN NOT history_limit_exceeded THEN {v} END" for k, v in columns.items()},
+    )
 
 
 def _whole_key(extras: dict[str, str], partly: bool) -> dict[str, Column]:

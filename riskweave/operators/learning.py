@@ -67,8 +67,13 @@ def gate_action(reason: str) -> str:
 
 
 def gate_static(rows: DataFrame) -> DataFrame:
-    """Decides every row against the baseline columns it already carries."""
-    rows = add(rows, reason=gate_reason("verdict", "n_long", "median2_long"))
+    """Decides every row against the baseline columns it already carries.
+
+    Where the history was refused there was no evaluation, so no verdict can have come from one.
+    """
+    refused = "history_limit_exceeded" in rows.columns
+    verdict = "(CASE WHEN NOT history_limit_exceeded THEN verdict END)" if refused else "verdict"
+    rows = add(rows, reason=gate_reason(verdict, "n_long", "median2_long"))
     return add(rows, action=gate_action("reason"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.frames import DAY, micros
 from riskweave.operators import datasets, features, metrics, models
 from riskweave.plans import oracle as o
+from riskweave.plans.scoring import LOW_LIMIT, refused
 from riskweave.plans.registry import query
 from riskweave.schemas import FEATURE_NAMES
 from riskweave.sources import driver_tables as d
@@ -26,9 +27,10 @@ KNOWN = f"""known AS (
   FROM labeled e LEFT JOIN labeled p ON p.customer_id = e.customer_id AND p.currency = e.currency
     AND p.us < e.us AND p.us > e.us - {180 * o.DAY} AND p.available_us < e.available_us
   GROUP BY 1)"""
-LABELED_BASELINE = o.BASELINE.replace(
-    "FROM admitted),", "FROM labeled),", 1
-).replace(o.ADMITTED, o.LABELED)
+ARRIVED = "CASE WHEN p.admitted_us IS NOT NULL THEN greatest(p.admitted_us, p.available_us) END"
+LABELED_BASELINE = o.BASELINE.replace(o.ADMITTED, o.LABELED).replace(
+    o.held("admitted", "p.admitted_us"), o.held("labeled", ARRIVED)
+)
 PREPARED = f"""{LABELED_BASELINE}, {KNOWN},
 lastd AS (SELECT k.transaction_id, CASE WHEN min(p.device_id) = max(p.device_id)
     THEN min(p.device_id) END AS last_device
@@ -47,8 +49,7 @@ f AS (
       CAST(n60 AS INTEGER) AS transactions_last_hour, first_r AS first_recipient_us, last_us FROM known""",
 )
 def bitemporal_activity(spark, sf):
-    frame = features.history_frame(d.labeled(spark, sf), 2 * features.HISTORY_LIMIT)
-    known = datasets.with_known_activity(frame, features.HISTORY_LIMIT)
+    known = datasets.with_known_activity(datasets.replay_frame(d.labeled(spark, sf)))
     return features.candidates(known).selectExpr(
         "transaction_id",
         "n_activity AS activity_history_count",
@@ -58,6 +59,25 @@ def bitemporal_activity(spark, sf):
     )
 
 
+@query(
+    "q_prepare_limited",
+    f"""WITH {PREPARED} SELECT {refused(("activity_history_count", "long_history_count",
+      "amount_vs_customer_median", "recipient_observed_age_days", "device_changed"),
+      "CAST(activity_history_count AS BIGINT)")} FROM f""",
+)
+def prepare_limited(spark, sf):
+    prepared = datasets.prepare(d.labeled(spark, sf), LOW_LIMIT)
+    return prepared.select(
+        "transaction_id",
+        "history_limit_exceeded",
+        "activity_history_count",
+        "long_history_count",
+        "amount_vs_customer_median",
+        "recipient_observed_age_days",
+        "device_changed",
+    )
+
+
 @query(
     "q_prepare",
     f"""WITH {PREPARED} SELECT *, 'behavior-v1' AS feature_version,

@@ -159,15 +159,14 @@ PINNED = 20
 @query(
     "q_case_update",
     f"""WITH {o.REVISIONS}, adm20 AS (
-      SELECT a.* REPLACE (CASE WHEN admitted_version <= {PINNED} THEN a.us END AS admitted_us)
+      SELECT a.* REPLACE (CASE WHEN admitted_version <= {PINNED} THEN a.admitted_us END AS admitted_us)
       FROM admitted a LEFT JOIN (SELECT transaction_id, admitted_version FROM nobs) n
         USING (transaction_id)),
-    w AS (SELECT *, list_sort(list(cents) FILTER (WHERE admitted_us IS NOT NULL)
-        OVER {o.frame(o.KEYS, 180 * o.DAY)}) AS al FROM adm20),
+    {o.held("adm20", "p.admitted_us")}
     b AS (SELECT w.*, coalesce(len(al), 0) AS n,
         CASE WHEN len(al) > 0 THEN al[(len(al) + 1) // 2] + al[len(al) // 2 + 1] END AS m2,
         p.version, p.verified, p.as_of_us, CASE WHEN device_id = 'click' THEN 19 ELSE 20 END AS cv
-      FROM w LEFT JOIN (SELECT * FROM rev WHERE version = {PINNED}) p USING (customer_id, currency)
+      FROM b0 w LEFT JOIN (SELECT * FROM rev WHERE version = {PINNED}) p USING (customer_id, currency)
       WHERE verdict IN ('LEGITIMATE', 'CONFIRMED_FRAUD')),
     r AS (SELECT *, CASE WHEN verdict = 'CONFIRMED_FRAUD' THEN 'CONFIRMED_FRAUD'
         WHEN version IS NULL THEN 'COLD_START_REQUIRES_BOOTSTRAP'

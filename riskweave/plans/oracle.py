@@ -42,7 +42,8 @@ ADMITTED = (
     + ", "
     + CUSTOMERS
     + """, admitted AS (
-  SELECT reviewed.*, CASE WHEN verdict = 'LEGITIMATE' THEN us END AS admitted_us,
+  SELECT reviewed.*, CASE WHEN verdict = 'LEGITIMATE'
+           THEN us + CAST(recipient_id % 5 AS BIGINT) * 21600000000 END AS admitted_us,
          coalesce(cust.timezone, 'UTC') AS timezone
   FROM reviewed LEFT JOIN cust USING (customer_id)),
 obs AS (SELECT * FROM admitted WHERE admitted_us IS NOT NULL)"""
@@ -73,20 +74,32 @@ KEYS = "customer_id, currency"
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
 
-# Baselines: sorted admitted cents inside the long and short windows of each row.
+# Baselines: sorted admitted cents inside the long and short windows of each row. A row counts from
+# the time it was admitted; ``seen`` is that time.
+
+
+def held(source: str, seen: str, span: int = 30 * DAY) -> str:
+    return f"""b0 AS (
+  SELECT c.*, s.since, {seen.replace("p.", "c.")} AS own_seen, w.al, w.ash, w.hl,
+    coalesce(w.known, 0) AS known
+  FROM {source} c
+  JOIN (SELECT {KEYS}, min({seen.replace("p.", "")}) AS since FROM {source} GROUP BY ALL) s
+    USING ({KEYS})
+  LEFT JOIN (
+    SELECT c.transaction_id, list_sort(list(p.cents)) AS al,
+      list_sort(list(p.cents) FILTER (WHERE p.us > c.us - {span})) AS ash,
+      list({hour_of("p.us", "p.timezone")}) AS hl,
+      count(*) FILTER (WHERE p.recipient_id = c.recipient_id) AS known
+    FROM {source} c JOIN {source} p ON p.customer_id = c.customer_id AND p.currency = c.currency
+      AND p.us < c.us AND p.us > c.us - {180 * DAY} AND {seen} <= c.us
+    GROUP BY 1) w USING (transaction_id)),"""
+
+
 BASELINE = (
     ADMITTED
-    + f""", b0 AS (
-  SELECT *, min(admitted_us) OVER (PARTITION BY {KEYS}) AS since,
-    list_sort(list(cents) FILTER (WHERE admitted_us IS NOT NULL) OVER {frame(KEYS, 180 * DAY)}) AS al,
-    list_sort(list(cents) FILTER (WHERE admitted_us IS NOT NULL) OVER {frame(KEYS, 30 * DAY)}) AS ash,
-    list({hour_of("us", "timezone")}) FILTER (WHERE admitted_us IS NOT NULL)
-      OVER {frame(KEYS, 180 * DAY)} AS hl,
-    count(*) FILTER (WHERE admitted_us IS NOT NULL)
-      OVER {frame(KEYS + ", recipient_id", 180 * DAY)} AS known
-  FROM admitted),
+    + f""", {held("admitted", "p.admitted_us")}
 b1 AS (
-  SELECT *, NOT coalesce(since < us OR (since = us AND admitted_us IS NULL), false) AS pm,
+  SELECT *, NOT coalesce(since < us OR (since = us AND own_seen IS DISTINCT FROM us), false) AS pm,
     coalesce(len(al), 0) AS nl, coalesce(len(ash), 0) AS ns FROM b0),
 b2 AS (
   SELECT *, CASE WHEN nl > 0 THEN al[(nl + 1) // 2] + al[nl // 2 + 1] END AS med2,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.frames import DAY, KEYS
 from riskweave.operators import features, profiles
 from riskweave.plans import oracle as o
+from riskweave.plans.scoring import LOW_LIMIT, refused
 from riskweave.plans.registry import query
 from riskweave.sources import driver_tables as d
 
@@ -102,6 +103,26 @@ def candidate_baseline(spark, sf):
     )
 
 
+BASELINE_COLUMNS = ("n_long", "n_short", "median2_long", "mad4_long", "p95_long")
+
+
+@query(
+    "q_candidate_baseline_limited",
+    f"""WITH {o.BASELINE}, v AS (
+      SELECT transaction_id, count(*) OVER {o.frame(o.KEYS, 180 * o.DAY)} AS na,
+        CASE WHEN pm THEN 0 ELSE nl END::INTEGER AS n_long,
+        CASE WHEN pm THEN 0 ELSE ns END::INTEGER AS n_short,
+        CASE WHEN NOT pm THEN med2 END AS median2_long, CASE WHEN NOT pm THEN mad4 END AS mad4_long,
+        CASE WHEN NOT pm THEN p95 END AS p95_long FROM b)
+    SELECT {refused(BASELINE_COLUMNS)} FROM v""",
+)
+def candidate_baseline_limited(spark, sf):
+    frame = features.with_baseline(features.baseline_frame(d.admitted(spark, sf), LOW_LIMIT))
+    return features.candidates(frame).select(
+        "transaction_id", "history_limit_exceeded", *BASELINE_COLUMNS
+    )
+
+
 @query(
     "q_profile_head",
     f"""WITH {o.REVISIONS} SELECT customer_id, currency, version, as_of_us, timezone, verified

@@ -10,9 +10,11 @@ from riskweave.plans.registry import query
 from riskweave.schemas import FEATURE_NAMES
 from riskweave.sources import driver_tables as d
 
-def _pick(frame, names):
+def _pick(frame, names, *more):
+    """Features of every candidate; NULL where the history is refused."""
+    kept = "CASE WHEN NOT history_limit_exceeded THEN"
     return features.candidates(frame).selectExpr(
-        "transaction_id", *(f"{features.FEATURES[name]} AS {name}" for name in names)
+        "transaction_id", *more, *(f"{kept} {features.FEATURES[name]} END AS {name}" for name in names)
     )
 
 
@@ -36,7 +38,7 @@ def hour_features(spark, sf):
 
 @query(
     "q_short_window_ratio",
-    f"""WITH {o.BASELINE.replace(f"{30 * o.DAY - 1} PRECEDING", f"{7 * o.DAY - 1} PRECEDING")}
+    f"""WITH {o.BASELINE.replace(f"c.us - {30 * o.DAY})", f"c.us - {7 * o.DAY})")}
     SELECT transaction_id, CAST(ns AS DOUBLE) AS short_history_count,
       CASE WHEN nl >= 5 AND ns >= 5 THEN CAST(smed2 AS DOUBLE) / CAST(med2 AS DOUBLE) ELSE 0.0 END
         AS short_term_vs_long_term_amount_ratio,
@@ -71,27 +73,53 @@ DEVICE_SQL = """CASE WHEN last_device IS NOT NULL AND device_id <> last_device T
   coalesce(CAST(us - last_us AS DOUBLE) / 86400000000.0, 0.0) AS days_since_last_transfer"""
 
 
-def _recipient(tx):
-    return _pick(
-        features.with_recipient_history(features.activity_frame(tx)),
-        (
-            "recipient_transactions_last_hour",
-            "recipient_observed_age_days",
-            "recipient_activity_missing",
-        ),
-    )
+RECIPIENT_COLUMNS = (
+    "recipient_transactions_last_hour",
+    "recipient_observed_age_days",
+    "recipient_activity_missing",
+)
+DEVICE_COLUMNS = (
+    "device_changed",
+    "device_change_missing",
+    "device_not_seen_before",
+    "days_since_last_transfer",
+)
 
 
-def _device(tx):
-    return _pick(
-        features.with_device_history(features.with_velocity(features.activity_frame(tx))),
-        (
-            "device_changed",
-            "device_change_missing",
-            "device_not_seen_before",
-            "days_since_last_transfer",
-        ),
-    )
+def _recipient(tx, *more, limit=features.HISTORY_LIMIT):
+    frame = features.with_recipient_history(features.activity_frame(tx, limit))
+    return _pick(frame, RECIPIENT_COLUMNS, *more)
+
+
+def _device(tx, *more, limit=features.HISTORY_LIMIT):
+    frame = features.with_device_history(features.with_velocity(features.activity_frame(tx, limit)))
+    return _pick(frame, DEVICE_COLUMNS, *more)
+
+
+# A limit that many candidates pass, so that refusals are compared too.
+LOW_LIMIT = 20
+
+
+def refused(columns, n: str = "na", limit: int = LOW_LIMIT) -> str:
+    values = ", ".join(f"CASE WHEN {n} <= {limit} THEN {c} END AS {c}" for c in columns)
+    return f"transaction_id, {n} > {limit} AS history_limit_exceeded, {values}"
+
+
+def _limited(columns_sql: str, columns) -> str:
+    return f"""WITH {o.TX}, act AS (SELECT *, {o.ACTIVITY_COLUMNS} FROM tx), {o.LAST_DEVICE},
+    v AS (SELECT transaction_id, na, {columns_sql}
+      FROM act LEFT JOIN inst USING (customer_id, currency, last_us))
+    SELECT {refused(columns)} FROM v"""
+
+
+@query("q_recipient_age_limited", _limited(RECIPIENT_SQL, RECIPIENT_COLUMNS))
+def recipient_age_limited(spark, sf):
+    return _recipient(d.transactions(spark, sf), "history_limit_exceeded", limit=LOW_LIMIT)
+
+
+@query("q_device_limited", _limited(DEVICE_SQL, DEVICE_COLUMNS))
+def device_limited(spark, sf):
+    return _device(d.transactions(spark, sf), "history_limit_exceeded", limit=LOW_LIMIT)
 
 
 @query("q_recipient_age", _activity(o.TX, RECIPIENT_SQL))
@@ -306,8 +334,8 @@ def decision_bands(spark, sf):
 
 
 SEQUENCE_SQL = f"""WITH {o.BASELINE.replace(
-    "FROM admitted),",
-    "FROM (SELECT * REPLACE (recipient_id // 10 AS recipient_id) FROM admitted)),",
+    o.held("admitted", "p.admitted_us"),
+    o.held("(SELECT * REPLACE (recipient_id // 10 AS recipient_id) FROM admitted)", "p.admitted_us"),
 )},
 q0 AS (
   SELECT *, list_sort(list({{'us': us, 'id': CAST(transaction_id AS VARCHAR), 'c': cents}})

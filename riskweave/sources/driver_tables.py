@@ -117,10 +117,13 @@ def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transactions with the time they joined the baseline and the customer's zone."""
+    """Transactions with the time they joined the baseline (often hours later) and the zone."""
     return (
         reviewed(spark, sf_dir)
-        .withColumn("admitted_us", F.when(F.col("verdict") == "LEGITIMATE", F.col("us")))
+        .withColumn(
+            "admitted_us",
+            F.when(F.col("verdict") == "LEGITIMATE", F.col("us") + F.col("recipient_id") % 5 * (DAY // 4)),
+        )
         .join(customers(spark, sf_dir).select("customer_id", "timezone"), "customer_id", "left")
         .withColumn("timezone", F.coalesce("timezone", F.lit("UTC")))
     )

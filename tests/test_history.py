@@ -146,3 +146,50 @@ def test_statistics_of_long_keys(spark):
     left = profiles.window_statistics(rows, as_of, windows)
     right = profiles.window_statistics(rows, as_of, windows, limit=1)
     assert left.exceptAll(right.select(*left.columns)).isEmpty()
+
+
+def test_later_admissions_do_not_count(spark):
+    """One row admitted on day 0, five on day 100: a candidate of day 10 sees one."""
+    base = 1_700_000_000_000_000
+    early = [(i, 1, "KZT", base + i * DAY, 100 + i, 1, "phone", None, "UTC") for i in range(6)]
+    rows = [r[:7] + (base if r[0] == 0 else base + 100 * DAY, "UTC") for r in early]
+    rows.append((9, 1, "KZT", base + 10 * DAY, 500, 1, "phone", None, "UTC"))
+    found = features.behavior_v1(spark.createDataFrame(rows, TX_SCHEMA)).filter("transaction_id = 9")
+    row = found.first()
+    assert (row.long_history_count, row.baseline_insufficient) == (1, 1)
+
+
+def test_no_value_from_a_cut_history(spark):
+    rows = spark.createDataFrame(rows_of(29, 120, 20 * DAY), TX_SCHEMA)
+    frame = features.with_velocity(features.with_device_recency(features.activity_frame(rows, 10)))
+    frame = features.with_last_device(features.with_recipient_history(frame))
+    found = features.candidates(features.with_baseline(frame.withColumn("profile_since", F.lit(0))))
+    beyond = found.filter("history_limit_exceeded")
+    assert beyond.count() > 50
+    for name in ("n_60m", "first_recipient_us", "last_device", "device_seen", "n_long", "median2_long", "sum_long"):
+        assert beyond.filter(F.col(name).isNotNull()).isEmpty(), name
+
+
+def test_rolling_statistics_by_definition(spark):
+    import statistics
+
+    rows = rows_of(31, 200, 250 * DAY)
+    rows = [(*r[:7], None if i % 4 == 0 else r[3] + (i % 7) * DAY, r[8]) for i, r in enumerate(rows)]
+    frame = features.with_baseline(features.baseline_frame(spark.createDataFrame(rows, TX_SCHEMA)), 60, 9)
+    for row in features.candidates(frame).collect():
+        held = [
+            r[4]
+            for r in rows
+            if r[1:3] == (row.customer_id, row.currency)
+            and row.us - 60 * DAY < r[3] < row.us
+            and r[7] is not None
+            and r[7] <= row.us
+        ]
+        if not row.profile_missing:
+            assert row.n_long == len(held)
+            if held:
+                middle = statistics.median(held)
+                assert row.median2_long == 2 * middle
+                assert row.mad4_long == 4 * statistics.median(abs(v - middle) for v in held)
+                assert row.p95_long == sorted(held)[(95 * len(held) + 99) // 100 - 1]
+                assert row.sum_long == sum(held)
