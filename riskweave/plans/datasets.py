@@ -168,7 +168,8 @@ def class_weights(spark, sf):
 
 @query(
     "q_in_scope",
-    f"WITH {o.ADMITTED} SELECT transaction_id, timezone = 'UTC' AS in_scope FROM admitted",
+    f"""WITH {o.ADMITTED} SELECT transaction_id, timezone = 'UTC' AND currency = 'KZT' AS in_scope
+    FROM admitted""",
 )
 def in_scope(spark, sf):
     return datasets.in_scope(d.admitted(spark, sf)).select("transaction_id", "in_scope")

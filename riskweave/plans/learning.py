@@ -39,18 +39,18 @@ def gate_static(spark, sf):
 
 
 FOLD_SQL = f"""WITH RECURSIVE {o.REVIEWED}, sq AS (
-  SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY us, CAST(transaction_id AS VARCHAR))
+  SELECT *, row_number() OVER (PARTITION BY customer_id, currency ORDER BY us, CAST(transaction_id AS VARCHAR))
       AS rn,
     verdict IS NOT DISTINCT FROM 'LEGITIMATE' AND count(*) FILTER (WHERE verdict = 'LEGITIMATE')
-      OVER (PARTITION BY customer_id ORDER BY us, CAST(transaction_id AS VARCHAR)
+      OVER (PARTITION BY customer_id, currency ORDER BY us, CAST(transaction_id AS VARCHAR)
         ROWS UNBOUNDED PRECEDING) <= 5 AS seed FROM reviewed),
 fold AS (
-  SELECT customer_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(us BIGINT, c BIGINT)[]) AS acc,
+  SELECT customer_id, currency, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(us BIGINT, c BIGINT)[]) AS acc,
     CAST(NULL AS BIGINT) AS transaction_id, '' AS reason, CAST(0 AS BIGINT) AS n,
     CAST(NULL AS BIGINT) AS m2, CAST(0 AS BIGINT) AS version
-  FROM (SELECT DISTINCT customer_id FROM sq)
+  FROM (SELECT DISTINCT customer_id, currency FROM sq)
   UNION ALL
-  SELECT customer_id, rn,
+  SELECT customer_id, currency, rn,
     CASE WHEN reason IN ('TRUSTED_REVIEWED_BOOTSTRAP', 'CONFIRMED_ORDINARY_ACTIVITY')
       THEN list_append(acc, {{'us': us, 'c': cents}}) ELSE acc END, transaction_id, reason, n, m2,
     CASE WHEN reason = 'TRUSTED_REVIEWED_BOOTSTRAP' THEN 1
@@ -61,7 +61,8 @@ fold AS (
         AS m2 FROM (
         SELECT sq.*, fold.acc, fold.version, list_sort(list_transform(list_filter(fold.acc,
           lambda x: x.us > sq.us - {180 * o.DAY}), lambda x: x.c)) AS a
-        FROM fold JOIN sq ON sq.customer_id = fold.customer_id AND sq.rn = fold.rn + 1))))
+        FROM fold JOIN sq ON sq.customer_id = fold.customer_id AND sq.currency = fold.currency
+          AND sq.rn = fold.rn + 1))))
 SELECT transaction_id, reason, n AS n_trusted, m2 AS median2_trusted, {ACTION},
   version AS version_after FROM fold WHERE rn > 0"""
 FOLD_COLUMNS = (
@@ -89,8 +90,8 @@ def gate_fold(spark, sf):
     "sq AS (",
     f"""capped AS (SELECT * EXCLUDE (verdict, k, na),
       CASE WHEN k <= 60 OR na <= 60 THEN verdict END AS verdict FROM (
-      SELECT *, count(*) OVER (PARTITION BY customer_id) AS k,
-        count(*) OVER {o.frame("customer_id", 180 * o.DAY)} AS na FROM reviewed)), sq AS (""",
+      SELECT *, count(*) OVER (PARTITION BY customer_id, currency) AS k,
+        count(*) OVER {o.frame(o.KEYS, 180 * o.DAY)} AS na FROM reviewed)), sq AS (""",
     1,
 ))
 def gate_fold_long_keys(spark, sf):
@@ -213,11 +214,10 @@ el AS (SELECT el0.*, st2.median2, concat_ws(',',
     CASE WHEN NOT uncaptured THEN 'captured_profile' END,
     CASE WHEN reviewers < 2 THEN 'reviewers' END,
     CASE WHEN customer_id IN (SELECT customer_id FROM cust WHERE segment = 'BUILDING')
-      THEN 'existing_profile' END,
+      AND currency = 'KZT' THEN 'existing_profile' END,
     CASE WHEN first_us <= as_of_us - {180 * o.DAY} THEN 'span' END,
     CASE WHEN 2 * largest >= 10 * st2.median2 THEN 'exceptional_amount' END) AS problems
-  FROM el0 JOIN (SELECT customer_id AS c, median2 FROM (SELECT * FROM stx)) st2
-    ON st2.c = el0.customer_id)"""
+  FROM el0 JOIN stx st2 USING (customer_id, currency))"""
 BOOT = BOOT.replace(o.statistics("ts"), o.CUSTOMERS + ", " + o.statistics("ts", "stx"))
 
 
@@ -247,10 +247,10 @@ def bootstrap_eligibility(spark, sf):
 
 @query(
     "q_bootstrap_profile",
-    f"""WITH {BOOT} SELECT ts.customer_id, ts.currency, transaction_id, cents, us, as_of_us,
-      1 AS admitted_version, CAST(row_number() OVER (PARTITION BY ts.customer_id
+    f"""WITH {BOOT} SELECT customer_id, currency, transaction_id, cents, us, as_of_us,
+      1 AS admitted_version, CAST(row_number() OVER (PARTITION BY customer_id, currency
         ORDER BY us, CAST(transaction_id AS VARCHAR)) - 1 AS INTEGER) AS ordinal
-    FROM ts JOIN el ON el.customer_id = ts.customer_id WHERE el.problems = ''""",
+    FROM ts JOIN el USING (customer_id, currency) WHERE el.problems = ''""",
 )
 def bootstrap_profile(spark, sf):
     return learning.bootstrap_observations(*_bootstrap(spark, sf))

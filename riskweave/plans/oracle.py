@@ -5,7 +5,8 @@ from __future__ import annotations
 DAY = 86_400_000_000
 
 TX = """tx AS (
-  SELECT event_id AS transaction_id, user_id AS customer_id, 'KZT' AS currency,
+  SELECT event_id AS transaction_id, user_id AS customer_id,
+         CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 = 4 THEN 'USD' ELSE 'KZT' END AS currency,
          epoch_us(ts) AS us, CAST(round(value * 100) AS BIGINT) AS cents,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS recipient_id,
          event_type AS device_id,

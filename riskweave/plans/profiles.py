@@ -169,9 +169,9 @@ def _view_sql(head: str) -> str:
       CASE WHEN hd.version IS NULL THEN 'UNINITIALIZED' WHEN l.n IS NULL THEN 'EMPTY'
         WHEN l.n < 5 THEN 'INSUFFICIENT_HISTORY' ELSE 'SUFFICIENT_HISTORY' END AS status,
       coalesce(hd.as_of_us > {AS_OF}, false) AS unavailable
-    FROM cust LEFT JOIN hd ON hd.customer_id = cust.customer_id
-      LEFT JOIN l ON l.customer_id = cust.customer_id
-      LEFT JOIN s ON s.customer_id = cust.customer_id"""
+    FROM cust LEFT JOIN hd ON hd.customer_id = cust.customer_id AND hd.currency = 'KZT'
+      LEFT JOIN l ON l.customer_id = cust.customer_id AND l.currency = 'KZT'
+      LEFT JOIN s ON s.customer_id = cust.customer_id AND s.currency = 'KZT'"""
 
 
 VIEW = (
