@@ -8,9 +8,10 @@ each slot is the signature; two slots agree with the probability of the weighted
 similarity. Points are made only up to the time at which all slots have one.
 
 Signatures are cut into bands. Texts that share a band are compared exactly, by the overlap of
-their shingle multisets, first with one text of the band, then, where a band still holds several
-classes, with four times as many, until no two classes of a band are left uncompared. So no
-group is expanded into all its pairs, and no link between texts of different classes is skipped.
+their shingle multisets: first with one text of the band. Where texts that hang together by bands
+are still in several classes, they are sorted by class and length and compared block against block
+inside the tasks, but for blocks of one class, or of lengths that cannot be similar. So no group is
+expanded into rows of pairs, and no link between texts of different classes is skipped.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from riskweave.llm.stars import components
 SHINGLE = 5
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
+#: Shingles of a block of texts that are compared with another block at once.
+BLOCK_ITEMS = 1 << 15
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,22 +160,17 @@ def bags_of(pieces: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 piece, uids = Piece(batch, i), batch.column("uids")[i].as_py()
-                bags = Bags(piece)
+                bags = Bags(piece.only([u & ((1 << ROW_BITS) - 1) for u in uids]))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(uids, pa.int64()),
-                        pa.array([bags.bag(u & ((1 << ROW_BITS) - 1)).tobytes() for u in uids], pa.binary()),
-                    ],
+                    [pa.array(uids, pa.int64()), pa.array([bags.bag(k).tobytes() for k in range(len(uids))], pa.binary())],
                     names=["uid", "bag"],
                 )
 
     return pieces.join(lists, "piece").mapInArrow(unpack, "uid long, bag binary")
 
 
-def links(pieces: DataFrame, pairs: DataFrame, threshold: float, salts: int = 16) -> DataFrame:
+def links(bags: DataFrame, pairs: DataFrame, threshold: float, salts: int = 16) -> DataFrame:
     """Those pairs (``a``, ``b``) whose multisets overlap enough. One ``a`` may be in many pairs."""
-    wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
-    bags = freeze(bags_of(pieces, wanted))
     left = pairs.select("a", F.pmod("b", F.lit(salts)).alias("salt")).distinct()
     left = left.join(bags.withColumnRenamed("uid", "a"), "a")
     right = pairs.join(bags.select(F.col("uid").alias("b"), F.col("bag").alias("other")), "b")
@@ -186,12 +184,76 @@ def links(pieces: DataFrame, pairs: DataFrame, threshold: float, salts: int = 16
                 if min(len(x), len(y)) >= threshold * max(len(x), len(y)):
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                     keep[i] = shared >= threshold * (len(x) + len(y) - shared) - 1e-9
-            kept = batch.select(["a", "b"]).filter(pa.array(keep))
-            yield kept
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return both.select("a", "b", "bag", "other").mapInArrow(compare, "a long, b long")
 
 
+class Block:
+    """Multisets of several documents, as one sorted list of occurrences with their owners."""
+
+    def __init__(self, rows: pa.StructArray):
+        self.uid = rows.field("uid").to_numpy()
+        self.of_class = rows.field("class_uid").to_numpy()
+        bags = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.field("bag")]
+        self.size = np.array([len(x) for x in bags], np.int64)
+        self.item = np.concatenate(bags)
+        self.owner = np.repeat(np.arange(len(bags)), self.size)
+
+
+def overlaps(a: Block, b: Block, columns: int = 8192) -> np.ndarray:
+    """Shared occurrences of each document of one block with each of the other."""
+    shared = np.intersect1d(a.item, b.item)
+    out = np.zeros((len(a.uid), len(b.uid)), np.float32)
+    places = []
+    for block in (a, b):
+        at = np.minimum(np.searchsorted(shared, block.item), max(0, len(shared) - 1))
+        hit = shared[at] == block.item if len(shared) else np.zeros(len(at), bool)
+        places.append((at[hit], block.owner[hit]))
+    for low in range(0, len(shared), columns):
+        sides = []
+        for (at, owner), block in zip(places, (a, b), strict=True):
+            own = (at >= low) & (at < low + columns)
+            side = np.zeros((len(block.uid), min(columns, len(shared) - low)), np.float32)
+            side[owner[own], at[own] - low] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def block_links(bags: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """Links between different classes of a cluster: ``members`` has ``uid, cluster, class_uid``."""
+    sized = members.join(bags.select("uid", (F.octet_length("bag") / 8).cast("long").alias("n")), "uid")
+    running = F.sum("n").over(Window.partitionBy("cluster").orderBy("class_uid", "n", "uid"))
+    placed = freeze(sized.withColumn("block", F.floor((running - 1) / BLOCK_ITEMS)))
+    about = placed.groupBy("cluster", "block").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("class_uid").alias("c"), F.max("class_uid").alias("d")
+    )
+    other = about.toDF("cluster", "block2", "low2", "high2", "c2", "d2")
+    may = (F.col("high") >= threshold * F.col("low2")) & (F.col("high2") >= threshold * F.col("low"))
+    one = (F.col("c") == F.col("d")) & (F.col("c2") == F.col("d2")) & (F.col("c") == F.col("c2"))
+    facing = about.join(other, "cluster").where((F.col("block") <= F.col("block2")) & may & ~one)
+    row = F.struct("uid", "class_uid", "bag")
+    full = placed.join(bags, "uid").groupBy("cluster", "block").agg(F.collect_list(row).alias("left"))
+    joined = (
+        facing.select("cluster", "block", "block2")
+        .join(full, ["cluster", "block"])
+        .join(full.toDF("cluster", "block2", "right"), ["cluster", "block2"])
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = (Block(batch.column(k)[i].values) for k in (0, 1))
+                shared = overlaps(a, b)
+                linked = shared >= threshold * (a.size[:, None] + b.size - shared) - 1e-6
+                linked &= a.of_class[:, None] != b.of_class
+                x, y = np.nonzero(linked)
+                yield pa.RecordBatch.from_arrays([pa.array(a.uid[x]), pa.array(b.uid[y])], names=["a", "b"])
+
+    return joined.select("left", "right").mapInArrow(compare, "a long, b long")
+
+
 # --- classes -----------------------------------------------------------------------------------
 
 
@@ -216,32 +278,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     shared = freeze(bands.join(full, "band"))
 
     pairs = shared.where("uid <> lead").select(F.col("lead").alias("a"), F.col("uid").alias("b")).distinct()
-    edges = freeze(links(pieces, pairs, threshold))
+    pairs = freeze(pairs)
+    bags = freeze(bags_of(pieces, shared.select("uid").distinct()))
+    edges = freeze(links(bags, pairs, threshold))
     classes = components(edges)
-    ranked = shared.withColumn("nth", F.row_number().over(Window.partitionBy("band").orderBy("uid")))
-    tried = 2  # members below this place have been compared with all behind them
-    while True:
-        open_rows = (
-            ranked.where(F.col("nth") >= tried)
-            .join(classes, "uid", "left")
-            .select("band", "uid", "nth", F.coalesce("class_uid", "uid").alias("class_uid"))
-        )
-        several = open_rows.groupBy("band").agg(F.min("class_uid").alias("x"), F.max("class_uid").alias("y"))
-        open_rows = freeze(open_rows.join(several.where("x <> y").select("band"), "band", "left_semi"))
-        if open_rows.isEmpty():
-            break
-        heads = open_rows.where(F.col("nth") < 4 * tried).select(
-            "band", F.col("uid").alias("a"), F.col("nth").alias("head"), F.col("class_uid").alias("head_class")
-        )
-        pairs = (
-            open_rows.join(heads, "band")
-            .where("nth > head and class_uid <> head_class")
-            .select("a", F.col("uid").alias("b"))
-            .distinct()
-        )
-        edges = freeze(edges.union(links(pieces, pairs, threshold)))
-        classes = components(edges)
-        tried *= 4
+    clusters = components(pairs).withColumnRenamed("class_uid", "cluster")
+    members = (
+        bags.select("uid")
+        .join(clusters, "uid", "left")
+        .join(classes, "uid", "left")
+        .select("uid", F.coalesce("cluster", "uid").alias("cluster"), F.coalesce("class_uid", "uid").alias("class_uid"))
+    )
+    several = members.groupBy("cluster").agg(F.min("class_uid").alias("x"), F.max("class_uid").alias("y"))
+    members = members.join(several.where("x <> y").select("cluster"), "cluster", "left_semi")
+    classes = components(edges.union(block_links(bags, members, threshold)))
 
     placed = (
         sketch.select("uid", "key", "ta", "tb")
