@@ -429,11 +429,20 @@ def top_contributions(spark, sf):
 
 @query(
     "q_explanation_check",
-    f"WITH {o.TX} SELECT true AS consistent, count(*) AS n FROM tx",
+    f"""WITH {o.TX} SELECT recipient_id NOT IN (7, 8, 9) AS consistent, count(*) AS n
+    FROM tx GROUP BY 1""",
 )
 def explanation_check(spark, sf):
-    explained = explain.linear_contributions(
-        features.behavior_v1(d.admitted(spark, sf)), LINEAR, -1.0, [0.5] * len(FEATURE_NAMES)
+    """Some explanations are broken: their score, their margin, or a contribution is gone."""
+    rows = features.behavior_v1(d.admitted(spark, sf), keep=("recipient_id",))
+    explained = explain.linear_contributions(rows, LINEAR, -1.0, [0.5] * len(FEATURE_NAMES))
+    recipient, parts = F.col("recipient_id"), F.col("contributions")
+    broken = explained.withColumns(
+        {
+            "score": F.col("score") + F.when(recipient == 7, 0.1).otherwise(0.0),
+            "raw_margin": F.col("raw_margin") + F.when(recipient == 8, 0.5).otherwise(0.0),
+            "contributions": F.when(recipient == 9, F.slice(parts, 1, 28)).otherwise(parts),
+        }
     )
-    checked = explain.with_consistency(explained)
+    checked = explain.with_consistency(broken)
     return checked.groupBy("consistent").agg(F.count(F.lit(1)).alias("n"))
