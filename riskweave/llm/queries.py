@@ -15,6 +15,7 @@ from riskweave.llm import (
     prefix_free,
     pruned_graph,
     source_mix,
+    sql,
     token_store,
     toxicity_neighbours,
     url_trees,
@@ -73,13 +74,13 @@ def op5_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = source_mix.mix(docs.select("doc_id", "source", source_mix.sizes(F.col("text")).alias("size")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     judged = host_rules.quality_rules(docs, carry_text=False)
-    return judged.select("doc_id", *host_rules.RULES, "kept", "host_rate")
+    return judged.select("doc_id", *host_rules.RULES, "kept", F.round("host_rate", 9).alias("host_rate"))
 
 
 def op8_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,4 +125,4 @@ def plans() -> dict[str, Plan]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(sql.TWINS)

@@ -205,10 +205,9 @@ def mix(
         F.col("uid").alias(uid),
         "source_size",
         "target",
-        (F.col("size") * times).alias("taken"),
         F.slice("dealt", F.lit(1), times.cast("int")).alias("shards"),
-    )
-    return held.join(decided, uid).drop(uid)
+    ).withColumn("dealt_", F.size("shards"))
+    return held.join(decided, uid).withColumn("taken", F.col("size") * F.col("dealt_")).drop(uid, "dealt_")
 
 
 def shuffled(mixed: DataFrame, seed: int = 7) -> DataFrame:
