@@ -39,8 +39,9 @@ def worklist(
         raise ValueError("a page has 1 to 100 rows")
     if cursor is not None:
         us, ident = cursor
-        tx = tx.filter(
-            (F.col("us") < us) | ((F.col("us") == us) & (F.col("transaction_id") < ident))
+        # The first clause alone can be pushed into the scan.
+        tx = tx.filter(F.col("us") <= us).filter(
+            (F.col("us") < us) | (F.col("transaction_id") < ident)
         )
     newest = [F.col("us").desc(), F.col("transaction_id").desc()]
     whole = Window.orderBy(*newest)

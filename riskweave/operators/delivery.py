@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.frames import SECOND
 
 
+# Policy defaults, their bounds and the names of outcomes and errors.
 @dataclass(frozen=True)
 class DeliveryPolicy:
     lease_seconds: int = 60
@@ -64,11 +65,16 @@ def outcomes(
 ) -> DataFrame:
     """Where each claim goes. Rows carry ``attempts`` (before this try), ``lease_us``, ``succeeded``.
 
-    Used-up events die without a try. A finished try whose lease ran out changes nothing.
+    Used-up events die without a try, and so do those whose envelope the consumer does not know
+    (``supported`` is false, where the rows carry it). A finished try whose lease ran out changes
+    nothing. ``last_error`` names why an event died.
     """
     attempt = F.col("attempts") + 1
+    known = "supported" in claims.columns
+    supported = F.coalesce(F.col("supported"), F.lit(True)) if known else F.lit(True)
     outcome = (
         F.when(F.col("attempts") >= policy.max_attempts, "DEAD_EXHAUSTED")
+        .when(~supported, "DEAD_UNSUPPORTED")
         .when(F.col("lease_us").isNull() | (F.col("lease_us") <= now_us), "STALE")
         .when(F.col("succeeded"), "PUBLISHED")
         .when(attempt >= policy.max_attempts, "DEAD_FAILED")
@@ -76,12 +82,19 @@ def outcomes(
     )
     marked = claims.withColumn("outcome", outcome)
     retry = F.lit(now_us) + backoff(attempt, policy) * SECOND
-    return marked.withColumn("next_us", F.when(F.col("outcome") == "RETRY", retry))
+    error = (
+        F.when(F.col("outcome") == "DEAD_EXHAUSTED", "attempts_exhausted")
+        .when(F.col("outcome") == "DEAD_UNSUPPORTED", "unsupported_envelope")
+        .when(F.col("outcome") == "DEAD_FAILED", "delivery_failed")
+    )
+    return marked.withColumns(
+        {"next_us": F.when(F.col("outcome") == "RETRY", retry), "last_error": error}
+    )
 
 
 def tally(marked: DataFrame) -> DataFrame:
     """Claimed, published, failed and stale counts of one dispatch."""
-    claimed = F.col("outcome") != "DEAD_EXHAUSTED"
+    claimed = ~F.col("outcome").isin("DEAD_EXHAUSTED", "DEAD_UNSUPPORTED")
     return marked.agg(
         F.count_if(claimed).alias("claimed"),
         F.count_if(F.col("outcome") == "PUBLISHED").alias("published"),

@@ -139,6 +139,7 @@ def top_contributions(explained: DataFrame, k: int = TOP) -> DataFrame:
                 (missing if flags else F.array().cast("array<string>")).alias("missing"),
             )
         )
+    # The parts of the sentences below.
     best = F.slice(F.sort_array(F.array(*entries)), 1, k)
     rows = explained.select("transaction_id", F.posexplode_outer(best).alias("rank", "c"))
     value, part = F.col("c.value"), F.col("c.contribution")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import amounts
 from riskweave.functions.frames import DAY, KEYS, add, prior
 from riskweave.operators.cases import TERMINAL, case_state
-from riskweave.operators.features import MINIMUM_HISTORY, with_velocity
+from riskweave.operators.features import MINIMUM_HISTORY
 from riskweave.operators.history import (
     GROUP,
     HISTORY_LIMIT,
@@ -24,6 +24,7 @@ from riskweave.operators.history import (
 )
 from riskweave.operators.profiles import amount_statistics, running_before
 from riskweave.operators.validate import listed
+from riskweave.session import checkpoint_root
 
 EXCEPTIONAL_RATIO = 10
 BOOTSTRAP_MINIMUM, BOOTSTRAP_MAXIMUM, BOOTSTRAP_REVIEWERS = 5, 100, 2
@@ -126,7 +127,7 @@ def _fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows["currency"],
             rows["us"],
             rows["cents"],
-            rows["verdict"],
+            [v if e else None for v, e in zip(rows["verdict"], rows["evaluable"], strict=True)],
             rows["is_seed"],
             strict=True,
         ):
@@ -159,24 +160,22 @@ def _reason_over_window(rows: DataFrame, limit: int) -> DataFrame:
     """The gate for all rows at once, given which rows count as ``trusted``."""
     row = "named_struct('us', us, 'id', CAST(transaction_id AS STRING), 'c', cents)"
     upto = prior(LONG_SPAN, *GROUP).replace("1 PRECEDING", "CURRENT ROW")
-    frame = with_velocity(history_frame(rows, limit))
+    frame = history_frame(rows, limit)
     frame = add(frame, _seen=f"collect_list(CASE WHEN is_history AND trusted THEN {row} END) {upto}")
     own = "named_struct('us', us, 'id', CAST(transaction_id AS STRING))"
     before = f"filter(_seen, r -> named_struct('us', r.us, 'id', r.id) < {own})"
     decided = candidates(frame).selectExpr(
         *rows.columns,
-        f"n_activity <= {limit} AS evaluable",
         f"sort_array(transform({before}, r -> r.c)) AS _trusted",
     )
     decided = add(
         decided, n_trusted="size(_trusted)", median2_trusted=amounts.median2("_trusted")
     ).drop("_trusted")
-    # Beyond the history limit no evaluation exists, so no verdict can have come from one.
     verdict = "(CASE WHEN evaluable THEN verdict END)"
     reason = gate_reason(verdict, "n_trusted", "median2_trusted")
     return add(
         decided, reason=f"CASE WHEN is_seed THEN 'TRUSTED_REVIEWED_BOOTSTRAP' ELSE {reason} END"
-    ).drop("evaluable")
+    )
 
 
 def _fold_long(rows: DataFrame, limit: int) -> DataFrame:
@@ -206,13 +205,24 @@ def _fold_long(rows: DataFrame, limit: int) -> DataFrame:
     return _with_versions(whole).selectExpr(*FOLDED.split(", "))
 
 
+def with_evaluable(rows: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
+    """Adds ``evaluable``: the row has at most ``limit`` prior rows in 180 days."""
+    frame = candidates(history_frame(rows, limit))
+    return add(frame, evaluable="NOT history_limit_exceeded").select(*rows.columns, "evaluable")
+
+
 def gate_fold(rows: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     """Decides rows in order; an accepted row becomes part of the baseline of the next.
 
-    Rows carry ``transaction_id, customer_id, currency, us, cents, verdict, is_seed``. Seeds are the
-    bootstrap observations. Keys of bounded length are folded in one sorted pass over each partition.
+    Rows carry ``transaction_id, customer_id, currency, us, cents, verdict, is_seed`` and may carry
+    ``evaluable``: whether the row could be evaluated at all. Without an evaluation no verdict can
+    have come from one, so it counts as unverified. Where the column is missing it is whether the
+    history limit held. Seeds are the bootstrap observations. Keys of bounded length are folded in
+    one sorted pass over each partition.
     """
-    names = ("transaction_id", *KEYS, "us", "cents", "verdict", "is_seed")
+    if "evaluable" not in rows.columns:
+        rows = with_evaluable(rows, limit)
+    names = ("transaction_id", *KEYS, "us", "cents", "verdict", "is_seed", "evaluable")
     rows = rows.select(*names)
     types = dict(rows.dtypes)
     schema = ", ".join(
@@ -358,7 +368,11 @@ def bootstrap_eligibility(evidence: DataFrame, profiles: DataFrame) -> DataFrame
     """One row per customer and currency with every reason against a bootstrap.
 
     Evidence rows are the usable cases of a set; ``profiles`` lists keys that already have one.
+    The evidence is worked out once for all its aggregates.
     """
+    checkpoint_root(evidence.sparkSession)
+    used = ("case_id", "reviewer", "us", "cents", "verdict", "captured_version")
+    evidence = evidence.select(*KEYS, *used).checkpoint()
     reviewers = evidence.select(*KEYS, "reviewer").distinct()
     reviewers = reviewers.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("reviewers"))
     unique = evidence.select(*KEYS, "case_id").distinct()

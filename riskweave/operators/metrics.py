@@ -6,7 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SINGLE_TASK_SCORES = 1_000_000
+from riskweave.session import checkpoint_root
+
 SLOTS = 1_000
 
 
@@ -41,23 +42,20 @@ def confusion(scored: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def cumulative(scored: DataFrame, single_task: int = SINGLE_TASK_SCORES) -> DataFrame:
+def cumulative(scored: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Distinct scores with positives and negatives at, and at or above, each score.
 
-    Rows are first counted per distinct score. Few distinct scores are accumulated directly; many
-    are accumulated inside slots of about equal size, whose totals are accumulated first. Slot
-    edges only balance the work: any edges give the same result.
+    Rows are first counted per distinct score, once. Scores are accumulated inside slots of about
+    equal size, whose totals are accumulated first. Slot edges only balance the work: any edges give
+    the same result.
     """
     by_score = scored.groupBy("score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
-    spec = Window.orderBy(F.col("score").desc())
-    if by_score.limit(single_task + 1).count() <= single_task:
-        return by_score.withColumns(
-            {"tp": F.sum("pos").over(spec), "fp": F.sum("neg").over(spec)}
-        )
-    steps = [i / SLOTS for i in range(1, SLOTS)]
-    edges = sorted(set(by_score.approxQuantile("score", steps, 0.1 / SLOTS)))
+    checkpoint_root(scored.sparkSession)
+    by_score = by_score.checkpoint()
+    steps = [i / slots for i in range(1, slots)]
+    edges = sorted(set(by_score.approxQuantile("score", steps, 0.1 / slots)))
     slotted = Bucketizer(
         splits=[-float("inf"), *edges, float("inf")], inputCol="score", outputCol="slot"
     ).transform(by_score)
@@ -81,9 +79,9 @@ def cumulative(scored: DataFrame, single_task: int = SINGLE_TASK_SCORES) -> Data
     )
 
 
-def ranking(scored: DataFrame, single_task: int = SINGLE_TASK_SCORES) -> DataFrame:
+def ranking(scored: DataFrame) -> DataFrame:
     """ROC-AUC by tie-aware ranks and average precision by steps (not by trapezoids)."""
-    steps = cumulative(scored, single_task)
+    steps = cumulative(scored)
     wide = F.col("neg").cast("decimal(20,0)") * (F.col("tp") * 2 - F.col("pos")).cast(
         "decimal(18,0)"
     )

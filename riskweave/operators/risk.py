@@ -26,6 +26,7 @@ class DecisionPolicy:
             raise ValueError("bands must be strictly ordered inside (0, 1)")
 
 
+# Default weights and bands, and the keys of the policy document that is digested.
 @dataclass(frozen=True)
 class RiskPolicy:
     strategy: str = "hybrid"

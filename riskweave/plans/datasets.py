@@ -10,6 +10,7 @@ from riskweave.plans import oracle as o
 from riskweave.plans.scoring import LOW_LIMIT, refused
 from riskweave.plans.registry import query
 from riskweave.schemas import FEATURE_NAMES
+from riskweave.session import checkpoint_root
 from riskweave.sources import driver_tables as d
 
 START = 1_704_067_200_000_000  # 2024-01-01T00:00Z
@@ -283,7 +284,7 @@ def average_precision(spark, sf):
 @query("q_cumulative_scores", f"WITH {RANKED} SELECT score, pos::BIGINT AS pos, neg::BIGINT AS neg, tp::BIGINT AS tp, fp::BIGINT AS fp FROM cu")
 def cumulative_scores(spark, sf):
     """The path for very many distinct scores, applied to all."""
-    return metrics.cumulative(_scores(spark, sf), single_task=10)
+    return metrics.cumulative(_scores(spark, sf), slots=10)
 
 
 GRID = f"""{SCORES}, gr AS (
@@ -385,7 +386,8 @@ def logistic_scores(spark, sf):
     held = d.customers(spark, sf).filter("segment = 'MACHINERY'")
     rows = datasets.split(datasets.prepare(d.labeled(spark, sf)), held, START, DAYS)
     # Fitting makes several passes; the prepared rows are computed once for all of them.
-    rows = rows.filter("split IS NOT NULL AND NOT history_limit_exceeded").persist()
+    checkpoint_root(spark)
+    rows = rows.filter("split IS NOT NULL AND NOT history_limit_exceeded").checkpoint()
     fitted = models.fit_candidates(
         rows.filter("split = 'train'"), seed=17, names=("logistic_regression",)
     )["logistic_regression"]

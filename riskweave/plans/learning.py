@@ -101,13 +101,7 @@ def gate_fold_long_keys(spark, sf):
     """
     checkpoint_root(spark)
     limit = 60
-    tx = d.reviewed(spark, sf)
-    from riskweave.operators.features import velocity
-
-    flags = velocity(tx, limit).select("transaction_id", "history_limit_exceeded")
-    rows = tx.join(flags, "transaction_id").withColumn(
-        "verdict", F.when(~F.col("history_limit_exceeded"), F.col("verdict"))
-    )
+    rows = learning.with_evaluable(d.reviewed(spark, sf), limit)
     folded = learning.gate_fold(learning.first_legitimate(rows), limit)
     return folded.select(*FOLD_COLUMNS)
 

@@ -280,3 +280,15 @@ def unbacked(spark, sf):
     return profiles.unbacked_revisions(d.revisions(spark, sf), d.decisions(spark, sf)).select(
         *KEYS, "version"
     )
+
+
+@query(
+    "q_dropped_observations",
+    f"""WITH {o.REVISIONS} SELECT transaction_id FROM nobs
+    WHERE us > {AS_OF - 180 * DAY} AND us < {AS_OF} AND recipient_id % 10 = 3""",
+)
+def dropped_observations(spark, sf):
+    """A later revision that lost some observations."""
+    before = d.numbered_observations(spark, sf)
+    after = before.filter("recipient_id % 10 <> 3")
+    return profiles.dropped_observations(before, after, AS_OF).select("transaction_id")

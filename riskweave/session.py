@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -18,7 +20,19 @@ def build_session(master: str, app: str = "riskweave", **conf: str) -> SparkSess
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    if not master.startswith("local"):
+        ship(session)
+    return session
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, where it is not installed on them."""
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="riskweave-ship-")) / "riskweave"
+    spark.sparkContext.addPyFile(
+        shutil.make_archive(str(target), "zip", package.parent, package.name)
+    )
 
 
 def use_utc(spark: SparkSession) -> SparkSession:

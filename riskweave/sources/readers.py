@@ -94,11 +94,13 @@ def content_digest(spark: SparkSession, path: str) -> DataFrame:
 def load_pinned(
     spark: SparkSession, path: str, sha256: str, limit: int = MAX_BENCHMARK_BYTES
 ) -> DataFrame:
-    """Reads the benchmark only when its bytes are the approved ones."""
-    size = spark.read.format("binaryFile").load(path).select("length").first()
-    if size is None or size.length > limit:
+    """Reads the benchmark only when it is one file and its bytes are the approved ones."""
+    files = spark.read.format("binaryFile").load(path).select("length")
+    found = files.agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("largest")).first()
+    if not found.n or found.largest > limit:
         raise ValueError("the source is missing or exceeds the size limit")
-    if content_digest(spark, path).first().sha256 != sha256:
+    approved = content_digest(spark, path).agg(F.bool_and(F.col("sha256") == sha256)).first()[0]
+    if found.n != 1 or not approved:
         raise ValueError("the source content does not match its approved digest")
     return read_benchmark(spark, path)
 

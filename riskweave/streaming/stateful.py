@@ -93,7 +93,11 @@ class ActivityProcessor(StatefulProcessor):
 
 
 class GateProcessor(StatefulProcessor):
-    """The profile-update gate over a stream of reviewed transactions, in time order per key."""
+    """The profile-update gate over a stream of reviewed transactions, in time order per key.
+
+    Rows may carry ``evaluable``, as in the batch fold; a row that could not be evaluated counts as
+    unverified.
+    """
 
     def __init__(self, ttl_ms: int | None = None) -> None:
         self.ttl_ms = ttl_ms
@@ -114,7 +118,8 @@ class GateProcessor(StatefulProcessor):
                 # An older row would need the past replayed; it never changes the profile.
                 reason, n, median2 = "LATE_REVIEW_REQUIRES_REPLAY", len(window.ordered), None
             else:
-                reason, n, median2 = window.decide(row.us, row.cents, row.verdict)
+                verdict = row.verdict if getattr(row, "evaluable", True) else None
+                reason, n, median2 = window.decide(row.us, row.cents, verdict)
             if row.is_seed:
                 reason = "TRUSTED_REVIEWED_BOOTSTRAP"
             if reason in ("TRUSTED_REVIEWED_BOOTSTRAP", "CONFIRMED_ORDINARY_ACTIVITY"):

@@ -285,7 +285,7 @@ def test_confusion_and_threshold(spark):
 
 def test_many_scores_match_few(spark):
     rows = spark.range(3000).selectExpr("(id * 7919 % 1000) / 1000D AS score", "int(id % 3 = 0) AS label")
-    few, many = metrics.cumulative(rows), metrics.cumulative(rows, single_task=5)
+    few, many = metrics.cumulative(rows, slots=2), metrics.cumulative(rows, slots=50)
     assert few.exceptAll(many.select(*few.columns)).isEmpty()
 
 
