@@ -9,6 +9,7 @@ only; activity features see every row.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from riskweave.functions import amounts
 from riskweave.functions.frames import (
@@ -265,6 +266,32 @@ def behavior_v1(
     return vector(candidates(frame), limit, keep)
 
 
+def from_revisions(tx: DataFrame, revisions: DataFrame, observations: DataFrame) -> DataFrame:
+    """Adds ``admitted_us`` and ``timezone`` as the stored profiles have them.
+
+    A row joined the baseline at the time of the revision that admitted it (``admitted_version`` of
+    its observation); the zone is that of the key's newest revision, UTC where it has none.
+    """
+    made = revisions.select(
+        *KEYS_OUT[:2],
+        F.col("version").alias("admitted_version"),
+        F.col("as_of_us").alias("admitted_us"),
+    )
+    admitted = observations.select("transaction_id", *KEYS_OUT[:2], "admitted_version").join(
+        made, [*KEYS_OUT[:2], "admitted_version"]
+    )
+    zones = revisions.groupBy(*KEYS_OUT[:2]).agg(
+        F.max(F.struct("version", "timezone")).alias("newest")
+    )
+    zones = zones.select(*KEYS_OUT[:2], F.col("newest.timezone").alias("timezone"))
+    return (
+        tx.drop("admitted_us", "timezone")
+        .join(admitted.select("transaction_id", "admitted_us"), "transaction_id", "left")
+        .join(zones, list(KEYS_OUT[:2]), "left")
+        .withColumn("timezone", F.coalesce("timezone", F.lit("UTC")))
+    )
+
+
 def vector(rows: DataFrame, limit: int = HISTORY_LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
     columns = refuse_beyond(limit, {name: FEATURES[name] for name in FEATURE_NAMES})
     return with_hour_gap(rows).selectExpr(

@@ -91,3 +91,25 @@ def _limited(name: str) -> str:
 def features_limited(spark, sf):
     rows = features.behavior_v1(d.admitted(spark, sf), limit=LIMITED)
     return rows.select("transaction_id", "history_limit_exceeded", *FEATURE_NAMES)
+
+
+STORED = f"""{o.REVISIONS}, adm AS (
+  SELECT a.* REPLACE (r.as_of_us AS admitted_us, coalesce(h.timezone, 'UTC') AS timezone)
+  FROM admitted a LEFT JOIN nobs n USING (transaction_id)
+    LEFT JOIN rev r ON r.customer_id = a.customer_id AND r.currency = a.currency
+      AND r.version = n.admitted_version
+    LEFT JOIN head h ON h.customer_id = a.customer_id AND h.currency = a.currency)"""
+
+
+@query(
+    "q_features_from_revisions",
+    f"""WITH {o.FEATURES.replace(o.ADMITTED, STORED, 1).replace(
+        o.held("admitted", "p.admitted_us"), o.held("adm", "p.admitted_us"))}
+    SELECT transaction_id, na > 10000 AS history_limit_exceeded, {", ".join(FEATURE_NAMES)} FROM f""",
+)
+def features_from_revisions(spark, sf):
+    """The vector against the stored profiles, some of which are missing or dated back."""
+    tx = features.from_revisions(
+        d.transactions(spark, sf), d.revisions(spark, sf), d.numbered_observations(spark, sf)
+    )
+    return features.behavior_v1(tx).select("transaction_id", "history_limit_exceeded", *FEATURE_NAMES)

@@ -380,16 +380,35 @@ def score_parity(spark, sf):
     return metrics.score_parity(scores, other)
 
 
-@query("q_logistic_scores")
-def logistic_scores(spark, sf):
-    """Fitted on the training split, applied to validation and test rows. Rows only."""
+SCORED = f"""WITH {SPLIT} SELECT transaction_id, split, label, true AS score_in_range FROM sp
+  WHERE split IS NOT NULL AND split <> 'train'"""
+
+
+def _model_scores(spark, sf, name):
+    """Fitted on the training split, applied to the other rows."""
     held = d.customers(spark, sf).filter("segment = 'MACHINERY'")
     rows = datasets.split(datasets.prepare(d.labeled(spark, sf)), held, START, DAYS)
     # Fitting makes several passes; the prepared rows are computed once for all of them.
     checkpoint_root(spark)
     rows = rows.filter("split IS NOT NULL AND NOT history_limit_exceeded").checkpoint()
-    fitted = models.fit_candidates(
-        rows.filter("split = 'train'"), seed=17, names=("logistic_regression",)
-    )["logistic_regression"]
+    train = rows.filter("split = 'train'")
+    fitted = models.fit_candidates(train, seed=17, trees=10, names=(name,))[name]
     scored = models.score(fitted, rows.filter("split <> 'train'"))
-    return scored.select("transaction_id", "split", "label", "score")
+    return scored.select(
+        "transaction_id", "split", "label", F.col("score").between(0, 1).alias("score_in_range")
+    )
+
+
+@query("q_logistic_scores", SCORED)
+def logistic_scores(spark, sf):
+    return _model_scores(spark, sf, "logistic_regression")
+
+
+@query("q_random_forest_scores", SCORED)
+def random_forest_scores(spark, sf):
+    return _model_scores(spark, sf, "random_forest")
+
+
+@query("q_boosted_tree_scores", SCORED)
+def boosted_tree_scores(spark, sf):
+    return _model_scores(spark, sf, "boosted_trees")

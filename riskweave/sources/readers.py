@@ -120,3 +120,83 @@ def read_evaluations(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("created_us", micros(F.col("created_at")))
         .drop("_risk")
     )
+
+
+def _stored(spark: SparkSession, path: str, schema: str, **names: str) -> DataFrame:
+    """A stored table; timestamps become microseconds, columns get the operators' names.
+
+    ``names`` maps a new name to the stored column it comes from.
+    """
+    rows = spark.read.schema(schema).parquet(path)
+    types = dict(rows.dtypes)
+    for new, old in names.items():
+        value = F.col(old)
+        rows = rows.withColumn(new, micros(value) if types[old] == "timestamp" else value)
+    return rows.drop(*(old for new, old in names.items() if old != new))
+
+
+def read_revisions(spark: SparkSession, path: str) -> DataFrame:
+    """Profile revisions for :mod:`riskweave.operators.profiles`."""
+    return _stored(
+        spark,
+        path,
+        schemas.PROFILE_REVISIONS,
+        as_of_us="as_of",
+        verified="admission_workflow_verified",
+        policy_version="admission_policy_version",
+        decision_id="learning_decision_id",
+    )
+
+
+def read_observations(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.PROFILE_OBSERVATIONS).parquet(path)
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    return _stored(spark, path, schemas.CASES, created_us="created_at")
+
+
+def read_transitions(spark: SparkSession, path: str) -> DataFrame:
+    return _stored(spark, path, schemas.TRANSITIONS, at_us="timestamp", actor="actor_id")
+
+
+def read_feedback(spark: SparkSession, path: str) -> DataFrame:
+    return _stored(spark, path, schemas.FEEDBACK, at_us="timestamp", actor="actor_id")
+
+
+def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    return _stored(
+        spark,
+        path,
+        schemas.LEARNING_DECISIONS,
+        created_us="created_at",
+        actor="actor_id",
+        version_before="profile_version_before",
+        version_after="profile_version_after",
+    )
+
+
+def read_evidence(spark: SparkSession, path: str) -> DataFrame:
+    return _stored(spark, path, schemas.LEARNING_EVIDENCE, reviewer="reviewer_id")
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    return _stored(
+        spark, path, schemas.DOMAIN_EVENTS, occurred_us="occurred_at", published_us="published_at"
+    )
+
+
+def read_deliveries(spark: SparkSession, path: str) -> DataFrame:
+    return _stored(
+        spark,
+        path,
+        schemas.DELIVERY,
+        lease_us="lease_until",
+        available_us="available_at",
+        completed_us="completed_at",
+        dead_us="dead_at",
+    )
+
+
+def read_receipts(spark: SparkSession, path: str) -> DataFrame:
+    return _stored(spark, path, schemas.RECEIPTS, recorded_us="recorded_at")

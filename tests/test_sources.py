@@ -172,3 +172,38 @@ def test_model_version_and_level_checks(spark):
     pairs = spark.createDataFrame([("LOW", "ALLOW"), ("LOW", "URGENT_REVIEW")], "a string, b string")
     broken = pairs.filter(validate.level_action_broken(F.col("a"), F.col("b")))
     assert [r.b for r in broken.collect()] == ["URGENT_REVIEW"]
+
+
+def test_stored_tables_get_the_operators_names(spark, tmp_path):
+    from datetime import datetime
+
+    from riskweave import schemas
+
+    at = datetime(2024, 1, 2)
+    tables = {
+        "revisions": (schemas.PROFILE_REVISIONS, ("c", "KZT", 3, at, "UTC", 180, 30, True, "p", "d")),
+        "transitions": (schemas.TRANSITIONS, ("k", 1, "OPEN", "UNDER_REVIEW", "r1", at)),
+        "feedback": (schemas.FEEDBACK, ("f", "k", "r1", "LEGITIMATE", at, None, 1)),
+        "deliveries": (schemas.DELIVERY, ("e", None, None, at, None, None, None)),
+        "receipts": (schemas.RECEIPTS, ("n", "e", at)),
+        "evidence": (schemas.LEARNING_EVIDENCE, ("d", "k", "f", "t", "r1")),
+        "cases": (schemas.CASES, ("k", "t", "a", at)),
+    }
+    wanted = {
+        "revisions": ("as_of_us", "verified", "decision_id", "version"),
+        "transitions": ("at_us", "actor", "sequence"),
+        "feedback": ("at_us", "actor", "verdict"),
+        "deliveries": ("available_us", "lease_us", "dead_us"),
+        "receipts": ("recorded_us",),
+        "evidence": ("reviewer",),
+        "cases": ("created_us",),
+    }
+    for name, (schema, row) in tables.items():
+        path = str(tmp_path / name)
+        spark.createDataFrame([row], schema).write.parquet(path)
+        found = getattr(readers, f"read_{name}")(spark, path).first()
+        for column in wanted[name]:
+            assert column in found.asDict(), (name, column)
+        for column in found.asDict():
+            if column.endswith("_us") and found[column] is not None:
+                assert found[column] == 1_704_153_600_000_000
