@@ -10,6 +10,7 @@ position, as a best path over its scores (which only rank merges) would not give
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -17,7 +18,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -28,8 +28,10 @@ MARK = "▁"
 #: Characters in a sorted word of 64 bits.
 PACK = 4
 #: A task forgets the segments it has encoded beyond this many.
-CACHED_SEGMENTS = 400_000
-BATCH_BYTES = 8 << 20
+CACHED_SEGMENTS = 600_000
+BATCH_BYTES = 2 << 20
+#: Characters whose suffixes are sorted together.
+INDEXED = 1 << 19
 #: Longer segments are relaxed with a queue of their own.
 LONG = 200
 UNIGRAM, BPE = 1, 2
@@ -91,6 +93,7 @@ class Model:
         pieces = [names[i] for i in self.ids]
         self.scores = np.array([p.get_score(int(i)) for i in self.ids], np.float64)
         self.lengths = np.array([len(x) for x in pieces], np.int64)
+        self.ranks = np.unique(-self.scores, return_inverse=True)[1]  # 0 for the highest score
         self.alphabet = np.array(sorted({ord(c) for x in pieces for c in x}), np.uint32)
         if len(self.alphabet) >= 1 << 16:
             raise ValueError("more than 65,535 different characters")
@@ -102,8 +105,8 @@ class Model:
         self.low = packed(codes.reshape(-1, self.width, PACK))
         past = np.arange(self.width * PACK) >= self.lengths[:, None]
         self.high = packed(np.where(past, np.uint64(0xFFFF), codes).reshape(-1, self.width, PACK))
-        crossing = any(regex.search(f"[^{MARK}]{MARK}", x) for x in pieces) or any("\n" in x for x in pieces)
-        self.segments = regex.compile(r"(?s:.+)" if crossing else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+        crossing = any(re.search(f"[^{MARK}]{MARK}", x) for x in pieces) or any("\n" in x for x in pieces)
+        self.segments = re.compile(r"(?s:.+)" if crossing else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
         shown = [b"" for _ in names]
         for i, kind in enumerate(kinds):
             if kind == 6:
@@ -150,7 +153,7 @@ def suffixes(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         behind = np.concatenate([rank[reach:], np.zeros(min(reach, len(rank)), np.uint64)])
         rank = np.unique(rank << np.uint64(32) | behind, return_inverse=True)[1].astype(np.uint64)
         reach *= 2
-    return np.argsort(rank[:n], kind="stable"), words
+    return np.argsort(rank[:n]), words
 
 
 def _bound(words: np.ndarray, order: np.ndarray, keys: np.ndarray, after: bool) -> np.ndarray:
@@ -177,19 +180,20 @@ def edges(model: Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gather(order, low, count), np.repeat(np.arange(len(model.ids)), count)
 
 
-def relax_merges(start: np.ndarray, end: np.ndarray, score: np.ndarray, segment: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
+def relax_merges(start: np.ndarray, end: np.ndarray, rank: np.ndarray, segment: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
     """Where the symbols of a BPE model end: for each place, the end of the symbol from there.
 
-    In a round each segment makes its best merge: the highest score, then the leftmost.
+    In a round each segment makes its best merge: the lowest rank (highest score), then the leftmost.
     """
     ahead = np.arange(1, n + 2)
     alive = np.ones(n + 1, bool)
     far = length[segment] > LONG
     for own in np.unique(segment[far]):
         pick = np.flatnonzero(segment == own)
-        _merge_one(start[pick], end[pick], score[pick], ahead, alive)
+        _merge_one(start[pick], end[pick], rank[pick], ahead, alive)
     left = np.flatnonzero(~far & (end - start > 1))
-    left = left[np.lexsort((start[left], -score[left], segment[left]))]
+    wide, deep = int(n).bit_length(), int(rank.max(initial=0)).bit_length()
+    left = left[np.argsort(segment[left] << (wide + deep) | rank[left] << wide | start[left])]
     a, b, s = start[left], end[left], segment[left]
     while len(a):
         middle = ahead[a]
@@ -208,12 +212,12 @@ def relax_merges(start: np.ndarray, end: np.ndarray, score: np.ndarray, segment:
     return ahead
 
 
-def _merge_one(start: np.ndarray, end: np.ndarray, score: np.ndarray, ahead: np.ndarray, alive: np.ndarray) -> None:
+def _merge_one(start: np.ndarray, end: np.ndarray, rank: np.ndarray, ahead: np.ndarray, alive: np.ndarray) -> None:
     """The same for one long segment, with a queue."""
-    known = {(int(a), int(b)): float(c) for a, b, c in zip(start, end, score, strict=True)}
+    known = {(int(a), int(b)): int(c) for a, b, c in zip(start, end, rank, strict=True)}
     first, last = int(start.min()), int(end.max())
     before = {p: p - 1 for p in range(first, last + 1)}
-    queue = [(-c, a, b) for (a, b), c in known.items() if b - a == 2]
+    queue = [(c, a, b) for (a, b), c in known.items() if b - a == 2]
     heapq.heapify(queue)
     while queue:
         _, a, b = heapq.heappop(queue)
@@ -225,7 +229,7 @@ def _merge_one(start: np.ndarray, end: np.ndarray, score: np.ndarray, ahead: np.
         before[b] = a
         for x, y in ((before[a], b), (a, int(ahead[b]) if b < len(ahead) else b)):
             if x >= first and (x, y) in known and (x < a or y > b):
-                heapq.heappush(queue, (-known[x, y], x, y))
+                heapq.heappush(queue, (known[x, y], x, y))
 
 
 def relax_paths(start: np.ndarray, end: np.ndarray, score: np.ndarray, offset: np.ndarray, n: int, unknown: float) -> np.ndarray:
@@ -259,7 +263,19 @@ def relax_paths(start: np.ndarray, end: np.ndarray, score: np.ndarray, offset: n
 
 
 def fresh_ids(model: Model, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of different segments."""
+    """Ids of different segments, in texts of a bounded size (or one long segment)."""
+    reach = np.cumsum([len(x) + 1 for x in parts])
+    done, low = [], 0
+    while low < len(parts):
+        base = reach[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(reach, base + INDEXED, "right")))
+        done.append(_indexed_ids(model, parts[low:high]))
+        low = high
+    ids, sizes = zip(*done, strict=True) if done else ((), ())
+    return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+
+def _indexed_ids(model: Model, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     length = np.array([len(x) for x in parts], np.int64)
     text = "\0".join(parts) + "\0"  # the end of a segment is a place that no piece covers
     codes = model.coded(text)
@@ -272,7 +288,7 @@ def fresh_ids(model: Model, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inner = np.ones(n, bool)
     inner[begin + length] = False
     if model.kind == BPE:
-        ahead = relax_merges(start, end, model.scores[piece], segment[start], length, n)
+        ahead = relax_merges(start, end, model.ranks[piece], segment[start], length, n)
         first = _walk(ahead, begin, begin + length)
     else:
         offset = np.arange(n) - begin[segment]
@@ -287,16 +303,13 @@ def fresh_ids(model: Model, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             ahead[back[at]] = at
             at = back[at]
         first = _walk(ahead, begin, begin + length)
-    last = ahead[first]
-    # A symbol's piece, by its edge; symbols without one are single unknown characters.
-    key = start * (1 + int(model.lengths.max(initial=1))) + (end - start)
-    order = np.argsort(key, kind="stable")
-    wanted = first * (1 + int(model.lengths.max(initial=1))) + (last - first)
-    place = np.minimum(np.searchsorted(key[order], wanted), max(0, len(key) - 1))
-    ids = np.full(len(first), -1, np.int64)
-    if len(key):
-        hit = key[order[place]] == wanted
-        ids[hit] = model.ids[piece[order[place[hit]]]]
+    # A symbol's piece is that of its edge; symbols without one are single unknown characters.
+    chosen = np.zeros(n + 1, np.int64)
+    chosen[first] = ahead[first]
+    at = np.full(n + 1, -1, np.int64)
+    own = chosen[start] == end
+    at[start[own]] = model.ids[piece[own]]
+    ids = at[first]
     owner = segment[first]
     if (ids < 0).any():
         ids, owner = _unknown(model, text, ids, first, owner)
