@@ -86,23 +86,27 @@ def gate_fold(spark, sf):
     return _fold(spark, sf, learning.HISTORY_LIMIT)
 
 
-@query("q_gate_fold_long_keys", FOLD_SQL.replace("FROM reviewed),", "FROM capped),").replace(
+# A limit of 60 rows: rows beyond it could not be evaluated.
+FOLD_LIMIT = 60
+LIMITED_FOLD_SQL = FOLD_SQL.replace("FROM reviewed),", "FROM capped),").replace(
     "sq AS (",
     f"""capped AS (SELECT * EXCLUDE (verdict, k, na),
       CASE WHEN k <= 60 OR na <= 60 THEN verdict END AS verdict FROM (
       SELECT *, count(*) OVER (PARTITION BY customer_id, currency) AS k,
         count(*) OVER {o.frame(o.KEYS, 180 * o.DAY)} AS na FROM reviewed)), sq AS (""",
     1,
-))
+)
+
+
+@query("q_gate_fold_long_keys", LIMITED_FOLD_SQL)
 def gate_fold_long_keys(spark, sf):
     """The path for keys of any length, applied to every key above 60 rows.
 
     Beyond the history limit a transaction cannot have been evaluated, hence not reviewed.
     """
     checkpoint_root(spark)
-    limit = 60
-    rows = learning.with_evaluable(d.reviewed(spark, sf), limit)
-    folded = learning.gate_fold(learning.first_legitimate(rows), limit)
+    rows = learning.with_evaluable(d.reviewed(spark, sf), FOLD_LIMIT)
+    folded = learning.gate_fold(learning.first_legitimate(rows), FOLD_LIMIT)
     return folded.select(*FOLD_COLUMNS)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.frames import HOUR
 from riskweave.operators import learning
 from riskweave.plans import oracle as o
-from riskweave.plans.learning import FOLD_SQL
+from riskweave.plans.learning import FOLD_LIMIT, FOLD_SQL, LIMITED_FOLD_SQL
 from riskweave.plans.registry import query
 from riskweave.session import checkpoint_root
 from riskweave.sources import driver_tables as d
@@ -69,22 +69,30 @@ def stream_activity(spark, sf):
     return _result(spark, live).drop("customer_id", "currency")
 
 
-@query("q_stream_gate", f"SELECT * EXCLUDE (action, version_after) FROM ({FOLD_SQL})")
-def stream_gate(spark, sf):
-    """The same decisions as the batch fold. Bootstrap rows are known before the stream starts."""
+def _live_gate(spark, sf, rows):
+    """What is known of a row before the stream starts (bootstrap, evaluable) joins it there."""
     pipelines.use_rocksdb(spark)
-    seeds = (
-        learning.first_legitimate(d.reviewed(spark, sf))
-        .filter("is_seed")
-        .select("transaction_id", "is_seed")
-    )
+    names = [c for c in ("is_seed", "evaluable") if c in rows.columns]
     path = f"{checkpoint_root(spark)}/seeds-{uuid.uuid4().hex}"
-    seeds.write.parquet(path)
+    known = rows.select("transaction_id", *names)
+    known.write.parquet(path)
     stream = (
         _event_stream(spark, sf)
         .withColumn("verdict", d.verdict())
-        .join(spark.read.schema(seeds.schema).parquet(path), "transaction_id", "left")
+        .join(spark.read.schema(known.schema).parquet(path), "transaction_id", "left")
         .withColumn("is_seed", F.coalesce("is_seed", F.lit(False)))
     )
-    live = stateful.live_gate(stream)
-    return _result(spark, live).drop("customer_id", "currency", "us")
+    return _result(spark, stateful.live_gate(stream)).drop("customer_id", "currency", "us")
+
+
+@query("q_stream_gate", f"SELECT * EXCLUDE (action, version_after) FROM ({FOLD_SQL})")
+def stream_gate(spark, sf):
+    """The same decisions as the batch fold. Bootstrap rows are known before the stream starts."""
+    return _live_gate(spark, sf, learning.first_legitimate(d.reviewed(spark, sf)))
+
+
+@query("q_stream_gate_limited", f"SELECT * EXCLUDE (action, version_after) FROM ({LIMITED_FOLD_SQL})")
+def stream_gate_limited(spark, sf):
+    """The same decisions as the batch fold where some rows could not be evaluated."""
+    rows = learning.with_evaluable(d.reviewed(spark, sf), FOLD_LIMIT)
+    return _live_gate(spark, sf, learning.first_legitimate(rows))
