@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.llm.common import free_name, stored
+from riskweave.llm.common import free_name, partitions, stored
 from riskweave.llm.pieces import BLANK, Words, mix, other_fields, runs
 
 #: At most about this many labelled documents are examples.
@@ -250,6 +250,7 @@ def score_toxicity(
             columns = [*batch.columns[: len(others)], pa.array(np.clip(score, 0, 1)), pa.array(evidence, evidence_type)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    scored = matched.mapInArrow(vote, schema)
+    # Few bytes a document, but a search each: dealt anew, so that all tasks share the work.
+    scored = matched.repartition(partitions(docs.sparkSession)).mapInArrow(vote, schema)
     out = free_name("held_out", names), free_name("predicted", names)
     return scored.withColumn(out[0], held_out(key)).withColumn(out[1], (F.col(added[0].name) >= 0.5).cast("int"))
