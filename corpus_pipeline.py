@@ -43,7 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ids, and whether they decode to the text."""
     model = public_tokenizer("piece_bpe_32k.model")
-    coded = piece_lattice.decode(piece_lattice.encode(docs, model), model)
+    coded = piece_lattice.encode(docs, model, decoded="decoded")
     return coded.withColumn("same", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
 
 

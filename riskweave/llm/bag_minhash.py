@@ -257,7 +257,9 @@ def block_links(bags: DataFrame, members: DataFrame, threshold: float) -> DataFr
 # --- classes -----------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8
+) -> tuple[DataFrame, DataFrame]:
     """Classes of documents whose texts are linked by weighted Jaccard similarity of word shingles.
 
     Returns the pieces of the documents, and a row for each document: ``uid`` (its place), ``key``

@@ -88,8 +88,12 @@ def host_verdicts(judged: DataFrame, host: str, failed: str, limit: float = HOST
     rows = judged.groupBy(host).agg(
         F.count("*").alias("host_docs"), F.sum(F.col(failed).cast("long")).alias("host_failed")
     )
-    n, f = F.sum("host_docs"), F.sum("host_failed")
-    all_hosts = rows.agg(n.alias("n"), f.alias("f"), F.count("*").alias("hosts"), F.sum(F.col("host_failed") ** 2 / F.col("host_docs")).alias("ff")).first()
+    all_hosts = rows.agg(
+        F.sum("host_docs").alias("n"),
+        F.sum("host_failed").alias("f"),
+        F.count("*").alias("hosts"),
+        F.sum(F.col("host_failed") ** 2 / F.col("host_docs")).alias("ff"),
+    ).first()
     total = all_hosts["n"] or 0
     mean = all_hosts["f"] / total if total else 0.0
     noise = mean * (1 - mean)
@@ -99,7 +103,13 @@ def host_verdicts(judged: DataFrame, host: str, failed: str, limit: float = HOST
     return rows.withColumn("host_rate", rate).withColumn("host_passes", rate <= limit)
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", carry_text: bool = True, limit: float = HOST_LIMIT) -> DataFrame:
+def quality_rules(
+    docs: DataFrame,
+    text: str = "text",
+    host: str = "source",
+    carry_text: bool = True,
+    limit: float = HOST_LIMIT,
+) -> DataFrame:
     """Documents with the base rules, their host's shrunk rate, and ``kept``.
 
     ``kept`` is false where the base rules fail (fewer than 20 words, or over 30 % of the words in

@@ -28,10 +28,10 @@ MARK = "▁"
 #: Characters in a sorted word of 64 bits.
 PACK = 4
 #: A task forgets the segments it has encoded beyond this many.
-CACHED_SEGMENTS = 600_000
+CACHED_SEGMENTS = 400_000
 BATCH_BYTES = 2 << 20
 #: Characters whose suffixes are sorted together.
-INDEXED = 1 << 19
+INDEXED = 1 << 18
 #: Longer segments are relaxed with a queue of their own.
 LONG = 200
 UNIGRAM, BPE = 1, 2
@@ -177,10 +177,12 @@ def edges(model: Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order, words = suffixes(codes, model.width)
     low = _bound(words, order, model.low, False)
     count = np.maximum(0, _bound(words, order, model.high, True) - low)
-    return gather(order, low, count), np.repeat(np.arange(len(model.ids)), count)
+    return gather(order.astype(np.int32), low, count), np.repeat(np.arange(len(model.ids), dtype=np.int32), count)
 
 
-def relax_merges(start: np.ndarray, end: np.ndarray, rank: np.ndarray, segment: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
+def relax_merges(
+    start: np.ndarray, end: np.ndarray, rank: np.ndarray, segment: np.ndarray, length: np.ndarray, n: int
+) -> np.ndarray:
     """Where the symbols of a BPE model end: for each place, the end of the symbol from there.
 
     In a round each segment makes its best merge: the lowest rank (highest score), then the leftmost.
@@ -193,7 +195,9 @@ def relax_merges(start: np.ndarray, end: np.ndarray, rank: np.ndarray, segment:
         _merge_one(start[pick], end[pick], rank[pick], ahead, alive)
     left = np.flatnonzero(~far & (end - start > 1))
     wide, deep = int(n).bit_length(), int(rank.max(initial=0)).bit_length()
-    left = left[np.argsort(segment[left] << (wide + deep) | rank[left] << wide | start[left])]
+    key = segment[left].astype(np.int64) << (wide + deep)
+    key |= rank[left].astype(np.int64) << wide
+    left = left[np.argsort(key | start[left])]
     a, b, s = start[left], end[left], segment[left]
     while len(a):
         middle = ahead[a]
@@ -232,7 +236,9 @@ def _merge_one(start: np.ndarray, end: np.ndarray, rank: np.ndarray, ahead: np.n
                 heapq.heappush(queue, (known[x, y], x, y))
 
 
-def relax_paths(start: np.ndarray, end: np.ndarray, score: np.ndarray, offset: np.ndarray, n: int, unknown: float) -> np.ndarray:
+def relax_paths(
+    start: np.ndarray, end: np.ndarray, score: np.ndarray, offset: np.ndarray, n: int, unknown: float
+) -> np.ndarray:
     """The same for a unigram model: best paths, from each segment's first place to its last.
 
     ``offset`` is each place's distance from the start of its segment. A character that no piece
@@ -279,12 +285,12 @@ def _indexed_ids(model: Model, parts: list[str]) -> tuple[np.ndarray, np.ndarray
     length = np.array([len(x) for x in parts], np.int64)
     text = "\0".join(parts) + "\0"  # the end of a segment is a place that no piece covers
     codes = model.coded(text)
-    segment = np.repeat(np.arange(len(parts)), length + 1)
+    segment = np.repeat(np.arange(len(parts), dtype=np.int32), length + 1)
     begin = np.cumsum(length + 1) - length - 1
     codes[begin + length] = 0
     n = len(codes)
     start, piece = edges(model, codes)
-    end = start + model.lengths[piece]
+    end = start + model.lengths[piece].astype(np.int32)
     inner = np.ones(n, bool)
     inner[begin + length] = False
     if model.kind == BPE:
@@ -399,21 +405,42 @@ def encoder(path: str) -> PartEncoder:
     )
 
 
-def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+def texts_of(m: Model, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+    """The texts of documents with ``counts`` ids each."""
+    raw = gather(m.shown, m.shown_first[ids], m.shown_sizes[ids]).tobytes()
+    at = np.concatenate([[0], np.cumsum(m.shown_sizes[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+    texts = []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        a += bool(m.prefix and raw[a : a + 1] == b" " and b > a)
+        texts.append(raw[a:b].decode("utf-8", "replace"))
+    return texts
+
+
+def encode(
+    docs: DataFrame, model: str, text: str = "text", keep_text: bool = True, decoded: str | None = None
+) -> DataFrame:
     """Adds ``ids`` (little-endian 32-bit words) of every whole text; null counts as empty.
 
-    An empty text has no ids. Repeated rows are kept. ``ids`` gets underscores if it is taken.
+    With ``decoded`` a column of that name holds the text of the ids again. An empty text has no
+    ids. Repeated rows are kept. Added columns get underscores before a name that is taken. An empty
+    table gives an empty table.
     """
     at = docs.columns.index(text)
-    name = free_name("ids", docs.columns)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
+    fields = [docs.schema.fields[i] for i in kept]
+    fields.append(T.StructField(free_name("ids", docs.columns), T.BinaryType()))
+    if decoded:
+        fields.append(T.StructField(free_name(decoded, docs.columns), T.StringType()))
+    schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model)
         for batch in batches:
             for own in by_size(batch, at):
                 ids, counts = coder.encode(own.column(at).cast(pa.string()).to_pylist())
-                columns = [*own.columns, binaries(ids.astype("<u4"), counts)]
+                columns = [*(own.column(i) for i in kept), binaries(ids.astype("<u4"), counts)]
+                if decoded:
+                    columns.append(pa.array(texts_of(load(model), ids, counts), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
@@ -428,15 +455,12 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
         for batch in batches:
-            texts = []
-            for x in batch.column(at):
-                if not x.is_valid:
-                    texts.append(None)
-                    continue
-                own = np.frombuffer(x.as_buffer(), "<u4")
-                raw = gather(m.shown, m.shown_first[own], m.shown_sizes[own]).tobytes()
-                raw = raw[1:] if m.prefix and raw[:1] == b" " else raw
-                texts.append(raw.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.fieldNames())
+            for own in by_size(batch, at):
+                column = own.column(at)
+                raw = np.frombuffer(b"".join(column.fill_null(b"").to_pylist()), "<u4")
+                counts = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) // 4
+                texts = texts_of(m, raw, counts.astype(np.int64))
+                found = pa.array(texts, pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*own.columns, found], names=schema.fieldNames())
 
     return rows.mapInArrow(run, schema)

@@ -165,7 +165,9 @@ def index(held: DataFrame, keep: int, shard_vectors: int = SHARD_VECTORS) -> Dat
     return dealt.groupBy("shard").applyInArrow(grow, INDEX)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(
+    rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding"
+) -> DataFrame:
     """The ``k`` nearest of ``rows`` found for each query (rows of the same columns), by inner product.
 
     Returns ``query_id``, ``rank``, ``vec_id``, ``score``. A query is not its own neighbour (by id).
@@ -187,7 +189,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                asked, entry, ids, vectors, graph = (batch.column(c)[i] for c in ("asked", "entry", "ids", "vectors", "graph"))
+                names = ("asked", "entry", "ids", "vectors", "graph")
+                asked, entry, ids, vectors, graph = (batch.column(c)[i] for c in names)
                 q = asked.values.field("id").to_numpy()
                 qv = asked.values.field("v").flatten().to_numpy().reshape(len(q), -1)
                 x = np.frombuffer(vectors.as_buffer(), np.float64).reshape(-1, qv.shape[1])

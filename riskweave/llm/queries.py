@@ -97,14 +97,15 @@ def op9_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each whole text (as a checksum of little-endian 32-bit words) and their text again."""
     model = public_tokenizer("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = piece_lattice.decode(piece_lattice.encode(docs, model), model)
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(text, 256).alias("sha256"))
+    coded = piece_lattice.encode(docs, model, keep_text=False, decoded="decoded")
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
         F.crc32("ids").alias("ids_crc32"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"),
+        (F.sha2("decoded", 256) == F.col("sha256")).alias("same"),
     )
 
 

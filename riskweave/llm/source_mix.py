@@ -139,13 +139,17 @@ def mix(
         if name in map(str.lower, sized.columns):
             sized = sized.withColumnRenamed(name, free_name(f"_{name}", sized.columns))
     uid = free_name("mix_row", sized.columns)
-    held = stored(sized.withColumn("size", F.coalesce(F.col("size"), F.lit(0)).cast("long")).withColumn(uid, F.monotonically_increasing_id()), "sized")
+    size = F.coalesce(F.col("size"), F.lit(0)).cast("long")
+    numbered = sized.withColumn("size", size).withColumn(uid, F.monotonically_increasing_id())
+    held = stored(numbered, "sized")
     narrow = held.select(F.col(uid).alias("uid"), "doc_id", "source", "size")
     wanted = freeze(targets(narrow, weights, share, most))
+    total = F.col("source_size")
+    whole = F.coalesce(F.floor(F.col("target") / F.nullif(total, F.lit(0))), F.lit(0))
     wanted = (
-        wanted.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long"))
-        .withColumn("whole", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long"))
-        .withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
+        wanted.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(total / block_words)).cast("long"))
+        .withColumn("whole", whole.cast("long"))
+        .withColumn("part", F.col("target") - F.col("whole") * total)
     )
     place = F.shiftright(F.shiftright("u", 30) * F.col("n_blocks"), 30)
     rows = freeze(
@@ -155,11 +159,16 @@ def mix(
     )
 
     # Words before each block, in two steps, so that no task sorts all blocks of a large source.
-    blocks = rows.groupBy("pos", "block").agg(F.sum("size").alias("words")).withColumn("super", F.floor(F.col("block") / SUPER))
+    def words_before(*keys: str) -> Column:
+        ordered = Window.partitionBy(*keys[:-1]).orderBy(keys[-1])
+        earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("words").over(earlier), F.lit(0))
+
+    blocks = rows.groupBy("pos", "block").agg(F.sum("size").alias("words"))
+    blocks = blocks.withColumn("super", F.floor(F.col("block") / SUPER))
     supers = blocks.groupBy("pos", "super").agg(F.sum("words").alias("words"))
-    earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    supers = supers.select("pos", "super", F.coalesce(F.sum("words").over(earlier("pos", "super")), F.lit(0)).alias("base"))
-    inner = F.coalesce(F.sum("words").over(earlier("pos", "super", "block")), F.lit(0))
+    supers = supers.select("pos", "super", words_before("pos", "super").alias("base"))
+    inner = words_before("pos", "super", "block")
     blocks = blocks.withColumn("inner", inner).join(supers, ["pos", "super"])
     blocks = blocks.select("pos", "block", (F.col("base") + F.col("inner")).alias("before"))
     known = wanted.select("pos", "n_blocks", "whole", "part")
@@ -177,11 +186,14 @@ def mix(
         return F.size(F.filter("ends", lambda e: e <= rank))
 
     copies = F.sequence(F.lit(0).cast("long"), F.col("whole"))
-    dealt = blocks.join(ranges, "pos").select("pos", "block", "before", F.transform(copies, shard_of).alias("dealt"))
+    dealt = blocks.join(ranges, "pos").select(
+        "pos", "block", "before", F.transform(copies, shard_of).alias("dealt")
+    )
 
     # Documents that end before the target are in; one more of the block that the target cuts may
     # come nearer to it.
-    ahead = Window.partitionBy("pos", "block").orderBy("u", "doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("pos", "block").orderBy("u", "doc_id", "size", "uid")
+    ahead = inside.rowsBetween(Window.unboundedPreceding, -1)
     ordered = rows.withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     end = F.col("before") + F.col("ahead") + F.col("size")
     chosen = freeze(ordered.join(dealt, ["pos", "block"]).withColumn("inside", (end <= F.col("part")) & (F.col("size") > 0)))
