@@ -57,11 +57,36 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) ->
     return dealt.join(held, on, "left").drop(held[salt]).drop(salt, known, other)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written as a Parquet table in the shared folder and read back: compact, lineage cut."""
-    path = f"{checkpoint_root(df.sparkSession)}/{name}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A database in the shared folder for tables between the steps of an operator.
+SCRATCH = "llm_scratch"
+
+
+def stored(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
+    """Written as a Parquet table in the shared folder and read back: compact, lineage cut.
+
+    With ``bucket`` the table is bucketed by that column.
+    """
+    spark = df.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH} LOCATION '{checkpoint_root(spark)}/{SCRATCH}'")
+    table_name = f"{SCRATCH}.{name}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", "zstd")
+    if bucket:
+        writer = writer.bucketBy(partitions(spark), bucket)
+    writer.saveAsTable(table_name)
+    return spark.table(table_name)
+
+
+def scratch_tables(spark: SparkSession) -> set[str]:
+    """The tables that :func:`stored` has made in this session."""
+    if not spark.catalog.databaseExists(SCRATCH):
+        return set()
+    return {t.name for t in spark.catalog.listTables(SCRATCH) if not t.isTemporary}
+
+
+def release(spark: SparkSession, names: set[str]) -> None:
+    """Drops such tables, when the results that need them have been written."""
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {SCRATCH}.{name}")
 
 
 def once(name: str, value: Column) -> Column:

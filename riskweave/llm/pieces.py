@@ -11,7 +11,6 @@ range, and gets one bit back for each.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,8 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.llm.common import freeze, partitions
-from riskweave.session import checkpoint_root
+from riskweave.llm.common import freeze, stored
 
 PIECE_BYTES = 1 << 20
 #: Bits of a piece's number within its task, and of a document's number within its piece.
@@ -152,21 +150,7 @@ def cut(docs: DataFrame, text: str) -> DataFrame:
                 )
                 piece += 1
 
-    return bucketed(plain.mapInArrow(pack, schema), "piece")
-
-
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Written as a table bucketed by its key in the shared folder, read back."""
-    spark = df.sparkSession
-    name = f"llm_{key}_{uuid.uuid4().hex}"
-    (
-        df.write.format("parquet")
-        .option("path", f"{checkpoint_root(spark)}/{name}")
-        .option("compression", "zstd")
-        .bucketBy(partitions(spark), key)
-        .saveAsTable(name)
-    )
-    return spark.table(name)
+    return stored(plain.mapInArrow(pack, schema), "pieces", "piece")
 
 
 def other_fields(docs: DataFrame, text: str) -> list[T.StructField]:
