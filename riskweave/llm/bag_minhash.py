@@ -221,6 +221,24 @@ def overlaps(a: Block, b: Block, columns: int = 8192) -> np.ndarray:
     return out
 
 
+def _joining(a: Block, b: Block, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few of the links as join the same classes: each class hangs together already."""
+    head: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while head.get(c, c) != c:
+            head[c] = c = head.get(head[c], head[c])
+        return c
+
+    keep = []
+    for k, (c, d) in enumerate(zip(a.of_class[x].tolist(), b.of_class[y].tolist(), strict=True)):
+        c, d = root(c), root(d)
+        if c != d:
+            head[max(c, d)] = min(c, d)
+            keep.append(k)
+    return x[keep], y[keep]
+
+
 def block_links(bags: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """Links between different classes of a cluster: ``members`` has ``uid, cluster, class_uid``."""
     sized = members.join(bags.select("uid", (F.octet_length("bag") / 8).cast("long").alias("n")), "uid")
@@ -248,7 +266,7 @@ def block_links(bags: DataFrame, members: DataFrame, threshold: float) -> DataFr
                 shared = overlaps(a, b)
                 linked = shared >= threshold * (a.size[:, None] + b.size - shared) - 1e-6
                 linked &= a.of_class[:, None] != b.of_class
-                x, y = np.nonzero(linked)
+                x, y = _joining(a, b, *np.nonzero(linked))
                 yield pa.RecordBatch.from_arrays([pa.array(a.uid[x]), pa.array(b.uid[y])], names=["a", "b"])
 
     return joined.select("left", "right").mapInArrow(compare, "a long, b long")
