@@ -1,11 +1,11 @@
 """Removal of repeated byte strings by a prefix-free parse of the corpus.
 
 A rolling hash triggers phrase bounds: a place is a bound where the hash of the eight bytes from
-there is the least of some 65 places in a row (all of them, on ties). Bounds depend on content
-alone and are at most 65 apart, so that any string of 200 bytes has one at an offset from 63 to
-127, whatever stands around it. The first such bound is the string's anchor; equal strings have it
-at one offset. Every string of an anchor holds the phrases next to it (its *context*), and all of
-them together span one stretch (its *reach*).
+there is the least of some 64 places in a row (all of them, on ties). A bound depends on the 63
+places before and behind it alone, and bounds are at most 64 apart, so that any string of 200 bytes
+has one at an offset from 63 to 126 that nothing around the string can change. The first such bound
+is the string's anchor; equal strings have it at one offset. Every string of an anchor holds the
+phrases next to it (its *context*), and all of them together span one stretch (its *reach*).
 
 Dictionary and parse are then put in one order across the corpus, by fingerprint, as only equality
 up to 200 bytes matters: first the contexts, then the reaches within a context. A context found
@@ -72,7 +72,7 @@ class Parse:
     def __init__(self, piece: Piece, length: int):
         self.piece, self.length = piece, length
         width = (length - GRAM + 1) // 3
-        lead = width - 2  # an anchor is at least so far behind the start of its strings
+        lead = width - 1  # so far behind a string's start, no byte before it has a say in a bound
         own = bounds(piece.body, width)
         before = np.concatenate([[-(1 << 40)], own[:-1]]) if len(own) else own
         doc = np.searchsorted(piece.ends, own, "right")

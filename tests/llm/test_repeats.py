@@ -53,6 +53,33 @@ def test_repeated_strings_go(spark, length):
     assert prefix_free.remove_repeated_strings(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("length, more", [(100, 0), (200, 0), (200, 30)])
+def test_the_byte_before_a_string_has_no_say(spark, length, more):
+    """Copies of one passage, of which the byte before decides whether offset width - 2 is a bound."""
+    import numpy as np
+
+    width = (length - prefix_free.GRAM + 1) // 3
+    r = np.random.default_rng(length)
+    say = lambda n: r.integers(97, 123, n).astype(np.uint8)
+    while True:
+        passage, around = say(length + more), say(400)
+        fronts = {}
+        for before in range(97, 123):
+            body = np.concatenate([around[:200], [np.uint8(before)], passage, around[200:]])
+            fronts.setdefault(201 + width - 2 in prefix_free.bounds(body, width), []).append(body)
+        if len(fronts) == 2:
+            break
+    raw = [x[0].tobytes() for x in fronts.values()]
+    # Only the passage is shared.
+    raw[1] = bytes(say(200)) + raw[1][200 : 201 + len(passage)] + bytes(say(200))
+    want = sum(covered([raw[0], raw[1]], length), [])
+    assert sum(want) == 2 * (length + more)
+    docs = spark.createDataFrame([(i, x.decode()) for i, x in enumerate(raw)], "doc_id long, text string")
+    found = prefix_free.remove_repeated_strings(docs, length=length)
+    spans = {r.doc_id: [list(x) for x in r.spans] for r in found.collect()}
+    assert spans == {i: [[201, 201 + length + more]] for i in (0, 1)}
+
+
 def _classes(rows):
     """Brute force: all pairs of texts, linked from a weighted Jaccard similarity of 0.8."""
     from collections import Counter
