@@ -9,13 +9,15 @@ similarity. Points are made only up to the time at which all slots have one.
 
 Signatures are cut into bands. Texts that share a band are compared exactly, by the overlap of
 their shingle multisets: first with one text of the band. Where texts that hang together by bands
-are still in several classes, they are sorted by class and length and compared block against block
-inside the tasks, but for blocks of one class, or of lengths that cannot be similar. So no group is
-expanded into rows of pairs, and no link between texts of different classes is skipped.
+are still in several classes, they are dealt to blocks by class and length and compared block
+against block inside the tasks, but for blocks of one class, or of lengths that cannot be similar.
+So no group is expanded into rows of pairs, and no link between texts of different classes is
+skipped.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from riskweave.llm.common import freeze
+from riskweave.llm.common import freeze, spread_join
 from riskweave.llm.pieces import ROW_BITS, Distinct, Piece, Rolling, Words, cut, each_piece, mix, other_fields, with_marks
 from riskweave.llm.stars import components
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
-#: Shingles of a block of texts that are compared with another block at once.
-BLOCK_ITEMS = 1 << 15
+#: About so many shingles and texts at most are a block that is compared with another at once.
+BLOCK_ITEMS, BLOCK_DOCS = 1 << 15, 1 << 10
+#: An occurrence that more pairs of two blocks share is counted by a matrix product.
+MANY_PAIRS = 1 << 10
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -205,17 +208,31 @@ def overlaps(a: Block, b: Block, columns: int = 8192) -> np.ndarray:
     """Shared occurrences of each document of one block with each of the other."""
     shared = np.intersect1d(a.item, b.item)
     out = np.zeros((len(a.uid), len(b.uid)), np.float32)
-    places = []
+    if not len(shared):
+        return out
+    places, counts = [], []
     for block in (a, b):
-        at = np.minimum(np.searchsorted(shared, block.item), max(0, len(shared) - 1))
-        hit = shared[at] == block.item if len(shared) else np.zeros(len(at), bool)
+        at = np.minimum(np.searchsorted(shared, block.item), len(shared) - 1)
+        hit = np.flatnonzero(shared[at] == block.item)
+        hit = hit[np.argsort(at[hit], kind="stable")]
         places.append((at[hit], block.owner[hit]))
-    for low in range(0, len(shared), columns):
+        counts.append(np.bincount(at[hit], minlength=len(shared)))
+    (at, owner), (_, others) = places
+    many = counts[0] * counts[1] > MANY_PAIRS
+    few = ~many[at]
+    at, owner = at[few], owner[few]
+    size = counts[1][at]
+    first = (np.cumsum(counts[1]) - counts[1])[at]
+    other = others[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    pair = np.repeat(owner, size) * len(b.uid) + other
+    out += np.bincount(pair, minlength=out.size).reshape(out.shape)
+    column, n = np.cumsum(many) - 1, int(many.sum())
+    for low in range(0, n, columns):
         sides = []
         for (at, owner), block in zip(places, (a, b), strict=True):
-            own = (at >= low) & (at < low + columns)
-            side = np.zeros((len(block.uid), min(columns, len(shared) - low)), np.float32)
-            side[owner[own], at[own] - low] = 1
+            own = many[at] & (column[at] >= low) & (column[at] < low + columns)
+            side = np.zeros((len(block.uid), min(columns, n - low)), np.float32)
+            side[owner[own], column[at[own]] - low] = 1
             sides.append(side)
         out += sides[0] @ sides[1].T
     return out
@@ -239,11 +256,34 @@ def _joining(a: Block, b: Block, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarr
     return x[keep], y[keep]
 
 
+def in_blocks(sized: DataFrame, threshold: float) -> DataFrame:
+    """Adds ``block`` to texts (``uid, cluster, class_uid, n``): a name within the cluster.
+
+    A cluster of more than a block is cut by ranges of length, its classes of more than a block
+    stay by themselves, and what is still more than a block is dealt by hash. All of it takes
+    counts, so that no task sorts a cluster.
+    """
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_ITEMS, F.count("*") / BLOCK_DOCS))
+
+    def counted(rows: DataFrame, key: str, name: str) -> DataFrame:
+        large = rows.groupBy(key).agg(blocks.alias(name)).where(F.col(name) > 1)
+        return spread_join(rows, large, key)
+
+    rows = counted(counted(sized, "cluster", "in_cluster"), "class_uid", "in_class")
+    step = max(0.05, -math.log(max(threshold, 0.1)))
+    large = F.col("in_cluster").isNotNull()
+    own = F.when(large & F.col("in_class").isNotNull(), F.col("class_uid")).otherwise(-1)
+    span = F.when(large, F.floor(F.log("n") / step)).otherwise(0)
+    rows = counted(rows.withColumn("cell", F.struct("cluster", own.alias("own"), span.alias("span"))), "cell", "in_cell")
+    part = F.pmod(F.xxhash64("uid"), F.coalesce("in_cell", F.lit(1)))
+    block = F.struct("cell.own", "cell.span", part.alias("part"))
+    return rows.select("uid", "cluster", "class_uid", "n", block.alias("block"))
+
+
 def block_links(bags: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """Links between different classes of a cluster: ``members`` has ``uid, cluster, class_uid``."""
     sized = members.join(bags.select("uid", (F.octet_length("bag") / 8).cast("long").alias("n")), "uid")
-    running = F.sum("n").over(Window.partitionBy("cluster").orderBy("class_uid", "n", "uid"))
-    placed = freeze(sized.withColumn("block", F.floor((running - 1) / BLOCK_ITEMS)))
+    placed = freeze(in_blocks(freeze(sized), threshold))
     about = placed.groupBy("cluster", "block").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.min("class_uid").alias("c"), F.max("class_uid").alias("d")
     )

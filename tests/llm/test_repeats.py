@@ -133,6 +133,58 @@ def test_links_below_the_first_leader_are_found(spark):
     assert len({r.class_uid for r in found.collect()}) == 1
 
 
+def test_blocks_hold_a_bounded_number_of_texts(spark):
+    """Short texts that differ in one word, each its own class, next to a large class and a small cluster."""
+    rows = spark.range(6000).selectExpr("id AS uid", "0L AS cluster", "id AS class_uid", "2L AS n")
+    rows = rows.union(spark.range(6000, 9000).selectExpr("id", "0L", "6000L", "30 + id % 2"))
+    rows = rows.union(spark.range(9000, 9020).selectExpr("id", "9000L", "id", "id - 8999"))
+    placed = bag_minhash.in_blocks(rows, 0.8)
+    assert "Window" not in placed._jdf.queryExecution().toString()
+    placed = placed.collect()
+    assert sorted(r.uid for r in placed) == list(range(9020))
+    blocks = {}
+    for r in placed:
+        blocks.setdefault((r.cluster, r.block), []).append(r)
+    assert max(map(len, blocks.values())) < 1.25 * bag_minhash.BLOCK_DOCS
+    assert max(sum(r.n for r in x) for x in blocks.values()) < 1.25 * bag_minhash.BLOCK_ITEMS
+    assert len({k for k in blocks if k[0] == 9000}) == 1
+    assert all({r.class_uid for r in x} == {6000} for x in blocks.values() if any(r.class_uid == 6000 for r in x))
+
+
+def test_overlaps_of_blocks(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+
+    def block(n):
+        bags = [np.unique(r.integers(0, 60, r.integers(1, 30)).astype(np.uint64)) for _ in range(n)]
+        rows = [{"uid": i, "class_uid": i, "bag": x.tobytes()} for i, x in enumerate(bags)]
+        kind = pa.struct([("uid", pa.int64()), ("class_uid", pa.int64()), ("bag", pa.binary())])
+        return bag_minhash.Block(pa.array(rows, kind)), bags
+
+    (a, x), (b, y) = block(40), block(25)
+    want = [[len(np.intersect1d(i, j)) for j in y] for i in x]
+    for many in (0, 60, 10_000):
+        monkeypatch.setattr(bag_minhash, "MANY_PAIRS", many)
+        assert (bag_minhash.overlaps(a, b, 7) == want).all()
+
+
+def test_near_duplicate_classes_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bag_minhash, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(bag_minhash, "BLOCK_ITEMS", 500)
+    base = [f"w{i}" for i in range(60)]
+    rows = [" ".join(f"v{j}" if j < k else w for j, w in enumerate(base)) for k in range(0, 40, 2)]
+    rows += [f"a b c d e x{i}" for i in range(30)] + ["a b c d e x1 y"] * 2
+    docs = documents(spark, rows)
+    want, got = {}, {}
+    for r, x in zip(docs.collect(), _classes(docs.collect()), strict=True):
+        want.setdefault(x, []).append(str(r.doc_id))
+    for r in bag_minhash.near_duplicates(docs)[1].collect():
+        got.setdefault(r.class_uid, []).append(str(r.key))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_signatures_estimate_weighted_similarity():
     import numpy as np
 
