@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from riskweave.llm import (
     bag_minhash,
+    centroids,
     doubling_windows,
+    exact_copies,
     host_rules,
     piece_lattice,
     prefix_free,
@@ -109,6 +112,21 @@ def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = exact_copies.exact_copies(docs, carry_text=False)
+    digest = F.lower(F.hex("digest")).alias("text_sha256")
+    return found.select("doc_id", F.col("keep_key").alias("keep_id"), "group_size", "kept", digest)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found, final = centroids.cluster(rows)
+    marks = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in final]
+    mark = centroids.by_cluster(F.col("cluster"), marks or [""], "string").alias("centroid_sha256")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", mark)
+
+
 def plans() -> dict[str, Plan]:
     own = (
         op1_token_store,
@@ -121,6 +139,8 @@ def plans() -> dict[str, Plan]:
         op8_pruned_graph,
         op9_prefix_free,
         op10_piece_lattice,
+        op11_exact_copies,
+        op13_centroids,
     )
     return {f.__name__: f for f in own}
 

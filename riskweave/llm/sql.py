@@ -115,10 +115,48 @@ SELECT i.doc_id, size, source_size, round(target, 6) AS target,
   CAST(size * (whole + CASE WHEN inside OR m.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM inside i LEFT JOIN more m ON i.source IS NOT DISTINCT FROM m.source AND i.doc_id = m.doc_id"""
 
+OP11 = """WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
+    regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS body FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY chars DESC, doc_id) AS place,
+    first_value(doc_id) OVER (PARTITION BY body ORDER BY chars DESC, doc_id) AS keep_id,
+    count(*) OVER (PARTITION BY body) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM ranked"""
+
+
+def _rounds(rounds: int = 5) -> str:
+    """Rounds written out: (c)entroids by component, vectors (n)ear them, and the next centroids."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"""n{r} AS MATERIALIZED (SELECT vec_id, x, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+    SELECT p.vec_id, p.x, c.k, list_sum(list_transform(list_zip(p.x, c.x),
+      lambda z: CAST(z[1] - z[2] AS HUGEINT) * (z[1] - z[2]))) AS d FROM point p, c{r} c) GROUP BY 1, 2)"""
+        )
+        steps.append(
+            f"""m{r} AS MATERIALIZED (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT k, i, sum(CAST(v AS HUGEINT)) AS s, count(*) AS n
+    FROM (SELECT k, unnest(x) AS v, unnest(range(len(x))) AS i FROM n{r}) GROUP BY 1, 2) GROUP BY 1)"""
+        )
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (k))")
+    return ",\n".join(steps)
+
+
+OP13 = f"""WITH point AS MATERIALIZED (SELECT vec_id,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), x) - 1 AS k, x
+  FROM point ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), x LIMIT 40),
+{_rounds()}
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+  CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM n5 JOIN c5 c USING (k)"""
+
 TWINS = {
     "op2_bag_minhash": OP2,
     "op3_doubling_windows": OP3,
     "op6_source_mix": OP6,
     "op7_host_rules": OP7,
     "op9_prefix_free": OP9,
+    "op11_exact_copies": OP11,
+    "op13_centroids": OP13,
 }
