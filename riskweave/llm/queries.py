@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from riskweave.llm import (
     bag_minhash,
     centroids,
+    collocations,
     doubling_windows,
     exact_copies,
     host_rules,
@@ -119,6 +120,10 @@ def op11_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("keep_key").alias("keep_id"), "group_size", "kept", digest)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     found, final = centroids.cluster(rows)
@@ -140,6 +145,7 @@ def plans() -> dict[str, Plan]:
         op9_prefix_free,
         op10_piece_lattice,
         op11_exact_copies,
+        op12_collocations,
         op13_centroids,
     )
     return {f.__name__: f for f in own}

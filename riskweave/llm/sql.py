@@ -123,6 +123,33 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY chars DESC, d
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM ranked"""
 
 
+OP12 = """WITH part AS (SELECT lang, list_filter(regexp_split_to_array(p, '[ \\t]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+gram AS MATERIALIZED (SELECT lang, m, g, count(*) AS f FROM (
+    SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS g FROM (
+      SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+      FROM part, (SELECT unnest(range(1, 6)) AS m)))
+  GROUP BY 1, 2, 3),
+total AS (SELECT lang, sum(f) AS n FROM gram WHERE m = 1 GROUP BY 1),
+cand AS (SELECT lang, m, g, f AS a, string_split(g, ' ') AS w FROM gram WHERE m > 1 AND f >= 100),
+cut AS (SELECT lang, g, k, CAST(floor_div AS BIGINT) AS score, l, r FROM (
+    SELECT c.lang, c.g, k, x.f AS l, y.f AS r,
+      (CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.f AS HUGEINT) * y.f) AS floor_div
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) c JOIN total t USING (lang)
+      JOIN gram x ON x.lang = c.lang AND x.g = array_to_string(c.w[1 : k], ' ') AND x.m = k
+      JOIN gram y ON y.lang = c.lang AND y.g = array_to_string(c.w[k + 1 : c.m], ' ') AND y.m = c.m - k)),
+best AS (SELECT lang, g, arg_min({'score': score, 'l': l, 'r': r}, (score, k)) AS b FROM cut GROUP BY 1, 2),
+inner_ AS (SELECT lang, m2, array_to_string(w[i : i + m2 - 1], ' ') AS g, max(a) AS longer FROM (
+    SELECT *, unnest(range(1, m - m2 + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS m2 FROM cand)) GROUP BY 1, 2, 3),
+kept AS (SELECT c.lang, c.g, c.a, b.b FROM cand c JOIN best b ON b.lang = c.lang AND b.g = c.g
+    LEFT JOIN inner_ i ON i.lang = c.lang AND i.g = c.g AND i.m2 = c.m
+  WHERE i.longer IS NULL OR 100 * i.longer < 100 * c.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, encode(g)) AS rank FROM kept)
+SELECT lang, CAST(rank AS INTEGER) AS rank, g AS phrase, a, b.l AS l, b.r AS r, CAST(n AS BIGINT) AS n, b.score AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+
 def _rounds(rounds: int = 5) -> str:
     """Rounds written out: (c)entroids by component, vectors (n)ear them, and the next centroids."""
     steps = []
@@ -158,5 +185,6 @@ TWINS = {
     "op7_host_rules": OP7,
     "op9_prefix_free": OP9,
     "op11_exact_copies": OP11,
+    "op12_collocations": OP12,
     "op13_centroids": OP13,
 }
