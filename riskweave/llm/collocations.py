@@ -1,6 +1,7 @@
 """Phrases that hold together, by weighted acyclic automata of n-grams.
 
-Texts become shards of word numbers. A shard turns its sorted n-grams into count transducers, one
+Texts become shards of word numbers; the words of all shards are counted, and the frequent ones
+numbered, in ranges of a hash of their letters. A shard then turns its sorted n-grams into count transducers, one
 for each range of prefixes (the first two words); the transducers of a range are united with their
 counts summed. Each shard hears which of its n-grams are frequent, so that at the next length only
 stretches of frequent n-grams are left: a phrase is never more frequent than any part of it, so
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import partitions, stored
-from riskweave.llm.pieces import PIECE_BITS
+from riskweave.llm.pieces import LANES, PIECE_BITS, mix
 from riskweave.llm.transducers import Distinct, Transducer, spread, union
 
 #: Bytes of text in a shard (a longer stretch without a break is one shard), words between two
@@ -35,27 +36,65 @@ PLAIN = bytes(10 if bytes([x]) in BREAKS else 32 if x == 9 else x + 32 if 65 <=
 # --- shards ------------------------------------------------------------------------------------
 
 
-def numbered(body: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+class Words:
+    """Words one after the other, and the place of each in the order of a hash of its letters. The
+    order says where words meet, not which words are equal."""
+
+    def __init__(self, letters: np.ndarray, sizes: np.ndarray):
+        self.letters, self.sizes = letters, sizes
+        self.ends = np.cumsum(sizes)
+        self.begin = self.ends - sizes
+
+    def spots(self) -> np.ndarray:
+        if not len(self.sizes):
+            return np.zeros(0, np.uint32)
+        inner = np.arange(len(self.letters)) - np.repeat(self.begin, self.sizes)
+        weighed = LANES[0][self.letters] * LANES[1][inner & 255]
+        return (mix(np.add.reduceat(weighed, self.begin)) >> np.uint64(32)).astype(np.uint32)
+
+    def take(self, order: np.ndarray) -> Words:
+        return Words(self.letters[spread(self.begin[order], self.sizes[order])], self.sizes[order])
+
+    def between(self, a: int, b: int) -> Words:
+        return Words(self.letters[self.begin[a] : self.ends[b - 1]], self.sizes[a:b])
+
+    def pack(self) -> bytes:
+        head = np.array([len(self.sizes)], np.int64).tobytes()
+        return head + self.sizes.astype(np.uint32).tobytes() + self.letters.tobytes()
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> Words:
+        (size,) = np.frombuffer(raw, np.int64, 1)
+        sizes = np.frombuffer(raw, np.uint32, size, 8).astype(np.int64)
+        return cls(np.frombuffer(raw, np.uint8, -1, 8 + 4 * int(size)), sizes)
+
+    def arrow(self) -> pa.Array:
+        offsets = np.concatenate([[0], self.ends]).astype(np.int64)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(self.letters))]
+        return pa.Array.from_buffers(pa.large_binary(), len(self.sizes), buffers)
+
+
+def numbered(body: bytes) -> tuple[Words, np.ndarray, np.ndarray]:
     """Different words, their counts, and the word numbers in order (from 1; 0 is a break)."""
     raw = np.frombuffer(body.translate(PLAIN) + b"\n", np.uint8)
     inside = (raw != 32) & (raw != 10)
-    since = np.zeros(len(raw), bool)
-    since[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & ~since)
-    kept = inside | since  # each word and one blank after it
-    packed = raw[kept]
-    packed[~inside[kept]] = 32
-    offsets = np.append(np.cumsum(kept)[starts] - 1, len(packed)).astype(np.int64)
-    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(packed)]
-    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
+    starts, ends = edge[0::2], edge[1::2]
+    coded = Words(raw[inside], ends - starts).arrow().dictionary_encode()
     numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    words = pa.array([w[:-1] for w in coded.dictionary.to_pylist()], pa.binary()).cast(pa.string())
+    held = coded.dictionary
+    offsets = np.frombuffer(held.buffers()[1], np.int64, len(held) + 1, 8 * held.offset)
+    letters = np.frombuffer(held.buffers()[2] or b"", np.uint8)[: offsets[-1] if len(held) else 0]
+    words = Words(letters, np.diff(offsets))
+    order = np.argsort(words.spots(), kind="stable")
+    turned = np.empty(len(order), np.int64)
+    turned[order] = np.arange(len(order))
     line = np.cumsum(raw == 10)[starts]
     turn = np.zeros(len(starts), np.int64)
     turn[1:] = line[1:] != line[:-1]
     out = np.zeros(len(starts) + int(turn.sum()), np.uint32)
-    out[np.arange(len(starts)) + np.cumsum(turn)] = numbers + 1
-    return words, np.bincount(numbers, minlength=len(words)).astype(np.int64), out
+    out[np.arange(len(starts)) + np.cumsum(turn)] = turned[numbers] + 1
+    return words.take(order), np.bincount(turned[numbers], minlength=len(order)).astype(np.int64), out
 
 
 def cut(text: bytes, limit: int) -> Iterator[bytes]:
@@ -70,7 +109,7 @@ def cut(text: bytes, limit: int) -> Iterator[bytes]:
     yield text[at:]
 
 
-SHARDS = "shard long, lang string, words array<string>, counts array<long>, numbers binary"
+SHARDS = "shard long, lang string, n long, words binary, counts binary, numbers binary"
 
 
 def shards(docs: DataFrame, lang: str, text: str, limit: int = SHARD_BYTES) -> DataFrame:
@@ -86,17 +125,11 @@ def shards(docs: DataFrame, lang: str, text: str, limit: int = SHARD_BYTES) -> D
             nonlocal shard, size
             for name, parts in held.items():
                 words, counts, numbers = numbered(b"\n".join(parts))
-                if len(words):
-                    ends = pa.array([0, len(words)], pa.int32())
-                    columns = [
-                        pa.array([shard], pa.int64()),
-                        pa.array([name]),
-                        pa.ListArray.from_arrays(ends, words),
-                        pa.ListArray.from_arrays(ends, pa.array(counts)),
-                        pa.array([numbers.tobytes()], pa.binary()),
-                    ]
-                    names = ["shard", "lang", "words", "counts", "numbers"]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                if len(counts):
+                    blobs = (words.pack(), counts.astype(np.uint32).tobytes(), numbers.tobytes())
+                    columns = [pa.array([shard], pa.int64()), pa.array([name]), pa.array([int(counts.sum())], pa.int64())]
+                    columns += [pa.array([x], pa.binary()) for x in blobs]
+                    yield pa.RecordBatch.from_arrays(columns, names=["shard", "lang", "n", "words", "counts", "numbers"])
                     shard += 1
             held.clear()
             size = 0
@@ -114,6 +147,80 @@ def shards(docs: DataFrame, lang: str, text: str, limit: int = SHARD_BYTES) -> D
     return stored(plain.mapInArrow(pack, SHARDS), "shards", "shard")
 
 
+# --- the alphabet ------------------------------------------------------------------------------
+
+SPELLED = "range int, shard long, lang string, words binary, counts binary"
+ALPHABET = "range int, shard long, ranks binary, lang string, word string, f long, rank int"
+
+
+def spot_ranges(words: Words, parts: int) -> list[tuple[int, int, int]]:
+    """Range, from and to, of words in the order of their spots."""
+    place = words.spots().astype(np.int64) * parts >> 32
+    bounds = np.searchsorted(place, np.arange(parts + 1))
+    return [(int(k), int(bounds[k]), int(bounds[k + 1])) for k in np.flatnonzero(np.diff(bounds))]
+
+
+def alphabet(whole: DataFrame, parts: int, least: int) -> DataFrame:
+    """Frequent words by range and rank in it (``shard`` null), and for each shard and range the
+    rank of each of the shard's words there, from 1; 0 for a word that is not frequent."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, lang, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, counts = Words.unpack(words), np.frombuffer(counts, np.uint32)
+                out = spot_ranges(words, parts)
+                columns = [
+                    pa.array([k for k, _, _ in out], pa.int32()),
+                    pa.array([shard] * len(out), pa.int64()),
+                    pa.array([lang] * len(out), pa.string()),
+                    pa.array([words.between(a, b).pack() for _, a, b in out], pa.binary()),
+                    pa.array([counts[a:b].tobytes() for _, a, b in out], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["range", "shard", "lang", "words", "counts"])
+
+    def settle(rows: pa.Table) -> pa.Table:
+        place = rows.column("range")[0].as_py()
+        tongues, replies, known, base = rows.column("lang").to_pylist(), [], [], 0
+        for lang in sorted(set(tongues)):
+            own = rows.filter(pa.array([x == lang for x in tongues]))
+            listed = [Words.unpack(x) for x in own.column("words").to_pylist()]
+            both = Words(np.concatenate([x.letters for x in listed]), np.concatenate([x.sizes for x in listed]))
+            coded = both.arrow().dictionary_encode()
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            totals = np.zeros(len(coded.dictionary), np.int64)
+            np.add.at(totals, at, np.concatenate([np.frombuffer(x, np.uint32) for x in own.column("counts").to_pylist()]))
+            often = totals >= least
+            ranks = np.where(often, base + np.cumsum(often), 0).astype(np.uint32)
+            base += int(often.sum())
+            found = coded.dictionary.filter(pa.array(often)).cast(pa.binary()).cast(pa.string())
+            known.append((lang, found, totals[often], ranks[often].astype(np.int32)))
+            each = np.split(ranks[at], np.cumsum([len(x.sizes) for x in listed])[:-1])
+            for shard, told in zip(own.column("shard").to_pylist(), each, strict=True):
+                if told.any():
+                    replies.append((shard, told.tobytes()))
+        named = sum(len(k[1]) for k in known)
+        size = len(replies) + named
+
+        def column(first: list, kind: pa.DataType, last: list) -> pa.ChunkedArray:
+            head = pa.array(first if first is not None else [None] * len(replies), kind)
+            return pa.chunked_array([head, *(last if last is not None else [pa.nulls(named, kind)])], kind)
+
+        return pa.table(
+            {
+                "range": pa.array([place] * size, pa.int32()),
+                "shard": column([r[0] for r in replies], pa.int64(), None),
+                "ranks": column([r[1] for r in replies], pa.binary(), None),
+                "lang": column(None, pa.string(), [pa.array([k[0]] * len(k[1]), pa.string()) for k in known]),
+                "word": column(None, pa.string(), [k[1] for k in known]),
+                "f": column(None, pa.int64(), [pa.array(k[2]) for k in known]),
+                "rank": column(None, pa.int32(), [pa.array(k[3]) for k in known]),
+            }
+        )
+
+    sent = whole.select("shard", "lang", "words", "counts").mapInArrow(send, SPELLED)
+    return stored(sent.groupBy("range").applyInArrow(settle, ALPHABET), "alphabet")
+
+
 # --- sequences of frequent words -----------------------------------------------------------------
 
 CODED = "shard long, numbers binary"
@@ -374,50 +481,45 @@ def collocations(
 
     A null language is ``und``, a null text is empty. Texts without words add nothing; repeated rows
     count each time. Long texts are read whole, in shards that end at breaks. Arithmetic is exact up
-    to 38 digits and at most 2**31 - 1 different frequent words (an error beyond). Other columns
+    to 38 digits and at most 2**31 - 2 different frequent words (an error beyond). Other columns
     are not read. A table without candidates gives an empty table.
     """
     spark = docs.sparkSession
     whole = shards(docs, lang, text, shard_bytes)
-    spoken = whole.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
-
-    each = whole.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x"))
-    often = each.groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f")).where(F.col("f") >= least)
-    inside = often.repartitionByRange(partitions(spark), "lang", "word").sortWithinPartitions("lang", "word")
-    placed = stored(inside.withColumn("place", F.monotonically_increasing_id()), "alphabet")
-    # Numbers in the order of the words: one row a partition tells where its numbers begin.
-    part = F.shiftright("place", 33)
-    sizes = {r[0]: r[1] for r in placed.groupBy(part).count().collect()}
-    upto, begins = 1, []
-    for k in range(max(sizes, default=-1) + 1):
-        begins.append(upto)
-        upto += sizes.get(k, 0)
+    spoken = whole.groupBy("lang").agg(F.sum("n").alias("n"))
+    held = whole.agg(F.sum(F.octet_length("words") + F.octet_length("counts"))).first()[0] or 0
+    parts = int(max(partitions(spark), -(-held // RANGE_BYTES)))
+    known = alphabet(whole, parts, least)
+    # Numbers are ranks after those of the ranges before: one row a range.
+    sizes = {r[0]: r[1] for r in known.where("shard IS NULL").groupBy("range").count().collect()}
+    begins = np.concatenate([[0], np.cumsum([sizes.get(k, 0) for k in range(parts)])])
     if not sizes:
         return spark.createDataFrame([], RANKED)
-    if upto >= 2**31:
-        raise ValueError("more than 2**31 - 1 different frequent words")
-    begin = F.expr(f"array({', '.join(f'{x}L' for x in begins)})")
-    number = F.element_at(begin, (part + 1).cast("int")) + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    words = placed.select("lang", "word", "f", number.alias("number"))
-
-    spelled = whole.select("shard", "lang", F.posexplode("words").alias("at", "word")).join(words, ["lang", "word"])
-    named = spelled.groupBy("shard").agg(F.collect_list(F.struct("at", "number")).alias("named"))
+    if begins[-1] >= 2**31 - 1:
+        raise ValueError("more than 2**31 - 2 different frequent words")
+    begin = spark.createDataFrame([(k, int(begins[k])) for k in sizes], "range int, begin long")
+    words = known.where("shard IS NULL").join(begin, "range")
+    words = words.select("lang", "word", "f", (F.col("begin") + F.col("rank")).alias("number"))
+    named = known.where("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("range", "ranks")).alias("named"))
 
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                pairs = batch.column("named")[i].values
-                at, new = (pairs.field(j).to_numpy(zero_copy_only=False) for j in (0, 1))
-                numbers = np.frombuffer(batch.column("numbers")[i].as_buffer(), np.uint32)
-                table = np.zeros(max(int(numbers.max()), int(at.max()) + 1) + 1, np.uint32)
-                table[at + 1] = new
-                numbers = table[numbers]
+            for shard, spelled, numbers, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, heard = Words.unpack(spelled), {x["range"]: x["ranks"] for x in told}
+                table = np.zeros(len(own.sizes) + 1, np.uint32)
+                for k, a, b in spot_ranges(own, parts):
+                    if k in heard:
+                        ranks = np.frombuffer(heard[k], np.uint32)
+                        table[a + 1 : b + 1] = np.where(ranks > 0, ranks + np.uint32(begins[k]), 0)
+                numbers = table[np.frombuffer(numbers, np.uint32)]
                 left = stretches(numbers, numbers != 0, 1)
                 if len(left):
-                    columns = [pa.array([batch.column("shard")[i].as_py()], pa.int64()), pa.array([left.tobytes()], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["shard", "numbers"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([shard], pa.int64()), pa.array([left.tobytes()], pa.binary())], names=["shard", "numbers"]
+                    )
 
-    coded = stored(whole.select("shard", "numbers").join(named, "shard").mapInArrow(recode, CODED), "coded", "shard")
+    told = whole.select("shard", "words", "numbers").join(named, "shard")
+    coded = stored(told.mapInArrow(recode, CODED), "coded", "shard")
     cuts = prefix_cuts(coded)
     grams: dict[int, DataFrame] = {}
     for length in range(2, longest + 1):

@@ -104,5 +104,12 @@ def test_long_texts_are_cut_at_breaks():
     body = ("ab cd " * 50 + ".").encode() * 4 + b"no break at all " * 100
     parts = list(cut(body, 400))
     assert b"".join(parts) == body and max(map(len, parts)) == 1600
+
+
+def test_words_of_a_shard():
     words, counts, numbers = numbered(b"B a,\tb  b\nA")
-    assert words.to_pylist() == ["b", "a"] and counts.tolist() == [3, 2] and numbers.tolist() == [1, 2, 0, 1, 1, 0, 2]
+    spelt = words.arrow().to_pylist()
+    assert dict(zip(spelt, counts.tolist(), strict=True)) == {b"b": 3, b"a": 2}
+    assert [spelt[x - 1] if x else None for x in numbers] == [b"b", b"a", None, b"b", b"b", None, b"a"]
+    assert (np.diff(words.spots().astype(np.int64)) > 0).all()
+    assert len(numbered(b" ,.\n")[1]) == 0
