@@ -5,70 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.frames import DAY, HOUR, KEYS, MINUTE, add, prior
+from riskweave.functions.frames import DAY, KEYS
+from riskweave.operators.arrivals import with_arrived_activity
 from riskweave.operators.features import vector, with_baseline
 from riskweave.operators.history import (
     ACTIVITY_SPAN,
-    GROUP,
     HISTORY_LIMIT,
     candidates,
     history_frame,
 )
+from riskweave.operators.profiles import running_before
+
+
+def in_flight(rows: DataFrame) -> DataFrame:
+    """Per key, the most rows that had happened but not arrived at one time (``room``).
+
+    A row is under way from its time until it arrives, or until it is too old to matter. Only these
+    can stand between a candidate and the rows that it sees.
+    """
+    lands = f"least(greatest(coalesce(available_us, us + {ACTIVITY_SPAN}), us), us + {ACTIVITY_SPAN})"
+    both = rows.selectExpr(*KEYS, "us", "1 AS step").unionByName(
+        rows.selectExpr(*KEYS, f"{lands} AS us", "-1 AS step")
+    )
+    flying = running_before(both, {"flying": "step"}, {})
+    return flying.filter("step > 0").groupBy(*KEYS).agg(F.max("flying").alias("room"))
 
 
 def replay_frame(labeled: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     """History groups deep enough to hold ``limit + 1`` rows that had arrived, if there are so many.
 
-    Every row had arrived once the longest delay has passed, so only rows of that last stretch take
-    up places in vain. Cells of that length are counted (partial sums); a stretch meets two.
+    A long key is as much deeper as it has rows under way at one time; other keys do not matter.
     """
-    late = labeled.agg(F.max(F.col("available_us") - F.col("us"))).first()[0] or 0
-    if late <= 0:
-        room = 0
-    else:
-        cells = labeled.groupBy(*KEYS, F.floor(F.col("us") / late).alias("cell")).count()
-        room = 2 * (cells.agg(F.max("count")).first()[0] or 0)
-    return history_frame(labeled, limit + room, {"profile_since": f"min({ARRIVED})"}, refuse=False)
+    extras = {"profile_since": f"min({ARRIVED})"}
+    return history_frame(labeled, limit, extras, refuse=False, room=in_flight)
 
 
 #: When a baseline row is both admitted and known to have happened.
 ARRIVED = "CASE WHEN admitted_us IS NOT NULL THEN greatest(admitted_us, available_us) END"
 
 
-def with_known_activity(frame: DataFrame) -> DataFrame:
-    """Activity columns from the prior rows that had arrived before the candidate did."""
-    row = "named_struct('us', us, 'av', available_us, 'r', recipient_id, 'd', device_id)"
-    visible = f"collect_list(CASE WHEN is_history THEN {row} END) {prior(ACTIVITY_SPAN, *GROUP)}"
-    frame = add(frame, _rows=visible)
-    kept = [c for c in frame.columns if c != "_rows"]
-    frame = frame.selectExpr(*kept, "filter(_rows, p -> p.av < available_us) AS _known")
-    same = "filter(_known, p -> p.r = recipient_id)"
-    frame = add(
-        frame,
-        n_activity="size(_known)",
-        n_5m=f"size(filter(_known, p -> p.us > us - {5 * MINUTE}))",
-        n_10m=f"size(filter(_known, p -> p.us > us - {10 * MINUTE}))",
-        n_60m=f"size(filter(_known, p -> p.us > us - {HOUR}))",
-        n_recipient_60m=f"size(filter({same}, p -> p.us > us - {HOUR}))",
-        first_recipient_us=f"array_min(transform({same}, p -> p.us))",
-        last_us="array_max(transform(_known, p -> p.us))",
-        device_seen="exists(_known, p -> p.d = device_id)",
-    )
-    frame = add(
-        frame,
-        _devices="array_distinct(transform(filter(_known, p -> p.us = last_us), p -> p.d))",
-    )
-    return add(
-        frame, last_device="CASE WHEN size(_devices) = 1 THEN get(_devices, 0) END"
-    ).drop("_known", "_devices")
-
-
 CLOCKS = ("available_us", "label_available_us", "label")
 
 
 def prepare(labeled: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     """The feature vector of every event as it could be known when the event arrived."""
-    frame = with_known_activity(replay_frame(labeled, limit))
+    frame = with_arrived_activity(replay_frame(labeled, limit))
     frame = with_baseline(frame, seen=ARRIVED)
     return vector(candidates(frame), limit, CLOCKS)
 

@@ -17,6 +17,8 @@ for the group, one for its recipients and one for its devices.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,9 +88,11 @@ def positions(rows: DataFrame) -> DataFrame:
     )
 
 
-def _chunked(rows: DataFrame, depth: int) -> DataFrame:
+def _chunked(rows: DataFrame, depth: Column, instants: bool = True) -> DataFrame:
+    """``depth`` may differ from key to key, not within one. Without ``instants`` a row also needs
+    the rows of its own instant that are placed before it."""
     placed = positions(rows)
-    own = F.floor(F.col("older") / depth).cast("bigint")
+    own = F.floor(F.col("older" if instants else "place") / depth).cast("bigint")
     home = F.floor(F.col("place") / depth).cast("bigint")
     has_next = (home + 1) * depth < F.col("key_rows")
 
@@ -119,6 +123,8 @@ def history_frame(
     depth: int = HISTORY_LIMIT,
     extras: dict[str, str] | None = None,
     refuse: bool = True,
+    room: Callable[[DataFrame], DataFrame] | None = None,
+    instants: bool = True,
 ) -> DataFrame:
     """Rows with ``chunk``, ``is_candidate`` and ``is_history``, shuffled once by :data:`GROUP`.
 
@@ -126,6 +132,7 @@ def history_frame(
     aggregates (for example the first time a profile existed) added as columns. With ``refuse``,
     ``history_limit_exceeded`` marks candidates with more prior rows than that, and
     :func:`bounded` columns are NULL for them, so no operator can return a value from a cut history.
+    ``room`` tells by how many rows (``room``) the groups of a long key have to be deeper.
     """
     extras = extras or {}
     short, long = split_by_length(rows, depth, extras)
@@ -133,7 +140,10 @@ def history_frame(
         {"chunk": F.lit(0).cast("bigint"), "is_candidate": F.lit(True), "is_history": F.lit(True)}
     )
     if long is not None:
-        chunks = _chunked(long, depth + 1)
+        deep = F.lit(depth + 1)
+        if room is not None:
+            long, deep = long.join(room(long), list(KEYS)), deep + F.col("room")
+        chunks = _chunked(long, deep, instants)
         missing = {name: F.lit(None) for name in extras}
         whole = whole.withColumns(missing) if extras else whole
         whole = whole.unionByName(chunks.select(*whole.columns))

@@ -5,21 +5,19 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.functions import amounts
-from riskweave.functions.frames import DAY, KEYS, add, prior
+from riskweave.functions.frames import DAY, KEYS, add
 from riskweave.operators.cases import TERMINAL, case_state
 from riskweave.operators.features import MINIMUM_HISTORY
 from riskweave.operators.history import (
-    GROUP,
     HISTORY_LIMIT,
     candidates,
     history_frame,
+    positions,
     split_by_length,
 )
 from riskweave.operators.profiles import amount_statistics, running_before
@@ -112,97 +110,119 @@ class TrustedWindow:
         return reason, n, median2
 
 
-FOLDED = "transaction_id, customer_id, currency, us, reason, n_trusted, median2_trusted, version_after"
+FOLDED = ("transaction_id", *KEYS, "us", "reason", "n_trusted", "median2_trusted", "version_after")
+DECIDED = {"reason": "string", "n_trusted": "bigint", "median2_trusted": "bigint", "version_after": "bigint"}
 ADMITTING = ("TRUSTED_REVIEWED_BOOTSTRAP", "CONFIRMED_ORDINARY_ACTIVITY")
 
 
 def _fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by key, time and id; only the trusted window of one key is held."""
+    """Rows arrive sorted by key, slice, time and id; only the trusted window of one slice is held.
+
+    Rows with ``carried`` were trusted in earlier slices: they enter the window and give no row.
+    """
     key, window, version = None, TrustedWindow(), 0
     for batch in batches:
         rows = batch.to_pydict()
-        reasons, counts, medians, versions = [], [], [], []
-        for customer, currency, us, cents, verdict, seed in zip(
-            rows["customer_id"],
-            rows["currency"],
-            rows["us"],
-            rows["cents"],
-            [v if e else None for v, e in zip(rows["verdict"], rows["evaluable"], strict=True)],
-            rows["is_seed"],
-            strict=True,
+        reasons, counts, medians, versions, own = [], [], [], [], []
+        for i, (customer, currency, part, us, cents, verdict, seed, carried) in enumerate(
+            zip(
+                rows["customer_id"],
+                rows["currency"],
+                rows["slice"],
+                rows["us"],
+                rows["cents"],
+                [v if e else None for v, e in zip(rows["verdict"], rows["evaluable"], strict=True)],
+                rows["is_seed"],
+                rows["carried"],
+                strict=True,
+            )
         ):
-            if key != (customer, currency):
-                key, window, version = (customer, currency), TrustedWindow(), 0
+            if key != (customer, currency, part):
+                key, window, version = (customer, currency, part), TrustedWindow(), 0
+            if carried:
+                window.admit(us, cents)
+                continue
             reason, n, median2 = window.decide(us, cents, verdict)
             if seed:
                 reason, version = "TRUSTED_REVIEWED_BOOTSTRAP", 1
             if reason in ADMITTING:
                 window.admit(us, cents)
                 version += not seed
+            own.append(i)
             reasons.append(reason)
             counts.append(n)
             medians.append(median2)
             versions.append(version)
-        kept = [batch.column(c) for c in ("transaction_id", "customer_id", "currency", "us")]
-        yield pa.RecordBatch.from_arrays(
-            [
-                *kept,
-                pa.array(reasons, pa.string()),
-                pa.array(counts, pa.int64()),
-                pa.array(medians, pa.int64()),
-                pa.array(versions, pa.int64()),
-            ],
-            names=FOLDED.split(", "),
-        )
+        kept = batch.take(pa.array(own, pa.int64()))
+        for name, column in zip(DECIDED, (reasons, counts, medians, versions), strict=True):
+            kind = pa.string() if name == "reason" else pa.int64()
+            kept = kept.append_column(name, pa.array(column, kind))
+        yield kept
+
 
+def _folded(rows: DataFrame) -> DataFrame:
+    """One sorted pass over keys or slices (``slice``) of keys.
 
-def _reason_over_window(rows: DataFrame, limit: int) -> DataFrame:
-    """The gate for all rows at once, given which rows count as ``trusted``."""
-    row = "named_struct('us', us, 'id', CAST(transaction_id AS STRING), 'c', cents)"
-    upto = prior(LONG_SPAN, *GROUP).replace("1 PRECEDING", "CURRENT ROW")
-    frame = history_frame(rows, limit)
-    frame = add(frame, _seen=f"collect_list(CASE WHEN is_history AND trusted THEN {row} END) {upto}")
-    own = "named_struct('us', us, 'id', CAST(transaction_id AS STRING))"
-    before = f"filter(_seen, r -> named_struct('us', r.us, 'id', r.id) < {own})"
-    decided = candidates(frame).selectExpr(
-        *rows.columns,
-        f"sort_array(transform({before}, r -> r.c)) AS _trusted",
+    Rows are dealt by a hash of the columns: a repartition by columns that a join below has dealt by
+    already is left out by Spark, which may then deal out a skewed key of that join anew.
+    """
+    kinds = {c: k for c, k in [*rows.dtypes, *DECIDED.items()]}
+    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
+    parts = [*KEYS, "slice"]
+    ordered = rows.repartition(F.xxhash64(*parts)).sortWithinPartitions(
+        *parts, F.desc("carried"), "us", F.col("transaction_id").cast("string")
     )
-    decided = add(
-        decided, n_trusted="size(_trusted)", median2_trusted=amounts.median2("_trusted")
-    ).drop("_trusted")
-    verdict = "(CASE WHEN evaluable THEN verdict END)"
-    reason = gate_reason(verdict, "n_trusted", "median2_trusted")
-    return add(
-        decided, reason=f"CASE WHEN is_seed THEN 'TRUSTED_REVIEWED_BOOTSTRAP' ELSE {reason} END"
+    return ordered.mapInArrow(_fold_sorted, schema).drop("carried")
+
+
+def _slices(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows with ``slice`` (``limit`` rows each, in order) and ``reach``, the last slice of the key
+    that begins within 180 days of the end of theirs."""
+    placed = positions(rows).withColumn("slice", F.floor(F.col("place") / limit)).drop("place", "older")
+    bounds = placed.groupBy(*KEYS, "slice").agg(F.min("us").alias("begin"), F.max("us").alias("end"))
+    both = bounds.selectExpr(*KEYS, "slice", "begin AS us", "1 AS begun").unionByName(
+        bounds.selectExpr(*KEYS, "slice", f"end + {LONG_SPAN} AS us", "0 AS begun")
     )
+    # Slices are numbered from 0 in order, so those begun by then are 0 to their count less one.
+    reached = running_before(both, {"_begun": "begun"}, {}).filter("begun = 0")
+    reach = reached.selectExpr(*KEYS, "slice", "greatest(_begun - 1, slice) AS reach")
+    return placed.join(reach, [*KEYS, "slice"])
 
 
 def _fold_long(rows: DataFrame, limit: int) -> DataFrame:
     """Keys of any length, without folding one key in one task.
 
-    A decision depends only on earlier decisions, so the outcome is the one fixed point of "decide
-    all rows, given who was accepted". Starting from every legitimate row, each pass repairs at
-    least the earliest wrong row of every key. A key is finished when a pass changes none of its
-    rows; passes go on with the others until none are left.
+    A key is cut into slices of ``limit`` rows. What a slice needs of the earlier ones is their
+    trusted rows of the last 180 days. First these are guessed (every legitimate row), then all
+    slices are folded at once; a slice is folded again only if a row that it was given has turned
+    out otherwise. Slice 0 needs nothing, and a slice is right once those before it are, so a key
+    takes at most as many passes as it has slices.
     """
-    trusted = "is_seed OR reason = 'CONFIRMED_ORDINARY_ACTIVITY'"
-    state = rows.withColumn("trusted", F.expr("is_seed OR verdict <=> 'LEGITIMATE'"))
-    finished = []
+    state = _slices(rows, limit).withColumn(
+        "trusted", F.expr("is_seed OR (evaluable AND verdict <=> 'LEGITIMATE')")
+    )
+    for name, kind in DECIDED.items():
+        state = state.withColumn(name, F.lit(None).cast(kind))
+    state = state.checkpoint()
+    columns, part = state.columns, [*KEYS, "slice"]
+    targets = F.explode(F.sequence(F.col("slice") + 1, F.col("reach")))
+    work: DataFrame | None = None  # all slices
     while True:
-        decided = _reason_over_window(state, limit).checkpoint()
-        moving = decided.filter(f"trusted <> ({trusted})").select(*KEYS).distinct()
-        if moving.isEmpty():
-            finished.append(decided)
-            break
-        finished.append(decided.join(moving, list(KEYS), "left_anti").select(*decided.columns))
-        state = (
-            decided.join(moving, list(KEYS), "left_semi")
-            .withColumn("trusted", F.expr(trusted))
-            .select(*state.columns)
-        )
-    whole = reduce(lambda a, b: a.unionByName(b), finished)
-    return _with_versions(whole).selectExpr(*FOLDED.split(", "))
+        given = state.filter("trusted AND reach > slice").withColumn("slice", targets)
+        own = state
+        if work is not None:
+            own, given = own.join(work, part, "left_semi"), given.join(work, part, "left_semi")
+        both = own.withColumn("carried", F.lit(False)).unionByName(given.withColumn("carried", F.lit(True)))
+        decided = _folded(both.drop(*DECIDED)).checkpoint()
+        now = f"(reason IN {ADMITTING})"
+        turned = decided.filter(f"trusted <> {now} AND reach > slice")
+        again = turned.select(*KEYS, targets.alias("slice")).distinct().checkpoint()
+        settled = decided.withColumn("trusted", F.expr(now)).select(*columns)
+        if work is not None:
+            settled = settled.unionByName(state.join(work, part, "left_anti").select(*columns))
+        if again.isEmpty():
+            return _with_versions(settled.drop("version_after")).select(*FOLDED)
+        state, work = settled.checkpoint(), again
 
 
 def with_evaluable(rows: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
@@ -217,22 +237,16 @@ def gate_fold(rows: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     Rows carry ``transaction_id, customer_id, currency, us, cents, verdict, is_seed`` and may carry
     ``evaluable``: whether the row could be evaluated at all. Without an evaluation no verdict can
     have come from one, so it counts as unverified. Where the column is missing it is whether the
-    history limit held. Seeds are the bootstrap observations. Keys of bounded length are folded in
-    one sorted pass over each partition.
+    history limit held. Seeds are the bootstrap observations. Keys of at most ``limit`` rows are
+    folded in one sorted pass over each partition, longer ones in slices; both give the same rows,
+    whatever the limit. A transaction is one row of its key.
     """
     if "evaluable" not in rows.columns:
         rows = with_evaluable(rows, limit)
     names = ("transaction_id", *KEYS, "us", "cents", "verdict", "is_seed", "evaluable")
     rows = rows.select(*names)
-    types = dict(rows.dtypes)
-    schema = ", ".join(
-        f"{c} {types.get(c, {'reason': 'string'}.get(c, 'bigint'))}" for c in FOLDED.split(", ")
-    )
     short, long = split_by_length(rows, limit)
-    ordered = short.repartition(*KEYS).sortWithinPartitions(
-        *KEYS, "us", F.col("transaction_id").cast("string")
-    )
-    folded = ordered.mapInArrow(_fold_sorted, schema)
+    folded = _folded(short.selectExpr("*", "0L AS slice", "false AS carried")).select(*FOLDED)
     if long is not None:
         more = _fold_long(long.select(*names), limit)
         folded = folded.unionByName(more.select(*folded.columns))

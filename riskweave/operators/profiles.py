@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import amounts
-from riskweave.functions.frames import DAY, HOUR, KEYS, add, local_hour, prior
+from riskweave.functions.frames import DAY, HOUR, KEYS, add, local_hour
 from riskweave.operators.features import MINIMUM_HISTORY, typical_hours
 from riskweave.operators.history import GROUP, HISTORY_LIMIT, candidates, history_frame
 from riskweave.operators.history import split_by_length
+from riskweave.operators.rolling import doubled_median, group_bounds, whole_groups
 
 KEY_LIST = list(KEYS)
 
@@ -245,25 +250,88 @@ def profile_view(
     )
 
 
+def _revision_windows(rows: dict[str, list], span: int) -> list[tuple[int, int, int | None]]:
+    """Per row of one group: rows of any version in its window before it, then how many rows of its
+    window its version holds, and their doubled median.
+
+    Rows are sorted by time and version. Versions are taken up in order; the window moves over the
+    rows held so far, which are kept by time, forward as a rule and back where versions and times
+    disagree.
+    """
+    us, versions, cents = rows["us"], rows["admitted_version"], rows["cents"]
+    out: list[tuple[int, int, int | None]] = [(0, 0, None)] * len(us)
+    earlier = 0
+    held: list[tuple[int, int]] = []
+    low = high = 0
+    ordered: list[int] = []
+    for _, same in groupby(sorted(range(len(us)), key=versions.__getitem__), key=versions.__getitem__):
+        same = list(same)
+        for i in same:
+            at = bisect_left(held, (us[i], i))
+            held.insert(at, (us[i], i))
+            if at < low:
+                low, high = low + 1, high + 1
+            elif at < high:
+                high += 1
+                insort(ordered, cents[i])
+        for i in same:
+            now = us[i]
+            while high < len(held) and held[high][0] <= now:
+                insort(ordered, cents[held[high][1]])
+                high += 1
+            while low < high and held[low][0] <= now - span:
+                del ordered[bisect_left(ordered, cents[held[low][1]])]
+                low += 1
+            while low > 0 and held[low - 1][0] > now - span:
+                low -= 1
+                insort(ordered, cents[held[low][1]])
+            while high > low and held[high - 1][0] > now:
+                high -= 1
+                del ordered[bisect_left(ordered, cents[held[high][1]])]
+            out[i] = (0, len(ordered), doubled_median(ordered))
+    for i, now in enumerate(us):
+        while us[earlier] <= now - span:
+            earlier += 1
+        out[i] = (i - earlier, *out[i][1:])
+    return out
+
+
 def revision_summary(
     observations: DataFrame, days: int = 180, limit: int = HISTORY_LIMIT
 ) -> DataFrame:
     """Count and doubled median of the long window of every revision, at its own time.
 
-    An admission needs an evaluated transaction, whose history is bounded, so the window is too.
+    An admission needs an evaluated transaction, whose history is bounded. A revision with more than
+    ``limit`` rows of any version before it in its window is refused (``history_limit_exceeded``)
+    and has no values.
     """
-    span = days * DAY
-    row = "named_struct('v', admitted_version, 'c', cents)"
-    frame = history_frame(observations, limit + 1)
-    upto = prior(span, *GROUP).replace("1 PRECEDING", "CURRENT ROW")
-    frame = add(frame, _rows=f"collect_list(CASE WHEN is_history THEN {row} END) {upto}")
-    frame = candidates(frame).selectExpr(
+    order = F.lpad(F.col("admitted_version").cast("string"), 20, "0")  # places rows of one instant
+    needed = observations.select(
+        order.alias("transaction_id"), *KEYS, "us", "cents", F.col("admitted_version").cast("bigint")
+    )
+    frame = history_frame(needed, limit, refuse=False, instants=False).drop("history_limit_exceeded")
+    ordered = frame.sortWithinPartitions(*GROUP, "us", "transaction_id")
+    schema = ", ".join(f"{c} {k}" for c, k in frame.dtypes) + ", _prior bigint, _n int, _median2 bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            starts = group_bounds(table)
+            rows = table.select(["us", "admitted_version", "cents"]).to_pydict()
+            found: list[tuple] = []
+            for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
+                found += _revision_windows({k: v[a:b] for k, v in rows.items()}, days * DAY)
+            for k, (name, kind) in enumerate((("_prior", pa.int64()), ("_n", pa.int32()), ("_median2", pa.int64()))):
+                table = table.append_column(name, pa.array([x[k] for x in found], kind))
+            yield from table.to_batches()
+
+    return candidates(ordered.mapInArrow(run, schema)).selectExpr(
         *KEYS,
         "admitted_version AS version",
         "us AS as_of_us",
-        "sort_array(transform(filter(_rows, r -> r.v <= admitted_version), r -> r.c)) AS _long",
+        f"_prior > {limit} AS history_limit_exceeded",
+        f"CASE WHEN _prior <= {limit} THEN _n END AS n_long",
+        f"CASE WHEN _prior <= {limit} THEN _median2 END AS median2",
     )
-    return add(frame, n_long="size(_long)", median2=amounts.median2("_long")).drop("_long")
 
 
 def running_before(rows: DataFrame, sums: dict[str, str], maxima: dict[str, str]) -> DataFrame:

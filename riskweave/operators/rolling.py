@@ -130,7 +130,7 @@ def _statistics(rows: dict[str, list], long_span: int, short_span: int) -> list[
     return out
 
 
-def _bounds(table: pa.Table) -> np.ndarray:
+def group_bounds(table: pa.Table) -> np.ndarray:
     """Where groups begin."""
     new = np.zeros(table.num_rows, bool)
     new[:1] = True
@@ -140,6 +140,22 @@ def _bounds(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that end where a group ends, from batches that are sorted by group."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        last = int(group_bounds(held)[-1])
+        if last:
+            yield held.slice(0, last).combine_chunks()
+            held = held.slice(last)
+    if held is not None:
+        yield held.combine_chunks()
+
+
 def rolling_statistics(frame: DataFrame, long_span: int, short_span: int) -> DataFrame:
     """Adds :data:`STATISTICS` to the candidates of a history frame.
 
@@ -149,7 +165,7 @@ def rolling_statistics(frame: DataFrame, long_span: int, short_span: int) -> Dat
     kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.decimal128(38, 0), pa.list_(pa.int32()), pa.int64()]
 
     def finish(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        starts = _bounds(table)
+        starts = group_bounds(table)
         needed = table.select(list(NEEDED)).to_pydict()
         found: list[tuple | None] = []
         for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
@@ -160,17 +176,7 @@ def rolling_statistics(frame: DataFrame, long_span: int, short_span: int) -> Dat
         yield from table.to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            last = int(_bounds(held)[-1])
-            if last:
-                yield from finish(held.slice(0, last).combine_chunks())
-                held = held.slice(last)
-        if held is not None:
-            yield from finish(held.combine_chunks())
+        for table in whole_groups(batches):
+            yield from finish(table)
 
     return frame.sortWithinPartitions(*GROUP, "us").mapInArrow(run, schema)

@@ -50,7 +50,7 @@ f AS (
       CAST(n60 AS INTEGER) AS transactions_last_hour, first_r AS first_recipient_us, last_us FROM known""",
 )
 def bitemporal_activity(spark, sf):
-    known = datasets.with_known_activity(datasets.replay_frame(d.labeled(spark, sf)))
+    known = datasets.with_arrived_activity(datasets.replay_frame(d.labeled(spark, sf)))
     return features.candidates(known).selectExpr(
         "transaction_id",
         "n_activity AS activity_history_count",

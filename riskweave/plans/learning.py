@@ -86,6 +86,15 @@ def gate_fold(spark, sf):
     return _fold(spark, sf, learning.HISTORY_LIMIT)
 
 
+@query("q_gate_fold_evaluable", FOLD_SQL)
+def gate_fold_evaluable(spark, sf):
+    """Every row evaluable whatever its history: keys above 25 rows are folded in slices, and the
+    rows are those of the fold in one pass."""
+    checkpoint_root(spark)
+    rows = learning.first_legitimate(d.reviewed(spark, sf)).withColumn("evaluable", F.lit(True))
+    return learning.gate_fold(rows, 25).select(*FOLD_COLUMNS)
+
+
 # A limit of 60 rows: rows beyond it could not be evaluated.
 FOLD_LIMIT = 60
 LIMITED_FOLD_SQL = FOLD_SQL.replace("FROM reviewed),", "FROM capped),").replace(

@@ -221,18 +221,29 @@ def baseline_status(spark, sf):
     return _view(spark, sf, 4).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "q_revision_summary",
-    f"""WITH {o.REVISIONS}, w AS (
-      SELECT *, list_sort(list(cents) OVER (PARTITION BY customer_id, currency ORDER BY us
-        RANGE BETWEEN {180 * DAY - 1} PRECEDING AND CURRENT ROW)) AS a FROM nobs)
-    SELECT customer_id, currency, admitted_version AS version, us AS as_of_us, len(a)::INTEGER AS n_long,
-      a[(len(a) + 1) // 2] + a[len(a) // 2 + 1] AS median2 FROM w""",
-)
+def _summary_sql(limit: int) -> str:
+    return f"""WITH {o.REVISIONS}, w AS (
+      SELECT n.customer_id, n.currency, n.admitted_version AS version, n.us AS as_of_us,
+        count(*) FILTER (WHERE p.us < n.us) AS prior,
+        list(p.cents ORDER BY p.cents) FILTER (WHERE p.admitted_version <= n.admitted_version) AS a
+      FROM nobs n JOIN nobs p ON p.customer_id = n.customer_id AND p.currency = n.currency
+        AND p.us <= n.us AND p.us > n.us - {180 * DAY} GROUP BY 1, 2, 3, 4)
+    SELECT customer_id, currency, version, as_of_us, prior > {limit} AS history_limit_exceeded,
+      CASE WHEN prior <= {limit} THEN len(a)::INTEGER END AS n_long,
+      CASE WHEN prior <= {limit} THEN a[(len(a) + 1) // 2] + a[len(a) // 2 + 1] END AS median2 FROM w"""
+
+
+@query("q_revision_summary", _summary_sql(10_000))
 def revision_summary(spark, sf):
     return profiles.revision_summary(d.numbered_observations(spark, sf))
 
 
+@query("q_revision_summary_limited", _summary_sql(20))
+def revision_summary_limited(spark, sf):
+    """With a limit of 20 rows, so that long keys are cut and revisions refused."""
+    return profiles.revision_summary(d.numbered_observations(spark, sf), limit=20)
+
+
 @query(
     "q_prior_revisions",
     f"""WITH {o.REVISIONS}
