@@ -266,30 +266,21 @@ def behavior_v1(
     return vector(candidates(frame), limit, keep)
 
 
-def from_revisions(tx: DataFrame, revisions: DataFrame, observations: DataFrame) -> DataFrame:
-    """Adds ``admitted_us`` and ``timezone`` as the stored profiles have them.
+#: Whole-key aggregates of rows that carry the stored profile of their moment.
+STORED_PROFILE = {"profile_since": "min(profile_us)", "zones": "collect_set(timezone)"}
 
-    A row joined the baseline at the time of the revision that admitted it (``admitted_version`` of
-    its observation); the zone is that of the key's newest revision, UTC where it has none.
+
+def behavior_stored(tx: DataFrame, *, limit: int = HISTORY_LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The 29 features against the profile that was in force at each candidate's time.
+
+    Rows come from :func:`riskweave.operators.profiles.stored_profiles`. Zone and windows are those
+    of the candidate's revision: hours of older rows are read in its zone, too.
     """
-    made = revisions.select(
-        *KEYS_OUT[:2],
-        F.col("version").alias("admitted_version"),
-        F.col("as_of_us").alias("admitted_us"),
-    )
-    admitted = observations.select("transaction_id", *KEYS_OUT[:2], "admitted_version").join(
-        made, [*KEYS_OUT[:2], "admitted_version"]
-    )
-    zones = revisions.groupBy(*KEYS_OUT[:2]).agg(
-        F.max(F.struct("version", "timezone")).alias("newest")
-    )
-    zones = zones.select(*KEYS_OUT[:2], F.col("newest.timezone").alias("timezone"))
-    return (
-        tx.drop("admitted_us", "timezone")
-        .join(admitted.select("transaction_id", "admitted_us"), "transaction_id", "left")
-        .join(zones, list(KEYS_OUT[:2]), "left")
-        .withColumn("timezone", F.coalesce("timezone", F.lit("UTC")))
-    )
+    frame = with_last_device(with_velocity(history_frame(tx, limit, STORED_PROFILE)))
+    frame = with_device_recency(with_recipient_history(frame))
+    by_zone = f"map_from_arrays(zones, transform(zones, z -> {local_hour('us', 'z')}))"
+    frame = with_baseline(add(frame, zone_hours=by_zone).drop("zones"))
+    return vector(candidates(frame), limit, keep)
 
 
 def vector(rows: DataFrame, limit: int = HISTORY_LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:

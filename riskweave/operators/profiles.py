@@ -334,6 +334,51 @@ def revision_summary(
     )
 
 
+def stored_profiles(tx: DataFrame, revisions: DataFrame, observations: DataFrame) -> DataFrame:
+    """Adds the stored profile of each transaction's own time.
+
+    A revision is in force from its ``created_us`` (when its decision was made, which may be days
+    after the rows it admits) until a higher version is. ``version``, ``timezone``, ``long_days`` and
+    ``short_days`` are those in force at the transaction's time (NULL, UTC, 180 and 30 before the
+    first), ``profile_us`` is when the key's first revision was made. ``admitted_us`` is when the row
+    came into force as an observation: with the first revision that was made of its
+    ``admitted_version`` or a higher one. Revisions may be missing and may be made out of order.
+    """
+    kept = tx.drop("admitted_us", "timezone", "version", "long_days", "short_days", "profile_us")
+    shape = F.struct("version", "timezone", "long_days", "short_days")
+    made = revisions.select(*KEYS, "created_us", F.col("version").cast("bigint").alias("version"), shape.alias("shape"))
+
+    # In force: the highest version made by then. Instants are doubled, so that a revision comes
+    # before a transaction of its own instant.
+    rows = kept.withColumns({"us": F.col("us") * 2 + 1, "shape": F.lit(None).cast(made.schema["shape"].dataType)})
+    both = rows.withColumn("is_row", F.lit(True)).unionByName(
+        made.select(*KEYS, (F.col("created_us") * 2).alias("us"), "shape", F.lit(False).alias("is_row")),
+        allowMissingColumns=True,
+    )
+    both = running_before(both, {}, {"now": "shape"}).filter("is_row").drop("is_row", "shape")
+    named = both.withColumns(
+        {
+            "us": F.floor((F.col("us") - 1) / 2),
+            "version": F.col("now.version"),
+            "timezone": F.coalesce("now.timezone", F.lit("UTC")),
+            "long_days": F.coalesce("now.long_days", F.lit(180)),
+            "short_days": F.coalesce("now.short_days", F.lit(30)),
+        }
+    ).drop("now")
+
+    # Admitted: the earliest of the revisions from a version on, by running over falling versions.
+    # A cell of the running maximum holds a thousand versions.
+    step = HOUR // 1000
+    order = lambda version, late: (-2 * F.col(version) + late) * (step // 2)
+    seen = observations.select("transaction_id", *KEYS, order("admitted_version", 1).alias("us"))
+    later = made.select(*KEYS, order("version", 0).alias("us"), (-F.col("created_us")).alias("minus"))
+    both = seen.unionByName(later, allowMissingColumns=True)
+    both = running_before(both, {}, {"first": "minus"}).filter("transaction_id IS NOT NULL")
+    admitted = both.filter("first IS NOT NULL").select("transaction_id", *KEYS, (-F.col("first")).alias("admitted_us"))
+    began = revisions.groupBy(*KEYS).agg(F.min("created_us").alias("profile_us"))
+    return named.join(admitted, ["transaction_id", *KEYS], "left").join(began, KEY_LIST, "left")
+
+
 def running_before(rows: DataFrame, sums: dict[str, str], maxima: dict[str, str]) -> DataFrame:
     """Running sums and maxima over all earlier instants of a key, in two levels.
 

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from riskweave.functions.frames import DAY
 from riskweave.operators.history import GROUP
 
 STATISTICS = T.StructType(
@@ -34,6 +35,9 @@ STATISTICS = T.StructType(
         T.StructField("n_known_recipient", T.LongType()),
     ]
 )
+#: What a frame may add whose zone and windows change from one candidate of a key to the next: the
+#: local hours of each row by zone, and each candidate's zone and windows in days.
+MOVING = ("zone_hours", "timezone", "long_days", "short_days")
 NEEDED = ("us", "cents", "recipient_id", "local_hour", "seen_us", "is_history", "is_candidate")
 
 
@@ -98,17 +102,32 @@ def _statistics(rows: dict[str, list], long_span: int, short_span: int) -> list[
             if history and seen is not None
         )
     )
-    recipients = rows["recipient_id"]
+    recipients, moving = rows["recipient_id"], "zone_hours" in rows
     long, short = Window(long_span), Window(short_span)
+    entered: list[tuple[int, int, int, int]] = []
+    shape = None
     out: list[tuple | None] = []
     at, values = None, None
-    for us, recipient, candidate in zip(rows["us"], recipients, rows["is_candidate"], strict=True):
+    for k, (us, recipient, candidate) in enumerate(zip(rows["us"], recipients, rows["is_candidate"], strict=True)):
         if not candidate:
             out.append(None)
             continue
         if us != at:
+            if moving and (now := tuple(rows[c][k] for c in MOVING[1:])) != shape:
+                # Another zone or other windows: both are filled anew with what is still young enough.
+                shape = now
+                long, short = Window(shape[1] * DAY), Window(shape[2] * DAY)
+                entered = [x for x in entered if x[0] > us - long_span]
+                for then, cents, hour, i in entered:
+                    hour = dict(rows["zone_hours"][i])[shape[0]]
+                    for window in (long, short):
+                        if then > us - window.span:
+                            window.enter(then, cents, hour, recipients[i])
             while entering and entering[0][0] <= us:
                 _, then, cents, hour, i = entering.popleft()
+                if moving:
+                    entered.append((then, cents, hour, i))
+                    hour = dict(rows["zone_hours"][i])[shape[0]]
                 for window in (long, short):
                     if then > us - window.span:
                         window.enter(then, cents, hour, recipients[i])
@@ -159,14 +178,16 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def rolling_statistics(frame: DataFrame, long_span: int, short_span: int) -> DataFrame:
     """Adds :data:`STATISTICS` to the candidates of a history frame.
 
-    The frame is already dealt by group; a group has at most two chunks of history.
+    The frame is already dealt by group; a group has at most two chunks of history. If it has the
+    columns :data:`MOVING`, hours and windows are those of each candidate, ``long_span`` at most.
     """
+    wanted = [*NEEDED, *(MOVING if MOVING[0] in frame.columns else ())]
     schema = T.StructType([*frame.schema.fields, *STATISTICS.fields])
     kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.decimal128(38, 0), pa.list_(pa.int32()), pa.int64()]
 
     def finish(table: pa.Table) -> Iterator[pa.RecordBatch]:
         starts = group_bounds(table)
-        needed = table.select(list(NEEDED)).to_pydict()
+        needed = table.select(wanted).to_pydict()
         found: list[tuple | None] = []
         for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
             found += _statistics({k: v[a:b] for k, v in needed.items()}, long_span, short_span)

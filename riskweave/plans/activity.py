@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from riskweave.operators import features
+from riskweave.operators import features, profiles
 from riskweave.plans import oracle as o
 from riskweave.plans.registry import query
 from riskweave.schemas import FEATURE_NAMES
 from riskweave.sources import driver_tables as d
 
+
 @query(
     "q_tx_scan",
     f"""WITH {o.TX} SELECT transaction_id, customer_id, currency, us, cents, recipient_id,
@@ -93,23 +94,52 @@ def features_limited(spark, sf):
     return rows.select("transaction_id", "history_limit_exceeded", *FEATURE_NAMES)
 
 
-STORED = f"""{o.REVISIONS}, adm AS (
-  SELECT a.* REPLACE (r.as_of_us AS admitted_us, coalesce(h.timezone, 'UTC') AS timezone)
-  FROM admitted a LEFT JOIN nobs n USING (transaction_id)
-    LEFT JOIN rev r ON r.customer_id = a.customer_id AND r.currency = a.currency
-      AND r.version = n.admitted_version
-    LEFT JOIN head h ON h.customer_id = a.customer_id AND h.currency = a.currency)"""
+# Revisions as stored, the one in force at each transaction's time, and when each observation came
+# into force; then the baseline with the zone and the windows of the candidate's revision.
+STORED = f"""{o.REVISIONS}, srev AS (
+  SELECT * REPLACE (CASE WHEN version >= 12 THEN 'America/New_York' ELSE timezone END AS timezone),
+    as_of_us + CASE WHEN version % 7 = 3 THEN 10 ELSE version % 4 END * {o.DAY} + 1 AS created_us,
+    CASE WHEN version >= 20 THEN 9 ELSE 180 END AS ld,
+    CASE WHEN version >= 20 THEN 4 WHEN version >= 6 THEN 7 ELSE 30 END AS sd FROM rev),
+force AS (
+  SELECT t.transaction_id, max(r.version) AS version, arg_max(r.timezone, r.version) AS zone,
+    arg_max(r.ld, r.version) AS ld, arg_max(r.sd, r.version) AS sd
+  FROM tx t JOIN srev r ON r.customer_id = t.customer_id AND r.currency = t.currency
+    AND r.created_us <= t.us GROUP BY 1),
+came AS (
+  SELECT n.transaction_id, min(r.created_us) AS admitted_us
+  FROM nobs n JOIN srev r ON r.customer_id = n.customer_id AND r.currency = n.currency
+    AND r.version >= n.admitted_version GROUP BY 1),
+adm AS (
+  SELECT a.* EXCLUDE (admitted_us, timezone), came.admitted_us, force.version,
+    coalesce(zone, 'UTC') AS timezone, coalesce(ld, 180) AS ld, coalesce(sd, 30) AS sd, s.since
+  FROM admitted a LEFT JOIN came USING (transaction_id) LEFT JOIN force USING (transaction_id)
+    LEFT JOIN (SELECT customer_id, currency, min(created_us) AS since FROM srev GROUP BY 1, 2) s
+      ON s.customer_id = a.customer_id AND s.currency = a.currency)"""
+STORED_BASELINE = f"""b0 AS (
+  SELECT c.*, c.admitted_us AS own_seen, w.al, w.ash, w.hl, coalesce(w.known, 0) AS known
+  FROM adm c LEFT JOIN (
+    SELECT c.transaction_id, list_sort(list(p.cents)) AS al,
+      list_sort(list(p.cents) FILTER (WHERE p.us > c.us - c.sd * {o.DAY})) AS ash,
+      list({o.hour_of("p.us", "c.timezone")}) AS hl,
+      count(*) FILTER (WHERE p.recipient_id = c.recipient_id) AS known
+    FROM adm c JOIN adm p ON p.customer_id = c.customer_id AND p.currency = c.currency
+      AND p.us < c.us AND p.us > c.us - c.ld * {o.DAY} AND p.admitted_us <= c.us
+    GROUP BY 1) w USING (transaction_id)),"""
 
 
 @query(
     "q_features_from_revisions",
     f"""WITH {o.FEATURES.replace(o.ADMITTED, STORED, 1).replace(
-        o.held("admitted", "p.admitted_us"), o.held("adm", "p.admitted_us"))}
-    SELECT transaction_id, na > 10000 AS history_limit_exceeded, {", ".join(FEATURE_NAMES)} FROM f""",
+        o.held("admitted", "p.admitted_us"), STORED_BASELINE).replace(
+        "known, pm, na,", "known, pm, na, version,")}
+    SELECT transaction_id, version, na > 10000 AS history_limit_exceeded, {", ".join(FEATURE_NAMES)} FROM f""",
 )
 def features_from_revisions(spark, sf):
-    """The vector against the stored profiles, some of which are missing or dated back."""
-    tx = features.from_revisions(
-        d.transactions(spark, sf), d.revisions(spark, sf), d.numbered_observations(spark, sf)
+    """The vector against the profile in force at each transaction's time: decisions made days after
+    the rows, missing revisions, changes of zone and of windows."""
+    tx = profiles.stored_profiles(
+        d.transactions(spark, sf), d.stored_revisions(spark, sf), d.numbered_observations(spark, sf)
     )
-    return features.behavior_v1(tx).select("transaction_id", "history_limit_exceeded", *FEATURE_NAMES)
+    rows = features.behavior_stored(tx, keep=("version",))
+    return rows.select("transaction_id", "version", "history_limit_exceeded", *FEATURE_NAMES)

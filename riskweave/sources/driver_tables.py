@@ -178,6 +178,21 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions with the time of their decision (up to ten days after their own), a change of zone
+    and of windows, and now and then a decision made before that of an earlier version."""
+    version = F.col("version")
+    delay = F.when(version % 7 == 3, 10).otherwise(version % 4)
+    return revisions(spark, sf_dir).withColumns(
+        {
+            "created_us": F.col("as_of_us") + delay * DAY + 1,
+            "timezone": F.when(version >= 12, "America/New_York").otherwise(F.col("timezone")),
+            "long_days": F.when(version >= 20, 9).otherwise(180),
+            "short_days": F.when(version >= 20, 4).when(version >= 6, 7).otherwise(30),
+        }
+    )
+
+
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learning decisions behind the verified revisions, with some missing."""
     return (
