@@ -69,8 +69,13 @@ class Index:
         weight = (1 + np.log(count)) * self.idf[term]
         return weight / np.sqrt((weight**2).sum())
 
-    def nearest(self, term: np.ndarray, count: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` most similar examples (those with a term in common), ties to the smaller number."""
+    def nearest(
+        self, term: np.ndarray, count: np.ndarray, k: int, without: tuple[int, ...] = ()
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` most similar examples (those with a term in common), ties to the smaller number.
+
+        ``without`` are examples that do not count.
+        """
         own = self.vector(term, count)
         limit = own @ self.most[term]
         order = np.argsort(-limit, kind="stable")
@@ -86,8 +91,8 @@ class Index:
             value = self.weight[post] * np.repeat(np.repeat(own, len(chosen)), size)
             found, which = np.unique(self.doc[post], return_inverse=True)
             score = np.bincount(which, value, len(found))
-            if without >= 0:
-                score, found = score[found != without], found[found != without]
+            for one in without:
+                score, found = score[found != one], found[found != one]
             best, similar = np.concatenate([best, found]), np.concatenate([similar, score])
             keep = np.lexsort((best, -np.round(similar, 12)))[:k]
             best, similar = best[keep], similar[keep]
@@ -104,7 +109,7 @@ def _prior_weight(index: Index, offsets: np.ndarray, term: np.ndarray, count: np
     votes = np.zeros((index.n, 2))
     for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
         if b > a:
-            votes[i] = _votes(index, *index.nearest(term[a:b], count[a:b], NEIGHBOURS, i))
+            votes[i] = _votes(index, *index.nearest(term[a:b], count[a:b], NEIGHBOURS, (i,)))
     loss = [0.0] if not index.n else []
     for weight in PRIOR_WEIGHTS if index.n else ():
         p = np.clip((votes[:, 0] + weight * prior) / (votes[:, 1] + weight), 1e-6, 1 - 1e-6)
@@ -117,7 +122,11 @@ def held_out(key: str = "doc_id") -> F.Column:
 
 
 def _label_terms(sample: DataFrame) -> np.ndarray:
-    """The terms that the labels of the sample (``text``, ``label``) depend on, as sorted hashes."""
+    """The terms that the labels of the sample (``text``, ``label``) depend on, as sorted hashes.
+
+    Equal texts are evidence once (toxic if one is), so that copies do not make a term.
+    """
+    sample = sample.groupBy("text").agg(F.max("label").alias("label"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +160,10 @@ def score_toxicity(
     Returns the other columns and (underscores before a name that is taken) ``held_out``, ``score``
     (0 to 1), ``predicted`` (1 from 0.5) and ``evidence`` (up to five neighbours: key, similarity,
     label). Examples are at most about ``examples`` labelled documents, chosen by hash; document
-    frequencies are counted over all documents. A text without kept terms (empty, null) scores the
+    frequencies are counted over all documents. A document is no neighbour of its own: its label
+    votes on others only. Terms are kept that at least ``LEAST_EXAMPLES`` different texts of the
+    examples have and whose rates differ by label by ``LEAST_Z`` standard errors, so a term of fewer
+    examples is never learned. A text without kept terms (empty, null) scores the
     examples' share of toxic ones; without any labelled document all score 0. Null labels are
     ignored, several for a key count as toxic if one is. Repeated rows score alike.
     """
@@ -199,8 +211,17 @@ def score_toxicity(
     matched = stored(marked.select(order).mapInArrow(match, kept), "terms")
     size = matched.count()
     frequency = np.zeros(len(vocabulary))
-    rows = matched.select(F.explode(own_terms).alias("t")).groupBy("t").count().toArrow()  # a row a kept term
-    frequency[rows.column("t").to_numpy()] = rows.column("count").to_numpy()
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            counted += np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(vocabulary))
+        found = np.flatnonzero(counted)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counted[found])], names=["t", "n"])
+
+    counted = matched.select(own_terms).mapInArrow(tally, "t long, n long")
+    rows = counted.groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row a kept term
+    frequency[rows.column("t").to_numpy()] = rows.column("n").to_numpy()
     idf = np.log((size + 1) / (frequency + 1)) + 1
     held = matched.where(F.col(own_label).isNotNull()).select(F.col(key).cast("long").alias("k"), own_label, own_terms, own_counts)
     held = held.orderBy("k", own_terms, own_counts).toArrow().combine_chunks()  # the bounded examples
@@ -210,6 +231,11 @@ def score_toxicity(
     owner = np.repeat(np.arange(held.num_rows), np.diff(offsets))
     index = Index(owner, term, count, held.column(1).to_numpy().astype(np.int64), idf)
     keys = held.column(0).to_pylist()
+    examples_of: dict[int, tuple[int, ...]] = {}
+    for j, own in enumerate(keys):
+        examples_of[own] = (*examples_of.get(own, ()), j)
+    # A key that is no whole number has no label, so it is no example either.
+    own_key = F.expr(f"try_cast(`{key}` AS BIGINT)")
     prior = float(index.label.mean()) if index.n else 0.0
     weight = _prior_weight(index, offsets, term, count, prior)
 
@@ -238,10 +264,11 @@ def score_toxicity(
             bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             term, count = lists.flatten().to_numpy(), counts.flatten().to_numpy()
             score, evidence = np.full(batch.num_rows, prior), []
+            own = batch.column(len(others) + 3).to_pylist()
             for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 shown = []
                 if b > a and index.n:
-                    best, similar = index.nearest(term[a:b], count[a:b], NEIGHBOURS)
+                    best, similar = index.nearest(term[a:b], count[a:b], NEIGHBOURS, examples_of.get(own[i], ()))
                     yes, total = _votes(index, best, similar)
                     score[i] = (yes + weight * prior) / (total + weight)
                     for j, s in zip(best[:EVIDENCE], similar, strict=False):
@@ -251,6 +278,7 @@ def score_toxicity(
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     # Few bytes a document, but a search each: dealt anew, so that all tasks share the work.
-    scored = matched.repartition(partitions(docs.sparkSession)).mapInArrow(vote, schema)
+    scored = matched.withColumn(free_name("own_key_", matched.columns), own_key)
+    scored = scored.repartition(partitions(docs.sparkSession)).mapInArrow(vote, schema)
     out = free_name("held_out", names), free_name("predicted", names)
     return scored.withColumn(out[0], held_out(key)).withColumn(out[1], (F.col(added[0].name) >= 0.5).cast("int"))

@@ -168,6 +168,25 @@ def test_index_finds_the_exact_neighbours():
             assert best.tolist() == want.tolist() and np.allclose(similar, exact[want], atol=1e-9)
 
 
+def test_a_document_has_no_say_on_itself(spark):
+    """Turning the label of one example changes others' scores, but is never evidence of its own;
+    many copies of one text do not make its words terms."""
+    r = random.Random(3)
+    say = lambda k: " ".join(r.choice("ab cd efg hi jkl mno pq rst uvw xyz".split()) for _ in range(k))
+    rows = [(i, say(30) + (" vile scum" if i % 4 == 0 else "")) for i in range(400)]
+    rows += [(400 + i, "only these words were copied often") for i in range(200)] + [(3, rows[0][1]), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0 or i >= 400)) for i in range(600)], "doc_id long, toxic int")
+    found = toxicity_neighbours.score_toxicity(docs, labels).collect()
+    assert len(found) == len(rows)
+    assert not [x for x in found if x.doc_id in [e.key for e in x.evidence]]
+    assert {x.predicted for x in found if x.doc_id % 4 == 0 and x.doc_id < 400 and x.doc_id != 8} == {1}
+    sample = docs.join(labels, "doc_id").selectExpr("text", "toxic AS label")
+    one = lambda word: toxicity_neighbours.terms(word.encode(), np.array([len(word)]))[1][0]
+    kept = set(toxicity_neighbours._label_terms(sample).tolist())
+    assert one("scum") in kept and one("copied") not in kept
+
+
 def test_toxicity_is_learned_without_held_out_rows(spark):
     r = random.Random(8)
     say = lambda k: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) + r.choice("abcdefgh") for _ in range(k))
