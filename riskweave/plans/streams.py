@@ -14,7 +14,7 @@ from riskweave.plans.learning import FOLD_LIMIT, FOLD_SQL, LIMITED_FOLD_SQL
 from riskweave.plans.registry import query
 from riskweave.session import checkpoint_root
 from riskweave.sources import driver_tables as d
-from riskweave.streaming import pipelines, stateful
+from riskweave.streaming import pipelines, replay, stateful
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,6 +69,49 @@ def stream_activity(spark, sf):
     return _result(spark, live).drop("customer_id", "currency")
 
 
+@query(
+    "q_late_replay",
+    f"""WITH {o.TX}, a AS (SELECT *, {o.ACTIVITY_COLUMNS} FROM tx), {o.LAST_DEVICE},
+    own AS (SELECT transaction_id, transaction_id % 10 = 0 AS second,
+        count(*) FILTER (WHERE transaction_id % 10 <> 0) OVER {o.frame(o.KEYS, 180 * o.DAY)} AS first_na,
+        max(CASE WHEN transaction_id % 10 <> 0 THEN us END) OVER (PARTITION BY {o.KEYS}) AS until FROM tx)
+    SELECT transaction_id, us, second AND coalesce(us < until, false) AS late,
+      CASE WHEN second THEN coalesce(us < until, false) ELSE na <> first_na END AS corrected,
+      na > 10000 AS history_limit_exceeded, n5 AS transactions_last_5_min,
+      n10 AS transactions_last_10_min, n60 AS transactions_last_hour, na AS activity_history_count,
+      nr60 AS recipient_transactions_last_hour, first_r AS first_recipient_us, last_us, last_device,
+      ndev > 0 AS device_seen
+    FROM a JOIN own USING (transaction_id) LEFT JOIN inst USING (customer_id, currency, last_us)""",
+)
+def late_replay(spark, sf):
+    """A tenth of the rows arrives in a later batch; replay corrects what was kept without them."""
+    pipelines.use_rocksdb(spark)
+    folder = f"{checkpoint_root(spark)}/late-{uuid.uuid4().hex}"
+    tx = d.transactions(spark, sf)
+    second = F.col("transaction_id") % 10 == 0
+    for part in (~second, second):
+        # The second run goes on from the state of the first.
+        tx.filter(part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(tx.schema).parquet(f"{folder}/in")
+        pipelines.run_available(stateful.live_activity(stream), pipelines.route_late(folder), f"{folder}/state")
+    evaluated = spark.read.parquet(f"{folder}/evaluated")
+    late = spark.read.parquet(f"{folder}/replay")
+    corrections = replay.replay_late(tx, evaluated, late)
+    return replay.corrected(evaluated, corrections).drop("customer_id", "currency")
+
+
+@query(
+    "q_fan_out_receipts",
+    f"""WITH {o.OUTBOX} SELECT 'recording' AS consumer_id, event_id, occurred_us AS recorded_us
+    FROM outbox""",
+)
+def fan_out_receipts(spark, sf):
+    """Every event is published twice and recorded once."""
+    outbox = _event_stream(spark, sf).selectExpr("transaction_id AS event_id", "us AS occurred_us")
+    twice = outbox.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return _result(spark, pipelines.fan_out(twice, "recording"))
+
+
 def _live_gate(spark, sf, rows):
     """What is known of a row before the stream starts (bootstrap, evaluable) joins it there."""
     pipelines.use_rocksdb(spark)

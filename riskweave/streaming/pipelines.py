@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.operators.delivery import new_receipts
 from riskweave.session import checkpoint_root
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -58,33 +57,28 @@ def route_late(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def fan_out(path: str, consumer: str) -> Callable[[DataFrame, int], None]:
-    """Records one receipt per event for a consumer, also when events or batches repeat."""
+def fan_out(stream: DataFrame, consumer: str, horizon: str = "30 days") -> DataFrame:
+    """One receipt per event for a consumer, also when events or batches repeat.
 
-    def write(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        published = rows.select(
-            F.lit(consumer).alias("consumer_id"),
-            "event_id",
-            F.col("occurred_us").alias("recorded_us"),
-        )
-        # Created empty when absent; only receipts of earlier batches count.
-        none = spark.createDataFrame([], published.schema).withColumn("batch", F.lit(0))
-        none.write.mode("append").partitionBy("batch").parquet(path)
-        recorded = spark.read.schema(none.schema).parquet(path).filter(F.col("batch") < batch)
-        _write_batch(new_receipts(published, recorded), path, batch)
-
-    return write
+    The event ids recorded within ``horizon`` are keyed state that expires, so a micro-batch costs
+    what its own events cost, however many receipts there are.
+    """
+    published = stream.select(
+        F.lit(consumer).alias("consumer_id"), "event_id", F.col("occurred_us").alias("recorded_us")
+    )
+    timed = published.withColumn("event_time", F.timestamp_micros("recorded_us")).withWatermark("event_time", horizon)
+    return timed.dropDuplicatesWithinWatermark(["consumer_id", "event_id"]).drop("event_time")
 
 
 def run_available(
-    result: DataFrame, write: Callable[[DataFrame, int], None] | None = None
+    result: DataFrame, write: Callable[[DataFrame, int], None] | None = None, state: str | None = None
 ) -> str:
-    """Processes what is there now and returns the output folder."""
+    """Processes what is there now and returns the output folder. A run that names the ``state`` of
+    an earlier one goes on from there."""
     folder = f"{checkpoint_root(result.sparkSession)}/stream-{uuid.uuid4().hex}"
     out = f"{folder}/out"
     writer = result.writeStream.trigger(availableNow=True).option(
-        "checkpointLocation", f"{folder}/state"
+        "checkpointLocation", state or f"{folder}/state"
     )
     if write is None:
         write = lambda rows, batch: _write_batch(rows, out, batch)

@@ -1,9 +1,9 @@
 """Per-customer state over a transaction stream.
 
-State is bounded by the history contract: at most HISTORY_LIMIT + 1 prior rows per customer and
-currency are ever needed. A continuous query can also expire idle customers (``expire=True``). That
-needs processing-time triggers, which never end by themselves, so a run over "what is available now"
-leaves it off.
+Activity state is cut into small entries: instants by hour, a recipient's instants by day, and the
+two latest instants of each device. A micro-batch reads and writes only the entries that its rows
+touch, so its cost does not depend on how long a customer's history is. With ``expire`` an event-time
+timer clears a customer 180 days after the last row.
 """
 
 from __future__ import annotations
@@ -28,65 +28,177 @@ ACTIVITY_SCHEMA = (
     "activity_history_count bigint, recipient_transactions_last_hour bigint, "
     "first_recipient_us bigint, last_us bigint, last_device string, device_seen boolean"
 )
+VALUES = [x.split()[0] for x in ACTIVITY_SCHEMA.split(", ")[5:]]
 GATE_SCHEMA = (
     "transaction_id {id}, customer_id {customer}, currency string, us bigint, reason string, "
     "n_trusted bigint, median2_trusted bigint"
 )
 
 
-def _count(instants: list[int], us: int, span: int) -> int:
-    return bisect_left(instants, us) - bisect_right(instants, us - span)
+class Entries:
+    """A map state with what one call has read and changed of it."""
+
+    def __init__(self, state) -> None:
+        self.state, self.held, self.changed = state, {}, set()
+
+    def get(self, key: tuple):
+        if key not in self.held:
+            self.held[key] = self.state.getValue(key) if self.state.containsKey(key) else None
+        return self.held[key]
+
+    def put(self, key: tuple, value: tuple | None) -> None:
+        self.held[key] = value
+        self.changed.add(key)
+
+    def list(self, key: tuple) -> list[int]:
+        found = self.get(key)
+        return list(found[0]) if found else []
+
+    def insert(self, key: tuple, value: int) -> None:
+        values = self.list(key)
+        values.insert(bisect_right(values, value), value)
+        self.put(key, (values,))
+
+    def save(self) -> None:
+        for key in self.changed:
+            if self.held[key] is not None:
+                self.state.updateValue(key, self.held[key])
+            elif self.state.containsKey(key):
+                self.state.removeKey(key)
+
+
+def _two_latest(held: tuple | None, us: int, device: str) -> tuple:
+    """The two latest instants as (us, least device, greatest device, us, least, greatest)."""
+    pairs = [held[:3], held[3:]] if held else []
+    pairs = [p for p in pairs if p[0] is not None]
+    same = next((p for p in pairs if p[0] == us), None)
+    if same:
+        pairs[pairs.index(same)] = (us, min(same[1], device), max(same[2], device))
+    else:
+        pairs = sorted([*pairs, (us, device, device)], reverse=True)[:2]
+    return (*pairs[0], *(pairs[1] if len(pairs) > 1 else (None, None, None)))
 
 
 class ActivityProcessor(StatefulProcessor):
-    """Activity features at arrival. A late row is marked, and changes no earlier result."""
+    """Activity features at arrival. A late row is marked and has no values; it changes no earlier
+    result, and later rows see it. Beyond the limit there is no value either."""
 
-    def __init__(self, limit: int = HISTORY_LIMIT, ttl_ms: int | None = None) -> None:
-        self.limit, self.ttl_ms = limit, ttl_ms
+    def __init__(self, limit: int = HISTORY_LIMIT, expire: bool = False) -> None:
+        self.limit, self.expire = limit, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState(
-            "rows", "us bigint, recipient bigint, device string", ttlDurationMs=self.ttl_ms
-        )
+        self.handle = handle
+        two = "us bigint, low string, high string, us2 bigint, low2 string, high2 string"
+        self.clock = handle.getValueState("clock", "total bigint, lowest bigint, timer bigint")
+        self.latest = handle.getValueState("latest", two)
+        self.hours = handle.getMapState("hours", "hour bigint", "instants array<bigint>")
+        self.days = handle.getMapState("days", "recipient bigint, day bigint", "instants array<bigint>")
+        self.recipients = handle.getMapState("recipients", "recipient bigint", "days array<bigint>")
+        self.devices = handle.getMapState("devices", "device string", two)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        history = sorted((r[0], r[1], r[2]) for r in self.rows.get())
-        instants = [h[0] for h in history]
-        needed = self.limit + 1
+        maps = [Entries(x) for x in (self.hours, self.days, self.recipients, self.devices)]
+        hours, days, recipients, devices = maps
+        total, lowest, timer = self.clock.get() if self.clock.exists() else (0, None, None)
+        latest = self.latest.get() if self.latest.exists() else None
         for row in sorted(rows, key=lambda r: (r.us, str(r.transaction_id))):
-            yield self._evaluate(key, row, history, instants)
-            place = bisect_right(instants, row.us)
-            instants.insert(place, row.us)
-            history.insert(place, (row.us, row.recipient_id, row.device_id))
-            if len(history) > 2 * needed:
-                del history[:-needed], instants[:-needed]
-        start = bisect_right(instants, instants[-1] - SPAN) if instants else 0
-        self.rows.put(history[start:][-needed:])
-
-    def _evaluate(self, key, row: Row, history: list[tuple], instants: list[int]) -> Row:
-        low, us = row.us - SPAN, row.us
-        first, stop = bisect_right(instants, low), bisect_left(instants, us)
-        prior = history[first:stop]
-        same = [h[0] for h in prior if h[1] == row.recipient_id]
-        last = prior[-1][0] if prior else None
-        devices = {h[2] for h in prior[bisect_left(instants, last) - first :]} if prior else set()
-        return Row(
-            transaction_id=row.transaction_id,
-            customer_id=key[0],
-            currency=key[1],
-            us=us,
-            late=bool(history) and us < instants[-1],
-            history_limit_exceeded=len(prior) > self.limit,
-            transactions_last_5_min=_count(instants, us, 5 * MINUTE),
-            transactions_last_10_min=_count(instants, us, 10 * MINUTE),
-            transactions_last_hour=_count(instants, us, HOUR),
-            activity_history_count=len(prior),
-            recipient_transactions_last_hour=_count(same, us, HOUR),
-            first_recipient_us=same[0] if same else None,
-            last_us=last,
-            last_device=next(iter(devices)) if len(devices) == 1 else None,
-            device_seen=any(h[2] == row.device_id for h in prior),
-        )
+            us = row.us
+            late = latest is not None and us < latest[0]
+            values = {}
+            if not late:
+                # Hours that lie wholly before the span go; each goes once.
+                bound = (us - SPAN) // HOUR
+                if lowest is not None:
+                    for hour in range(lowest, min(bound, latest[0] // HOUR + 1)):
+                        total -= len(hours.list((hour,)))
+                        hours.put((hour,), None)
+                lowest = bound if lowest is None else max(lowest, bound)
+                values = self._evaluate(row, total, latest, *maps)
+            yield Row(
+                transaction_id=row.transaction_id,
+                customer_id=key[0],
+                currency=key[1],
+                us=us,
+                late=late,
+                **{name: values.get(name) for name in VALUES},
+            )
+            if us // HOUR >= lowest:
+                hours.insert((us // HOUR,), us)
+                total += 1
+                if row.recipient_id is not None:
+                    own = (row.recipient_id,)
+                    if us // DAY not in recipients.list(own):
+                        recipients.insert(own, us // DAY)
+                    days.insert((row.recipient_id, us // DAY), us)
+                if row.device_id is not None:
+                    latest = _two_latest(latest, us, row.device_id)
+                    devices.put((row.device_id,), _two_latest(devices.get((row.device_id,)), us, row.device_id))
+        for entries in maps:
+            entries.save()
+        if self.expire:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = latest[0] // 1000 + TTL_MS
+            self.handle.registerTimer(timer)
+        self.clock.update((total, lowest, timer))
+        self.latest.update(tuple(latest))
+
+    def _evaluate(
+        self, row: Row, total: int, latest: tuple | None, hours: Entries, days: Entries, recipients: Entries, devices: Entries
+    ) -> dict:
+        us, low = row.us, row.us - SPAN
+        now = hours.list((us // HOUR,))
+        n = total - bisect_right(hours.list((low // HOUR,)), low) - (len(now) - bisect_left(now, us))
+        if n > self.limit:
+            return {"history_limit_exceeded": True, "activity_history_count": n}
+        recent = [*hours.list((us // HOUR - 1,)), *now]
+
+        def within(instants: list[int], span: int) -> int:
+            return bisect_left(instants, us) - bisect_right(instants, us - span)
+
+        first, n_recipient = None, 0
+        if row.recipient_id is not None:
+            own = (row.recipient_id,)
+            known = recipients.list(own)
+            gone = [d for d in known if d < low // DAY]
+            for day in gone:
+                days.put((row.recipient_id, day), None)
+            if gone:
+                known = known[len(gone) :]
+                recipients.put(own, (known,))
+            for day in known:
+                instants = days.list((row.recipient_id, day))
+                place = bisect_right(instants, low)
+                if place < len(instants):
+                    first = instants[place] if instants[place] < us else None
+                    break
+            both = [t for d in sorted({(us - HOUR) // DAY, us // DAY}) for t in days.list((row.recipient_id, d))]
+            n_recipient = within(both, HOUR)
+        last, device = None, None
+        for at, least, most in (latest[:3], latest[3:]) if latest else ():
+            if at is not None and at < us:
+                if at > low:
+                    last, device = at, least if least == most else None
+                break
+        seen = devices.get((row.device_id,)) if row.device_id is not None else None
+        before = next((t for t in (seen[0], seen[3]) if t is not None and t < us), None) if seen else None
+        return {
+            "history_limit_exceeded": False,
+            "transactions_last_5_min": within(recent, 5 * MINUTE),
+            "transactions_last_10_min": within(recent, 10 * MINUTE),
+            "transactions_last_hour": within(recent, HOUR),
+            "activity_history_count": n,
+            "recipient_transactions_last_hour": n_recipient,
+            "first_recipient_us": first,
+            "last_us": last,
+            "last_device": device,
+            "device_seen": before is not None and before > low,
+        }
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        for state in (self.clock, self.latest, self.hours, self.days, self.recipients, self.devices):
+            state.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -142,24 +254,25 @@ class GateProcessor(StatefulProcessor):
         pass
 
 
-def _apply(
-    stream: DataFrame, processor: StatefulProcessor, schema: str, expire: bool
-) -> DataFrame:
+def _apply(stream: DataFrame, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
     types = dict(stream.dtypes)
     return stream.groupBy(*KEYS).transformWithState(
         statefulProcessor=processor,
         outputStructType=schema.format(id=types["transaction_id"], customer=types["customer_id"]),
         outputMode="Append",
-        timeMode="ProcessingTime" if expire else "None",
+        timeMode=mode,
     )
 
 
 def live_activity(
     stream: DataFrame, limit: int = HISTORY_LIMIT, expire: bool = False
 ) -> DataFrame:
-    processor = ActivityProcessor(limit, TTL_MS if expire else None)
-    return _apply(stream, processor, ACTIVITY_SCHEMA, expire)
+    """Activity features at arrival. With ``expire`` the stream needs a watermark."""
+    return _apply(stream, ActivityProcessor(limit, expire), ACTIVITY_SCHEMA, "EventTime" if expire else "None")
 
 
 def live_gate(stream: DataFrame, expire: bool = False) -> DataFrame:
-    return _apply(stream, GateProcessor(TTL_MS if expire else None), GATE_SCHEMA, expire)
+    """The gate. Expiry uses processing time, which never ends by itself, so a run over what is
+    available now leaves it off."""
+    processor = GateProcessor(TTL_MS if expire else None)
+    return _apply(stream, processor, GATE_SCHEMA, "ProcessingTime" if expire else "None")

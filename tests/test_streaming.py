@@ -1,8 +1,9 @@
+import random
 from datetime import timedelta
 
 from conftest import NOW, micros
 from riskweave.operators import features
-from riskweave.streaming import pipelines, stateful
+from riskweave.streaming import pipelines, replay, stateful
 
 TX = "transaction_id bigint, customer_id bigint, currency string, us bigint, recipient_id bigint, device_id string"
 
@@ -60,10 +61,41 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_receipts_are_recorded_once(spark, tmp_path):
     schema = "event_id bigint, occurred_us bigint"
     stream = arriving(spark, tmp_path, [[(1, 5), (1, 5), (2, 6)], [(2, 6), (3, 7)]], schema)
-    out = str(tmp_path / "receipts")
-    pipelines.run_available(stream, pipelines.fan_out(out, "recording"))
-    rows = spark.read.parquet(out).collect()
-    assert sorted(r.event_id for r in rows) == [1, 2, 3]
-    write = pipelines.fan_out(out, "recording")
-    write(spark.createDataFrame([(2, 6), (3, 7)], schema), 1)
-    assert spark.read.parquet(out).count() == 3
+    state, total = str(tmp_path / "state"), []
+    total += spark.read.parquet(pipelines.run_available(pipelines.fan_out(stream, "recording"), None, state)).collect()
+    spark.createDataFrame([(3, 7), (4, 8)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    more = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    total += spark.read.parquet(pipelines.run_available(pipelines.fan_out(more, "recording"), None, state)).collect()
+    assert sorted(r.event_id for r in total) == [1, 2, 3, 4]
+
+
+def test_replay_corrects_what_was_kept(spark, tmp_path):
+    """Several batches with late rows: kept values and corrections together are the batch values."""
+    pipelines.use_rocksdb(spark)
+    r = random.Random(4)
+    rows = [row(i, r.randrange(400) * r.choice([1, 1, 1500]), r.choice([1, 2, 3]), r.choice("abc")) for i in range(90)]
+    stream = arriving(spark, tmp_path, [rows[:30], rows[30:60], rows[60:]], TX)
+    out = str(tmp_path / "out")
+    pipelines.run_available(stateful.live_activity(stream), pipelines.route_late(out))
+    evaluated, late = spark.read.parquet(f"{out}/evaluated"), spark.read.parquet(f"{out}/replay")
+    assert late.count() > 10
+    assert late.filter(" OR ".join(f"{n} IS NOT NULL" for n in stateful.VALUES)).isEmpty()
+    tx = spark.createDataFrame(rows, TX)
+    corrections = replay.replay_late(tx, evaluated, late)
+    whole = replay.corrected(evaluated, corrections)
+    names = ["transaction_id", *stateful.VALUES]
+    assert sorted(whole.select(*names).collect()) == sorted(replay.activity(tx).select(*names).collect())
+    changed = {x.transaction_id: set(x.changed) for x in corrections.collect()}
+    assert {x.transaction_id for x in late.collect()} <= set(changed)
+    assert set(stateful.VALUES) - {"history_limit_exceeded"} <= set().union(*changed.values())
+
+
+def test_idle_customers_expire(spark, tmp_path):
+    """With a watermark, a customer's state goes 181 days after the last row, and nothing is lost."""
+    pipelines.use_rocksdb(spark)
+    far = 200 * 24 * 60
+    batches = [[row(1, 0)], [(2, 2, "KZT", micros(NOW + timedelta(minutes=far)), 1, "a")], [row(3, far + 1)], [row(4, far + 3)]]
+    stream = pipelines.with_event_time(arriving(spark, tmp_path, batches, TX), "1 hour")
+    found = spark.read.parquet(pipelines.run_available(stateful.live_activity(stream, expire=True)))
+    counts = {x.transaction_id: x.activity_history_count for x in found.collect()}
+    assert counts == {1: 0, 2: 0, 3: 0, 4: 1}
