@@ -20,11 +20,9 @@ from pyspark.sql import types as T
 
 from riskweave.functions.frames import HOUR, MINUTE
 from riskweave.operators.history import ACTIVITY_SPAN, GROUP
-from riskweave.operators.rolling import group_bounds, whole_groups
+from riskweave.operators.rolling import time_lines
 
 ROW_SPANS = {"n_activity": ACTIVITY_SPAN, "n_5m": 5 * MINUTE, "n_10m": 10 * MINUTE, "n_60m": HOUR}
-#: Groups are laid end to end on one time line while it fits into 62 bits.
-TIME_LINE = 1 << 62
 
 
 class Ranks:
@@ -98,17 +96,11 @@ def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return known.indices.to_numpy(zero_copy_only=False).astype(np.int64), column.is_null().to_numpy()
 
 
-def known_activity(table: pa.Table, starts: np.ndarray) -> dict[str, pa.Array]:
-    """The activity columns of every row of whole groups that are sorted by time."""
+def known_activity(table: pa.Table, time: np.ndarray) -> dict[str, pa.Array]:
+    """The activity columns of every row of whole groups that are sorted by time, whose times are
+    also given on one line (see :func:`time_lines`)."""
     size = table.num_rows
-    group = np.zeros(size, np.int64)
-    group[starts[1:]] = 1
-    group = np.cumsum(group)
     us = table.column("us").to_numpy().astype(np.int64)
-    # One time line: each group begins more than a span after the end of the one before.
-    low, high = us[starts], us[np.append(starts[1:], size) - 1]
-    offset = np.concatenate([[0], np.cumsum(high - low + ACTIVITY_SPAN + 1)[:-1]]) - low
-    time = us + offset[group]
 
     history = table.column("is_history").to_numpy(zero_copy_only=False).astype(bool)
     absent = table.column("available_us").is_null().to_numpy()
@@ -190,23 +182,11 @@ def with_arrived_activity(frame: DataFrame) -> DataFrame:
     added = [T.StructField(n, device if k is None else k) for n, k in COLUMNS]
     schema = T.StructType([*frame.schema.fields, *added])
 
-    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        found = known_activity(table, group_bounds(table))
-        for name, _ in COLUMNS:
-            table = table.append_column(name, found[name])
-        yield from table.combine_chunks().to_batches()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches):
-            starts = group_bounds(table)
-            us = table.column("us").to_numpy().astype(np.int64)
-            length = us[np.append(starts[1:], table.num_rows) - 1] - us[starts] + ACTIVITY_SPAN + 1
-            line, begin = 0, 0
-            for k, own in enumerate(length.tolist()):
-                if line + own > TIME_LINE and line:
-                    yield from settle(table.slice(begin, int(starts[k]) - begin).combine_chunks())
-                    begin, line = int(starts[k]), 0
-                line += own
-            yield from settle(table.slice(begin).combine_chunks())
+        for table, _, time in time_lines(batches, ACTIVITY_SPAN):
+            found = known_activity(table, time)
+            for name, _ in COLUMNS:
+                table = table.append_column(name, found[name])
+            yield from table.combine_chunks().to_batches()
 
     return frame.sortWithinPartitions(*GROUP, "us").mapInArrow(run, schema)

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.functions.frames import DAY
@@ -175,6 +176,58 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held.combine_chunks()
 
 
+#: Groups are laid end to end on one time line while it fits into 62 bits.
+TIME_LINE = 1 << 62
+
+
+def time_lines(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Whole groups that are sorted by time, where they begin, and their times on one line: each
+    group begins more than ``span`` after the end of the one before."""
+
+    def line(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        starts, us = group_bounds(table), table.column("us").to_numpy().astype(np.int64)
+        low, high = us[starts], us[np.append(starts[1:], len(us)) - 1]
+        offset = np.concatenate([[0], np.cumsum(high - low + span + 1)[:-1]]) - low
+        return table, starts, us + np.repeat(offset, np.diff(np.append(starts, len(us))))
+
+    for table in whole_groups(batches):
+        starts, us = group_bounds(table), table.column("us").to_numpy().astype(np.int64)
+        lengths = us[np.append(starts[1:], len(us)) - 1] - us[starts] + span + 1
+        used, begin = 0, 0
+        for start, own in zip(starts.tolist(), lengths.tolist(), strict=True):
+            if used and used + own > TIME_LINE:
+                yield line(table.slice(begin, start - begin).combine_chunks())
+                begin, used = start, 0
+            used += own
+        yield line(table.slice(begin).combine_chunks())
+
+
+def with_recent(frame: DataFrame, span: int, keep: int) -> DataFrame:
+    """Adds ``recent``: the amounts of the last ``keep`` history rows of earlier instants inside the
+    span, in order of time and id, and the row's own. One search a row, whatever the span holds."""
+    schema = T.StructType([*frame.schema.fields, T.StructField("recent", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _, time in time_lines(batches, span):
+            past = np.flatnonzero(table.column("is_history").to_numpy(zero_copy_only=False))
+            cents = table.column("cents").to_numpy().astype(np.int64)
+            end = np.searchsorted(time[past], time, "left")
+            first = np.maximum(np.searchsorted(time[past], time - span, "right"), end - keep)
+            sizes = np.maximum(end - first, 0)
+            upto = np.cumsum(sizes + 1)
+            values = np.empty(int(upto[-1]), np.int64)
+            values[upto - 1] = cents
+            at = np.ones(len(values), bool)
+            at[upto - 1] = False
+            begin = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+            values[at] = cents[past[begin + np.arange(int(sizes.sum()))]]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32)), pa.array(values))
+            yield from table.append_column("recent", lists).combine_chunks().to_batches()
+
+    by_id = frame.sortWithinPartitions(*GROUP, "us", F.col("transaction_id").cast("string"))
+    return by_id.mapInArrow(run, schema)
+
+
 def rolling_statistics(frame: DataFrame, long_span: int, short_span: int) -> DataFrame:
     """Adds :data:`STATISTICS` to the candidates of a history frame.
 

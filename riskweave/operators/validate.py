@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions.frames import DAY
 from riskweave.schemas import CHANNELS, LEVEL_ACTIONS, STATUSES
 
 # Formats of the input contract.
@@ -88,6 +89,51 @@ def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def activity_violations(rows: DataFrame, captured: DataFrame, limit: int = 10_000, days: int = 180) -> DataFrame:
+    """Candidates whose captured activity breaks its contract.
+
+    ``captured`` has a row for each activity row of a candidate: ``candidate_id`` and the row's
+    ``transaction_id, customer_id, currency, us``. Activity must be of the candidate's customer and
+    currency, strictly before it and less than ``days`` days older, without the candidate itself,
+    without repeated transactions and of at most ``limit`` rows. Null fields break the clause they
+    belong to. A candidate without activity breaks none.
+    """
+    own = rows.select(
+        F.col("transaction_id").alias("candidate_id"),
+        F.col("customer_id").alias("_customer"),
+        F.col("currency").alias("_currency"),
+        F.col("us").alias("_us"),
+    )
+    # One row for each transaction of a candidate first, so that a hot candidate combines early.
+    whole = F.coalesce((F.col("us") < F.col("_us")) & (F.col("us") > F.col("_us") - days * DAY), F.lit(False))
+    scoped = F.col("customer_id").eqNullSafe(F.col("_customer")) & F.col("currency").eqNullSafe(F.col("_currency"))
+    each = (
+        captured.join(own, "candidate_id")
+        .groupBy("candidate_id", "transaction_id")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.bool_or(~scoped).alias("foreign"),
+            F.bool_or(~whole).alias("outside"),
+        )
+    )
+    found = each.groupBy("candidate_id").agg(
+        F.sum("n").alias("rows"),
+        F.bool_or(F.col("n") > 1).alias("repeated"),
+        F.bool_or("foreign").alias("foreign"),
+        F.bool_or("outside").alias("outside"),
+        F.bool_or(F.col("transaction_id").eqNullSafe(F.col("candidate_id"))).alias("itself"),
+    )
+    clauses = {
+        "activity_limit_exceeded": F.coalesce(F.col("rows") > limit, F.lit(False)),
+        "duplicate_activity": F.coalesce("repeated", F.lit(False)),
+        "activity_out_of_scope": F.coalesce("foreign", F.lit(False)),
+        "activity_not_prior": F.coalesce("outside", F.lit(False)),
+        "candidate_in_activity": F.coalesce("itself", F.lit(False)),
+    }
+    joined = rows.join(found, rows["transaction_id"] == found["candidate_id"], "left")
+    return joined.select(*(rows[c] for c in rows.columns), listed(clauses).alias("violations"))
+
+
 def context_violations(rows: DataFrame, observations: DataFrame) -> DataFrame:
     """Candidates whose captured context breaks its contract.
 

@@ -102,6 +102,36 @@ def context_check(spark, sf):
     return checked.select("transaction_id", F.array_join("violations", ",").alias("violations"))
 
 
+# Each row is the activity of the customer's next one; some are tampered with.
+CAPTURED = f"""{o.TX}, nx AS (
+  SELECT *, lead(transaction_id) OVER (PARTITION BY {o.KEYS} ORDER BY us, CAST(transaction_id AS VARCHAR))
+    AS candidate_id FROM tx),
+cap AS (
+  SELECT candidate_id, CASE WHEN recipient_id % 10 = 1 THEN candidate_id ELSE transaction_id END AS transaction_id,
+    CASE WHEN recipient_id % 10 = 3 THEN customer_id + 1 ELSE customer_id END AS customer_id,
+    CASE WHEN recipient_id % 10 = 2 THEN 'USD' ELSE currency END AS currency,
+    us + CASE WHEN recipient_id % 10 = 4 THEN 60 WHEN recipient_id % 10 = 5 THEN -200 ELSE 0 END * {o.DAY} AS us,
+    unnest(range(CASE WHEN recipient_id % 10 = 0 THEN 2 WHEN recipient_id % 10 = 6 THEN 4 ELSE 1 END)) AS copy
+  FROM nx WHERE candidate_id IS NOT NULL)"""
+
+
+@query(
+    "q_context_activity_check",
+    f"""WITH {CAPTURED} SELECT t.transaction_id, concat_ws(',',
+      CASE WHEN count(c.us) > 3 THEN 'activity_limit_exceeded' END,
+      CASE WHEN count(c.us) > count(DISTINCT c.transaction_id) THEN 'duplicate_activity' END,
+      CASE WHEN bool_or(c.customer_id <> t.customer_id OR c.currency <> t.currency) THEN 'activity_out_of_scope' END,
+      CASE WHEN bool_or(c.us >= t.us OR c.us <= t.us - {180 * o.DAY}) THEN 'activity_not_prior' END,
+      CASE WHEN bool_or(c.transaction_id = t.transaction_id) THEN 'candidate_in_activity' END) AS violations
+    FROM tx t LEFT JOIN cap c ON c.candidate_id = t.transaction_id GROUP BY 1""",
+)
+def context_activity_check(spark, sf):
+    """Scope, order, the candidate itself, repeats, and a limit of three rows."""
+    tx = d.transactions(spark, sf)
+    checked = validate.activity_violations(tx, d.captured_activity(spark, sf), limit=3)
+    return checked.select("transaction_id", F.array_join("violations", ",").alias("violations"))
+
+
 @query("q_request_digest", f"WITH {o.TX} SELECT transaction_id, {digest_sql('cents')} AS d FROM tx")
 def request_digest(spark, sf):
     return d.transactions(spark, sf).select("transaction_id", intake.request_digest().alias("d"))

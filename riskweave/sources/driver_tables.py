@@ -5,7 +5,7 @@ Each view has a twin in :mod:`riskweave.plans.oracle`, written in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.amounts import amount_text, to_cents
@@ -193,6 +193,24 @@ def stored_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def captured_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each transaction as the captured activity of its customer's next one, some tampered with."""
+    kind = F.col("recipient_id") % 10
+    order = Window.partitionBy("customer_id", "currency").orderBy("us", F.col("transaction_id").cast("string"))
+    following = transactions(spark, sf_dir).withColumn("candidate_id", F.lead("transaction_id").over(order))
+    copies = F.when(kind == 0, 2).when(kind == 6, 4).otherwise(1)
+    rows = following.filter("candidate_id IS NOT NULL").withColumns(
+        {
+            "transaction_id": F.when(kind == 1, F.col("candidate_id")).otherwise(F.col("transaction_id")),
+            "customer_id": F.when(kind == 3, F.col("customer_id") + 1).otherwise(F.col("customer_id")),
+            "currency": F.when(kind == 2, "USD").otherwise(F.col("currency")),
+            "us": F.col("us") + F.when(kind == 4, 60).when(kind == 5, -200).otherwise(0) * DAY,
+        }
+    )
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    return rows.select("candidate_id", "transaction_id", "customer_id", "currency", "us")
+
+
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learning decisions behind the verified revisions, with some missing."""
     return (

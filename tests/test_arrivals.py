@@ -11,6 +11,7 @@ from riskweave.functions.frames import DAY, HOUR, MINUTE
 from riskweave.operators import datasets
 from riskweave.operators.arrivals import Minima, Ranks, known_activity, with_arrived_activity
 from riskweave.operators.history import candidates, history_frame
+from riskweave.operators.rolling import with_recent
 
 SPAN = 180 * DAY
 SCHEMA = (
@@ -111,13 +112,23 @@ def test_cost_is_not_quadratic():
         best = []
         for _ in range(3):
             begun = time.perf_counter()
-            known_activity(table, np.array([0]))
+            known_activity(table, us)
             best.append(time.perf_counter() - begun)
         return min(best)
 
     assert seconds(80_000) < 3 * seconds(40_000)
 
 
+@pytest.mark.parametrize("keep, span", [(3, 24 * HOUR), (1, HOUR), (5, 100 * HOUR)])
+def test_recent_amounts_are_those_of_the_definition(spark, keep, span):
+    rows = [(*x[:4], x[0] * 7 + 1, *x[5:]) for x in rows_of(11, 200, 3)]
+    frame = history_frame(spark.createDataFrame(rows, SCHEMA), refuse=False)
+    found = candidates(with_recent(frame, span, keep)).collect()
+    for x in found:
+        prior = sorted((p[3], str(p[0]), p[4]) for p in rows if p[1] == x.customer_id and x.us - span < p[3] < x.us)
+        assert x.recent == [*(p[2] for p in prior[-keep:]), x.cents]
+
+
 def test_counts_and_places_of_ranges():
     r = np.random.default_rng(5)
     for size in (1, 2, 7, 64, 100):
