@@ -142,7 +142,8 @@ def sequential(requests, customers, existing=()):
     return out
 
 
-def test_intake_equals_one_by_one(spark):
+@pytest.mark.parametrize("group_limit", [1, 3, 10_000])
+def test_intake_equals_one_by_one(spark, group_limit):
     import random
 
     rng = random.Random(5)
@@ -151,13 +152,13 @@ def test_intake_equals_one_by_one(spark):
         tx = rng.randrange(40)
         requests.append((f"q{i:03}", "p", f"k{rng.randrange(40)}", f"d{tx}", tx, rng.choice([1, 1, 1, 9]), i))
     known = spark.createDataFrame([(1,)], "customer_id int")
-    got = intake.idempotent_intake(spark.createDataFrame(requests, REQUEST), known)
+    got = intake.idempotent_intake(spark.createDataFrame(requests, REQUEST), known, None, group_limit)
     assert {r.request_id: r.outcome for r in got.collect()} == sequential(requests, {1})
     old = [("p", "k1", "d1", 1), ("p", "k2", "d9", 2)]
     existing = spark.createDataFrame(
         old, "principal string, key string, digest string, transaction_id int"
     )
-    again = intake.idempotent_intake(spark.createDataFrame(requests, REQUEST), known, existing)
+    again = intake.idempotent_intake(spark.createDataFrame(requests, REQUEST), known, existing, group_limit)
     expected = sequential(requests, {1}, old)
     assert {r.request_id: r.outcome for r in again.collect()} == expected
 
