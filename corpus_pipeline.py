@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import bag_minhash, doubling_windows, host_rules, piece_lattice, source_mix
-from riskweave.llm.common import release, scratch_tables, table
+from riskweave.llm.common import free_name, release, scratch_tables, table
 from riskweave.llm.queries import public_tokenizer
 from riskweave.session import checkpoint_root
 
@@ -42,7 +42,7 @@ def after_the_last(stage: Callable) -> Callable:
 @after_the_last
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the rules and whose host passes."""
-    return host_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    return host_rules.quality_rules(docs).where(F.col(free_name("kept", docs.columns))).select(*docs.columns)
 
 
 @after_the_last
@@ -62,16 +62,19 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @after_the_last
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, shuffled inside its shards."""
-    sized = docs.withColumn("size", source_mix.sizes(F.col("text")))
-    return source_mix.shuffled(source_mix.mix(sized)).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    sized = docs.select(row, "doc_id", "source", source_mix.sizes(F.col("text")).alias("size"))
+    return source_mix.shuffled(source_mix.mix(sized)).select("row.*")
 
 
 @after_the_last
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ids, and whether they decode to the text."""
     model = public_tokenizer("piece_bpe_32k.model")
-    coded = piece_lattice.encode(docs, model, decoded="decoded")
-    return coded.withColumn("same", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
+    decoded = free_name("decoded", docs.columns)
+    coded = piece_lattice.encode(docs, model, decoded=decoded)
+    same = F.col(decoded) == F.coalesce("text", F.lit(""))
+    return coded.withColumn(free_name("same", docs.columns), same).drop(decoded)
 
 
 STAGES = [
