@@ -27,7 +27,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.llm.common import freeze, spread_join
-from riskweave.llm.pieces import ROW_BITS, Distinct, Piece, Rolling, Words, cut, each_piece, mix, other_fields, with_marks
+from riskweave.llm.pieces import (
+    ROW_BITS,
+    Distinct,
+    Piece,
+    Windows,
+    Words,
+    cut,
+    digests,
+    each_piece,
+    mix,
+    other_fields,
+    with_marks,
+)
 from riskweave.llm.stars import components
 
 SHINGLE = 5
@@ -58,19 +70,19 @@ class Bags:
         words = Words(piece.body, piece.ends)
         self.n_docs, self.words = len(piece.ends), words
         first = words.bounds - words.counts
-        roll = Rolling(words.hashes)
+        windows = Windows(words.hashes)
         doc = np.repeat(np.arange(self.n_docs), words.counts)
-        left = words.left()
-        at = np.flatnonzero(left >= shingle)
-        short = np.flatnonzero((words.counts > 0) & (words.counts < shingle))
-        starts = np.concatenate([at, first[short]])
-        ends = np.concatenate([at + shingle, words.bounds[short]])
-        rows = Distinct(np.concatenate([doc[at], short]).astype(np.uint64), roll.at(starts, ends))
+        at = np.flatnonzero(words.left() >= shingle)
+        owners, hashes = [doc[at]], [windows.at(at, shingle)]
+        for size in range(1, shingle):
+            short = np.flatnonzero(words.counts == size)
+            owners.append(short)
+            hashes.append(windows.at(first[short], size))
+        rows = Distinct(np.concatenate(owners).astype(np.uint64), np.concatenate(hashes))
         self.doc, self.hash = rows.lanes[0].astype(np.int64), rows.lanes[1]
         self.weight = np.bincount(rows.back, minlength=len(self.doc))
-        self.text = [roll.at(first, words.bounds)]
-        other = Words(piece.body, piece.ends, 1)
-        self.text.append(Rolling(other.hashes, 1).at(first, words.bounds))
+        named = np.ascontiguousarray(words.ids.T).tobytes()  # sixteen bytes a word
+        self.text = list(digests(named, 16 * first, 16 * words.bounds))
 
     def bag(self, doc: int) -> np.ndarray:
         """One number for each occurrence of each shingle, sorted: overlap is plain set overlap."""

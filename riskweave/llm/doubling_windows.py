@@ -14,7 +14,7 @@ from riskweave.llm.pieces import (
     SENT,
     Distinct,
     Piece,
-    Rolling,
+    Windows,
     Words,
     answered,
     covered,
@@ -23,6 +23,7 @@ from riskweave.llm.pieces import (
     exchange,
     other_fields,
     sent,
+    symbols,
     with_marks,
 )
 
@@ -49,18 +50,16 @@ class Levels:
         self.piece, self.chain = piece, lengths(window)
         self.words = Words(piece.body, piece.ends)
         self.left = self.words.left()
-        self.lanes = [Rolling(self.words.hashes, 0)]
+        self.windows = Windows(self.words.hashes)
         long_enough = np.repeat(self.words.counts >= window, self.words.counts)
         self.at = np.flatnonzero(long_enough & (self.left >= self.chain[0]))
 
     def rows(self, level: int) -> Distinct:
         length, at = self.chain[level], self.at
+        lanes = [self.windows]
         if level + 1 == len(self.chain):
-            other = Words(self.piece.body, self.piece.ends, 1).hashes
-            lanes = [self.lanes[0], Rolling(other, 1)]
-        else:
-            lanes = self.lanes
-        return Distinct(*[x.at(at, at + length) for x in lanes])
+            lanes.append(Windows(symbols(self.words.ids, 1)))
+        return Distinct(*[x.at(at, length) for x in lanes])
 
     def narrow(self, level: int, buckets: int) -> None:
         """Keeps what repeats at this level, then what may repeat at the next."""

@@ -12,6 +12,7 @@ range, and gets one bit back for each.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,7 @@ from riskweave.llm.common import freeze, stored
 PIECE_BYTES = 1 << 20
 #: Bits of a piece's number within its task, and of a document's number within its piece.
 PIECE_BITS, ROW_BITS = 24, 18
-#: Odd multipliers of the two polynomial hashes modulo 2**64.
-ROOTS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: Weights of byte values, for orders by hash.
 LANES = np.random.default_rng(20240607).integers(0, 2**64, (2, 256), dtype=np.uint64)
 
 
@@ -40,35 +40,94 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def _powers(lane: int, inverse: bool, size: int) -> np.ndarray:
-    """Powers of a multiplier, or of its inverse; a task keeps the longest run it has needed."""
-    held = _POWERS.get((lane, inverse))
-    if held is None or len(held) < size:
-        base = pow(ROOTS[lane], -1, 2**64) if inverse else ROOTS[lane]
-        held = np.full(max(size + size // 8, 1 << 16), base, np.uint64)
-        held[0] = 1
-        _POWERS[lane, inverse] = held = np.cumprod(held, dtype=np.uint64)
-    return held
-
-
-class Rolling:
-    """Hashes of any window of a sequence of 64-bit symbols, after one pass."""
-
-    def __init__(self, symbols: np.ndarray, lane: int = 0):
-        self.lane = lane
-        self.back = _powers(lane, True, len(symbols) + 1)
-        self.sums = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(symbols * _powers(lane, False, len(symbols) + 1)[: len(symbols)], out=self.sums[1:])
-
-    def at(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
-
-
-def of_bytes(body: np.ndarray, lane: int = 0) -> Rolling:
-    return Rolling(LANES[lane][body], lane)
+#: What a lane begins with, and the odd factor of the left one of two joined hashes.
+LANE_KEYS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+LEFT = np.uint64(0xA24BAED4963EE407)
+#: The first n bytes of a little-endian word.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Strings shorter than this are held whole in two words.
+SHORT = 16
+
+
+def joint(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order. Every step is mixed, so that no sum of terms can cancel out."""
+    return mix(left * LEFT + right)
+
+
+def words_at(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The eight bytes from each start as a little-endian word; ``raw`` has eight more bytes."""
+    return np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))[starts]
+
+
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2 of each stretch, as two rows of 64-bit words."""
+    spans = zip(starts.tolist(), ends.tolist(), strict=True)
+    found = b"".join(blake2b(raw[a:b], digest_size=16).digest() for a, b in spans)
+    return np.frombuffer(found, "<u8").reshape(-1, 2).T
+
+
+def identities(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit words for each stretch of bytes: its bytes and length below ``SHORT``, so that they
+    differ if the stretches do; else 120 bits of BLAKE2 under a mark of their own."""
+    raw = np.concatenate([body, np.zeros(2 * SHORT, np.uint8)])
+    size = ends - starts
+    out = np.empty((2, len(starts)), np.uint64)
+    out[0] = words_at(raw, starts) & FIRST_BYTES[np.minimum(size, 8)]
+    rest = words_at(raw, starts + 8) & FIRST_BYTES[np.clip(size - 8, 0, 7)]
+    out[1] = rest | np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(size >= SHORT)
+    if len(long):
+        out[:, long] = digests(body.tobytes(), starts[long], ends[long])
+        out[1, long] |= np.uint64(255 << 56)
+    return out
+
+
+def symbols(ids: np.ndarray, lane: int = 0) -> np.ndarray:
+    """One hash for each identity."""
+    key = np.uint64(LANE_KEYS[lane])
+    return joint(mix(ids[0] ^ key), mix(ids[1] + key))
+
+
+class Windows:
+    """Hashes of windows of any length over a sequence of hashes, each of which stands for ``unit``
+    places from its own.
+
+    A window is the joint hash of its first and its last ``unit * 2**k`` places, the most that are
+    fewer than its own, each of them joined from halves, down to single hashes; where first and last
+    overlap, they still say all of it. Few windows are worked out one by one, many from the halves
+    of all places.
+    """
+
+    def __init__(self, single: np.ndarray, unit: int = 1):
+        self.levels, self.unit = [single], unit
+
+    def _halves(self, starts: np.ndarray, level: int) -> np.ndarray:
+        size = len(self.levels[0])
+        if level < len(self.levels):
+            return self.levels[level][starts]
+        if len(starts) << level > level * size:
+            while len(self.levels) <= level:
+                last, step = self.levels[-1], self.unit << (len(self.levels) - 1)
+                fit = max(0, len(last) - step)
+                self.levels.append(joint(last[:fit], last[step : step + fit]))
+            return self.levels[level][starts]
+        step = self.unit << (level - 1)
+        return joint(self._halves(starts, level - 1), self._halves(starts + step, level - 1))
+
+    def at(self, starts: np.ndarray, length: int) -> np.ndarray:
+        """Windows of one length, at least ``unit``."""
+        level = max(0, (-(-length // self.unit) - 1).bit_length() - 1)
+        first = self._halves(starts, level)
+        last = self._halves(starts + (length - (self.unit << level)), level)
+        return joint(first, last ^ mix(np.full(1, length, np.uint64)))
+
+
+def grams(body: np.ndarray, lane: int = 0) -> Windows:
+    """Windows of at least eight bytes of a text, over all its strings of eight bytes."""
+    a = np.concatenate([body, np.zeros(7, np.uint8)]).astype(np.uint64)
+    for step in (1, 2, 4):
+        a = a[:-step] | (a[step:] << np.uint64(8 * step))
+    return Windows(mix(a ^ np.uint64(LANE_KEYS[lane])), 8)
 
 
 #: Which bytes end a word.
@@ -77,15 +136,15 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 class Words:
-    """Word bounds of a piece, hashes of the words, and where each document's words end."""
+    """Word bounds of a piece, identities and hashes of the words, and where each document's words end."""
 
-    def __init__(self, body: np.ndarray, ends: np.ndarray, lane: int = 0, blank: np.ndarray = BLANK):
+    def __init__(self, body: np.ndarray, ends: np.ndarray, blank: np.ndarray = BLANK):
         inside = np.zeros(len(body) + 2, np.int8)
         inside[1:-1] = ~blank[body]
         edges = np.flatnonzero(np.diff(inside))
         self.starts, self.ends = edges[0::2], edges[1::2]
-        self.roll = of_bytes(body, lane)
-        self.hashes = self.roll.at(self.starts, self.ends)
+        self.ids = identities(body, self.starts, self.ends)
+        self.hashes = symbols(self.ids)
         self.bounds = np.searchsorted(self.starts, ends)
         self.counts = np.diff(self.bounds, prepend=0)
 

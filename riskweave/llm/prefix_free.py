@@ -33,8 +33,9 @@ from riskweave.llm.pieces import (
     cut,
     each_piece,
     exchange,
+    grams,
+    joint,
     mix,
-    of_bytes,
     other_fields,
     sent,
     with_marks,
@@ -83,14 +84,15 @@ class Parse:
         full = first <= last
         self.anchor, self.first, self.last = own[full], first[full], last[full]
         self.lead, self.width = lead, width
-        self.lanes = [of_bytes(piece.body, 0)]
+        self.lanes = [grams(piece.body, 0)]
 
     def contexts(self) -> Distinct:
         """Fingerprints of the context and of the reach of every anchor."""
-        a, roll = self.anchor, self.lanes[0]
-        context = roll.at(a - self.lead, a - self.lead - self.width + self.length)
+        a, windows = self.anchor, self.lanes[0]
+        context = windows.at(a - self.lead, self.length - self.width)
         place = ((a - self.first) << 32 | (a - self.last)).astype(np.uint64)
-        reach = mix(roll.at(self.first, self.last + self.length) ^ mix(place))
+        ends = joint(windows.at(self.first, self.length), windows.at(self.last, self.length))
+        reach = mix(ends ^ mix(place))
         return Distinct(context, reach)
 
     def strings(self, chosen: np.ndarray) -> np.ndarray:
@@ -101,8 +103,8 @@ class Parse:
 
     def compared(self, at: np.ndarray) -> Distinct:
         if len(self.lanes) == 1:
-            self.lanes.append(of_bytes(self.piece.body, 1))
-        return Distinct(*[x.at(at, at + self.length) for x in self.lanes])
+            self.lanes.append(grams(self.piece.body, 1))
+        return Distinct(*[x.at(at, self.length) for x in self.lanes])
 
 
 def judge_contexts(lanes: list[np.ndarray], several: np.ndarray) -> list[np.ndarray]:

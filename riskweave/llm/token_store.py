@@ -8,6 +8,7 @@ offsets of a block at once and looks each next code up in a table of ``2**limit`
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskweave.llm.common import partitions
-from riskweave.llm.pieces import of_bytes, runs
+from riskweave.llm.pieces import FIRST_BYTES, identities, joint, mix, runs, words_at
 from riskweave.session import checkpoint_root
 
 LIMIT = 18
@@ -76,41 +77,85 @@ def part_starts(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts[own], stops[own]
 
 
+def splits_like_bytes(tokenizer) -> bool:
+    """Whether a tokenizer splits texts as ``part_starts`` assumes: by the common byte-level rule,
+    with no normaliser and no added token that a part could cut or that looks around itself."""
+    made = json.loads(tokenizer.to_str())
+    split = made["pre_tokenizer"] or {}
+    common = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+    if not common or made["normalizer"] is not None or made.get("truncation") or made.get("padding"):
+        return False
+    for token in made["added_tokens"]:
+        raw = np.frombuffer(token["content"].encode(), np.uint8)
+        if token["single_word"] or token["lstrip"] or token["rstrip"] or (WHITE | STOP)[raw].any():
+            return False
+    return True
+
+
 class ByteParts:
-    """Encodes texts part by part; a part that was met before is looked up by 128 bits."""
+    """Encodes texts part by part; a part that was met before is looked up.
+
+    Parts below eight bytes meet by their bytes. Others meet by a hash, and their identities
+    (``pieces.identities``) are compared on every hit: two parts of one hash make it start over with
+    another one. Texts of a tokenizer that splits otherwise are encoded whole.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.parted = splits_like_bytes(self.tokenizer)
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = np.zeros(max(names.values()) + 1, np.int64)
         self.size[list(names.values())] = [len(x) for x in names]
         for number, token in self.tokenizer.get_added_tokens_decoder().items():
             self.size[number] = len(token.content.encode())
+        self.salt = np.uint64(0)
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.check = np.zeros((2, 0), np.uint64)
+        self.known = np.zeros(0, np.uint64)
+        self.names = np.zeros((0, 2), np.uint64)
         self.first, self.sizes = np.zeros((2, 0), np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _met(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Keys of the different parts, one of each, which each is, which are known, and their names."""
+        size = stops - starts
+        short = words_at(np.append(raw, np.zeros(8, np.uint8)), starts) & FIRST_BYTES[np.minimum(size, 7)]
+        key = short | size.astype(np.uint64) << np.uint64(56)
+        long = np.flatnonzero(size > 7)
+        names = identities(raw, starts[long], stops[long])
+        while True:
+            key[long] = joint(mix(names[0] ^ self.salt), names[1]) | np.uint64(1 << 63)
+            found, sample, at = np.unique(key, return_index=True, return_inverse=True)
+            place = np.searchsorted(self.known, found)
+            old = place < len(self.known)
+            old[old] = self.known[place[old]] == found[old]
+            nth = np.zeros(len(key), np.int64)  # where a long part's name is
+            nth[long] = np.arange(len(long))
+            own = np.zeros((len(found), 2), np.uint64)
+            hashed = found >= np.uint64(1 << 63)
+            own[hashed] = names.T[nth[sample[hashed]]]
+            alike = (names.T == own[at[long]]).all()
+            if alike and (self.names[place[old]] == own[old]).all():
+                return found, sample, at, old, own
+            self.forget()
+            self.salt += np.uint64(1)
+
     def encode(self, body: bytes, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each document closed by ``end``, and the number of each document."""
         if len(self.known) > CACHED_PARTS:
             self.forget()
         raw = np.frombuffer(body, np.uint8)
-        starts, stops = part_starts(raw, ends)
-        key = of_bytes(raw, 0).at(starts, stops)
-        found, sample, at = np.unique(key, return_index=True, return_inverse=True)
-        other = of_bytes(raw, 1).at(starts, stops)
-        if (other != other[sample][at]).any():
-            raise ValueError("two parts of one batch share a 64-bit hash: change the multipliers")
-        place = np.searchsorted(self.known, found)
-        old = place < len(self.known)
-        old[old] = (self.known[place[old]] == found[old]) & (self.check[place[old]] == other[sample[old]])
-        fresh = np.flatnonzero(~old)
+        if self.parted:
+            starts, stops = part_starts(raw, ends)
+        else:
+            starts, stops = np.concatenate([[0], ends[:-1]]), ends - 1
+            starts, stops = starts[starts < stops], stops[starts < stops]
+        found, sample, at, old, names = self._met(raw, starts, stops)
+        fresh = sample[~old]
         if len(fresh):
-            self._learn(body, starts[sample[fresh]], stops[sample[fresh]], found[fresh], other[sample[fresh]])
-            place = np.searchsorted(self.known, found)
+            self._learn(body, starts[fresh], stops[fresh], found[~old], names[~old])
+        place = np.searchsorted(self.known, found)
         first, sizes = self.first[place][at], self.sizes[place][at]
         closing = np.searchsorted(starts, ends)  # after the parts of a document comes its end
         sizes, first = np.insert(sizes, closing, 1), np.insert(first, closing, len(self.ids))
@@ -118,10 +163,10 @@ class ByteParts:
         edges = np.cumsum(sizes)[closing + np.arange(len(closing))]
         return ids, np.diff(edges, prepend=0)
 
-    def _learn(self, body: bytes, starts: np.ndarray, stops: np.ndarray, key: np.ndarray, other: np.ndarray) -> None:
+    def _learn(self, body: bytes, starts: np.ndarray, stops: np.ndarray, key: np.ndarray, names: np.ndarray) -> None:
         raw = np.frombuffer(body, np.uint8)
         # Parts from white space to a mark may stand side by side and be encoded in one go.
-        chain_ = WHITE[raw[starts]] & ~WHITE[raw[stops - 1]] & (raw[stops - 1] < 128)
+        chain_ = self.parted & WHITE[raw[starts]] & ~WHITE[raw[stops - 1]] & (raw[stops - 1] < 128)
         order = np.concatenate([np.flatnonzero(chain_), np.flatnonzero(~chain_)])
         joined = int(chain_.sum())
         size = (stops - starts)[order]
@@ -138,13 +183,13 @@ class ByteParts:
         for found in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False):
             ids.append(np.array(found.ids, np.uint32))
             sizes.append(np.array([len(found.ids)]))
-        sizes = np.concatenate(sizes)
+        sizes = np.concatenate(sizes).astype(np.int64)
         first = len(self.ids) + np.cumsum(sizes) - sizes
         self.ids = np.concatenate([self.ids, *ids])
         known = np.concatenate([self.known, key[order]])
         by_key = np.argsort(known, kind="stable")
         self.known = known[by_key]
-        self.check = np.concatenate([self.check, other[order]])[by_key]
+        self.names = np.concatenate([self.names, names[order]])[by_key]
         self.first = np.concatenate([self.first, first])[by_key]
         self.sizes = np.concatenate([self.sizes, sizes])[by_key]
 
