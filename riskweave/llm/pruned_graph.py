@@ -2,24 +2,28 @@
 
 Equal vectors are one node that holds its smallest ids. A shard's graph is grown in batches: each
 batch is searched for in the graph so far, and of what a search has met the edges are kept that no
-nearer kept one makes needless (with some slack, so that long edges stay). Vectors get one more
-coordinate that makes their norms equal, so that the largest inner product is the nearest node.
+nearer kept one makes needless (with some slack, so that long edges stay). A shard holds vectors whose
+norms are alike (within a factor of 1.42), and its graph is one of directions, so that edges stay
+short whatever the norms are; searches go by the inner products themselves.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskweave.llm.common import freeze
 
 DEGREE, BEAM, SLACK = 32, 96, 1.2
+#: Nodes that a search of a finished graph holds open, and bands of norms to a factor of two.
+WIDE, BANDS = 192, 2
 SHARD_VECTORS = 8192
 QUERY_BLOCK = 512
 BATCH = 512
@@ -112,11 +116,14 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, slack: float =
     return graph, entry
 
 
-def lifted(vectors: np.ndarray) -> np.ndarray:
-    """The vectors with the coordinate that gives all the largest norm."""
-    square = (vectors.astype(np.float64) ** 2).sum(1)
-    more = np.sqrt(np.maximum(square.max(initial=0) - square, 0))
-    return np.concatenate([vectors, more[:, None]], 1).astype(np.float32)
+def directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors at norm 1, and at norms of at most 1 that keep their proportions; none overflows."""
+    most = np.abs(vectors).max(1, keepdims=True, initial=0)
+    unit = vectors / most
+    norm = np.sqrt((unit**2).sum(1, keepdims=True))
+    unit /= norm
+    size = most / most.max(initial=0) * norm
+    return unit.astype(np.float32), (unit * (size / size.max(initial=0))).astype(np.float32)
 
 
 # --- shards and queries ------------------------------------------------------------------------
@@ -125,25 +132,43 @@ INDEX = "shard int, entry int, ids array<array<long>>, vectors binary, graph bin
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id`` and ``v`` (doubles) of the rows that take part: with an id, of the most common length,
-    every component there and finite, and one of them not zero."""
+    """``id`` and ``v`` (doubles) of the rows that may take part: with an id, every component there
+    and finite, and one of them not zero."""
     v = F.transform(vector, lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    held = rows.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(
+    return rows.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(
         F.col("id").isNotNull() & F.coalesce(fine & F.exists("v", lambda x: x != 0), F.lit(False))
     )
-    sizes = held.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n")
-    common = sizes.first()
-    return held.where(F.size("v") == (common["n"] if common else 0))
+
+
+def common_length(held: DataFrame) -> int:
+    """The length that most vectors have (the least of several)."""
+    most = held.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return most["n"] if most else 0
+
+
+def band(v: Column) -> Column:
+    """The band of a vector's norm; a double's range has at most some 4,300."""
+    most = F.array_max(F.transform(v, F.abs))
+    square = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))
+    return F.floor(BANDS * (F.log2(most) + F.log2(square) / 2)).cast("int")
 
 
 def index(held: DataFrame, keep: int, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
-    """A row for each shard: its distinct vectors, the ``keep`` smallest ids of each, the graph."""
+    """A row for each shard: its distinct vectors, the ``keep`` smallest ids of each, the graph.
+
+    Shards are numbered from 0 without gaps, but for those that the hash leaves empty.
+    """
     nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     nodes = held.distinct().withColumn("nth", nth).where(F.col("nth") <= keep)
-    nodes = freeze(nodes.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    shards = max(1, math.ceil(nodes.count() / shard_vectors))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    nodes = nodes.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    nodes = freeze(nodes.withColumn("band", band(F.col("v"))))
+    sizes = sorted((r["band"], math.ceil(r["count"] / shard_vectors)) for r in nodes.groupBy("band").count().collect())
+    begin = accumulate((n for _, n in sizes), initial=0)
+    places = [(b, n, at) for (b, n), at in zip(sizes, begin, strict=False)]
+    parts = held.sparkSession.createDataFrame(places, "band int, parts int, base int")
+    part = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
+    dealt = nodes.join(F.broadcast(parts), "band").select("v", "ids", (F.col("base") + part).alias("shard"))
 
     def grow(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
@@ -151,7 +176,7 @@ def index(held: DataFrame, keep: int, shard_vectors: int = SHARD_VECTORS) -> Dat
         vectors = v.values.to_numpy(zero_copy_only=False).reshape(len(v), -1)
         order = np.lexsort(vectors.T[::-1])  # the same graph, whatever order the rows came in
         vectors = vectors[order]
-        graph, entry = build(lifted(vectors))
+        graph, entry = build(directions(vectors)[0])
         return pa.table(
             {
                 "shard": rows.column("shard").slice(0, 1),
@@ -171,20 +196,22 @@ def nearest(
     """The ``k`` nearest of ``rows`` found for each query (rows of the same columns), by inner product.
 
     Returns ``query_id``, ``rank``, ``vec_id``, ``score``. A query is not its own neighbour (by id).
-    Rows that are null, zero, not finite, without an id or of another length than most take no
-    part. Ties go to the smaller id; a row that is there twice counts once. Empty tables give none.
+    Rows and queries that are null, zero, not finite, without an id or of another length than most of
+    the rows take no part. Ties go to the smaller id; a row that is there twice counts once. Empty tables give none.
     """
-    held = freeze(usable(rows, key, vector))
-    asked = usable(queries, key, vector).distinct()
+    held = usable(rows, key, vector)
+    length = common_length(held)
+    held = freeze(held.where(F.size("v") == length))
+    asked = freeze(usable(queries, key, vector).where(F.size("v") == length).distinct())
     shards = freeze(index(held, k + 1))
-    asked = freeze(asked)
+    if shards.isEmpty():
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
     packed = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("part")).agg(
         F.collect_list(F.struct("id", "v")).alias("asked")
     )
-    everywhere = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards.count() - 1))))
-    if shards.isEmpty():
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    last = shards.agg(F.max("shard")).first()[0]
+    everywhere = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,11 +222,10 @@ def nearest(
                 qv = asked.values.field("v").flatten().to_numpy().reshape(len(q), -1)
                 x = np.frombuffer(vectors.as_buffer(), np.float64).reshape(-1, qv.shape[1])
                 edges = np.frombuffer(graph.as_buffer(), np.int32).reshape(len(x), -1).astype(np.int64)
-                if len(x) <= BEAM:
+                if len(x) <= WIDE:
                     found = np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
                 else:
-                    wide = np.concatenate([qv, np.zeros((len(q), 1))], 1).astype(np.float32)
-                    found = beam_search(lifted(x), edges, entry.as_py(), wide, BEAM)
+                    found = beam_search(directions(x)[1], edges, entry.as_py(), directions(qv)[0], WIDE)
                 yield _best(q, qv, x, found, ids.values, k)
 
     met = everywhere.join(shards, "shard").mapInArrow(search, "query_id long, vec_id long, score double")

@@ -246,3 +246,36 @@ def test_neighbours_by_inner_product(spark):
     assert sorted(x.vec_id for x in few) == [1, 2, 3, 4]
     assert pruned_graph.nearest(table.limit(0), table).collect() == []
     assert pruned_graph.nearest(table, table.limit(0)).collect() == []
+
+
+def test_queries_of_another_length_take_no_part(spark):
+    rows = [(i, [float(i % 7 + 1), 1.0, float(i)]) for i in range(95)] + [(100 + i, [1.0] * 4) for i in range(5)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert pruned_graph.nearest(table, table.where("vec_id >= 100")).collect() == []
+    found = pruned_graph.nearest(table, table.where("vec_id >= 90")).collect()
+    assert {x.query_id for x in found} == set(range(90, 95)) and len(found) == 100
+    assert all(x.vec_id < 95 for x in found)
+
+
+@pytest.mark.parametrize("norms", ["natural", "heavy", "extreme"])
+def test_recall_over_several_shards_of_any_norms(spark, monkeypatch, norms):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(2400, 64))
+    if norms != "natural":
+        x *= r.lognormal(0, 1, (2400, 1))
+    if norms == "extreme":
+        x[:40] *= 1e150
+        x[40:80] *= 1e-150
+    monkeypatch.setattr(pruned_graph.index, "__defaults__", (900,))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    shards = pruned_graph.index(pruned_graph.usable(table, "vec_id", "embedding"), 21)
+    assert shards.count() >= 3
+    hits, asked = 0, range(0, 2400, 20)
+    found = defaultdict(set)
+    for q in pruned_graph.nearest(table, table.where("vec_id % 20 = 0")).collect():
+        found[q.query_id].add(q.vec_id)
+    for q in asked:
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-exact)[:20].tolist()))
+    assert hits >= 0.95 * 20 * len(asked)
