@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.text import general6, signed6
+from riskweave.operators.validate import listed
 from riskweave.schemas import FEATURE_NAMES
 
 MARGIN_ATOL, MARGIN_RTOL, SCORE_ATOL = 1e-5, 1e-6, 1e-6
@@ -121,6 +122,33 @@ def with_consistency(explained: DataFrame) -> DataFrame:
     return checked.withColumn("consistent", F.coalesce(good, F.lit(False))).drop("_rebuilt")
 
 
+def evaluation_differences(
+    explained: DataFrame, evaluated: DataFrame, names: Sequence[str] = FEATURE_NAMES
+) -> DataFrame:
+    """Adds ``violations``: where an explanation is not one of the stored evaluation.
+
+    ``explained`` has ``transaction_id``, the features, ``score`` and ``model_version``; ``evaluated``
+    has ``transaction_id``, ``vector`` (in feature order), ``score`` and ``model_version``. An
+    explanation of a row that was never evaluated says ``not_evaluated`` only. NULLs equal NULLs.
+    """
+    stored = evaluated.select(
+        "transaction_id",
+        F.struct(F.col("vector").cast("array<double>").alias("vector"), "score", "model_version").alias("_stored"),
+    )
+    vector = F.array(*(F.col(n).cast("double") for n in names))
+    close = F.abs(F.col("score") - F.col("_stored.score")) <= SCORE_ATOL
+    both_null = F.col("score").isNull() & F.col("_stored.score").isNull()
+    known = F.col("_stored").isNotNull()
+    clauses = {
+        "not_evaluated": ~known,
+        "vector": known & ~F.col("_stored.vector").eqNullSafe(vector),
+        "model_version": known & ~F.col("_stored.model_version").eqNullSafe(F.col("model_version")),
+        "score": known & ~F.coalesce(close | both_null, F.lit(False)),
+    }
+    joined = explained.join(stored, "transaction_id", "left")
+    return joined.withColumn("violations", listed(clauses)).drop("_stored")
+
+
 def top_contributions(explained: DataFrame, k: int = TOP) -> DataFrame:
     """The ``k`` largest contributions per row; equal sizes keep the feature order."""
     entries = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskweave.functions.frames import DAY, micros
-from riskweave.operators import datasets, features, metrics, models
+from riskweave.operators import datasets, experiment, explain, features, metrics, models, tree_explain
 from riskweave.plans import oracle as o
 from riskweave.plans.scoring import LOW_LIMIT, refused
 from riskweave.plans.registry import query
@@ -392,16 +392,24 @@ SCORED = f"""WITH {SPLIT} SELECT transaction_id, split, label, true AS score_in_
   WHERE split IS NOT NULL AND split <> 'train'"""
 
 
-def _model_scores(spark, sf, name):
-    """Fitted on the training split, applied to the other rows."""
+def _prepared_split(spark, sf):
     held = d.customers(spark, sf).filter("segment = 'MACHINERY'")
     rows = datasets.split(datasets.prepare(d.labeled(spark, sf)), held, START, DAYS)
+    return rows.filter("split IS NOT NULL AND NOT history_limit_exceeded")
+
+
+def _fitted(spark, sf, name):
+    """A model of the training split, and the other rows."""
     # Fitting makes several passes; the prepared rows are computed once for all of them.
     checkpoint_root(spark)
-    rows = rows.filter("split IS NOT NULL AND NOT history_limit_exceeded").checkpoint()
-    train = rows.filter("split = 'train'")
-    fitted = models.fit_candidates(train, seed=17, trees=10, names=(name,))[name]
-    scored = models.score(fitted, rows.filter("split <> 'train'"))
+    rows = _prepared_split(spark, sf).checkpoint()
+    fitted = models.fit_candidates(rows.filter("split = 'train'"), seed=17, names=(name,))[name]
+    return fitted, rows.filter("split <> 'train'")
+
+
+def _model_scores(spark, sf, name):
+    """Fitted on the training split, applied to the other rows."""
+    scored = models.score(*_fitted(spark, sf, name))
     return scored.select(
         "transaction_id", "split", "label", F.col("score").between(0, 1).alias("score_in_range")
     )
@@ -420,3 +428,53 @@ def random_forest_scores(spark, sf):
 @query("q_boosted_tree_scores", SCORED)
 def boosted_tree_scores(spark, sf):
     return _model_scores(spark, sf, "boosted_trees")
+
+
+@query(
+    "q_experiment",
+    f"""WITH {SPLIT} SELECT split, count(*) AS n, sum(label) AS positives, true AS best_chosen,
+      true AS on_grid, true AS counts_add_up, true AS rates_in_range
+    FROM sp WHERE split IN ('test', 'held_out_test') GROUP BY split""",
+)
+def whole_experiment(spark, sf):
+    """Three candidates of 120 trees, the choice, the threshold, and the test metrics."""
+    found = experiment.experiment(_prepared_split(spark, sf))
+    quality = {r["name"]: r["average_precision"] for r in found.candidates.collect()}
+    rates = [F.col(c) for c in ("precision", "recall", "f1", "fpr", "roc_auc", "average_precision")]
+    return found.tests.select(
+        "split",
+        "n",
+        "positives",
+        F.lit(quality[found.chosen] == max(quality.values())).alias("best_chosen"),
+        F.lit(found.threshold in [i / 20 for i in range(1, 20)]).alias("on_grid"),
+        ((F.expr("tn + fp + fn + tp") == F.col("n")) & (F.expr("tp + fn") == F.col("positives"))).alias(
+            "counts_add_up"
+        ),
+        F.forall(F.array(*rates), lambda r: F.coalesce(r.between(0, 1), F.lit(True))).alias("rates_in_range"),
+    )
+
+
+@query(
+    "q_tree_explanations",
+    f"""WITH {SPLIT} SELECT transaction_id, true AS consistent, concat_ws(',',
+      CASE WHEN transaction_id % 13 = 0 THEN 'not_evaluated' END,
+      CASE WHEN transaction_id % 13 <> 0 AND transaction_id % 11 = 0 THEN 'vector' END,
+      CASE WHEN transaction_id % 13 <> 0 AND transaction_id % 7 = 0 THEN 'model_version' END,
+      CASE WHEN transaction_id % 13 <> 0 AND transaction_id % 5 = 0 THEN 'score' END) AS violations
+    FROM sp WHERE split IS NOT NULL AND split <> 'train'""",
+)
+def tree_explanations(spark, sf):
+    """Boosted trees explained, and compared with stored evaluations of which some differ."""
+    fitted, rows = _fitted(spark, sf, "boosted_trees")
+    explained = tree_explain.tree_contributions(rows, fitted.stages[-1], FEATURE_NAMES)
+    explained = explain.with_consistency(explained).withColumn("model_version", F.lit("trees-1"))
+    row = F.col("transaction_id")
+    vector = F.array(*(F.col(n).cast("double") for n in FEATURE_NAMES))
+    evaluated = models.score(fitted, rows).select(
+        row,
+        F.when(row % 11 == 0, F.transform(vector, lambda x: x + 1)).otherwise(vector).alias("vector"),
+        (F.col("score") + F.when(row % 5 == 0, 0.1).otherwise(0.0)).alias("score"),
+        F.when(row % 7 == 0, "trees-0").otherwise("trees-1").alias("model_version"),
+    )
+    compared = explain.evaluation_differences(explained, evaluated.filter("transaction_id % 13 <> 0"))
+    return compared.select("transaction_id", "consistent", F.array_join("violations", ",").alias("violations"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.operators import explain, metrics, models, tree_explain
+from riskweave.operators import experiment, explain, metrics, models, tree_explain
 from riskweave.schemas import FEATURE_NAMES
 
 
@@ -77,3 +77,52 @@ def test_tree_contributions_are_shapley_values(data, fitted):
                 for known in combinations(others, k):
                     total += share * (value(row, {*known, feature}) - value(row, set(known)))
             assert abs(parts[feature] - total) < 1e-9
+
+
+def test_experiment_chooses_on_validation_and_measures_on_tests(spark, data):
+    from pyspark.sql import functions as F
+
+    third = F.pmod(F.xxhash64("transaction_id"), F.lit(4))
+    named = F.when(third == 0, "validation").when(third == 1, "test").when(third < 4, "train")
+    rows = data.withColumn("split", F.when(F.col("transaction_id") % 17 == 0, None).otherwise(named))
+    found = experiment.experiment(rows, seed=3, trees=4)
+    quality = {r["name"]: r.average_precision for r in found.candidates.collect()}
+    assert found.chosen in quality and quality[found.chosen] == max(quality.values())
+    validation = models.score(found.models[found.chosen], rows.filter("split = 'validation'"))
+    f1 = {r.threshold: r.f1 for r in metrics.threshold_grid(validation).collect()}
+    assert f1[found.threshold] == max(f1.values())
+    assert all(t <= found.threshold for t, f in f1.items() if f == f1[found.threshold])
+    (test,) = found.tests.collect()  # no held-out rows here, so no row for them
+    scored = models.score(found.models[found.chosen], rows.filter("split = 'test'")).collect()
+    hits = [(r.score >= found.threshold, r.label == 1) for r in scored]
+    assert (test.split, test.n) == ("test", len(hits))
+    assert (test.tp, test.fp) == (hits.count((True, True)), hits.count((True, False)))
+    assert (test.fn, test.tn) == (hits.count((False, True)), hits.count((False, False)))
+
+
+def test_explanations_of_other_evaluations_are_found(spark):
+    names = ("a", "b")
+    schema = "transaction_id long, a double, b double, score double, model_version string"
+    rows = [(i, 1.0, 2.0, 0.5, "m1") for i in range(6)] + [(6, None, 2.0, None, None)]
+    explained = spark.createDataFrame(rows, schema)
+    stored = [
+        (0, [1.0, 2.0], 0.5, "m1"),
+        (1, [1.0, 3.0], 0.5, "m1"),
+        (2, [1.0, 2.0], 0.5, "m2"),
+        (3, [1.0, 2.0], 0.6, "m1"),
+        (4, None, None, None),
+        (6, [None, 2.0], None, None),
+    ]
+    evaluated = spark.createDataFrame(
+        stored, "transaction_id long, vector array<double>, score double, model_version string"
+    )
+    found = explain.evaluation_differences(explained, evaluated, names)
+    assert {r.transaction_id: r.violations for r in found.collect()} == {
+        0: [],
+        1: ["vector"],
+        2: ["model_version"],
+        3: ["score"],
+        4: ["vector", "model_version", "score"],
+        5: ["not_evaluated"],
+        6: [],
+    }
