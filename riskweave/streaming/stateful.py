@@ -1,14 +1,16 @@
 """Per-customer state over a transaction stream.
 
-Activity state is cut into small entries: instants by hour, a recipient's instants by day, and the
-two latest instants of each device. A micro-batch reads and writes only the entries that its rows
-touch, so its cost does not depend on how long a customer's history is. With ``expire`` an event-time
+Every call to the state store crosses from Python to the JVM, so what a micro-batch costs is its
+number of calls. The activity of a customer with few rows is one value, read and written once a
+batch. A longer history is cut into small entries: instants by hour, a recipient's instants by day,
+and the two latest instants of each device. A micro-batch reads and writes only the entries that its
+rows touch, so its cost does not depend on how long the history is. With ``expire`` an event-time
 timer clears a customer 180 days after the last row.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -20,6 +22,8 @@ from riskweave.operators.learning import TrustedWindow
 
 SPAN = 180 * DAY
 TTL_MS = 181 * 24 * 3_600_000
+#: A customer with at most so many rows in the span is held as one value.
+PACKED_ROWS = 1_000
 
 ACTIVITY_SCHEMA = (
     "transaction_id {id}, customer_id {customer}, currency string, us bigint, late boolean, "
@@ -36,14 +40,16 @@ GATE_SCHEMA = (
 
 
 class Entries:
-    """A map state with what one call has read and changed of it."""
+    """A map state with what one call has read and changed of it. Where ``whole``, the state holds
+    nothing and all there is is held here."""
 
-    def __init__(self, state) -> None:
-        self.state, self.held, self.changed = state, {}, set()
+    def __init__(self, state, whole: bool) -> None:
+        self.state, self.whole, self.held, self.changed = state, whole, {}, set()
 
     def get(self, key: tuple):
         if key not in self.held:
-            self.held[key] = self.state.getValue(key) if self.state.containsKey(key) else None
+            known = not self.whole and self.state.containsKey(key)
+            self.held[key] = self.state.getValue(key) if known else None
         return self.held[key]
 
     def put(self, key: tuple, value: tuple | None) -> None:
@@ -63,7 +69,7 @@ class Entries:
         for key in self.changed:
             if self.held[key] is not None:
                 self.state.updateValue(key, self.held[key])
-            elif self.state.containsKey(key):
+            elif not self.whole and self.state.containsKey(key):
                 self.state.removeKey(key)
 
 
@@ -79,6 +85,61 @@ def _two_latest(held: tuple | None, us: int, device: str) -> tuple:
     return (*pairs[0], *(pairs[1] if len(pairs) > 1 else (None, None, None)))
 
 
+class History:
+    """What is known of one customer: ``total`` rows in hours from ``lowest`` on, the greatest
+    instant (``top``), and the two latest instants with a device."""
+
+    def __init__(self, states: tuple, head: tuple | None) -> None:
+        self.total, self.lowest, self.top, self.timer, spilled = head[:5] if head else (0, None, None, None, False)
+        self.rows: list[tuple] | None = None if spilled else []
+        self.occupied: list[int] = list(head[5]) if spilled else []
+        self.latest = tuple(head[9:]) if spilled and head[9] is not None else None
+        self.maps = [Entries(x, not spilled) for x in states]
+        self.hours, self.days, self.recipients, self.devices = self.maps
+        if head and not spilled:
+            self.total = 0
+            for us, recipient, device in zip(*head[6:9], strict=True):
+                self.keep(us, recipient, device)
+
+    def keep(self, us: int, recipient: int | None, device: str | None) -> None:
+        if self.rows is not None:
+            self.rows.append((us, recipient, device))
+        hour = (us // HOUR,)
+        if not self.hours.get(hour):
+            insort(self.occupied, us // HOUR)
+        self.hours.insert(hour, us)
+        self.total += 1
+        if recipient is not None:
+            if us // DAY not in self.recipients.list((recipient,)):
+                self.recipients.insert((recipient,), us // DAY)
+            self.days.insert((recipient, us // DAY), us)
+        if device is not None:
+            self.latest = _two_latest(self.latest, us, device)
+            self.devices.put((device,), _two_latest(self.devices.get((device,)), us, device))
+
+    def advance(self, us: int) -> None:
+        """Hours that lie wholly before the span go."""
+        bound = (us - SPAN) // HOUR
+        gone = bisect_left(self.occupied, bound)
+        for hour in self.occupied[:gone]:
+            self.total -= len(self.hours.list((hour,)))
+            self.hours.put((hour,), None)
+        del self.occupied[:gone]
+        self.lowest = bound if self.lowest is None else max(self.lowest, bound)
+        self.top = us
+
+    def save(self, state) -> None:
+        head = (self.total, self.lowest, self.top, self.timer)
+        if self.rows is not None and self.total <= PACKED_ROWS:
+            live = [r for r in self.rows if r[0] // HOUR >= self.lowest]
+            packed = [list(x) for x in zip(*live, strict=True)] or [[], [], []]
+            state.update((*head, False, [], *packed, *[None] * 6))
+            return
+        for entries in self.maps:
+            entries.save()
+        state.update((*head, True, self.occupied, [], [], [], *(self.latest or [None] * 6)))
+
+
 class ActivityProcessor(StatefulProcessor):
     """Activity features at arrival. A late row is marked and has no values; it changes no earlier
     result, and later rows see it. Beyond the limit there is no value either."""
@@ -89,63 +150,45 @@ class ActivityProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         two = "us bigint, low string, high string, us2 bigint, low2 string, high2 string"
-        self.clock = handle.getValueState("clock", "total bigint, lowest bigint, timer bigint")
-        self.latest = handle.getValueState("latest", two)
-        self.hours = handle.getMapState("hours", "hour bigint", "instants array<bigint>")
-        self.days = handle.getMapState("days", "recipient bigint, day bigint", "instants array<bigint>")
-        self.recipients = handle.getMapState("recipients", "recipient bigint", "days array<bigint>")
-        self.devices = handle.getMapState("devices", "device string", two)
+        self.head = handle.getValueState(
+            "head",
+            "total bigint, lowest bigint, top bigint, timer bigint, spilled boolean, hours array<bigint>, "
+            f"instants array<bigint>, recipients array<bigint>, devices array<string>, {two}",
+        )
+        self.maps = (
+            handle.getMapState("hours", "hour bigint", "instants array<bigint>"),
+            handle.getMapState("days", "recipient bigint, day bigint", "instants array<bigint>"),
+            handle.getMapState("recipients", "recipient bigint", "days array<bigint>"),
+            handle.getMapState("devices", "device string", two),
+        )
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        maps = [Entries(x) for x in (self.hours, self.days, self.recipients, self.devices)]
-        hours, days, recipients, devices = maps
-        total, lowest, timer = self.clock.get() if self.clock.exists() else (0, None, None)
-        latest = self.latest.get() if self.latest.exists() else None
+        past = History(self.maps, self.head.get())
         for row in sorted(rows, key=lambda r: (r.us, str(r.transaction_id))):
-            us = row.us
-            late = latest is not None and us < latest[0]
+            late = past.top is not None and row.us < past.top
             values = {}
             if not late:
-                # Hours that lie wholly before the span go; each goes once.
-                bound = (us - SPAN) // HOUR
-                if lowest is not None:
-                    for hour in range(lowest, min(bound, latest[0] // HOUR + 1)):
-                        total -= len(hours.list((hour,)))
-                        hours.put((hour,), None)
-                lowest = bound if lowest is None else max(lowest, bound)
-                values = self._evaluate(row, total, latest, *maps)
+                past.advance(row.us)
+                values = self._evaluate(row, past)
             yield Row(
                 transaction_id=row.transaction_id,
                 customer_id=key[0],
                 currency=key[1],
-                us=us,
+                us=row.us,
                 late=late,
                 **{name: values.get(name) for name in VALUES},
             )
-            if us // HOUR >= lowest:
-                hours.insert((us // HOUR,), us)
-                total += 1
-                if row.recipient_id is not None:
-                    own = (row.recipient_id,)
-                    if us // DAY not in recipients.list(own):
-                        recipients.insert(own, us // DAY)
-                    days.insert((row.recipient_id, us // DAY), us)
-                if row.device_id is not None:
-                    latest = _two_latest(latest, us, row.device_id)
-                    devices.put((row.device_id,), _two_latest(devices.get((row.device_id,)), us, row.device_id))
-        for entries in maps:
-            entries.save()
+            if row.us // HOUR >= past.lowest:
+                past.keep(row.us, row.recipient_id, row.device_id)
         if self.expire:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            timer = latest[0] // 1000 + TTL_MS
-            self.handle.registerTimer(timer)
-        self.clock.update((total, lowest, timer))
-        self.latest.update(tuple(latest))
-
-    def _evaluate(
-        self, row: Row, total: int, latest: tuple | None, hours: Entries, days: Entries, recipients: Entries, devices: Entries
-    ) -> dict:
+            if past.timer is not None:
+                self.handle.deleteTimer(past.timer)
+            past.timer = past.top // 1000 + TTL_MS
+            self.handle.registerTimer(past.timer)
+        past.save(self.head)
+
+    def _evaluate(self, row: Row, past: History) -> dict:
+        total, latest, (hours, days, recipients, devices) = past.total, past.latest, past.maps
         us, low = row.us, row.us - SPAN
         now = hours.list((us // HOUR,))
         n = total - bisect_right(hours.list((low // HOUR,)), low) - (len(now) - bisect_left(now, us))
@@ -196,7 +239,7 @@ class ActivityProcessor(StatefulProcessor):
         }
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        for state in (self.clock, self.latest, self.hours, self.days, self.recipients, self.devices):
+        for state in (self.head, *self.maps):
             state.clear()
         return iter(())
 

@@ -2,6 +2,7 @@ import random
 from datetime import timedelta
 
 from conftest import NOW, micros
+from pyspark.sql import Row
 from riskweave.operators import features
 from riskweave.streaming import pipelines, replay, stateful
 
@@ -99,3 +100,65 @@ def test_idle_customers_expire(spark, tmp_path):
     found = spark.read.parquet(pipelines.run_available(stateful.live_activity(stream, expire=True)))
     counts = {x.transaction_id: x.activity_history_count for x in found.collect()}
     assert counts == {1: 0, 2: 0, 3: 0, 4: 1}
+
+
+class _Held:
+    """A state of one key in memory that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = {}, 0
+
+    def _call(self, result=None):
+        self.calls += 1
+        return result
+
+    def get(self):
+        return self._call(self.value.get(None))
+
+    def update(self, value):
+        self._call(self.value.update({None: value}))
+
+    def containsKey(self, key):
+        return self._call(key in self.value)
+
+    def getValue(self, key):
+        return self._call(self.value[key])
+
+    def updateValue(self, key, value):
+        self._call(self.value.update({key: value}))
+
+    def removeKey(self, key):
+        self._call(self.value.pop(key))
+
+
+def _activity(batches):
+    processor = stateful.ActivityProcessor()
+    processor.head, processor.maps = _Held(), tuple(_Held() for _ in range(4))
+    found = [list(processor.handleInputRows((1, "KZT"), iter(b), None)) for b in batches]
+    return found, processor
+
+
+def test_a_short_history_is_one_value(monkeypatch):
+    """Read and written once a batch; entries give the same rows, also where a history grows into them."""
+    r = random.Random(12)
+    names = ("transaction_id", "us", "recipient_id", "device_id")
+    batches, start = [], 0
+    for b in range(12):
+        start += r.choice([1, 60, 3_000, 200_000])
+        batches.append([
+            Row(**dict(zip(names, (100 * b + i, micros(NOW + timedelta(minutes=start + r.randrange(-90, 400))), r.choice([1, 2, None]), r.choice(["a", "b", None])), strict=True)))
+            for i in range(15)
+        ])
+    packed, processor = _activity(batches)
+    assert processor.head.calls == 2 * len(batches) and not any(m.calls for m in processor.maps)
+    for rows in (0, 20):
+        monkeypatch.setattr(stateful, "PACKED_ROWS", rows)
+        assert _activity(batches)[0] == packed
+
+
+def test_rows_without_a_device_come_first(spark, tmp_path):
+    pipelines.use_rocksdb(spark)
+    stream = arriving(spark, tmp_path, [[row(1, 0, None, None)], [row(2, -1, None, None)], [row(3, 1)]], TX)
+    live = spark.read.parquet(pipelines.run_available(stateful.live_activity(stream)))
+    found = {x.transaction_id: (x.late, x.activity_history_count, x.last_us) for x in live.collect()}
+    assert found == {1: (False, 0, None), 2: (True, None, None), 3: (False, 2, None)}
