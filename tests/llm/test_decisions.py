@@ -168,6 +168,14 @@ def test_index_finds_the_exact_neighbours():
             assert best.tolist() == want.tolist() and np.allclose(similar, exact[want], atol=1e-9)
 
 
+def test_terms_are_words_and_beginnings_of_long_ones():
+    body = b"Idiots, idiotic\nIDIOT (idio)\n"
+    doc, term = toxicity_neighbours.terms(body, np.array([16, len(body)]))
+    words, starts = term[:4].tolist(), term[4:].tolist()
+    assert doc.tolist() == [0, 0, 1, 1, 0, 0] and len(set(words)) == 4
+    assert starts[0] == starts[1] and starts[0] not in words
+
+
 def test_a_document_has_no_say_on_itself(spark):
     """Turning the label of one example changes others' scores, but is never evidence of its own;
     many copies of one text do not make its words terms."""
