@@ -35,7 +35,10 @@ def hourly_counts(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def use_rocksdb(spark: SparkSession) -> None:
+    """State on disk. All stores of an executor share one bounded cache and write buffer; without the
+    bound each partition has its own, outside the heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
 
 
 def _write_batch(rows: DataFrame, path: str, batch: int) -> None:

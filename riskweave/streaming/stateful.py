@@ -258,16 +258,16 @@ class GateProcessor(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.trusted = handle.getListState(
-            "trusted", "us bigint, cents bigint", ttlDurationMs=self.ttl_ms
+        # One value: two calls a key, and one column family of the store.
+        self.held = handle.getValueState(
+            "held", "seen bigint, us array<bigint>, cents array<bigint>", ttlDurationMs=self.ttl_ms
         )
-        self.clock = handle.getValueState("clock", "us bigint", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         window = TrustedWindow()
-        for us, cents in sorted((r[0], r[1]) for r in self.trusted.get()):
+        seen, *trusted = self.held.get() or (None, [], [])
+        for us, cents in sorted(zip(*trusted, strict=True)):
             window.admit(us, cents)
-        seen = self.clock.get()[0] if self.clock.exists() else None
         for row in sorted(rows, key=lambda r: (r.us, str(r.transaction_id))):
             if seen is not None and row.us < seen and not row.is_seed:
                 # An older row would need the past replayed; it never changes the profile.
@@ -289,9 +289,8 @@ class GateProcessor(StatefulProcessor):
                 n_trusted=n,
                 median2_trusted=median2,
             )
-        self.trusted.put(list(window.queue))
         if seen is not None:
-            self.clock.update((seen,))
+            self.held.update((seen, [us for us, _ in window.queue], [cents for _, cents in window.queue]))
 
     def close(self) -> None:
         pass
