@@ -162,3 +162,18 @@ def test_rows_without_a_device_come_first(spark, tmp_path):
     live = spark.read.parquet(pipelines.run_available(stateful.live_activity(stream)))
     found = {x.transaction_id: (x.late, x.activity_history_count, x.last_us) for x in live.collect()}
     assert found == {1: (False, 0, None), 2: (True, None, None), 3: (False, 2, None)}
+
+
+def test_the_live_gate_makes_two_calls_a_batch():
+    names = ("transaction_id", "us", "cents", "verdict", "is_seed")
+    rows = [Row(**dict(zip(names, (i, micros(NOW + timedelta(days=i)), 3_000, "LEGITIMATE", i < 5), strict=True))) for i in range(12)]
+
+    def run(batches):
+        processor = stateful.GateProcessor()
+        processor.held = _Held()
+        return [x for b in batches for x in processor.handleInputRows((1, "KZT"), iter(b), None)], processor.held.calls
+
+    whole, once = run([rows])
+    cut, calls = run([rows[:4], rows[4:7], rows[7:]])
+    assert cut == whole and (once, calls) == (2, 6)
+    assert [x.n_trusted for x in whole] == list(range(12))
