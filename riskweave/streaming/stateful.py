@@ -2,7 +2,7 @@
 
 Every call to the state store crosses from Python to the JVM, so what a micro-batch costs is its
 number of calls. The activity of a customer with few rows is one value, read and written once a
-batch. A longer history is cut into small entries: instants by hour, a recipient's instants by day,
+batch, and its rows are judged by searches in sorted lists. A longer history is cut into small entries: instants by hour, a recipient's instants by day,
 and the two latest instants of each device. A micro-batch reads and writes only the entries that its
 rows touch, so its cost does not depend on how long the history is. With ``expire`` an event-time
 timer clears a customer 180 days after the last row.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -33,6 +34,10 @@ ACTIVITY_SCHEMA = (
     "first_recipient_us bigint, last_us bigint, last_device string, device_seen boolean"
 )
 VALUES = [x.split()[0] for x in ACTIVITY_SCHEMA.split(", ")[5:]]
+#: What the processor reads of a row besides the key, and a row that it makes.
+ACTIVITY_INPUT = ("transaction_id", "us", "recipient_id", "device_id")
+ACTIVITY_ROW = Row(*(x.split()[0] for x in ACTIVITY_SCHEMA.split(", ")))
+NO_VALUES = (None,) * len(VALUES)
 GATE_SCHEMA = (
     "transaction_id {id}, customer_id {customer}, currency string, us bigint, reason string, "
     "n_trusted bigint, median2_trusted bigint"
@@ -85,6 +90,83 @@ def _two_latest(held: tuple | None, us: int, device: str) -> tuple:
     return (*pairs[0], *(pairs[1] if len(pairs) > 1 else (None, None, None)))
 
 
+class Short:
+    """What is known of a customer with few rows: all rows, and the greatest instant (``top``). Sorted
+    instants, by recipient and by device, are made when the first row is evaluated."""
+
+    def __init__(self, head: tuple | None) -> None:
+        self.lowest, self.top, self.timer = head[1:4] if head else (None, None, None)
+        self.rows: list[tuple] = list(zip(*head[6:9], strict=True)) if head else []
+        self.times: list[int] | None = None
+
+    def _add(self, us: int, recipient: int | None, device: str | None) -> None:
+        insort(self.times, us)
+        if recipient is not None:
+            insort(self.recipients.setdefault(recipient, []), us)
+        if device is not None:
+            insort(self.devices.setdefault(device, []), us)
+            if us in self.of_instant:
+                least, most = self.of_instant[us]
+                self.of_instant[us] = (min(least, device), max(most, device))
+            else:
+                self.of_instant[us] = (device, device)
+                insort(self.instants, us)
+
+    def keep(self, us: int, recipient: int | None, device: str | None) -> None:
+        self.rows.append((us, recipient, device))
+        if self.times is not None:
+            self._add(us, recipient, device)
+
+    def advance(self, us: int) -> None:
+        bound = (us - SPAN) // HOUR
+        self.lowest = bound if self.lowest is None else max(self.lowest, bound)
+        self.top = us
+
+    def evaluate(self, us: int, recipient: int | None, device: str | None, limit: int) -> tuple:
+        if self.times is None:
+            self.times, self.instants, self.recipients, self.devices, self.of_instant = [], [], {}, {}, {}
+            for row in sorted(self.rows, key=itemgetter(0)):
+                self._add(*row)
+        times, low = self.times, us - SPAN
+        now = bisect_left(times, us)
+        n = now - bisect_right(times, low)
+        if n > limit:
+            return _beyond(n)
+        known = self.recipients.get(recipient, ()) if recipient is not None else ()
+        first = bisect_right(known, low)
+        last, of_last = bisect_left(self.instants, us) - 1, None
+        last = self.instants[last] if last >= 0 and self.instants[last] > low else None
+        if last is not None:
+            least, most = self.of_instant[last]
+            of_last = least if least == most else None
+        seen = self.devices.get(device, ()) if device is not None else ()
+        before = bisect_left(seen, us) - 1
+        return (
+            False,
+            *(now - bisect_right(times, us - span) for span in (5 * MINUTE, 10 * MINUTE, HOUR)),
+            n,
+            bisect_left(known, us) - bisect_right(known, us - HOUR),
+            known[first] if first < len(known) and known[first] < us else None,
+            last,
+            of_last,
+            before >= 0 and seen[before] > low,
+        )
+
+    def save(self, state) -> None:
+        _save_packed(state, self.rows, self.lowest, self.top, self.timer)
+
+
+def _beyond(n: int) -> tuple:
+    """Values of a row with more history than the limit."""
+    return tuple({"history_limit_exceeded": True, "activity_history_count": n}.get(name) for name in VALUES)
+
+
+def _save_packed(state, rows: list[tuple], lowest: int, top: int, timer: int | None) -> None:
+    live = [r for r in rows if r[0] // HOUR >= lowest]
+    packed = [list(x) for x in zip(*live, strict=True)] or [[], [], []]
+    state.update((len(live), lowest, top, timer, False, [], *packed, *[None] * 6))
+
+
 class History:
     """What is known of one customer: ``total`` rows in hours from ``lowest`` on, the greatest
     instant (``top``), and the two latest instants with a device."""
@@ -128,16 +210,62 @@ class History:
         self.lowest = bound if self.lowest is None else max(self.lowest, bound)
         self.top = us
 
+    def evaluate(self, us: int, recipient: int | None, device: str | None, limit: int) -> tuple:
+        total, latest, (hours, days, recipients, devices) = self.total, self.latest, self.maps
+        low = us - SPAN
+        now = hours.list((us // HOUR,))
+        n = total - bisect_right(hours.list((low // HOUR,)), low) - (len(now) - bisect_left(now, us))
+        if n > limit:
+            return _beyond(n)
+        recent = [*hours.list((us // HOUR - 1,)), *now]
+
+        def within(instants: list[int], span: int) -> int:
+            return bisect_left(instants, us) - bisect_right(instants, us - span)
+
+        first, n_recipient = None, 0
+        if recipient is not None:
+            own = (recipient,)
+            known = recipients.list(own)
+            gone = [d for d in known if d < low // DAY]
+            for day in gone:
+                days.put((recipient, day), None)
+            if gone:
+                known = known[len(gone) :]
+                recipients.put(own, (known,))
+            for day in known:
+                instants = days.list((recipient, day))
+                place = bisect_right(instants, low)
+                if place < len(instants):
+                    first = instants[place] if instants[place] < us else None
+                    break
+            both = [t for d in sorted({(us - HOUR) // DAY, us // DAY}) for t in days.list((recipient, d))]
+            n_recipient = within(both, HOUR)
+        last, of_last = None, None
+        for at, least, most in (latest[:3], latest[3:]) if latest else ():
+            if at is not None and at < us:
+                if at > low:
+                    last, of_last = at, least if least == most else None
+                break
+        seen = devices.get((device,)) if device is not None else None
+        before = next((t for t in (seen[0], seen[3]) if t is not None and t < us), None) if seen else None
+        return (
+            False,
+            *(within(recent, span) for span in (5 * MINUTE, 10 * MINUTE, HOUR)),
+            n,
+            n_recipient,
+            first,
+            last,
+            of_last,
+            before is not None and before > low,
+        )
+
     def save(self, state) -> None:
-        head = (self.total, self.lowest, self.top, self.timer)
         if self.rows is not None and self.total <= PACKED_ROWS:
-            live = [r for r in self.rows if r[0] // HOUR >= self.lowest]
-            packed = [list(x) for x in zip(*live, strict=True)] or [[], [], []]
-            state.update((*head, False, [], *packed, *[None] * 6))
+            _save_packed(state, self.rows, self.lowest, self.top, self.timer)
             return
         for entries in self.maps:
             entries.save()
-        state.update((*head, True, self.occupied, [], [], [], *(self.latest or [None] * 6)))
+        state.update((self.total, self.lowest, self.top, self.timer, True, self.occupied, [], [], [], *(self.latest or [None] * 6)))
 
 
 class ActivityProcessor(StatefulProcessor):
@@ -163,23 +291,22 @@ class ActivityProcessor(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        past = History(self.maps, self.head.get())
-        for row in sorted(rows, key=lambda r: (r.us, str(r.transaction_id))):
-            late = past.top is not None and row.us < past.top
-            values = {}
+        rows = list(rows)
+        names = rows[0].__fields__
+        # By place: a field by name is looked up anew each time.
+        values = map(itemgetter(*(names.index(n) for n in ACTIVITY_INPUT)), rows)
+        head = self.head.get()
+        few = not (head and head[4]) and len(rows) + (len(head[6]) if head else 0) <= PACKED_ROWS
+        past = Short(head) if few else History(self.maps, head)
+        for transaction, us, recipient, device in sorted(values, key=lambda r: (r[1], str(r[0]))):
+            late = past.top is not None and us < past.top
+            found = NO_VALUES
             if not late:
-                past.advance(row.us)
-                values = self._evaluate(row, past)
-            yield Row(
-                transaction_id=row.transaction_id,
-                customer_id=key[0],
-                currency=key[1],
-                us=row.us,
-                late=late,
-                **{name: values.get(name) for name in VALUES},
-            )
-            if row.us // HOUR >= past.lowest:
-                past.keep(row.us, row.recipient_id, row.device_id)
+                past.advance(us)
+                found = past.evaluate(us, recipient, device, self.limit)
+            yield ACTIVITY_ROW(transaction, key[0], key[1], us, late, *found)
+            if us // HOUR >= past.lowest:
+                past.keep(us, recipient, device)
         if self.expire:
             if past.timer is not None:
                 self.handle.deleteTimer(past.timer)
@@ -187,57 +314,6 @@ class ActivityProcessor(StatefulProcessor):
             self.handle.registerTimer(past.timer)
         past.save(self.head)
 
-    def _evaluate(self, row: Row, past: History) -> dict:
-        total, latest, (hours, days, recipients, devices) = past.total, past.latest, past.maps
-        us, low = row.us, row.us - SPAN
-        now = hours.list((us // HOUR,))
-        n = total - bisect_right(hours.list((low // HOUR,)), low) - (len(now) - bisect_left(now, us))
-        if n > self.limit:
-            return {"history_limit_exceeded": True, "activity_history_count": n}
-        recent = [*hours.list((us // HOUR - 1,)), *now]
-
-        def within(instants: list[int], span: int) -> int:
-            return bisect_left(instants, us) - bisect_right(instants, us - span)
-
-        first, n_recipient = None, 0
-        if row.recipient_id is not None:
-            own = (row.recipient_id,)
-            known = recipients.list(own)
-            gone = [d for d in known if d < low // DAY]
-            for day in gone:
-                days.put((row.recipient_id, day), None)
-            if gone:
-                known = known[len(gone) :]
-                recipients.put(own, (known,))
-            for day in known:
-                instants = days.list((row.recipient_id, day))
-                place = bisect_right(instants, low)
-                if place < len(instants):
-                    first = instants[place] if instants[place] < us else None
-                    break
-            both = [t for d in sorted({(us - HOUR) // DAY, us // DAY}) for t in days.list((row.recipient_id, d))]
-            n_recipient = within(both, HOUR)
-        last, device = None, None
-        for at, least, most in (latest[:3], latest[3:]) if latest else ():
-            if at is not None and at < us:
-                if at > low:
-                    last, device = at, least if least == most else None
-                break
-        seen = devices.get((row.device_id,)) if row.device_id is not None else None
-        before = next((t for t in (seen[0], seen[3]) if t is not None and t < us), None) if seen else None
-        return {
-            "history_limit_exceeded": False,
-            "transactions_last_5_min": within(recent, 5 * MINUTE),
-            "transactions_last_10_min": within(recent, 10 * MINUTE),
-            "transactions_last_hour": within(recent, HOUR),
-            "activity_history_count": n,
-            "recipient_transactions_last_hour": n_recipient,
-            "first_recipient_us": first,
-            "last_us": last,
-            "last_device": device,
-            "device_seen": before is not None and before > low,
-        }
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         for state in (self.head, *self.maps):
             state.clear()
@@ -310,6 +386,8 @@ def live_activity(
     stream: DataFrame, limit: int = HISTORY_LIMIT, expire: bool = False
 ) -> DataFrame:
     """Activity features at arrival. With ``expire`` the stream needs a watermark."""
+    if not expire:  # each column of a row costs Python time
+        stream = stream.select(*KEYS, *ACTIVITY_INPUT)
     return _apply(stream, ActivityProcessor(limit, expire), ACTIVITY_SCHEMA, "EventTime" if expire else "None")
 
 

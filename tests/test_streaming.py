@@ -156,6 +156,32 @@ def test_a_short_history_is_one_value(monkeypatch):
         assert _activity(batches)[0] == packed
 
 
+def test_a_short_history_needs_no_entries(monkeypatch):
+    """Its rows are judged in sorted lists; what would cut them into entries is not even made."""
+    monkeypatch.setattr(stateful, "Entries", None)
+    names = ("device_id", "us", "recipient_id", "transaction_id")
+    rows = [Row(**dict(zip(names, ("ab"[i % 2], micros(NOW + timedelta(minutes=i)), 1, i), strict=True))) for i in range(8)]
+    (_, found), _ = _activity([rows[:6], rows[6:]])
+    assert [(x.activity_history_count, x.transactions_last_5_min, x.last_device, x.device_seen) for x in found] == [
+        (6, 4, "b", True),
+        (7, 4, "a", True),
+    ]
+
+
+def test_corrections_are_worked_out_once(spark, capsys):
+    """Every row is there once, corrected where there is a correction, in one pass over these."""
+    values = [f"{'true' if n in ('history_limit_exceeded', 'device_seen') else 'id'} AS {n}" for n in stateful.VALUES]
+    head = ["id AS transaction_id", "7 AS customer_id", "'KZT' AS currency", "id AS us"]
+    kept = spark.range(4).selectExpr(*head, "false AS late", *values)
+    mended = spark.range(3, 6).selectExpr(*head, "id > 3 AS late", *values)
+    found = replay.corrected(kept, mended)
+    capsys.readouterr()
+    found.explain(extended=False)
+    assert capsys.readouterr().out.count("Range (3, 6") == 1
+    rows = sorted((x.transaction_id, x.late, x.corrected) for x in found.collect())
+    assert rows == [(i, i > 3, i > 2) for i in range(6)]
+
+
 def test_rows_without_a_device_come_first(spark, tmp_path):
     pipelines.use_rocksdb(spark)
     stream = arriving(spark, tmp_path, [[row(1, 0, None, None)], [row(2, -1, None, None)], [row(3, 1)]], TX)
