@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.common import freeze
 
+#: A task writes files for each exchange, however few its edges are, so there is one for so many.
+TASK_EDGES = 2_000
+
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -36,7 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
     mark = F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")
     seen = now.agg(*mark).first()
     while True:
-        now = freeze(_small(_large(now)))
+        tasks = 1 + seen["n"] // TASK_EDGES
+        large = _large(now.coalesce(tasks)).coalesce(tasks)
+        now = freeze(_small(large).coalesce(tasks))
         new = now.agg(*mark).first()
         if new == seen:
             return now.select(F.col("b").alias("uid"), F.col("a").alias("class_uid"))

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from riskweave.llm import exact_copies
+from riskweave.llm.stars import components
 from tests.llm.cases import documents, empty, texts
 
 
@@ -62,3 +63,17 @@ def test_other_kinds_of_keys(spark):
     assert {(r.doc_id, r.keep_key, r.group_size, r.kept) for r in found} == {
         ("b", "a", 4, False), ("a", "a", 4, True), ("c", "a", 4, False), (None, "a", 4, False)
     }
+
+
+def test_few_edges_are_few_tasks(spark):
+    """However many partitions an exchange has, and the classes are those of the edges."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = components(spark.createDataFrame([(i, i + 1) for i in range(9)] + [(20, 21), (22, 20)], "a long, b long"))
+        assert found.rdd.getNumPartitions() == 1
+        assert dict(found.collect()) == {**dict.fromkeys(range(1, 10), 0), 21: 20, 22: 20}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
