@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -15,27 +14,6 @@ from riskweave.operators.metrics import ranking
 from riskweave.schemas import FEATURE_NAMES
 
 
-#: A task of a fit holds at most about so many rows, and is not worth its start for much fewer.
-MOST_ROWS, LEAST_ROWS = 250_000, 1_000
-
-
-def fit_tasks(rows: int, cores: int) -> int:
-    """Tasks for each pass of a fit: as many as there are cores, or a multiple of that.
-
-    A fit makes hundreds of passes that each wait for their last task, so one task more than there
-    are cores would cost as much as a second round of all.
-    """
-    rounds = -(-rows // (cores * MOST_ROWS))
-    return max(1, min(cores * rounds, -(-rows // LEAST_ROWS)))
-
-
-def evenly(rows: DataFrame, n: int) -> DataFrame:
-    """The ``n`` rows dealt evenly over the tasks of a fit, kept on the executors' disks (the memory
-    is left to the fit). The caller lets them go."""
-    tasks = fit_tasks(n, rows.sparkSession.sparkContext.defaultParallelism)
-    return rows.repartition(tasks).persist(StorageLevel.DISK_ONLY)
-
-
 def fit_candidates(
     train: DataFrame,
     seed: int,
@@ -43,11 +21,7 @@ def fit_candidates(
     trees: int = 120,
     names: tuple[str, ...] = ("logistic_regression", "random_forest", "boosted_trees"),
 ) -> dict[str, PipelineModel]:
-    """Logistic regression, random forest and boosted trees, fitted on the training rows only.
-
-    Features are put into one vector once; all passes of all candidates read only that, label and
-    weights, from tasks of equal size.
-    """
+    """Logistic regression, random forest and boosted trees, fitted on the training rows only."""
     weights = class_weights(train).first()
     if not 0 < weights.positives < weights.n:
         raise ValueError("training needs both classes")
@@ -65,6 +39,7 @@ def fit_candidates(
     scaled = StandardScaler(inputCol="vector", outputCol="scaled", withMean=True, withStd=True)
     stages = {
         "logistic_regression": [
+            assembled,
             scaled,
             # A penalty of one against the summed, balanced loss.
             LogisticRegression(
@@ -76,6 +51,7 @@ def fit_candidates(
             ),
         ],
         "random_forest": [
+            assembled,
             RandomForestClassifier(
                 featuresCol="vector",
                 weightCol="balanced",
@@ -86,6 +62,7 @@ def fit_candidates(
             ),
         ],
         "boosted_trees": [
+            assembled,
             GBTClassifier(
                 featuresCol="vector",
                 weightCol="ratio",
@@ -96,12 +73,7 @@ def fit_candidates(
             ),
         ],
     }
-    vectors = evenly(assembled.transform(rows).select("vector", "label", "balanced", "ratio"), weights.n)
-    try:
-        fitted = {name: Pipeline(stages=stages[name]).fit(vectors) for name in names}
-    finally:
-        vectors.unpersist()
-    return {name: PipelineModel([assembled, *model.stages]) for name, model in fitted.items()}
+    return {name: Pipeline(stages=stages[name]).fit(rows) for name in names}
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
