@@ -45,11 +45,17 @@ ARRIVED = "CASE WHEN admitted_us IS NOT NULL THEN greatest(admitted_us, availabl
 
 
 CLOCKS = ("available_us", "label_available_us", "label")
+#: What the vector is made of. Passes in Python carry every column of their frame along, which Spark
+#: cannot prune, so others are left out before the rows are dealt.
+INPUTS = (
+    "transaction_id", "customer_id", "currency", "us", "cents", "recipient_id", "device_id", "admitted_us", "timezone",
+    *CLOCKS,
+)
 
 
 def prepare(labeled: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     """The feature vector of every event as it could be known when the event arrived."""
-    frame = with_arrived_activity(replay_frame(labeled, limit))
+    frame = with_arrived_activity(replay_frame(labeled.select(*INPUTS), limit))
     frame = with_baseline(frame, seen=ARRIVED)
     return vector(candidates(frame), limit, CLOCKS)
 
