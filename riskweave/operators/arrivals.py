@@ -20,41 +20,12 @@ from pyspark.sql import types as T
 
 from riskweave.functions.frames import HOUR, MINUTE
 from riskweave.operators.history import ACTIVITY_SPAN, GROUP
-from riskweave.operators.rolling import time_lines
+from riskweave.operators.ranks import Ranks, codes
+from riskweave.operators.rolling import BATCH_ROWS, time_lines
 
 ROW_SPANS = {"n_activity": ACTIVITY_SPAN, "n_5m": 5 * MINUTE, "n_10m": 10 * MINUTE, "n_60m": HOUR}
 
 
-class Ranks:
-    """Arrival ranks in one order of the rows, for counts below a bound."""
-
-    def __init__(self, ranks: np.ndarray):
-        self.size = len(ranks)
-        self.bits = max(int(ranks.max(initial=0)).bit_length(), 1)
-        self.ones: list[np.ndarray] = []
-        self.zeros: list[int] = []
-        values = ranks
-        for bit in range(self.bits - 1, -1, -1):
-            set_ = (values >> bit) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(set_)]))
-            self.zeros.append(int(len(values) - set_.sum()))
-            values = np.concatenate([values[set_ == 0], values[set_ == 1]])
-
-    def below(self, first: np.ndarray, end: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        """How many places of each range hold a rank below its bound."""
-        first, end = first.copy(), np.maximum(end, first)
-        found, size = np.zeros(len(first), np.int64), end - first
-        whole = bound >> self.bits > 0  # every rank is below
-        for level, bit in enumerate(range(self.bits - 1, -1, -1)):
-            ones = self.ones[level]
-            a, b = ones[first], ones[end]
-            high = (bound >> bit) & 1 == 1
-            found += np.where(high, (end - b) - (first - a), 0)
-            first = np.where(high, self.zeros[level] + a, first - a)
-            end = np.where(high, self.zeros[level] + b, end - b)
-        return np.where(whole, size, found)
-
-
 class Minima:
     """Least rank of any range of places, and the first or last place with a rank below a bound."""
 
@@ -89,13 +60,6 @@ class Minima:
         return at
 
 
-def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the different values, nulls included, and which rows are null."""
-    known = column.combine_chunks().dictionary_encode(null_encoding="encode")
-    known = known.combine_chunks() if isinstance(known, pa.ChunkedArray) else known
-    return known.indices.to_numpy(zero_copy_only=False).astype(np.int64), column.is_null().to_numpy()
-
-
 def known_activity(table: pa.Table, time: np.ndarray) -> dict[str, pa.Array]:
     """The activity columns of every row of whole groups that are sorted by time, whose times are
     also given on one line (see :func:`time_lines`)."""
@@ -107,10 +71,10 @@ def known_activity(table: pa.Table, time: np.ndarray) -> dict[str, pa.Array]:
     arrived = table.column("available_us").fill_null(0).to_numpy().astype(np.int64)
     rank = np.searchsorted(np.sort(arrived), arrived)  # rows that arrived strictly earlier
     bound = np.where(absent, 0, rank)
-    rank = np.where(absent | ~history, size, rank)
+    rank = np.where(absent | ~history, size, rank).astype(np.int32 if size < 1 << 31 else np.int64)
 
-    devices, no_device = _codes(table.column("device_id"))
-    recipients, no_recipient = _codes(table.column("recipient_id"))
+    devices, no_device = codes(table.column("device_id"))
+    recipients, no_recipient = codes(table.column("recipient_id"))
 
     # By time; rows of one instant by device.
     order = np.lexsort([devices, time])
@@ -128,6 +92,7 @@ def known_activity(table: pa.Table, time: np.ndarray) -> dict[str, pa.Array]:
     lowest = np.minimum(minima.first(instant, last + 1, bound), max(size - 1, 0))
     single = found & (device[lowest] == device[last])
     out["last_us"] = _when(found, us[order][last])
+    del ranks, minima  # the tables of one order at a time: a long group has large ones
 
     def within(codes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The order by code and time, and each row's range of places in its own code."""
@@ -140,11 +105,10 @@ def known_activity(table: pa.Table, time: np.ndarray) -> dict[str, pa.Array]:
         return order, first, np.searchsorted(placed, pair + np.searchsorted(times, time, "left"), "left"), placed
 
     order_r, first_r, end_r, _ = within(recipients, ACTIVITY_SPAN)
-    ranks_r, minima_r = Ranks(rank[order_r]), Minima(rank[order_r])
     nobody = no_recipient
     _, first_hour, _, _ = within(recipients, HOUR)
-    out["n_recipient_60m"] = np.where(nobody, 0, ranks_r.below(first_hour, end_r, bound))
-    at = minima_r.first(first_r, end_r, bound)
+    out["n_recipient_60m"] = np.where(nobody, 0, Ranks(rank[order_r]).below(first_hour, end_r, bound))
+    at = Minima(rank[order_r]).first(first_r, end_r, bound)
     seen = (at < end_r) & ~nobody
     out["first_recipient_us"] = _when(seen, us[order_r][np.where(seen, at, 0)])
 
@@ -187,6 +151,6 @@ def with_arrived_activity(frame: DataFrame) -> DataFrame:
             found = known_activity(table, time)
             for name, _ in COLUMNS:
                 table = table.append_column(name, found[name])
-            yield from table.combine_chunks().to_batches()
+            yield from table.combine_chunks().to_batches(max_chunksize=BATCH_ROWS)
 
     return frame.sortWithinPartitions(*GROUP, "us").mapInArrow(run, schema)

@@ -31,13 +31,14 @@ def in_flight(rows: DataFrame) -> DataFrame:
     return flying.filter("step > 0").groupBy(*KEYS).agg(F.max("flying").alias("room"))
 
 
-def replay_frame(labeled: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
+def replay_frame(labeled: DataFrame, limit: int = HISTORY_LIMIT, whole: bool = False) -> DataFrame:
     """History groups deep enough to hold ``limit + 1`` rows that had arrived, if there are so many.
 
     A long key is as much deeper as it has rows under way at one time; other keys do not matter.
+    Groups of a ``whole`` frame hold the whole span of each candidate.
     """
     extras = {"profile_since": f"min({ARRIVED})"}
-    return history_frame(labeled, limit, extras, refuse=False, room=in_flight)
+    return history_frame(labeled, limit, extras, refuse=False, room=in_flight, whole=whole)
 
 
 #: When a baseline row is both admitted and known to have happened.
@@ -53,11 +54,15 @@ INPUTS = (
 )
 
 
-def prepare(labeled: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
-    """The feature vector of every event as it could be known when the event arrived."""
-    frame = with_arrived_activity(replay_frame(labeled.select(*INPUTS), limit))
+def prepare(labeled: DataFrame, limit: int = HISTORY_LIMIT, whole: bool = False) -> DataFrame:
+    """The feature vector of every event as it could be known when the event arrived.
+
+    An event with more than ``limit`` known rows in 180 days is refused: marked, and without values.
+    Where no event may be missing, ``whole`` gives these too their values, of all their rows.
+    """
+    frame = with_arrived_activity(replay_frame(labeled.select(*INPUTS), limit, whole))
     frame = with_baseline(frame, seen=ARRIVED)
-    return vector(candidates(frame), limit, CLOCKS)
+    return vector(candidates(frame), limit, CLOCKS, whole)
 
 
 def split(

@@ -394,8 +394,8 @@ SCORED = f"""WITH {SPLIT} SELECT transaction_id, split, label, true AS score_in_
 
 def _prepared_split(spark, sf):
     held = d.customers(spark, sf).filter("segment = 'MACHINERY'")
-    rows = datasets.split(datasets.prepare(d.labeled(spark, sf)), held, START, DAYS)
-    return rows.filter("split IS NOT NULL AND NOT history_limit_exceeded")
+    rows = datasets.split(datasets.prepare(d.labeled(spark, sf), whole=True), held, START, DAYS)
+    return rows.filter("split IS NOT NULL")
 
 
 def _fitted(spark, sf, name):
