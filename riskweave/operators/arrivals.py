@@ -1,4 +1,5 @@
-"""Counts over two clocks: what had happened and had also arrived, in one sorted pass.
+"""Activity of whole groups in one sorted pass, over two clocks (what had happened and had also
+arrived) or over one.
 
 A candidate sees the rows of earlier instants inside its span that arrived before it did. Rows of a
 history group are ordered by time, by recipient and time, and by device and time; in each order the
@@ -10,7 +11,7 @@ vector operation over all rows of many groups, so the work is rows times the log
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -121,7 +122,63 @@ def known_activity(table: pa.Table, time: np.ndarray) -> dict[str, pa.Array]:
     return out
 
 
-def _when(known: np.ndarray, values: np.ndarray) -> pa.Array:
+def prior_activity(table: pa.Table, time: np.ndarray) -> dict[str, pa.Array]:
+    """The same columns over one clock: every history row of an earlier instant is seen. Recipients and
+    devices that are null are equal to each other, as in a window's partition."""
+    us = table.column("us").to_numpy().astype(np.int64)
+    past = np.flatnonzero(table.column("is_history").to_numpy(zero_copy_only=False).astype(bool))
+    earlier = time[past]
+    end = np.searchsorted(earlier, time, "left")
+    begin = np.searchsorted(earlier, time - ACTIVITY_SPAN, "right")
+    out = {name: pa.array(end - np.searchsorted(earlier, time - span, "right")) for name, span in ROW_SPANS.items()}
+    found = end > begin
+    out["last_us"] = _when(found, us[past][end[found] - 1], found)
+
+    def within(name: str, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The history in the order of value and time, and each row's range of places in its own value."""
+        own, _ = codes(table.column(name))
+        times = np.unique(earlier)
+        pair = own * (len(times) + 1)
+        placed = pair[past] + np.searchsorted(times, earlier)
+        order = np.argsort(placed, kind="stable")
+        ends = (pair + np.searchsorted(times, at, side) for at, side in ((time - span, "right"), (time, "left")))
+        return order, *(np.searchsorted(placed[order], x) for x in ends)
+
+    order, first, upto = within("recipient_id", ACTIVITY_SPAN)
+    known = upto > first
+    out["first_recipient_us"] = _when(known, us[past][order][first[known]], known)
+    _, first, upto = within("recipient_id", HOUR)
+    out["n_recipient_60m"] = pa.array(upto - first)
+    _, first, upto = within("device_id", ACTIVITY_SPAN)
+    out["device_seen"] = pa.array(upto > first)
+
+    device, absent = codes(table.column("device_id"))
+    starts = np.flatnonzero(np.diff(earlier, prepend=earlier[:1] - 1))
+    instant = np.cumsum(np.diff(earlier, prepend=earlier[:1] - 1) > 0) - 1
+    here = np.where(absent, -1, device)[past]
+    low, high, row = (
+        how.reduceat(x, starts) if len(starts) else x
+        for how, x in (
+            (np.minimum, np.where(here < 0, len(device), here)),
+            (np.maximum, here),
+            (np.maximum, np.where(here < 0, -1, past)),
+        )
+    )
+    at = np.zeros(len(time), np.int64)
+    at[found] = instant[end[found] - 1]
+    single = found.copy()
+    single[found] = (low == high)[at[found]]
+    index = np.zeros(len(time), np.int64)
+    index[single] = row[at[single]]
+    out["last_device"] = table.column("device_id").combine_chunks().take(pa.array(index, mask=~single))
+    return out
+
+
+def _when(known: np.ndarray, values: np.ndarray, at: np.ndarray | None = None) -> pa.Array:
+    """Values where they are known, of all rows or of the rows ``at``."""
+    if at is not None:
+        given, values = values, np.zeros(len(known), values.dtype)
+        values[at] = given
     return pa.array(values, mask=~known)
 
 
@@ -142,14 +199,25 @@ def with_arrived_activity(frame: DataFrame) -> DataFrame:
     and devices that are null are equal to none; ``last_device`` is the one device of the latest
     instant seen, NULL where there are several. Repeated rows are rows of their own.
     """
+    return _with_activity(frame, known_activity, COLUMNS)
+
+
+def with_prior_activity(frame: DataFrame) -> DataFrame:
+    """Adds the activity columns of a history frame that is already dealt by group, of all history rows
+    of the 180 days before each candidate (both ends open), however many these are."""
+    wide = [(name, T.LongType() if kind == T.IntegerType() else kind) for name, kind in COLUMNS]
+    return _with_activity(frame, prior_activity, wide)
+
+
+def _with_activity(frame: DataFrame, work: Callable, columns: Sequence[tuple[str, T.DataType | None]]) -> DataFrame:
     device = frame.schema["device_id"].dataType
-    added = [T.StructField(n, device if k is None else k) for n, k in COLUMNS]
+    added = [T.StructField(n, device if k is None else k) for n, k in columns]
     schema = T.StructType([*frame.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _, time in time_lines(batches, ACTIVITY_SPAN):
-            found = known_activity(table, time)
-            for name, _ in COLUMNS:
+            found = work(table, time)
+            for name, _ in columns:
                 table = table.append_column(name, found[name])
             yield from table.combine_chunks().to_batches(max_chunksize=BATCH_ROWS)
 

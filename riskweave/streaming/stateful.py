@@ -130,8 +130,6 @@ class Short:
         times, low = self.times, us - SPAN
         now = bisect_left(times, us)
         n = now - bisect_right(times, low)
-        if n > limit:
-            return _beyond(n)
         known = self.recipients.get(recipient, ()) if recipient is not None else ()
         first = bisect_right(known, low)
         last, of_last = bisect_left(self.instants, us) - 1, None
@@ -142,7 +140,7 @@ class Short:
         seen = self.devices.get(device, ()) if device is not None else ()
         before = bisect_left(seen, us) - 1
         return (
-            False,
+            n > limit,
             *(now - bisect_right(times, us - span) for span in (5 * MINUTE, 10 * MINUTE, HOUR)),
             n,
             bisect_left(known, us) - bisect_right(known, us - HOUR),
@@ -156,11 +154,6 @@ class Short:
         _save_packed(state, self.rows, self.lowest, self.top, self.timer)
 
 
-def _beyond(n: int) -> tuple:
-    """Values of a row with more history than the limit."""
-    return tuple({"history_limit_exceeded": True, "activity_history_count": n}.get(name) for name in VALUES)
-
-
 def _save_packed(state, rows: list[tuple], lowest: int, top: int, timer: int | None) -> None:
     live = [r for r in rows if r[0] // HOUR >= lowest]
     packed = [list(x) for x in zip(*live, strict=True)] or [[], [], []]
@@ -215,8 +208,6 @@ class History:
         low = us - SPAN
         now = hours.list((us // HOUR,))
         n = total - bisect_right(hours.list((low // HOUR,)), low) - (len(now) - bisect_left(now, us))
-        if n > limit:
-            return _beyond(n)
         recent = [*hours.list((us // HOUR - 1,)), *now]
 
         def within(instants: list[int], span: int) -> int:
@@ -249,7 +240,7 @@ class History:
         seen = devices.get((device,)) if device is not None else None
         before = next((t for t in (seen[0], seen[3]) if t is not None and t < us), None) if seen else None
         return (
-            False,
+            n > limit,
             *(within(recent, span) for span in (5 * MINUTE, 10 * MINUTE, HOUR)),
             n,
             n_recipient,
@@ -270,7 +261,8 @@ class History:
 
 class ActivityProcessor(StatefulProcessor):
     """Activity features at arrival. A late row is marked and has no values; it changes no earlier
-    result, and later rows see it. Beyond the limit there is no value either."""
+    result, and later rows see it. A row with more than ``limit`` prior rows is marked and has its
+    values: what is held of a customer is never cut, and a longer history costs no more a row."""
 
     def __init__(self, limit: int = HISTORY_LIMIT, expire: bool = False) -> None:
         self.limit, self.expire = limit, expire

@@ -7,11 +7,14 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.functions.frames import DAY, HOUR
+from riskweave.functions.frames import DAY, HOUR, MINUTE
 from riskweave.operators import datasets, history, rolling
 from riskweave.operators.arrivals import known_activity
 from riskweave.plans import datasets as plans
-from test_arrivals import SCHEMA, rows_of
+from riskweave.plans import catalog, streams
+from riskweave.streaming import replay, stateful
+from test_arrivals import SCHEMA, SPAN, rows_of
+from test_streaming import _Held
 
 
 def group(seed):
@@ -123,3 +126,58 @@ def test_tables_of_ranks_are_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 450 * n
+
+
+def activity_of(rows):
+    """Values of each row from their definitions; nulls are equal to each other."""
+    out = {}
+    for t, c, _, us, _, to, device, *_ in rows:
+        seen = [p for p in rows if p[1] == c and us - SPAN < p[3] < us]
+        last = max((p[3] for p in seen), default=None)
+        at_last = {p[6] for p in seen if p[3] == last} - {None}
+        same = [p[3] for p in seen if p[5] == to]
+        out[t] = (
+            *(sum(p[3] > us - span for p in seen) for span in (5 * MINUTE, 10 * MINUTE, HOUR)),
+            len(seen),
+            sum(x > us - HOUR for x in same),
+            min(same, default=None),
+            last,
+            at_last.pop() if len(at_last) == 1 else None,
+            any(p[6] == device for p in seen),
+        )
+    return out
+
+
+@pytest.mark.parametrize("limit", [5, 10_000])
+def test_replayed_values_beyond_the_limit(spark, limit):
+    rows = rows_of(31, 400, 3, MINUTE) + [(400 + x[0], *x[1:]) for x in rows_of(32, 200, 2, HOUR * 5)]
+    found = {x.transaction_id: tuple(x[n] for n in stateful.VALUES) for x in replay.activity(spark.createDataFrame(rows, SCHEMA), limit).collect()}
+    assert found == {t: (x[3] > limit, *x) for t, x in activity_of(rows).items()}
+
+
+@pytest.mark.parametrize("packed", [0, 1_000])
+def test_live_values_beyond_the_limit(monkeypatch, packed):
+    from pyspark.sql import Row
+
+    monkeypatch.setattr(stateful, "PACKED_ROWS", packed)
+    names = ("transaction_id", "us", "recipient_id", "device_id")
+    rows = [x for x in sorted(rows_of(41, 120, 1), key=lambda x: (x[3], str(x[0]))) if x[5] is not None and x[6] is not None]
+    processor = stateful.ActivityProcessor(limit=6)
+    processor.head, processor.maps = _Held(), tuple(_Held() for _ in range(4))
+    found = {}
+    for i in range(0, len(rows), 25):
+        batch = [Row(**dict(zip(names, (x[0], x[3], x[5], x[6]), strict=True))) for x in rows[i : i + 25]]
+        for x in processor.handleInputRows((1, "KZT"), iter(batch), None):
+            found[x.transaction_id] = None if x.late else tuple(x[n] for n in stateful.VALUES)
+    want = {t: (x[3] > 6, *x) for t, x in activity_of(rows).items()}
+    assert sum(x is not None and x[0] for x in found.values()) > 40
+    assert {t: x for t, x in found.items() if x} == {t: want[t] for t, x in found.items() if x}
+
+
+def test_late_replay_of_a_busy_customer(spark, tmp_path):
+    busy_customer(tmp_path)
+    rows = streams.late_replay(spark, str(tmp_path))
+    found = rows.collect()
+    assert sum(x.history_limit_exceeded for x in found) > 1_000
+    sql = f"SELECT {', '.join(rows.columns)} FROM ({catalog.oracles()['q_late_replay']}) ORDER BY transaction_id"
+    assert sorted(tuple(x) for x in found) == twin(tmp_path, sql)
